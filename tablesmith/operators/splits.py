@@ -144,3 +144,15 @@ def _points(sample: list[tuple], by: int) -> tuple[tuple, ...]:
 def salt(df: DataFrame, salts: int = SALTS) -> Column:
     """A spread of rows that depends on their content only, so retries agree."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], rows_per_key: int = 1_000_000, max_keys: int = MAX_BLOCKS
+) -> Splits:
+    """The key values that hold more than about ``rows_per_key`` rows, as points.
+
+    Nulls are left out: they never match in a join.
+    """
+    present = df.select(*keys).dropna()
+    splits = find_splits(present, keys, (), rows_per_key, max_keys)
+    return Splits(splits.by, (), splits.types, tuple(dict.fromkeys(splits.points)))
