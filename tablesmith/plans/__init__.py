@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("frames",)
+AREAS = ("frames", "scalars", "profiles")
 
 
 def load_all() -> None:
