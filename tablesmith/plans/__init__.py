@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("frames", "scalars", "profiles")
+AREAS = ("frames", "scalars", "profiles", "movement")
 
 
 def load_all() -> None:
