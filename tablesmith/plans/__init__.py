@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("frames", "scalars", "profiles", "movement")
+AREAS = ("frames", "scalars", "profiles", "movement", "corpora")
 
 
 def load_all() -> None:
