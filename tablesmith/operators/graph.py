@@ -1,114 +1,207 @@
-"""Cycles in a table of edges, by rounds of joins.
+"""Cycles in a table of edges.
 
-The edges may belong to many separate graphs, told apart by group columns. Every
-round writes its small state to the shared folder, which keeps plans short and
-survives lost executors. Work per round is linear in the edges still in question.
+The edges may belong to many separate graphs, told apart by group columns. Graphs
+with few edges are solved where they are, in one exchange. Larger ones, and a group
+that holds much of the table, go through rounds of joins; each round writes its
+small state to the shared folder, which keeps plans short and survives lost
+executors, and costs work linear in the edges still in question.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.session import stage
 
+SMALL_GRAPH = 1000
 
-def cyclic_edges(edges: DataFrame, by: Sequence[str], source: str, target: str) -> DataFrame:
+
+def cyclic_edges(
+    edges: DataFrame, by: Sequence[str], source: str, target: str, small_graph: int = SMALL_GRAPH
+) -> DataFrame:
     """Edges between nodes that reach each other, with the smallest such node as ``root``.
 
     Columns: ``by``, ``root``, ``s``, ``t``. A node is on a cycle exactly if it is in ``s``.
     """
     by = list(by)
-    plain = edges.select(*by, F.col(source).alias("s"), F.col(target).alias("t"))
-    remaining = _trim(stage(plain.dropna(subset=["s", "t"]).distinct(), "edges"), by)
-    found = []
-    while not remaining.isEmpty():
-        reached_by = _smallest(remaining, by, "s", "t").withColumnRenamed("label", "root")
-        reaches = _smallest(remaining, by, "t", "s").withColumnRenamed("label", "other")
-        # The smallest node that reaches a node and that it reaches: then both reach each other.
-        same = reached_by.join(reaches, [*by, "node"]).where("root = other").drop("other")
-        settled = stage(same, "components")
-        starts = settled.select(*by, F.col("node").alias("s"), "root")
-        ends = settled.select(*by, F.col("node").alias("t"), F.col("root").alias("root_t"))
-        marked = remaining.join(starts, [*by, "s"], "left").join(ends, [*by, "t"], "left")
-        marked = stage(marked, "marked")
-        found.append(marked.where("root = root_t").select(*by, "root", "s", "t"))
-        rest = marked.where("root IS NULL AND root_t IS NULL").select(*by, "s", "t")
-        remaining = _trim(stage(rest, "edges"), by)
-    if not found:
-        return remaining.select(*by, F.col("s").alias("root"), "s", "t")
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result
+    small, large = _by_size(edges, by, source, target, small_graph)
+    solved = _solve_small(small, by).select(*by, "root", F.explode("edges").alias("_e")).select(*by, "root", "_e.*")
+    return solved if large is None else solved.unionByName(_solve_large(large, by))
 
 
-def cyclic_nodes(edges: DataFrame, by: Sequence[str], source: str, target: str) -> DataFrame:
+def cyclic_nodes(
+    edges: DataFrame, by: Sequence[str], source: str, target: str, small_graph: int = SMALL_GRAPH
+) -> DataFrame:
     """The nodes that reach themselves."""
-    return cyclic_edges(edges, by, source, target).select(*by, F.col("s").alias("node")).distinct()
+    found = cyclic_edges(edges, by, source, target, small_graph)
+    return found.select(*by, F.col("s").alias("node")).distinct()
 
 
-def cycle_paths(edges: DataFrame, by: Sequence[str], source: str, target: str) -> DataFrame:
+def cycle_paths(
+    edges: DataFrame, by: Sequence[str], source: str, target: str, small_graph: int = SMALL_GRAPH
+) -> DataFrame:
     """One row per group of nodes on common cycles: its smallest node and a shortest cycle through it.
 
     The path starts and ends with that node; among shortest ones the first in order is taken.
     """
     by = list(by)
-    inner = stage(cyclic_edges(edges, by, source, target), "cycles")
-    keys = [*by, "root"]
-    steps = inner.select(*keys, F.col("s").alias("node"), "t")
-    front = stage(inner.select(*keys).distinct().withColumns({"node": F.col("root"), "path": F.array("root")}), "front")
-    seen, closed = front.select(*keys, "node"), None
-    while not front.isEmpty():
-        reached = (
-            front.join(steps, [*keys, "node"])
-            .groupBy(*keys, F.col("t").alias("node"))
-            .agg(F.min(F.concat("path", F.array("t"))).alias("path"))
-        )
-        reached = stage(reached, "reached")
-        back = reached.where("node = root").select(*keys, "path")
-        closed = back if closed is None else closed.unionByName(back)
-        front = stage(
-            reached.join(back, keys, "left_anti").join(seen, [*keys, "node"], "left_anti").select(*front.columns), "front"
-        )
-        seen = seen.unionByName(front.select(*keys, "node"))
-    if closed is None:
-        return front.select(*keys, "path")
-    return closed
+    small, large = _by_size(edges, by, source, target, small_graph)
+    solved = _solve_small(small, by).select(*by, "root", "path")
+    return solved if large is None else solved.unionByName(_walk(_solve_large(large, by), by))
+
+
+def _by_size(
+    edges: DataFrame, by: list[str], source: str, target: str, small_graph: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct edges of small graphs, and those of the others if there are any."""
+    plain = edges.select(*by, F.col(source).alias("s"), F.col(target).alias("t"))
+    plain = stage(plain.dropna(subset=["s", "t"]).distinct(), "edges")
+    if not by:
+        return (plain, None) if plain.count() <= small_graph else (plain.limit(0), plain)
+    big = stage(plain.groupBy(*by).count().where(F.col("count") > small_graph).select(*by), "big")
+    if big.isEmpty():
+        return plain, None
+    return plain.join(big, by, "left_anti"), plain.join(big, by, "left_semi")
+
+
+def _solve_small(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Components of graphs with a bounded number of edges: ``by, root, path, edges``."""
+    kind = edges.schema["s"].dataType.simpleString()
+
+    def batches(graphs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in graphs:
+            yield series.map(lambda graph: list(_components([(e["s"], e["t"]) for e in graph])))
+
+    result = f"array<struct<root:{kind},path:array<{kind}>,edges:array<struct<s:{kind},t:{kind}>>>>"
+    graphs = edges.groupBy(*by).agg(F.collect_list(F.struct("s", "t")).alias("_g"))
+    found = graphs.select(*by, F.pandas_udf(batches, result)("_g").alias("_found"))
+    return found.select(*by, F.explode("_found").alias("_c")).select(*by, "_c.*")
+
+
+def _components(edges: list[tuple]) -> Iterator[dict]:
+    """Groups of nodes that reach each other: smallest node, shortest cycle through it, edges."""
+    ahead, behind = defaultdict(set), defaultdict(set)
+    for s, t in edges:
+        ahead[s].add(t)
+        behind[t].add(s)
+    done = set()
+    for root in sorted(ahead.keys() & behind.keys()):
+        if root not in done:
+            members = _paths(root, ahead).keys() & _paths(root, behind).keys()
+            done |= members
+            inner = [{"s": s, "t": t} for s, t in edges if s in members and t in members]
+            if inner:
+                yield {"root": root, "path": _paths(root, ahead)[root], "edges": inner}
+
+
+def _paths(root, steps: dict) -> dict:
+    """For each node reached in one step or more, the first of the shortest paths to it."""
+    found, front = {}, {root: [root]}
+    while front:
+        reached: dict = {}
+        for node, path in sorted(front.items(), key=lambda item: item[1]):
+            for step in steps.get(node, ()):
+                if step not in found:
+                    reached.setdefault(step, [*path, step])
+        found |= reached
+        front = reached
+    return found
+
+
+def _solve_large(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Components by passing labels along the edges, in both directions at once."""
+    remaining, found = _trim(edges, by), []
+    while not remaining.isEmpty():
+        # The smallest node that reaches a node and that it reaches: then both reach each other.
+        settled = _labels(remaining, by).where("reached_by = reaches").select(*by, "node", F.col("reaches").alias("root"))
+        starts = settled.withColumnRenamed("node", "s")
+        ends = settled.withColumnsRenamed({"node": "t", "root": "root_t"})
+        marked = remaining.join(starts, [*by, "s"], "left").join(ends, [*by, "t"], "left")
+        marked = stage(marked, "marked")
+        found.append(marked.where("root = root_t").select(*by, "root", "s", "t"))
+        remaining = _trim(marked.where("root IS NULL AND root_t IS NULL").select(*by, "s", "t"), by)
+    if not found:
+        return remaining.select(*by, F.col("s").alias("root"), "s", "t")
+    return _all(found)
+
+
+def _all(frames: Iterable[DataFrame]) -> DataFrame:
+    first, *others = frames
+    for other in others:
+        first = first.unionByName(other)
+    return first
 
 
 def _trim(edges: DataFrame, by: list[str]) -> DataFrame:
     """Drop edges that enter a dead end or leave a node nothing enters, until none is left."""
+    edges = stage(edges, "edges")
     count = edges.count()
     while count:
         entered = edges.select(*by, F.col("t").alias("s")).distinct()
         left = edges.select(*by, F.col("s").alias("t")).distinct()
-        kept = stage(edges.join(entered, [*by, "s"], "left_semi").join(left, [*by, "t"], "left_semi"), "trimmed")
-        kept = kept.select(*by, "s", "t")
+        kept = edges.join(entered, [*by, "s"], "left_semi").join(left, [*by, "t"], "left_semi")
+        kept = stage(kept.select(*by, "s", "t"), "trimmed")
         after = kept.count()
         if after == count:
-            return kept
+            break
         edges, count = kept, after
     return edges
 
 
-def _smallest(edges: DataFrame, by: list[str], along: str, to: str) -> DataFrame:
-    """For each node the smallest node that leads to it, itself included, passed on edge by edge."""
-    nodes = edges.select(*by, F.col("s").alias("node")).union(edges.select(*by, F.col("t").alias("node"))).distinct()
-    state = stage(nodes.withColumns({"label": F.col("node"), "moved": F.lit(True)}), "labels")
+def _labels(edges: DataFrame, by: list[str]) -> DataFrame:
+    """For each node the smallest node that leads to it and the smallest it leads to, itself included."""
+    ends = edges.select(*by, F.col("s").alias("node")).union(edges.select(*by, F.col("t").alias("node")))
+    state = ends.distinct().select(
+        *by, "node", F.col("node").alias("reached_by"), F.col("node").alias("reaches"), F.lit(True).alias("moved")
+    )
+    state = stage(state, "labels")
     while state.where("moved").limit(1).count():
-        sent = (
-            edges.join(state.where("moved").select(*by, F.col("node").alias(along), "label"), [*by, along])
-            .groupBy(*by, F.col(to).alias("node"))
-            .agg(F.min("label").alias("offer"))
+        news = state.where("moved").drop("moved")
+        forward = edges.join(news.withColumnRenamed("node", "s"), [*by, "s"]).select(
+            *by, F.col("t").alias("node"), F.col("reached_by").alias("offer"), F.lit(True).alias("forward")
         )
-        better = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
-        state = stage(
-            state.drop("moved")
-            .join(sent, [*by, "node"], "left")
-            .select(*by, "node", F.least("label", "offer").alias("label"), better.alias("moved")),
-            "labels",
+        backward = edges.join(news.withColumnRenamed("node", "t"), [*by, "t"]).select(
+            *by, F.col("s").alias("node"), F.col("reaches").alias("offer"), F.lit(False).alias("forward")
         )
+        offers = forward.union(backward).groupBy(*by, "node").agg(
+            F.min(F.when(F.col("forward"), F.col("offer"))).alias("new_by"),
+            F.min(F.when(~F.col("forward"), F.col("offer"))).alias("new_reaches"),
+        )
+        smaller = (F.col("new_by") < F.col("reached_by")) | (F.col("new_reaches") < F.col("reaches"))
+        updated = state.join(offers, [*by, "node"], "left").select(
+            *by,
+            "node",
+            F.least("reached_by", "new_by").alias("reached_by"),
+            F.least("reaches", "new_reaches").alias("reaches"),
+            F.coalesce(smaller, F.lit(False)).alias("moved"),
+        )
+        state = stage(updated, "labels")
     return state.drop("moved")
+
+
+def _walk(inner: DataFrame, by: list[str]) -> DataFrame:
+    """The shortest cycle through each root, one step of all paths per round."""
+    inner = stage(inner, "inner")
+    keys = [*by, "root"]
+    steps = inner.select(*keys, F.col("s").alias("node"), "t")
+    front = inner.select(*keys).distinct().withColumns({"node": F.col("root"), "path": F.array("root")})
+    front = stage(front, "front")
+    seen, closed = front.select(*keys, "node"), [front.limit(0).select(*keys, "path")]
+    while not front.isEmpty():
+        reached = (
+            front.join(steps, [*keys, "node"])
+            .groupBy(*keys, F.col("t").alias("node"))
+            .agg(F.min(F.concat("path", F.array("t"))).alias("path"))
+        )
+        reached = stage(reached, "reached")
+        back = reached.where("node = root").select(*keys, "path")
+        closed.append(back)
+        front = reached.join(back, keys, "left_anti").join(seen, [*keys, "node"], "left_anti")
+        front = stage(front.select(*keys, "node", "path"), "front")
+        seen = seen.unionByName(front.select(*keys, "node"))
+    return _all(closed)

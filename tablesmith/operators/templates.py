@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from tablesmith.functions.columns import SEVERITIES
 from tablesmith.operators.graph import cycle_paths
 from tablesmith.operators.rules import Rule, at_least, flag_rows
+from tablesmith.session import stage
 from tablesmith.sources.writers import write_json
 
+MANY_LEVELS = 8
+
 # What a template schema address contains, and the API age limit.
 SCHEMA_MARK = "deploymentTemplate"
 OLDEST_API = "2020-01-01"
@@ -24,7 +27,11 @@ SKU_TYPES = ("appServicePlans", "databases", "elasticPools", "registries")
 
 def parse_templates(texts: DataFrame) -> DataFrame:
     """Template, parsed document and, where it is no template, the reason."""
-    parsed = texts.select(F.col("path").alias("template"), F.try_parse_json("text").alias("doc"))
+    # Each nesting level needs one more key of this name; escapes could hide one.
+    levels = F.when(F.contains("text", F.lit("\\u")), F.length("text")).otherwise(F.regexp_count("text", F.lit('"resources"')))
+    parsed = texts.select(
+        F.col("path").alias("template"), F.try_parse_json("text").alias("doc"), levels.alias("most_levels")
+    )
     schema = _text("doc", "$['$schema']")
     reason = (
         F.when(F.col("doc").isNull(), "Invalid JSON")
@@ -40,16 +47,11 @@ def template_errors(parsed: DataFrame) -> DataFrame:
 
 def extract_resources(parsed: DataFrame, include_children: bool = True) -> DataFrame:
     """One row per resource with base and type-specific attributes; children name their parent."""
-    good = parsed.where("error IS NULL")
     top = _items("doc", "$.resources", F.lit(None).cast("string"))
-    rows = good.select("template", top.alias("_l0"))
-    depth = 1
-    if include_children:
-        # Unfold four levels, then eight and so on, until the next level is empty everywhere.
-        depth = 4
-        while not _unfold(rows, depth).where(F.size(f"_l{depth}") > 0).isEmpty():
-            depth *= 2
-        rows = _unfold(rows, depth)
+    # A filter on the reason would parse every document again; an empty list drops it as well.
+    rows = parsed.select("template", "most_levels", F.when(F.col("error").isNull(), top).otherwise(_nothing()).alias("_l0"))
+    depth = _levels(rows) if include_children else 1
+    rows = _unfold(rows, depth - 1)
     every = F.concat(*[F.col(f"_l{i}") for i in range(depth)])
     return rows.select("template", F.explode(every).alias("_i")).select(
         "template", "_i.parent", F.col("_i.item").alias("res")
@@ -60,11 +62,27 @@ def _items(column: str | Column, path: str, parent: Column) -> Column:
     """An array in a document as structs of parent name and item."""
     found = F.try_variant_get(column, path, "array<variant>")
     return F.coalesce(
-        F.transform(found, lambda item: F.struct(parent.alias("parent"), item.alias("item"))),
-        F.array().cast("array<struct<parent:string,item:variant>>"),
+        F.transform(found, lambda item: F.struct(parent.alias("parent"), item.alias("item"))), _nothing()
     )
 
 
+def _nothing() -> Column:
+    return F.array().cast("array<struct<parent:string,item:variant>>")
+
+
+def _levels(rows: DataFrame) -> int:
+    """How many levels to unfold so that no resource is left out.
+
+    The number of keys bounds the depth. Where that bound is loose, levels are unfolded
+    until one is empty in every document.
+    """
+    bound = rows.agg(F.max("most_levels")).first()[0] or 1
+    depth = min(bound, MANY_LEVELS)
+    while depth < bound and not _unfold(rows, depth).where(F.size(f"_l{depth}") > 0).isEmpty():
+        depth = min(2 * depth, bound)
+    return depth
+
+
 def _unfold(rows: DataFrame, depth: int) -> DataFrame:
     """Columns ``_l1`` to ``_l{depth}``: the resources nested that deep."""
     for level in range(1, depth + 1):
@@ -187,7 +205,7 @@ def outputs(parsed: DataFrame) -> DataFrame:
 
 def _entries(parsed: DataFrame, path: str) -> DataFrame:
     entries = F.try_variant_get("doc", path, "map<string,variant>")
-    return parsed.where("error IS NULL").select("template", F.explode(entries).alias("name", "value"))
+    return parsed.select("template", F.explode(F.when(F.col("error").isNull(), entries)).alias("name", "value"))
 
 
 def dependencies(resources: DataFrame) -> DataFrame:
@@ -265,10 +283,9 @@ def template_summary(parsed: DataFrame, resources: DataFrame, edges: DataFrame,
     def entries(path: str) -> Column:
         return F.coalesce(F.size(F.try_variant_get("doc", path, "map<string,variant>")), F.lit(0)).cast("bigint")
 
-    base = parsed.where("error IS NULL").select(
-        "template", entries("$.parameters").alias("parameters"), entries("$.variables").alias("variables"),
-        entries("$.outputs").alias("outputs"),
-    )
+    counts = F.struct(*[entries(f"$.{part}").alias(part) for part in ("parameters", "variables", "outputs")])
+    good = F.when(F.col("error").isNull(), F.array(counts))
+    base = parsed.select("template", F.explode(good).alias("_c")).select("template", "_c.*")
     held = resources.groupBy("template").agg(
         F.count("*").alias("resources"), F.count_distinct("type").alias("types"), F.sum("depends_on_count").alias("dependencies")
     )
@@ -280,9 +297,9 @@ def template_summary(parsed: DataFrame, resources: DataFrame, edges: DataFrame,
 def write_inventory(texts: DataFrame, folder: str, include_children: bool = True, min_severity: str = "LOW") -> None:
     """Write every table of the inventory as a JSON dataset below ``folder``."""
     parsed = parse_templates(texts)
-    resources = extract_resources(parsed, include_children)
+    resources = stage(extract_resources(parsed, include_children), "resources")
     edges = dependencies(resources)
-    flags = risk_flags(resources, edges, min_severity)
+    flags = stage(risk_flags(resources, edges, min_severity), "flags")
     tables = {
         "errors": template_errors(parsed), "resources": resources, "dependencies": edges, "risks": flags,
         "parameters": parameters(parsed), "variables": variables(parsed), "outputs": outputs(parsed),
