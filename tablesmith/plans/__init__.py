@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("frames", "scalars", "profiles", "movement", "corpora")
+AREAS = ("frames", "scalars", "profiles", "movement", "corpora", "workflow")
 
 
 def load_all() -> None:
