@@ -106,7 +106,8 @@ def _parsed(column: Column, function, schema: str) -> Column:
             yield series.map(function, na_action="ignore")
 
     batches.__annotations__ = {"values": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.from_json(F.pandas_udf(batches, "string")(column), schema)
+    # Marked as not repeatable, so that no filter derived from the result runs it again.
+    return F.from_json(F.pandas_udf(batches, "string").asNondeterministic()(column), schema)
 
 
 def without_magics(text: str | Column) -> Column:

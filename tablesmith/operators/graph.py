@@ -79,7 +79,9 @@ def _solve_small(edges: DataFrame, by: list[str]) -> DataFrame:
 
     result = f"array<struct<root:{kind},path:array<{kind}>,edges:array<struct<s:{kind},t:{kind}>>>>"
     graphs = edges.groupBy(*by).agg(F.collect_list(F.struct("s", "t")).alias("_g"))
-    found = graphs.select(*by, F.pandas_udf(batches, result)("_g").alias("_found"))
+    # Marked as not repeatable, so that no filter derived from the result runs it again.
+    solve = F.pandas_udf(batches, result).asNondeterministic()
+    found = graphs.select(*by, solve("_g").alias("_found"))
     return found.select(*by, F.explode("_found").alias("_c")).select(*by, "_c.*")
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import comparable, round_even, row_digest
 from tablesmith.operators.rules import Rule, flag_rows
 from tablesmith.operators.splits import find_splits
-from tablesmith.operators.windows import running_total
 
 COLUMNS_PER_PASS = 3
 
@@ -116,46 +115,54 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per column, ``q0, q1, ...``.
 
-    The built-in exact percentile gathers all distinct values in one buffer. Here
-    equal values are counted first, the counts are summed in order by the splitting
-    running total, and the few rows at the wanted places are picked.
+    The built-in exact percentile gathers all distinct values in one buffer. Here the
+    values fall into blocks between split points; the block sizes tell which blocks
+    hold the wanted places, and only the values of those blocks are sorted.
     """
     values = long_form(df, columns).where(F.col("value").isNotNull())
-    splits = find_splits(values, ["column"], ["value"])
-    counts = values.groupBy("column", "value").agg(F.count("*").alias("n"))
-    placed = running_total(counts, "n", ["value"], ["column"], "upto", splits=splits)
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    totals = totals.withColumnRenamed("column", "_column")
-    # One row per profiled column: the number of columns bounds the broadcast.
-    joined = placed.join(F.broadcast(totals), F.col("column") == F.col("_column"))
-    picks: list[Column] = []
-    for i, share in enumerate(shares):
-        place = (F.col("total") - 1) * share
-        for side, index in (("low", F.floor(place)), ("high", F.ceil(place))):
-            here = (index < F.col("upto")) & (index >= F.col("upto") - F.col("n"))
-            picks.append(F.max(F.when(here, F.col("value"))).alias(f"{side}{i}"))
-    found = joined.groupBy("column").agg(F.max("total").alias("total"), *picks)
+    splits = find_splits(values, ["column"], ["value"], rows=df.count() * len(columns))
+    blocked = values.withColumn("block", splits.block() if splits else F.lit(0))
+    in_order = Window.partitionBy("column").orderBy("block")
+    sizes = blocked.groupBy("column", "block").agg(F.count("*").alias("n")).select(
+        "column",
+        "block",
+        "n",
+        (F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
+        F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
+    )
+    places = [(F.col("total") - 1) * share for share in shares]
+    indexes = [side(place) for place in places for side in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for index in indexes:
+        wanted = wanted | ((index >= F.col("before")) & (index < F.col("before") + F.col("n")))
+    # At most two blocks per column and share: the broadcast is bounded by the arguments.
+    blocks = F.broadcast(sizes.where(wanted).drop("n"))
+    counts = blocked.join(blocks, ["column", "block"]).groupBy("column", "block", "before", "total", "value").agg(
+        F.count("*").alias("n")
+    )
+    inside = Window.partitionBy("column", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    picks = []
+    for i, index in enumerate(indexes):
+        here = (index < F.col("upto")) & (index >= F.col("upto") - F.col("n"))
+        picks.append(F.max(F.when(here, F.col("value"))).alias(f"v{i}"))
+    found = placed.groupBy("column").agg(F.max("total").alias("total"), *picks)
     results = []
-    for i, share in enumerate(shares):
-        place = (F.col("total") - 1) * share
-        low, high = F.col(f"low{i}"), F.col(f"high{i}")
+    for i, place in enumerate(places):
+        low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
         results.append((low + (high - low) * (place - F.floor(place))).alias(f"q{i}"))
     return found.select("column", *results)
 
 
 def describe(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, standard deviation, minimum, quantiles and maximum per column."""
-    basics = (
-        long_form(df, columns)
-        .groupBy("column")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    value = [F.col(_quoted(c)).cast("double") for c in columns]
+    row = df.agg(*[f(v).alias(f"{m}{i}") for m, f in measures.items() for i, v in enumerate(value)])
+    entries = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{m}{i}").alias(m) for m in measures]) for i, c in enumerate(columns)
+    ]
+    basics = row.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
     return basics.join(quantiles(df, columns, shares), "column", "left")
 
 

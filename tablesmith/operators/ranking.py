@@ -25,10 +25,15 @@ class Entry:
     when_to_use: str = ""
 
 
-def _scores(message: Column, catalog: Sequence[Entry]) -> Column:
+def _prepared(messages: DataFrame, text: str) -> DataFrame:
+    """Lower-case text and distinct words, worked out once per message."""
+    low = messages.withColumn("_low", F.lower(text))
+    return low.withColumn("_words", F.array_distinct(F.split("_low", _BLANKS)))
+
+
+def _scores(catalog: Sequence[Entry]) -> Column:
     """All entries with their score, as an array in catalog order."""
-    text = F.lower(message)
-    words = F.array_distinct(F.split(text, _BLANKS))
+    text, words = F.col("_low"), F.col("_words")
     scored = []
     for position, entry in enumerate(catalog):
         score = F.lit(0.0)
@@ -45,7 +50,7 @@ def _scores(message: Column, catalog: Sequence[Entry]) -> Column:
 
 def keyword_scores(messages: DataFrame, text: str, catalog: Sequence[Entry], keep: Sequence[str]) -> DataFrame:
     """The score of every entry for every message."""
-    rows = messages.select(*keep, F.explode(_scores(F.col(text), catalog)).alias("_s"))
+    rows = _prepared(messages, text).select(*keep, F.explode(_scores(catalog)).alias("_s"))
     return rows.select(*keep, "_s.entry", "_s.score")
 
 
@@ -53,7 +58,7 @@ def keyword_topk(
     messages: DataFrame, text: str, catalog: Sequence[Entry], keep: Sequence[str], k: int = 3, minimum: float = 1.0
 ) -> DataFrame:
     """The best entries per message with at least the minimum score; ties keep catalog order."""
-    enough = F.filter(_scores(F.col(text), catalog), lambda s: s["score"] >= minimum)
+    enough = F.filter(_scores(catalog), lambda s: s["score"] >= minimum)
     best = F.slice(F.array_sort(enough), 1, k)
-    rows = messages.select(*keep, F.posexplode(best).alias("_p", "_s"))
+    rows = _prepared(messages, text).select(*keep, F.posexplode(best).alias("_p", "_s"))
     return rows.select(*keep, (F.col("_p") + 1).alias("place"), "_s.entry", "_s.score")

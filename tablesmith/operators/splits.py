@@ -36,8 +36,11 @@ class Splits:
         return bool(self.points)
 
     def block(self) -> Column:
-        """Twice the number of points below the row, plus one on a point itself."""
-        return F.expr(self._tree(0, len(self.points)))
+        """Twice the number of points below the row, plus one on a point; 0 outside the split groups."""
+        ranges: dict[tuple, list[int]] = {}
+        for i, point in enumerate(self.points):
+            ranges.setdefault(point[: len(self.by)], [i, i])[1] = i + 1
+        return F.expr(self._of_group(list(ranges.items())))
 
     def in_split_group(self) -> Column:
         """True for rows of the groups that were split."""
@@ -51,17 +54,33 @@ class Splits:
             if len(known) < len(groups):
                 test += f" OR {name} IS NULL"
             return F.expr(test)
-        return F.expr(" OR ".join(f"({self._equal(g)})" for g in groups))
+        return F.expr(" OR ".join(f"({self._equal(g, 0)})" for g in groups))
+
+    def _of_group(self, groups: list[tuple[tuple, list[int]]]) -> str:
+        """Find the group of the row by halving, then its place among the points of the group."""
+        if not groups:
+            return "0"
+        middle = len(groups) // 2
+        group, (low, high) = groups[middle]
+        inside = self._among(low, high)
+        if not self.by:
+            return inside
+        return (
+            f"CASE WHEN {self._equal(group, 0)} THEN {inside}"
+            f" WHEN {self._below(group, 0)} THEN {self._of_group(groups[:middle])}"
+            f" ELSE {self._of_group(groups[middle + 1 :])} END"
+        )
 
-    def _tree(self, low: int, high: int) -> str:
+    def _among(self, low: int, high: int) -> str:
         if low == high:
             return str(2 * low)
         middle = (low + high) // 2
-        point = self.points[middle]
+        skip = len(self.by)
+        point = self.points[middle][skip:]
         return (
-            f"CASE WHEN {self._equal(point)} THEN {2 * middle + 1}"
-            f" WHEN {self._below(point)} THEN {self._tree(low, middle)}"
-            f" ELSE {self._tree(middle + 1, high)} END"
+            f"CASE WHEN {self._equal(point, skip)} THEN {2 * middle + 1}"
+            f" WHEN {self._below(point, skip)} THEN {self._among(low, middle)}"
+            f" ELSE {self._among(middle + 1, high)} END"
         )
 
     def _columns(self) -> tuple[str, ...]:
@@ -73,19 +92,21 @@ class Splits:
         text = value.replace("\\", "\\\\").replace("'", "\\'")
         return f"CAST('{text}' AS {self.types[position]})"
 
-    def _equal(self, point: Sequence[str | None]) -> str:
+    def _equal(self, values: Sequence[str | None], skip: int) -> str:
+        """The row has these values in the columns from number ``skip`` on."""
+        if not values:
+            return "true"
         return " AND ".join(
-            f"{_quoted(c)} <=> {self._literal(i, v)}"
-            for i, (c, v) in enumerate(zip(self._columns(), point))
+            f"{_quoted(self._columns()[i])} <=> {self._literal(i, v)}" for i, v in enumerate(values, skip)
         )
 
-    def _below(self, point: Sequence[str | None]) -> str:
-        """Row sorts before the point, column by column, nulls first."""
+    def _below(self, values: Sequence[str | None], skip: int) -> str:
+        """The row sorts before these values, column by column, nulls first."""
         test = "false"
-        for i in reversed(range(len(point))):
-            name, value = _quoted(self._columns()[i]), self._literal(i, point[i])
-            less = "false" if point[i] is None else f"coalesce({name} < {value}, true)"
-            test = f"({less} OR ({name} <=> {value} AND {test}))"
+        for i, value in reversed(list(enumerate(values, skip))):
+            name, literal = _quoted(self._columns()[i]), self._literal(i, value)
+            less = "false" if value is None else f"coalesce({name} < {literal}, true)"
+            test = less if test == "false" else f"({less} OR ({name} <=> {literal} AND {test}))"
         return test
 
 
@@ -99,19 +120,20 @@ def find_splits(
     order: Sequence[str] = (),
     rows_per_block: int = ROWS_PER_BLOCK,
     max_blocks: int = MAX_BLOCKS,
+    rows: int | None = None,
 ) -> Splits:
     """Split points for groups of ``by`` that hold more than about one block of rows.
 
-    Costs a count and one thin sample of the key columns, whose size depends on
-    ``max_blocks`` and not on the data. Small tables get no points, and callers
-    then use a plain window.
+    Costs a count, unless ``rows`` gives it, and one thin sample of the key columns,
+    whose size depends on ``max_blocks`` and not on the data. Small tables get no
+    points, and callers then use a plain window.
     """
     by, order = tuple(by), tuple(order)
     schema = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     types = tuple(schema[c] for c in by + order)
     none = Splits(by, order, types, ())
     keys = df.select(*by, *order)
-    rows = keys.count()
+    rows = keys.count() if rows is None else rows
     blocks = min(max_blocks, rows // rows_per_block)
     if blocks < 2:
         return none

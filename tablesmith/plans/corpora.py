@@ -17,6 +17,7 @@ from tablesmith.operators import templates as A
 from tablesmith.operators.ranking import Entry
 from tablesmith.operators.rules import Rule
 from tablesmith.plans.registry import query, table
+from tablesmith.session import spread, stage
 
 # Templates, one per order
 
@@ -92,7 +93,7 @@ def _templates(spark, sf_dir) -> DataFrame:
         F.struct(total.alias("status")).alias("outputs"), resources.alias("resources"),
     )
     text = F.to_json(document)
-    rows = table(spark, sf_dir, "orders").select(
+    rows = spread(table(spark, sf_dir, "orders")).select(
         "o_orderkey", F.concat(F.lit("orders/"), key, F.lit(".json")).alias("path"), text.alias("text")
     )
     cut = F.when(key % 50 == 0, F.substring("text", 1, 40)).otherwise(F.col("text"))
@@ -198,6 +199,11 @@ def _resources(spark, sf_dir) -> DataFrame:
     return A.extract_resources(A.parse_templates(_templates(spark, sf_dir)))
 
 
+def _staged_resources(spark, sf_dir) -> DataFrame:
+    """For results that use the resources more than once: parsed once, kept as a flat table."""
+    return stage(_resources(spark, sf_dir), "resources")
+
+
 @query(f"SELECT * FROM {_RESOURCES}")
 def template_resources(spark, sf_dir):
     return _resources(spark, sf_dir).select(*_RESOURCE_COLUMNS)
@@ -216,7 +222,7 @@ def template_dependencies(spark, sf_dir):
 
 @query(f"SELECT * FROM {_FLAGS}")
 def template_flags(spark, sf_dir):
-    resources = _resources(spark, sf_dir)
+    resources = _staged_resources(spark, sf_dir)
     return A.risk_flags(resources, A.dependencies(resources))
 
 
@@ -260,7 +266,7 @@ def template_values(spark, sf_dir):
 )
 def template_summary(spark, sf_dir):
     parsed = A.parse_templates(_templates(spark, sf_dir))
-    resources = A.extract_resources(parsed)
+    resources = _staged_resources(spark, sf_dir)
     edges = A.dependencies(resources)
     return A.template_summary(parsed, resources, edges, A.risk_flags(resources, edges))
 
@@ -302,7 +308,7 @@ def _scripts(spark, sf_dir) -> DataFrame:
         F.when(size % 5 == 0, "c = SQLContext(s)"),
         F.when(size % 10 == 0, "def broken(:"),
     )
-    return table(spark, sf_dir, "part").select(F.format_string("jobs/%d.py", "p_partkey").alias("path"), text.alias("text"))
+    return spread(table(spark, sf_dir, "part")).select(F.format_string("jobs/%d.py", "p_partkey").alias("path"), text.alias("text"))
 
 
 _SCRIPT = "'jobs/' || CAST(p_partkey AS VARCHAR) || '.py'"
@@ -383,7 +389,7 @@ def old_interfaces(spark, sf_dir):
 def snippet_safety(spark, sf_dir):
     forms = ["pd.read_csv('%d.csv')", "pd.read_csv(open('%d'))", "os.system('%d')", "pd.to_csv('%d')", "x = %d", "%d + 1"]
     text = F.element_at(F.array(*[F.format_string(f, "p_partkey") for f in forms]), F.col("p_size") % 6 + 1)
-    snippets = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    snippets = spread(table(spark, sf_dir, "part")).select("p_partkey", text.alias("text"))
     return K.snippet_safety(snippets).drop("text")
 
 
@@ -430,7 +436,7 @@ _CHANGED = f"""(
 @query(f"SELECT * FROM {_CHANGED}")
 def line_diff(spark, sf_dir):
     changes = K.line_changes(F.col("text"), C.replace_words("text", _WORDS))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(changes).alias("_c"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(changes).alias("_c"))
     return rows.select("doc_id", "_c.line_number", "_c.original", "_c.converted")
 
 
@@ -443,7 +449,7 @@ def line_diff(spark, sf_dir):
 )
 def line_diff_confidence(spark, sf_dir):
     changes = F.size(K.line_changes(F.col("text"), C.replace_words("text", _WORDS)))
-    counted = table(spark, sf_dir, "documents").select("doc_id", changes.alias("changes"))
+    counted = spread(table(spark, sf_dir, "documents")).select("doc_id", changes.alias("changes"))
     return counted.withColumn("confidence", K.confidence(F.col("changes")))
 
 
@@ -475,7 +481,7 @@ def _scores_sql() -> str:
 
 
 def _messages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'user'")
+    return spread(table(spark, sf_dir, "conversations").where("role = 'user'"))
 
 
 @query(f"SELECT conv_id, turn, entry, score FROM {_scores_sql()}")

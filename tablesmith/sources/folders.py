@@ -30,10 +30,9 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """One row per file: relative path and whole text."""
     texts = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", pattern)
+        spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", str(recursive).lower())
-        .text(folder)
+        .text(folder, wholetext=True)
     )
     address = F.col("_metadata.file_path")
     return texts.select(_below(F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))), folder).alias("path"), F.col("value").alias("text"))
