@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from tablesmith.operators.splits import SALTS, hot_keys, salt
+from tablesmith.operators.splits import SALTS, Splits, hot_keys, salt
 
 
 def group_by(df: DataFrame, *keys: str, dropna: bool = True) -> GroupedData:
@@ -25,57 +25,70 @@ def merge(
     right_on: str | None = None,
     suffixes: tuple[str, str] = ("_x", "_y"),
     null_equal: bool = False,
-    spread_hot: bool = False,
+    spread_hot: str | None = None,
 ) -> DataFrame:
     """Join on equal names, or on ``left_on``/``right_on`` keeping both columns.
 
     Clashing other names get the suffixes. ``null_equal`` lets null keys match.
-    ``spread_hot`` samples the left keys and salts those that fill many tasks; the
-    right side repeats only its rows with such a key. For ``left`` and ``inner``.
+    ``spread_hot`` names the side, ``left`` or ``right``, whose keys may repeat without
+    bound, for inner and left joins: its keys are sampled, rows of keys that fill many
+    tasks get a salt, and the other side repeats only its rows with such a key.
     """
     keys = [on] if isinstance(on, str) else list(on or [])
-    if not keys:
-        if left_on is None or right_on is None:
-            raise ValueError("name the key columns")
+    if not keys and (left_on is None or right_on is None):
+        raise ValueError("name the key columns")
+    if spread_hot and how not in ("inner", "left"):
+        raise ValueError("hot keys are spread for inner and left joins")
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in shared})
     left_keys = keys or [left_on + suffixes[0] if left_on in shared else left_on]
     right_keys = keys or [right_on + suffixes[1] if right_on in shared else right_on]
-    if spread_hot and how in ("inner", "left"):
-        left, right, salted = _spread(left, right, left_keys, right_keys)
-    else:
-        salted = []
-    if keys and not null_equal:
-        return left.join(right, keys + salted, how).drop(*salted)
-    renamed = {k: f"_r_{k}" for k in keys + salted}
-    right = right.withColumnsRenamed(renamed)
-    condition: list[Column] = []
-    for mine, other in zip(left_keys + salted, right_keys + salted):
-        other_column = F.col(renamed.get(other, other))
-        condition.append(F.col(mine).eqNullSafe(other_column) if null_equal else F.col(mine) == other_column)
-    joined = left.join(right, condition, how)
-    if how in ("outer", "full", "right"):
-        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(renamed[k])) for k in keys})
-    return joined.drop(*salted, *renamed.values())
-
-
-def _spread(
-    left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Salt the hot keys of the left side and repeat their rows on the right."""
-    hot = hot_keys(left, left_keys)
+    # The right side under names of its own; null keys that cannot match are not sent.
+    mine = dict(zip(right_keys, [f"_r{i}" for i in range(len(right_keys))]))
+    there = right.withColumns({n: F.col(k) for k, n in mine.items()}).drop(*keys)
+    if how in ("inner", "left") and not null_equal:
+        there = there.dropna(subset=list(mine.values()))
+    pairs = list(zip(left_keys, mine.values()))
+    hot = None
+    if spread_hot:
+        hot = hot_keys(left, left_keys) if spread_hot == "left" else hot_keys(there, list(mine.values()))
     if not hot:
-        return left, right, []
-    there = right.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(right_keys)])
-    mirrored = type(hot)(tuple(there.columns), (), hot.types, hot.points)
+        joined = left.join(there, _equal(pairs, null_equal), how)
+        if keys and how in ("outer", "full", "right"):
+            joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(mine[k])) for k in keys})
+    elif spread_hot == "left":
+        joined = _salted_join(left, there, pairs, hot, null_equal, how)
+    else:
+        swapped = [(n, k) for k, n in pairs]
+        joined = _salted_join(there, left, swapped, hot, null_equal, "inner")
+        if how == "left":
+            known = there.select(*mine.values()).distinct()
+            alone = left.join(known, _equal(pairs, null_equal), "left_anti")
+            joined = joined.unionByName(alone, allowMissingColumns=True)
+    new = [c for c in right.columns if c not in keys]
+    return joined.select(*[F.col(_quoted(c)) for c in [*keys, *[c for c in left.columns if c not in keys], *new]])
+
+
+def _equal(pairs: Sequence[tuple[str, str]], null_equal: bool) -> list[Column]:
+    return [F.col(a).eqNullSafe(F.col(b)) if null_equal else F.col(a) == F.col(b) for a, b in pairs]
+
+
+def _salted_join(
+    many: DataFrame, few: DataFrame, pairs: Sequence[tuple[str, str]], hot: Splits, null_equal: bool, how: str
+) -> DataFrame:
+    """Join a side with hot keys to one without: salt the first, repeat hot rows of the second."""
+    same_keys = Splits(tuple(b for _, b in pairs), (), hot.types, hot.points)
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    right = right.withColumns({f"_h{i}": F.col(k) for i, k in enumerate(right_keys)})
-    right = right.withColumn(
-        "_salt", F.explode(F.when(mirrored.in_split_group(), every).otherwise(F.array(F.lit(0))))
-    ).drop(*there.columns)
-    spread = F.when(hot.in_split_group(), salt(left).cast("int")).otherwise(F.lit(0))
-    return left.withColumn("_salt", spread), right, ["_salt"]
+    salted = many.withColumn("_salt", F.when(hot.in_split_group(), salt(many).cast("int")).otherwise(F.lit(0)))
+    repeated = few.withColumn(
+        "_copy", F.explode(F.when(same_keys.in_split_group(), every).otherwise(F.array(F.lit(0))))
+    )
+    return salted.join(repeated, [*_equal(pairs, null_equal), F.col("_salt") == F.col("_copy")], how)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def concat(tables: Sequence[DataFrame]) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ROWS_PER_BLOCK = 100_000
 MAX_BLOCKS = 1024
 SAMPLES_PER_BLOCK = 32
-SALTS = 64
+SALTS = 512
 
 
 @dataclass(frozen=True)
@@ -171,10 +171,6 @@ def salt(df: DataFrame, salts: int = SALTS) -> Column:
 def hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_key: int = 1_000_000, max_keys: int = MAX_BLOCKS
 ) -> Splits:
-    """The key values that hold more than about ``rows_per_key`` rows, as points.
-
-    Nulls are left out: they never match in a join.
-    """
-    present = df.select(*keys).dropna()
-    splits = find_splits(present, keys, (), rows_per_key, max_keys)
+    """The key values, null among them, that hold more than about ``rows_per_key`` rows, as points."""
+    splits = find_splits(df, keys, (), rows_per_key, max_keys)
     return Splits(splits.by, (), splits.types, tuple(dict.fromkeys(splits.points)))

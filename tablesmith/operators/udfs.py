@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesmith.operators.relational import merge
+
 
 def apply_values(
     df: DataFrame, column: str, function: Callable, dtype: str, name: str, **parameters
@@ -46,9 +48,7 @@ def transform_groups(
     back, so a group of any size stays spread over its tasks.
     """
     stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in statistics.items()])
-    renamed = stats.withColumnsRenamed({k: f"_k_{k}" for k in by})
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]
-    joined = df.join(renamed, same, "left")
+    joined = merge(df, stats, list(by), how="left", null_equal=True, spread_hot="left")
     return apply_rows(joined, [*columns, *statistics], function, dtype, name).select(*df.columns, name)
 
 

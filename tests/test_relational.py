@@ -22,18 +22,28 @@ def test_merge_forms(spark):
         relational.merge(left, right)
 
 
+@pytest.mark.parametrize("null_equal", [False, True])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_hot_keys_are_salted_and_nothing_is_lost(spark, monkeypatch, how):
+def test_hot_keys_are_salted_and_nothing_is_lost(spark, monkeypatch, how, null_equal):
     monkeypatch.setattr(relational, "hot_keys", functools.partial(splits.hot_keys, rows_per_key=200))
-    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 != 0, F.col("id"))
+    left = spark.range(3000).select("id", key.alias("k"))
     right = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w")).union(
-        spark.createDataFrame([(7, 70)], "k long, w long")
+        spark.createDataFrame([(7, 70), (None, -5)], "k long, w long")
     )
-    assert splits.hot_keys(left, ["k"], 200).points == (("7",),)
-    salted = relational.merge(left, right, "k", how=how, spread_hot=True)
-    assert salted.columns == ["k", "id", "w"]
-    plain = relational.merge(left, right, "k", how=how)
-    assert sorted(map(tuple, salted.fillna(-1).collect())) == sorted(map(tuple, plain.fillna(-1).collect()))
+    assert set(splits.hot_keys(left, ["k"], 200).points) == {("7",), (None,)}
+
+    def rows(df):
+        return sorted(map(tuple, df.fillna(-1).collect()))
+
+    plain = relational.merge(left, right, "k", how=how, null_equal=null_equal)
+    salted = relational.merge(left, right, "k", how=how, null_equal=null_equal, spread_hot="left")
+    assert salted.columns == plain.columns == ["k", "id", "w"]
+    assert rows(salted) == rows(plain)
+    back = relational.merge(right, left, "k", how=how, null_equal=null_equal)
+    assert rows(relational.merge(right, left, "k", how=how, null_equal=null_equal, spread_hot="right")) == rows(back)
+    with pytest.raises(ValueError, match="inner and left"):
+        relational.merge(left, right, "k", how="outer", spread_hot="left")
 
 
 def test_group_by_drops_null_keys(spark):
