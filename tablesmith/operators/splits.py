@@ -11,14 +11,14 @@ number bounded by the number of split points.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 100_000
-MAX_BLOCKS = 1024
+MAX_BLOCKS = 4096
 SAMPLES_PER_BLOCK = 32
 SALTS = 512
 
@@ -36,78 +36,45 @@ class Splits:
         return bool(self.points)
 
     def block(self) -> Column:
-        """Twice the number of points below the row, plus one on a point; 0 outside the split groups."""
-        ranges: dict[tuple, list[int]] = {}
-        for i, point in enumerate(self.points):
-            ranges.setdefault(point[: len(self.by)], [i, i])[1] = i + 1
-        return F.expr(self._of_group(list(ranges.items())))
+        """Twice the number of points below the row, plus one on a point.
+
+        Groups without points lie between two points as a whole, so in one block.
+        """
+        return self._search(self.points, "2 * {at} - int({on_point})")
 
     def in_split_group(self) -> Column:
         """True for rows of the groups that were split."""
         if not self.by:
             return F.lit(True)
-        groups = list(dict.fromkeys(p[: len(self.by)] for p in self.points))
-        if len(self.by) == 1:
-            known = [self._literal(0, g[0]) for g in groups if g[0] is not None]
-            name = _quoted(self.by[0])
-            test = f"coalesce({name} IN ({', '.join(known)}), false)" if known else "false"
-            if len(known) < len(groups):
-                test += f" OR {name} IS NULL"
-            return F.expr(test)
-        return F.expr(" OR ".join(f"({self._equal(g, 0)})" for g in groups))
-
-    def _of_group(self, groups: list[tuple[tuple, list[int]]]) -> str:
-        """Find the group of the row by halving, then its place among the points of the group."""
-        if not groups:
-            return "0"
-        middle = len(groups) // 2
-        group, (low, high) = groups[middle]
-        inside = self._among(low, high)
-        if not self.by:
-            return inside
-        return (
-            f"CASE WHEN {self._equal(group, 0)} THEN {inside}"
-            f" WHEN {self._below(group, 0)} THEN {self._of_group(groups[:middle])}"
-            f" ELSE {self._of_group(groups[middle + 1 :])} END"
+        groups = tuple(dict.fromkeys(point[: len(self.by)] for point in self.points))
+        return self._search(groups, "{on_point}")
+
+    def _search(self, values: Sequence[tuple[str | None, ...]], result: str) -> Column:
+        """Halve the sorted values until it is known how many are up to the row; nulls sort first."""
+        names, width = self.by + self.order, len(values[0])
+        row = _struct(_quoted(c) for c in names[:width])
+        known = "array(" + ", ".join(_struct(map(_literal, value, self.types)) for value in values) + ")"
+        steps = ", ".join(str(2**i) for i in reversed(range(len(values).bit_length())))
+        count = len(values)
+        at, step = "__blocks_at", "__blocks_step"  # a lambda name would hide a column of that name
+        on_point = f"({at} > 0 AND element_at({known}, greatest({at}, 1)) <=> {row})"
+        return F.expr(
+            f"aggregate(array({steps}), 0, ({at}, {step}) -> CASE WHEN {at} + {step} > {count} THEN {at}"
+            f" WHEN element_at({known}, {at} + {step}) <= {row} THEN {at} + {step} ELSE {at} END, {at} -> "
+            + result.format(at=at, on_point=on_point)
+            + ")"
         )
 
-    def _among(self, low: int, high: int) -> str:
-        if low == high:
-            return str(2 * low)
-        middle = (low + high) // 2
-        skip = len(self.by)
-        point = self.points[middle][skip:]
-        return (
-            f"CASE WHEN {self._equal(point, skip)} THEN {2 * middle + 1}"
-            f" WHEN {self._below(point, skip)} THEN {self._among(low, middle)}"
-            f" ELSE {self._among(middle + 1, high)} END"
-        )
 
-    def _columns(self) -> tuple[str, ...]:
-        return self.by + self.order
-
-    def _literal(self, position: int, value: str | None) -> str:
-        if value is None:
-            return f"CAST(NULL AS {self.types[position]})"
-        text = value.replace("\\", "\\\\").replace("'", "\\'")
-        return f"CAST('{text}' AS {self.types[position]})"
-
-    def _equal(self, values: Sequence[str | None], skip: int) -> str:
-        """The row has these values in the columns from number ``skip`` on."""
-        if not values:
-            return "true"
-        return " AND ".join(
-            f"{_quoted(self._columns()[i])} <=> {self._literal(i, v)}" for i, v in enumerate(values, skip)
-        )
+def _struct(values: Iterable[str]) -> str:
+    return "named_struct(" + ", ".join(f"'c{i}', {value}" for i, value in enumerate(values)) + ")"
+
 
-    def _below(self, values: Sequence[str | None], skip: int) -> str:
-        """The row sorts before these values, column by column, nulls first."""
-        test = "false"
-        for i, value in reversed(list(enumerate(values, skip))):
-            name, literal = _quoted(self._columns()[i]), self._literal(i, value)
-            less = "false" if value is None else f"coalesce({name} < {literal}, true)"
-            test = less if test == "false" else f"({less} OR ({name} <=> {literal} AND {test}))"
-        return test
+def _literal(value: str | None, kind: str) -> str:
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    text = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST('{text}' AS {kind})"
 
 
 def _quoted(name: str) -> str:
