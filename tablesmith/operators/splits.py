@@ -21,6 +21,7 @@ ROWS_PER_BLOCK = 100_000
 MAX_BLOCKS = 4096
 SAMPLES_PER_BLOCK = 32
 SALTS = 512
+FEW_POINTS = 40
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,28 @@ class Splits:
 
         Groups without points lie between two points as a whole, so in one block.
         """
-        return self._search(self.points, "2 * {at} - int({on_point})")
+        if len(self.points) <= FEW_POINTS:
+            place = F.expr(self._compare(0, len(self.points)))
+        else:
+            place = self._search(self.points, "2 * {at} - int({on_point})")
+        return F.coalesce(place, F.lit(0))  # never null, so no join adds a null test that works it out again
+
+    def _compare(self, low: int, high: int) -> str:
+        """Nested comparisons: compiled code, and quick as long as there are few."""
+        if low == high:
+            return str(2 * low)
+        middle = (low + high) // 2
+        equal, below = "true", "false"
+        terms = list(zip(map(_quoted, self.by + self.order), self.points[middle], self.types))
+        for name, value, kind in reversed(terms):
+            same = f"{name} <=> {_literal(value, kind)}"
+            less = "false" if value is None else f"coalesce({name} < {_literal(value, kind)}, true)"
+            below = less if below == "false" else f"({less} OR ({same} AND {below}))"
+            equal = same if equal == "true" else f"{same} AND {equal}"
+        return (
+            f"CASE WHEN {equal} THEN {2 * middle + 1} WHEN {below} THEN {self._compare(low, middle)}"
+            f" ELSE {self._compare(middle + 1, high)} END"
+        )
 
     def in_split_group(self) -> Column:
         """True for rows of the groups that were split."""

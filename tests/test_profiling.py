@@ -22,6 +22,8 @@ def test_profile_counts_nulls_and_map_columns(spark):
     profile = {r["column"]: r for r in profiling.profile_columns(df).collect()}
     assert profile["b c"]["null_count"] == 1 and profile["b c"]["null_percent"] == 33.33
     assert profile["m"]["unique"] == 1
+    digests = {r["column"]: r["unique"] for r in profiling.profile_columns(df.drop("m"), by_digest=["b c"]).collect()}
+    assert digests == {"a": 2, "b c": 1}
     assert profiling.duplicate_rows(df).first()["duplicate_rows"] == 0
 
 

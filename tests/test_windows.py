@@ -88,3 +88,12 @@ def test_z_score(frame, rows):
 def test_rank_equals_pandas(spark, values):
     df = spark.createDataFrame(list(enumerate(values)), "id int, v int")
     check(windows.average_rank(df, "v"), "rank", pd.Series(values, dtype="Float64").rank())
+
+
+def test_both_ways_to_find_a_block_agree(frame, monkeypatch):
+    found = splits.find_splits(frame, ["g"], ["v", "id"], rows_per_block=50)
+    assert len(found.points) > 20
+    compared = frame.withColumn("a", found.block())
+    monkeypatch.setattr(splits, "FEW_POINTS", 0)
+    both = compared.withColumn("b", found.block())
+    assert both.where("a <> b").count() == 0 and both.select("a").distinct().count() > len(found.points)
