@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tablesmith.functions.columns import comparable
 from tablesmith.operators.profiling import check_columns
 
-ISSUE = "type string, column string, source string, target string, severity string"
-
 
 def row_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows on both sides and whether they agree, from one job."""

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import SEVERITIES, severity_rank
 
-FINDING = "flag string, severity string, detail string"
-
 
 @dataclass(frozen=True)
 class Rule:

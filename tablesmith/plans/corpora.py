@@ -21,10 +21,8 @@ from tablesmith.session import spread, stage
 
 # Templates, one per order
 
-_PROPERTIES = (
-    "struct<allowBlobPublicAccess:boolean,enableSoftDelete:string,"
-    "storageProfile:struct<osDisk:struct<managedDisk:struct<storageAccountType:string>>>>"
-)
+_STORAGE = "struct<osDisk:struct<managedDisk:struct<storageAccountType:string>>>"
+_PROPERTIES = f"struct<allowBlobPublicAccess:boolean,enableSoftDelete:string,storageProfile:{_STORAGE}>"
 _FIELDS = {
     "name": "string", "type": "string", "apiVersion": "string", "location": "string", "tags": "struct<owner:string>",
     "sku": "struct<name:string>", "dependsOn": "array<string>", "properties": _PROPERTIES,
@@ -38,15 +36,18 @@ def _resource(prefix: str, kind: str, **fields: Column) -> Column:
     return F.struct(*columns, given.get("resources", F.lit(None)).cast(_CHILD).alias("resources"))
 
 
+def _named(prefix: str) -> Column:
+    return F.concat(F.lit(prefix), F.col("o_custkey"))
+
+
+def _properties(**given: Column) -> Column:
+    kinds = {"allowBlobPublicAccess": "boolean", "enableSoftDelete": "string", "storageProfile": _STORAGE}
+    return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+
+
 def _templates(spark, sf_dir) -> DataFrame:
     key, owner = F.col("o_orderkey"), F.struct(F.col("o_custkey").cast("string").alias("owner"))
-    named = lambda prefix: F.concat(F.lit(prefix), F.col("o_custkey"))
     west, nothing = F.lit("west"), F.lit(None)
-    properties = lambda **p: F.struct(
-        p.get("blob", nothing).cast("boolean").alias("allowBlobPublicAccess"),
-        p.get("soft", nothing).cast("string").alias("enableSoftDelete"),
-        p.get("disk", nothing).cast("struct<osDisk:struct<managedDisk:struct<storageAccountType:string>>>").alias("storageProfile"),
-    )
     disk = F.struct(F.struct(F.struct(F.lit("Premium").alias("storageAccountType")).alias("managedDisk")).alias("osDisk"))
     resources = F.array(
         _resource(
@@ -54,30 +55,30 @@ def _templates(spark, sf_dir) -> DataFrame:
             apiVersion=F.concat((key % 40 + 1995).cast("string"), F.lit("-06-01")),
             location=F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")),
             tags=F.when(key % 2 == 0, owner), sku=F.struct(F.lit("Standard_LRS").alias("name")),
-            properties=properties(blob=F.when(key % 3 != 2, key % 3 == 0)),
+            properties=_properties(allowBlobPublicAccess=F.when(key % 3 != 2, key % 3 == 0)),
         ),
         _resource(
             "vm", "Microsoft.Compute/virtualMachines", apiVersion=F.lit("2021-07-01"), location=west,
             dependsOn=F.array(
-                F.concat(F.lit("[resourceId('Microsoft.Storage/storageAccounts', '"), named("st"), F.lit("')]")),
-                F.concat(F.lit(" "), named("nic")),
+                F.concat(F.lit("[resourceId('Microsoft.Storage/storageAccounts', '"), _named("st"), F.lit("')]")),
+                F.concat(F.lit(" "), _named("nic")),
             ),
-            properties=properties(disk=F.when(key % 5 != 0, disk)),
+            properties=_properties(storageProfile=F.when(key % 5 != 0, disk)),
         ),
         _resource(
             "nic", "Microsoft.Network/networkInterfaces", apiVersion=F.lit("2021-02-01"), location=west, tags=owner,
-            dependsOn=F.array_compact(F.array(F.when(key % 7 == 0, named("vm")), F.when(key % 15 == 0, named("db")))),
+            dependsOn=F.array_compact(F.array(F.when(key % 7 == 0, _named("vm")), F.when(key % 15 == 0, _named("db")))),
         ),
         _resource(
             "kv", "Microsoft.KeyVault/vaults", location=west, tags=owner,
-            properties=properties(soft=(F.col("o_orderstatus") == "F").cast("string")),
+            properties=_properties(enableSoftDelete=(F.col("o_orderstatus") == "F").cast("string")),
             resources=F.array(
-                F.struct(named("secret"), F.lit("Microsoft.KeyVault/vaults/secrets"), F.lit("2021-10-01"))
+                F.struct(_named("secret"), F.lit("Microsoft.KeyVault/vaults/secrets"), F.lit("2021-10-01"))
             ),
         ),
         _resource(
             "db", "Microsoft.Sql/servers/databases", apiVersion=F.lit("2021-11-01"), location=west, tags=owner,
-            sku=F.when(key % 4 != 0, F.struct(F.lit("S0").alias("name"))), dependsOn=F.array(named("vm")),
+            sku=F.when(key % 4 != 0, F.struct(F.lit("S0").alias("name"))), dependsOn=F.array(_named("vm")),
         ),
     )
     address = F.lit("https://schema.example.org/2019-04-01/deploymentTemplate.json#")
