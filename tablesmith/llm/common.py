@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.session import stage
@@ -93,6 +93,19 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def repeated(df: DataFrame, times: str, block: int = 10_000) -> DataFrame:
+    """Each row as often as column ``times`` says, without that column; no array is longer than a block or the number of blocks."""
+    blocks = F.sequence(F.lit(0), F.ceil((F.col(times) - 1) / block).cast("int"))
+    dealt = df.where(F.col(times) > 0).withColumn("_block", F.explode(blocks))
+    left = F.least(F.lit(block), F.col(times) - F.col("_block") * block).cast("int")
+    return dealt.withColumn("_left", left).where("_left > 0").withColumn("_left", F.explode(F.sequence(F.lit(1), F.col("_left")))).drop("_block", "_left", times)
+
+
 def uniform(*columns: Column | str, seed: int = 0) -> Column:
     """A number between 0 and 1, both excluded, that depends on the columns only, so reruns agree."""
     digest = F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in columns], F.lit(seed))
@@ -109,14 +122,9 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> Dat
     ranged = df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order)
     written = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftrightunsigned(F.col("_at"), 33)
-    sizes = written.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")).orderBy("_part").collect()
-    before, total = {}, 0
-    for part_id, rows in sizes:  # one pair per range
-        before[part_id] = total
-        total += rows
-    if not before:
-        return written.select(*df.columns, F.lit(0).cast("bigint").alias(name))
-    starts = df.sparkSession.createDataFrame(list(before.items()), "_part bigint, _before bigint")
+    sizes = written.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
     return (
         written.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*df.columns, place.alias(name))

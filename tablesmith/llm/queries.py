@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesmith.llm import simhash
+from tablesmith.llm import secrets, simhash, sketches
 from tablesmith.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -14,3 +14,15 @@ __all__ = ["QUERIES", "SQL"]
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at two or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled sketches of each text, its edited text and the next document."""
+    return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by rules and by Markov models trained on what the rules label."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
