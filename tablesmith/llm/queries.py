@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesmith.llm import secrets, simhash, sketches
+from tablesmith.llm import mixing, secrets, simhash, sketches
 from tablesmith.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -26,3 +26,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets by rules and by Markov models trained on what the rules label."""
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
