@@ -24,6 +24,7 @@ import math
 import random
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 4096
 NEAR = 1e-9
+#: So many of the smallest documents of a source's last block don't fly, but land with what the flight leaves open.
+LANDED = 12
 
 
 def word_count(text: Column) -> Column:
@@ -92,17 +95,15 @@ def flight(chances: list[float], sizes: list[int], generator: random.Random) ->
 
 
 def landing(chances: list[float], sizes: list[int]) -> list[float]:
-    """The open chances set to 0 or 1 so that the words come nearest to what is expected; there are two at most."""
-    x = list(chances)
-    open_ones = [i for i, c in enumerate(x) if 0.0 < c < 1.0]
-    wanted = sum(x[i] * sizes[i] for i in open_ones)
-    choices = [0]
-    for _ in open_ones:
-        choices = [c << 1 | bit for c in choices for bit in (0, 1)]
-    best = min(choices, key=lambda c: abs(wanted - sum(sizes[i] for k, i in enumerate(open_ones) if c >> k & 1)))
-    for k, i in enumerate(open_ones):
-        x[i] = float(best >> k & 1)
-    return x
+    """The open chances set to 0 or 1 so that the words, and then the documents, come nearest to what is expected."""
+    x = np.array(chances)
+    open_ones = np.flatnonzero((x > 0) & (x < 1))
+    weights = np.array(sizes, np.int64)[open_ones]
+    choices = (np.arange(1 << len(open_ones))[:, None] >> np.arange(len(open_ones))) & 1
+    words = np.abs(choices @ weights - x[open_ones] @ weights)
+    documents = np.abs(choices.sum(axis=1) - x[open_ones].sum())
+    x[open_ones] = choices[np.lexsort((documents, words.round(6)))[0]]
+    return x.tolist()
 
 
 def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -128,8 +129,11 @@ def _fly(group: pa.Table) -> pa.Table:
     group = group.sort_by([("size", "descending"), ("key", "ascending")])  # so that small documents are left open
     sizes, chances = group.column("size").to_pylist(), group.column("chance").to_pylist()
     first = group.slice(0, 1).to_pylist()[0]
-    chances = flight(chances, sizes, random.Random(f"{first['sid']} {first['key']}"))
-    if first["blocks"] == 1:
+    last = first["blocks"] == 1
+    flown = len(chances) - LANDED if last else len(chances)
+    generator = random.Random(f"{first['sid']} {first['key']}")
+    chances = flight(chances[: max(0, flown)], sizes, generator) + chances[max(0, flown) :]
+    if last:
         chances = landing(chances, sizes)
     kept = group.select(["sid", "key", "size"])
     return kept.append_column("chance", pa.array(chances, pa.float64()))
