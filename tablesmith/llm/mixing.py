@@ -37,7 +37,7 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 4096
 NEAR = 1e-9
-#: So many of the smallest documents of a source's last block don't fly, but land with what the flight leaves open.
+#: So many documents of all sizes of a source's last block don't fly, but land with what the flight leaves open.
 LANDED = 12
 
 
@@ -126,14 +126,15 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _fly(group: pa.Table) -> pa.Table:
-    group = group.sort_by([("size", "descending"), ("key", "ascending")])  # so that small documents are left open
+    group = group.sort_by([("size", "descending"), ("key", "ascending")])
     sizes, chances = group.column("size").to_pylist(), group.column("chance").to_pylist()
     first = group.slice(0, 1).to_pylist()[0]
-    last = first["blocks"] == 1
-    flown = len(chances) - LANDED if last else len(chances)
+    grounded = set(np.linspace(0, len(chances) - 1, LANDED).astype(int).tolist()) if first["blocks"] == 1 else set()
+    flying = [i for i in range(len(chances)) if i not in grounded]
     generator = random.Random(f"{first['sid']} {first['key']}")
-    chances = flight(chances[: max(0, flown)], sizes, generator) + chances[max(0, flown) :]
-    if last:
+    for i, chance in zip(flying, flight([chances[i] for i in flying], [sizes[i] for i in flying], generator)):
+        chances[i] = chance
+    if grounded:
         chances = landing(chances, sizes)
     kept = group.select(["sid", "key", "size"])
     return kept.append_column("chance", pa.array(chances, pa.float64()))
