@@ -1 +1,10 @@
-"""Operators for training data. Nothing else in the package imports this subpackage."""
+"""Operators for training data. Nothing else in the package imports this subpackage.
+
+Functions that run in tasks travel with the job, so executors need not have the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,12 +16,23 @@ from tablesmith.session import stage
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IS_BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes not to clash with a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` has about ``size`` bytes in each; a longer text is alone in one."""
     for batch in batches:
@@ -45,8 +55,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first = offsets[0]
     data = np.frombuffer(data, np.uint8)[first : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    data, offsets = _lower()[data], offsets - first
-    letter = ~_blank()[data]
+    data, offsets = LOWER[data], offsets - first
+    letter = ~IS_BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], letter[:-1]))
@@ -65,21 +75,6 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
-@functools.cache
-def _lower() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    return table
-
-
-@functools.cache
-def _blank() -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[list(BLANKS)] = True
-    return table
-
-
-@functools.cache
 def _powers(bits: int) -> np.ndarray:
     factors = np.full((1 << bits) + 1, 0x100000001B3, np.uint64)
     factors[0] = 1

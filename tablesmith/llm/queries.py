@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesmith.llm import mixing, secrets, simhash, sketches
+from tablesmith.llm import importance, mixing, secrets, simhash, sketches
 from tablesmith.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -32,3 +32,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources takes."""
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling takes, with their log ratios."""
+    taken = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return taken.select("doc_id", "log_ratio", "noisy_ratio")
