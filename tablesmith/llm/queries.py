@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesmith.llm import importance, mixing, secrets, simhash, sketches
+from tablesmith.llm import importance, mixing, passages, secrets, simhash, sketches
 from tablesmith.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -39,3 +39,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling takes, with their log ratios."""
     taken = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return taken.select("doc_id", "log_ratio", "noisy_ratio")
+
+
+@query()
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit of a text that occurs earlier, with its place and the earliest document."""
+    return passages.repeats(table(spark, sf_dir, "documents"))
