@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import importance, mixing, passages, secrets, simhash, sketches, topk
+from tablesmith.llm import chat, importance, mixing, passages, secrets, simhash, sketches, topk
 from tablesmith.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -68,3 +68,23 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest integer inner products of every fiftieth vector with all others."""
     return topk.largest_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(
+    """
+    WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+    o AS (
+        SELECT *, row_number() OVER w - 1 AS place, list({'r': role, 't': text}) OVER w AS upto
+        FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST)
+    ),
+    p AS (SELECT conv_id, place, role, text, md5(CAST(upto AS VARCHAR)) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+    f AS (SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS snapshots FROM p WHERE place + 1 = n GROUP BY prefix, n),
+    k AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = f.prefix AND p.place + 1 < p.n))
+    SELECT p.conv_id, p.place, k.n AS n_turns, k.snapshots,
+        '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+    FROM p JOIN k ON p.conv_id IS NOT DISTINCT FROM k.conv_id
+    """
+)
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that none continues, a rendered row per turn."""
+    return chat.rendered(table(spark, sf_dir, "conversations"))
