@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import chat, importance, mixing, passages, secrets, simhash, sketches, topk
+from tablesmith.llm import bpe, chat, importance, mixing, passages, secrets, simhash, sketches, topk
 from tablesmith.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -88,3 +89,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations that none continues, a rendered row per turn."""
     return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text, as digests, by the ranks of a public vocabulary."""
+    codec = bpe.Codec(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf_dir, "documents"), codec)
