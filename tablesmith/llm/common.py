@@ -15,7 +15,7 @@ from tablesmith.session import stage
 #: Words are runs of other characters than these six, as in all operators here.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, HASHED_BYTES = 4 << 20, 2 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_BLANK = np.isin(np.arange(256), list(BLANKS))
@@ -49,30 +49,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, A-Z as a-z, and the number of words of each text."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    texts = pa.concat_arrays([texts])
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    first = offsets[0]
-    data = np.frombuffer(data, np.uint8)[first : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    data, offsets = LOWER[data], offsets - first
-    letter = ~IS_BLANK[data]
-    edge = np.zeros(len(data) + 1, bool)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    blank = IS_BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)  # where a text begins or ends
     edge[offsets] = True
-    before = np.concatenate(([False], letter[:-1]))
-    starts = np.flatnonzero(letter & (~before | edge[:-1]))
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    after = np.concatenate((letter[1:], [False]))
-    lengths = np.flatnonzero(letter & (~after | edge[1:])) + 1 - starts
-    start = np.zeros(len(data), np.int64)
-    start[starts] = starts
-    place = np.arange(len(data)) - np.maximum.accumulate(start)
+    starts = np.flatnonzero(~blank & (np.concatenate(([True], blank[:-1])) | edge[:-1]))
+    ends = np.flatnonzero(~blank & (np.concatenate((blank[1:], [True])) | edge[1:])) + 1
+    hashes, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):  # a few megabytes at once
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED_BYTES, side="right")))
+        hashes[at:stop] = _hashes(data, starts[at:stop], ends[at:stop])
+        at = stop
+    return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials of the bytes of each word, mixed with its length."""
+    data, ends, starts = LOWER[data[starts[0] : ends[-1]]], ends - starts[0], starts - starts[0]
+    lengths = ends - starts
+    begins = np.zeros(len(data), np.int64)
+    begins[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(begins)
     longest = int(lengths.max())
     values = (data.astype(np.uint64) + np.uint64(1)) * _powers(longest.bit_length())[np.minimum(place, longest)]
-    values[~letter] = 0
-    hashes = mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    values[IS_BLANK[data]] = 0
+    return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _powers(bits: int) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import bpe, chat, importance, mixing, passages, secrets, simhash, sketches, topk
+from tablesmith.llm import backoff, bpe, chat, importance, mixing, passages, secrets, simhash, sketches, topk
 from tablesmith.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -96,3 +96,38 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every text, as digests, by the ranks of a public vocabulary."""
     codec = bpe.Codec(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     return bpe.digests(table(spark, sf_dir, "documents"), codec)
+
+
+@query(
+    """
+    WITH w AS (
+        SELECT doc_id, list_filter(
+            string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+        FROM documents
+    ),
+    t AS (
+        SELECT doc_id, i, words[i] AS word, CASE WHEN i > 1 THEN words[i - 1] END AS before
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)
+    ),
+    one AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+    two AS (SELECT before, word, count(*) AS n FROM t WHERE before IS NOT NULL GROUP BY before, word),
+    s AS (
+        SELECT t.doc_id, CASE
+            WHEN t.before IS NULL THEN ln(u.n) - ln((SELECT sum(n) FROM one))
+            WHEN b.n >= 2 THEN ln(b.n) - ln(p.n)
+            ELSE ln(0.4) + ln(u.n) - ln((SELECT sum(n) FROM one)) END AS score
+        FROM t JOIN one u USING (word)
+        LEFT JOIN two b ON b.before = t.before AND b.word = t.word
+        LEFT JOIN one p ON p.word = t.before
+    )
+    SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, round(coalesce(sum(s.score), 0), 4) AS log_score,
+        round(sum(s.score) / nullif(len(w.words), 0), 6) AS mean_log_score
+    FROM w LEFT JOIN s USING (doc_id)
+    GROUP BY w.doc_id, len(w.words)
+    """
+)
+def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents, with counts from all of them."""
+    scored = backoff.scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
