@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesmith.llm.common import components, slices
+from tablesmith.llm.common import components, fresh, slices
+from tablesmith.llm.sketches import shingle_hashes as column_hashes
 from tablesmith.session import stage
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -65,20 +66,19 @@ def fingerprint(data: bytes, words: int = 3, seed: int = 42, distinct: bool = Fa
 
 
 def fingerprints(
-    docs: DataFrame, words: int = 3, seeds: Sequence[int] = (42,), distinct: bool = False, id_column: str = "doc_id"
+    docs: DataFrame, words: int = 3, seeds: Sequence[int] = (42,), distinct: bool = False, keep: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
-    """(id, f0, f1, ...), a signed 64-bit fingerprint per seed. ``distinct`` counts each word once, for single words."""
-    names = [f"f{i}" for i in range(len(seeds))]
-    kind = docs.schema[id_column].dataType
-    fields = [T.StructField(id_column, kind), *[T.StructField(n, T.LongType()) for n in names]]
+    """The kept columns and f0, f1, ..., a signed 64-bit fingerprint per seed. ``distinct`` counts each word once, for single words."""
+    names, keep = [f"f{i}" for i in range(len(seeds))], list(keep)
+    fields = [*[docs.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in names]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             found = [pa.array(np.array([fingerprint(t, words, s, distinct) for t in texts], np.uint64).view(np.int64)) for s in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), *found], [id_column, *names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *found], [*keep, *names])
 
-    return docs.select(id_column, "text").mapInArrow(work, T.StructType(fields))
+    return docs.select(*keep, "text").mapInArrow(work, T.StructType(fields))
 
 
 class Tree:
@@ -182,5 +182,70 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(smallest, "root").select(F.col("node").alias("f0"), "component_id")
-    digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))
+    digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))  # an empty text has fingerprint zero
     return marked.join(classes, "f0").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+#: For documents as similar as ``SIMILARITY`` by shingles of five words: fingerprints of single words, which small edits
+#: change little, several of them and at a wider radius, so that hardly a pair is missed before it is compared.
+SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 8
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """(node, root): texts that a chain of close fingerprints of any seed joins."""
+    edges = None
+    for i in range(len(WORD_SEEDS)):
+        f = F.col(f"f{i}")
+        least = classes.groupBy(f.alias("f")).agg(F.min("node").alias("b"), F.count("*").alias("n"))
+        equal = classes.select(F.col("node").alias("a"), f.alias("f")).join(least.where("n > 1"), "f").select("a", "b")
+        close = links(classes.select(f.alias("f")), WORD_RADIUS)
+        ends = least.select("f", F.col("b").alias("node"))
+        near = close.join(ends.select(F.col("f").alias("a"), F.col("node").alias("first")), "a").join(ends.select(F.col("f").alias("b"), F.col("node").alias("second")), "b")
+        both = equal.unionByName(near.select(F.col("first").alias("a"), F.col("second").alias("b")))
+        edges = both if edges is None else edges.unionByName(both)
+    return components(edges)
+
+
+def _similar(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``members`` (node, root, rank, set) found to be similar.
+
+    In each round the members of a candidate group that share their smallest shingle hash of that round are compared
+    with the first among them. So there are a few comparisons for each member, however large the group.
+    """
+    keys = F.array(*[F.struct(F.lit(r).alias("round"), F.array_min(F.transform("set", _hash_of(r))).alias("least")) for r in range(ROUNDS)])
+    keyed = members.select("node", "root", "rank", F.explode(keys).alias("key"))
+    first = keyed.groupBy("root", "key").agg(F.min(F.struct("rank", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = keyed.join(first, ["root", "key"]).select(F.col("node").alias("a"), F.col("first.node").alias("b")).where("a <> b").distinct()
+    sets = members.select("node", "set")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("mine")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("theirs")), "b")
+    shared = F.size(F.array_intersect("mine", "theirs"))
+    return both.where(shared >= similarity * (F.size("mine") + F.size("theirs") - shared)).select("a", "b")
+
+
+def _hash_of(seed: int):
+    return lambda h: F.xxhash64(h, F.lit(seed))
+
+
+def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
+    """The documents but one of each group of equal or similar texts: the one with the smallest id stays.
+
+    Fingerprints find candidates through vantage points; their sets of shingles decide. Of rows that agree wholly one stays.
+    """
+    row, digest = fresh(docs, "row_key"), fresh(docs, "text_digest")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn(row, F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).cast("binary")))
+    narrow = keyed.select("doc_id", F.col(row).alias("row"), F.md5(text.cast("binary")).alias("digest"), F.xxhash64(text).alias("node"), text.alias("text"))
+    marked = fingerprints(narrow, 1, WORD_SEEDS, True, ("doc_id", "row", "digest", "node"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    names = [f"f{i}" for i in range(len(WORD_SEEDS))]
+    classes = stage(marked.groupBy("digest").agg(F.min(rank).alias("rank"), *[F.first(n).alias(n) for n in ("node", *names)]), "classes")
+    grouped = classes.join(_candidates(classes), "node").select("digest", "node", "root", "rank")
+    texts = docs.select(text.alias("text"), F.md5(text.cast("binary")).alias(digest))
+    wanted = texts.join(grouped.select(F.col("digest").alias(digest)), digest, "left_semi").dropDuplicates([digest])
+    sets = wanted.select(F.col(digest).alias("digest"), F.array_distinct(column_hashes(F.col("text"), words)).alias("set"))
+    members = stage(grouped.join(sets, "digest"), "members")
+    groups = components(_similar(members, similarity))
+    ranked = members.join(groups.withColumnRenamed("root", "group"), "node").select("node", "group", "rank")
+    dropped = ranked.join(ranked.groupBy("group").agg(F.min("rank").alias("least")), "group").where("rank <> least").select("node")
+    kept = classes.join(dropped, "node", "left_anti").select(F.col("rank.row").alias(row))
+    return keyed.dropDuplicates([row]).join(kept, row, "left_semi").drop(row)

@@ -24,23 +24,29 @@ SHINGLE = 5
 SCALE = 8
 
 
-def sketch(text: Column, words: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes below ``2**64 / scale``, or the smallest one."""
+def shingle_hashes(text: Column, words: int = SHINGLE) -> Column:
+    """A hash for each shingle, in order of the text; none for a text without words."""
     tokens = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    limit = (1 << 64) // scale
 
     def shingles(hashes: Column) -> Column:
         last = F.greatest(F.size(hashes) - (words - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(hashes, i, words)))
+        joined = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(hashes, i, words)))
+        return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).otherwise(joined)
+
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), shingles)
+
+
+def sketch(text: Column, words: int = SHINGLE, scale: int = SCALE) -> Column:
+    """Sorted distinct hashes below ``2**64 / scale``, or the smallest one."""
+    limit = (1 << 64) // scale
 
     def below(hashes: Column) -> Column:
         kept = F.filter(hashes, lambda h: h.between(0, limit - 1))
         least = F.coalesce(F.array_min(F.filter(hashes, lambda h: h >= 0)), F.array_min(hashes))
-        return let(kept, lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(F.array(least)))
+        smallest = F.when(F.size(hashes) > 0, F.array(least)).otherwise(hashes)
+        return let(kept, lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(smallest))
 
-    none = F.array().cast("array<bigint>")
-    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
-    return let(hashed, lambda h: F.when(F.size(h) == 0, none).otherwise(let(shingles(h), below)))
+    return let(shingle_hashes(text, words), below)
 
 
 def merged(first: Column, second: Column, scale: int = SCALE) -> Column:
