@@ -113,6 +113,7 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
     while True:
         counts = state.groupBy("sid").agg(F.ceil(F.count("*") / block).alias("blocks"))
         dealt = state.join(counts, "sid").withColumn("block", F.pmod(F.xxhash64("key", F.lit(level)), F.col("blocks")))
+        dealt = dealt.repartition("sid", "block")  # else blocks would stay where the join by source has put them
         flown = stage(dealt.groupBy("sid", "block").applyInArrow(_fly, "sid bigint, key string, size bigint, chance double"), "flight")
         open_one = (F.col("chance") > 0) & (F.col("chance") < 1)
         settled.append(flown.where(~open_one))
