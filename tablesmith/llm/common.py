@@ -100,10 +100,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def repeated(df: DataFrame, times: str, block: int = 10_000) -> DataFrame:
     """Each row as often as column ``times`` says, without that column; no array is longer than a block or the number of blocks."""
-    blocks = F.sequence(F.lit(0), F.ceil((F.col(times) - 1) / block).cast("int"))
-    dealt = df.where(F.col(times) > 0).withColumn("_block", F.explode(blocks))
-    left = F.least(F.lit(block), F.col(times) - F.col("_block") * block).cast("int")
-    return dealt.withColumn("_left", left).where("_left > 0").withColumn("_left", F.explode(F.sequence(F.lit(1), F.col("_left")))).drop("_block", "_left", times)
+    part, left = fresh(df, "part"), fresh(df, "left")
+    blocks = F.sequence(F.lit(0), F.floor((F.col(times) - 1) / block).cast("int"))
+    dealt = df.where(F.col(times) > 0).withColumn(part, F.explode(blocks))
+    rest = F.least(F.lit(block), F.col(times) - F.col(part) * block).cast("int")
+    return dealt.withColumn(left, F.explode(F.sequence(F.lit(1), rest))).drop(part, left, times)
 
 
 def uniform(*columns: Column | str, seed: int = 0) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import WORD, numbered, repeated
+from tablesmith.llm.common import WORD, fresh, numbered, repeated
 from tablesmith.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -178,5 +178,6 @@ def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The documents as often as the mix takes them."""
-    planned = plan(docs, weights, share, most).where("times > 0").select("key", "times")
-    return repeated(docs.withColumn("key", row_key()).dropDuplicates(["key"]).join(planned, "key").drop("key"), "times")
+    key, times = fresh(docs, "mix_key"), fresh(docs, "mix_times")
+    planned = plan(docs, weights, share, most).where("times > 0").select(F.col("key").alias(key), F.col("times").alias(times))
+    return repeated(docs.withColumn(key, row_key()).dropDuplicates([key]).join(planned, key).drop(key), times)

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import let
+from tablesmith.llm.common import fresh, let
 
 # The rules, in the order of their kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -190,6 +190,9 @@ def redacted(docs: DataFrame, model: list[float] | None = None, mask: str = "[SE
         return F.when(F.size(found) == 0, F.col("text")).otherwise(F.aggregate(found, start, step, rest))
 
     clean = F.when(F.col("text").isNull(), F.col("text")).otherwise(let(spans(F.col("text"), model), masked))
-    changed = docs.withColumn("_clean", clean)
-    length = F.when(F.col("_clean") == F.col("text"), F.col("n_chars")).otherwise(F.char_length("_clean").cast("bigint"))
-    return changed.withColumn("n_chars", length).withColumn("text", F.col("_clean")).drop("_clean")
+    name = fresh(docs, "clean")
+    changed = docs.withColumn(name, clean)
+    if "n_chars" in docs.columns:
+        same = F.col(name).eqNullSafe(F.col("text"))
+        changed = changed.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length(name).cast(docs.schema["n_chars"].dataType)))
+    return changed.withColumn("text", F.col(name)).drop(name)
