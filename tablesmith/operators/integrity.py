@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import comparable
 from tablesmith.sources.folders import list_files
+from tablesmith.sources.readers import hadoop
 from tablesmith.sources.writers import write_json
 
 CHUNK = 4 * 1024 * 1024
@@ -22,7 +23,7 @@ CHECKSUM = "path string, size bigint, sha256 string"
 def file_checksums(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """Relative path, size and SHA-256 of every file below a folder.
 
-    The listing is packed into tasks by file size. A task streams its files in
+    The listing is dealt to tasks by name. A task streams its files in
     chunks, so a file may be larger than any cell or executor.
     """
 
@@ -31,7 +32,12 @@ def file_checksums(spark: SparkSession, folder: str, pattern: str = "*", recursi
             rows = [(r.path, r.size, _stream(r.uri, None)) for r in frame.itertuples()]
             yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
 
-    return list_files(spark, folder, pattern, recursive).mapInPandas(digests, CHECKSUM)
+    return _dealt(list_files(spark, folder, pattern, recursive)).mapInPandas(digests, CHECKSUM)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """A listing spread over tasks by name, so that no task has all files."""
+    return files.repartition(F.col("path"))
 
 
 def copy_files(spark: SparkSession, source: str, target: str, pattern: str = "*", only: DataFrame | None = None) -> DataFrame:
@@ -47,32 +53,70 @@ def copy_files(spark: SparkSession, source: str, target: str, pattern: str = "*"
             rows = [(r.path, r.size, _stream(r.uri, f"{target}/{r.path}")) for r in frame.itertuples()]
             yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
 
+    target = hadoop(spark, target)[1].toString()
     files = list_files(spark, source, pattern)
     if only is not None:
         files = files.join(only.select("path"), "path", "left_semi").select(*files.columns)
-    return files.mapInPandas(copies, CHECKSUM)
+    return _dealt(files).mapInPandas(copies, CHECKSUM)
+
+
+# How the tasks' file systems name those that Spark names otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _system(uri: str):
+    """The file system and the path on it, for an address that Spark has resolved."""
+    scheme, _, rest = uri.partition(":") if "://" in uri or uri.startswith(("file:", "dbfs:")) else ("file", "", uri)
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def _stream(uri: str, target: str | None) -> str:
     """Hash a file in chunks, writing them to the target if there is one."""
     digest = hashlib.sha256()
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = _system(uri)
     with system.open_input_stream(path) as data:
-        if target is None:
-            while chunk := data.read(CHUNK):
-                digest.update(chunk)
-            return digest.hexdigest()
-        there, final = fs.FileSystem.from_uri(target)
-        there.create_dir(final.rsplit("/", 1)[0], recursive=True)
-        partial = f"{final.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.partial"
-        with there.open_output_stream(partial) as out:
+
+        def chunks() -> Iterator[bytes]:
             while chunk := data.read(CHUNK):
                 digest.update(chunk)
-                out.write(chunk)
-        there.move(partial, final)
+                yield chunk
+
+        if target is None:
+            for _ in chunks():
+                pass
+        else:
+            _put(chunks(), target)
     return digest.hexdigest()
 
 
+def write_files(files: DataFrame, target: str) -> None:
+    """A file for each row of (path, content), written by tasks under its name when it is whole."""
+    root = hadoop(files.sparkSession, target)[1].toString()
+
+    def puts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                _put([r.content or b""], f"{root}/{r.path}")
+            yield frame[["path"]]
+
+    files.select("path", "content").mapInPandas(puts, "path string").write.format("noop").mode("overwrite").save()
+
+
+def _put(chunks: Iterable[bytes], target: str) -> None:
+    there, final = _system(target)
+    folder = final.rsplit("/", 1)[0]
+    there.create_dir(folder, recursive=True)
+    partial = f"{folder}/.{uuid.uuid4().hex}.partial"
+    with there.open_output_stream(partial) as out:
+        for chunk in chunks:
+            out.write(chunk)
+    there.move(partial, final)
+
+
 def compare_checksums(
     source: DataFrame, target: DataFrame, key: Sequence[str] = ("path",), verify_checksum: bool = True
 ) -> DataFrame:
@@ -116,14 +160,15 @@ def new_rows(source: DataFrame, copied: DataFrame, key: Sequence[str]) -> DataFr
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free sum of row hashes; null markers keep nulls apart."""
+    """Row count and an order-free sum of row digests.
+
+    A row's digest is the first 60 bits of the SHA-256 of its values as text, by column name, so that whole numbers of any width
+    agree and other engines can follow. Nulls are told from texts by a mark before each value.
+    """
     plain = comparable(df)
-    names = sorted(plain.columns)
-    marks = [F.col(f"`{c}`").isNull() for c in names]
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in names], *marks)
-    return plain.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("fingerprint")
-    )
+    marked = [F.when(F.col(f"`{c}`").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(f"`{c}`").cast("string"))) for c in sorted(plain.columns)]
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", *marked), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return plain.agg(F.count("*").alias("rows"), F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
 def copy_table(df: DataFrame, path: str) -> DataFrame:

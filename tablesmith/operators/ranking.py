@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # Points per whole-word keyword, per partial keyword and per shared word.
 WHOLE, PARTIAL, SHARED = 3.0, 1.0, 0.5
-_BLANKS = r"[ \t\n\r\f]+"
+_BLANKS = r"(?U)\s+"  # any blank of Unicode
 
 
 @dataclass(frozen=True)

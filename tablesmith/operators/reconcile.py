@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesmith.functions.columns import comparable
 from tablesmith.operators.profiling import check_columns
@@ -48,12 +51,25 @@ def _shared(source: DataFrame, target: DataFrame) -> list[str]:
     return names
 
 
+def _in_common(source: DataFrame, target: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns in a common type: numbers as the wider one, other changed types as text."""
+    left, right = comparable(source.select(*names)), comparable(target.select(*names))
+    for name in names:
+        a, b = left.schema[name].dataType, right.schema[name].dataType
+        if a == b:
+            continue
+        whole = all(isinstance(t, T.IntegralType) for t in (a, b))
+        kind = "bigint" if whole else "double" if all(isinstance(t, T.NumericType) for t in (a, b)) else "string"
+        left, right = (side.withColumn(name, F.col(name).cast(kind)) for side in (left, right))
+    return left, right
+
+
 def _grouped(source: DataFrame, target: DataFrame) -> DataFrame:
     """Copies of every distinct row per side, over the shared columns: one exchange."""
     names = _shared(source, target)
-    left = comparable(source.select(*names)).withColumn("_side", F.lit(1))
-    right = comparable(target.select(*names)).withColumn("_side", F.lit(-1))
-    return left.unionByName(right).groupBy(*names).agg(
+    left, right = _in_common(source, target, names)
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(-1)))
+    return both.groupBy(*names).agg(
         F.count_if(F.col("_side") > 0).alias("_source"), F.count_if(F.col("_side") < 0).alias("_target")
     )
 
@@ -61,7 +77,8 @@ def _grouped(source: DataFrame, target: DataFrame) -> DataFrame:
 def row_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows whose number of copies differs: positive surplus in the source, negative in the target.
 
-    Columns are matched by name and nulls equal each other. Copies collapse before
+    Columns are matched by name and nulls equal each other; columns of one side only are left to the schema diff and
+    the issue list. Columns whose types differ are compared in a common type. Copies collapse before
     the exchange, so a row repeated without end costs one row per task.
     """
     grouped = _grouped(source, target).withColumn("difference", F.col("_source") - F.col("_target"))
@@ -86,16 +103,19 @@ def keyed_diff(
 
     ``change`` is ``missing`` (not in the target), ``extra`` (not in the source) or
     ``changed`` with the column and both values as text. ``tolerance`` allows a
-    numeric distance per column. A repeated key is refused.
+    numeric distance per column. A repeated key is refused; null keys equal each other.
     """
     if check_keys:
         require_unique(source, key, "source")
         require_unique(target, key, "target")
     tolerance = dict(tolerance or {})
     names = [c for c in _shared(source, target) if c not in key]
-    left = comparable(source).select(*key, *[F.col(c).alias(f"_s_{c}") for c in names], F.lit(True).alias("_in_source"))
-    right = comparable(target).select(*key, *[F.col(c).alias(f"_t_{c}") for c in names], F.lit(True).alias("_in_target"))
-    joined = left.join(right, list(key), "full")
+    left, right = _in_common(source, target, [*key, *names])
+    left = left.select(*[F.col(k).alias(f"_sk_{k}") for k in key], *[F.col(c).alias(f"_s_{c}") for c in names], F.lit(True).alias("_in_source"))
+    right = right.select(*[F.col(k).alias(f"_tk_{k}") for k in key], *[F.col(c).alias(f"_t_{c}") for c in names], F.lit(True).alias("_in_target"))
+    same_key = functools.reduce(operator.and_, [F.col(f"_sk_{k}").eqNullSafe(F.col(f"_tk_{k}")) for k in key])
+    joined = left.join(right, same_key, "full")
+    keys = [F.when(F.col("_in_source").isNull(), F.col(f"_tk_{k}")).otherwise(F.col(f"_sk_{k}")).alias(k) for k in key]
     cells = [
         F.when(
             ~_same(F.col(f"_s_{c}"), F.col(f"_t_{c}"), tolerance.get(c)),
@@ -109,7 +129,7 @@ def keyed_diff(
         .when(F.col("_in_source").isNull(), F.array(_change("extra", nothing, nothing, nothing)))
         .otherwise(F.array_compact(F.array(*cells)) if cells else F.array())
     )
-    return joined.select(*key, F.explode(changes).alias("_c")).select(*key, "_c.*")
+    return joined.select(*keys, F.explode(changes).alias("_c")).select(*key, "_c.*")
 
 
 def _same(a: Column, b: Column, tolerance: float | None) -> Column:
@@ -122,12 +142,17 @@ def _change(kind: str, column: Column, source: Column, target: Column) -> Column
 
 
 def key_sample(df: DataFrame, key: Sequence[str], percent: int) -> DataFrame:
-    """The rows whose key falls into the sample; both sides of a compare keep the same keys."""
-    return df.where(F.pmod(F.xxhash64(*key), F.lit(100)) < percent)
+    """The rows whose key falls into the sample; both sides of a compare keep the same keys.
+
+    Decided by the first 32 bits of the SHA-256 of the key as text, so the width of a number makes no difference.
+    """
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", *texts), 256), 1, 8), 16, 10).cast("bigint")
+    return df.where(F.pmod(digest, F.lit(100)) < percent)
 
 
 def issues(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Differences with severity: row count, columns, and rows found on one side only."""
+    """Differences with severity: row count, columns, changed types, and rows found on one side only."""
     totals = _grouped(source, target).agg(
         F.coalesce(F.sum("_source"), F.lit(0)).alias("source_rows"),
         F.coalesce(F.sum("_target"), F.lit(0)).alias("target_rows"),
@@ -138,6 +163,11 @@ def issues(source: DataFrame, target: DataFrame) -> DataFrame:
     tests = [
         ("row_count", F.col("source_rows") != F.col("target_rows"), F.col("source_rows"), F.col("target_rows")),
         ("schema", F.lit(not schema_match(source, target)), F.lit(a), F.lit(b)),
+        *[
+            ("type", F.lit(True), F.lit(f"{f.name} {f.dataType.simpleString()}"), F.lit(f"{f.name} {target.schema[f.name].dataType.simpleString()}"))
+            for f in source.schema.fields
+            if f.name in target.columns and f.dataType != target.schema[f.name].dataType
+        ],
         ("rows", (F.col("only_source") > 0) | (F.col("only_target") > 0), F.col("only_source"), F.col("only_target")),
     ]
     found = [

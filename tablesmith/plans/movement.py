@@ -82,21 +82,67 @@ def csv_write_options(spark, sf_dir):
     return read.select("doc_id", F.replace("marked", F.lit('a;"'), F.lit("")).alias("lang"), "quality")
 
 
-@query("SELECT o_orderstatus, count(*) AS rows FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_documents(spark, sf_dir):
+    """Texts with quotes, blanks and line ends come back as they were."""
+    path, rows = scratch_path(spark, "csv-documents"), table(spark, sf_dir, "documents")
+    writers.write_csv(rows, path)
+    return readers.read_csv(spark, path, rows.schema)
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def json_documents(spark, sf_dir):
+    """Long lines are found to be JSON lines and read whole."""
+    path, rows = scratch_path(spark, "json-documents"), table(spark, sf_dir, "documents")
+    writers.write_json(rows, path)
+    return readers.load(spark, path, schema=rows.schema)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END AS n_chars FROM documents")
+def bad_cells(spark, sf_dir):
+    """Cells that don't fit the type, read leniently."""
+    path = scratch_path(spark, "bad-cells")
+    broken = F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.col("n_chars").cast("string"))
+    writers.write_csv(table(spark, sf_dir, "documents").select("doc_id", broken.alias("n_chars")), path)
+    return readers.read_csv(spark, path, "doc_id bigint, n_chars bigint", bad_rows="null")
+
+
+@query(
+    """
+    SELECT file, rows, bad AS bad_rows, CASE WHEN bad > 0 THEN 'error' ELSE 'success' END AS status
+    FROM (
+        SELECT 'event_type=' || event_type AS file, count(*) AS rows,
+            count(*) FILTER (WHERE event_type LIKE '%c%' AND event_id % 97 = 0) AS bad
+        FROM events GROUP BY event_type
+    )
+    """
+)
+def folder_outcomes(spark, sf_dir):
+    """A folder of good and broken files, read with its broken records kept, and what became of each file."""
+    path, events = scratch_path(spark, "outcomes"), table(spark, sf_dir, "events")
+    broken = (F.col("event_type").contains("c")) & (F.col("event_id") % 97 == 0)
+    line = F.to_json(F.struct("event_id", "user_id"))
+    lines = events.select("event_type", F.when(broken, F.concat(F.lit("{"), line)).otherwise(line).alias("value"))
+    lines.repartition("event_type").write.partitionBy("event_type").text(path)
+    return folders.json_outcomes(spark, path, "event_id bigint, user_id bigint", ["event_type"]).drop("message")
+
+
+@query("SELECT * FROM orders")
 def parquet_write(spark, sf_dir):
-    """A partitioned write; reading one value opens one folder."""
+    """A partitioned write, read back whole."""
     path = scratch_path(spark, "parquet")
-    writers.write_parquet(table(spark, sf_dir, "orders"), path, compression="gzip", partition_by=["o_orderstatus"])
-    return spark.read.parquet(path).where("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count("*").alias("rows"))
+    orders = table(spark, sf_dir, "orders")
+    writers.write_parquet(orders, path, compression="gzip", partition_by=["o_orderstatus"])
+    return spark.read.parquet(path).select(*orders.columns)
 
 
-@query("SELECT c_custkey, CAST(2 AS BIGINT) AS copies FROM customer")
+@query("SELECT *, CAST(2 AS BIGINT) AS copies FROM customer")
 def write_append(spark, sf_dir):
     path = scratch_path(spark, "append")
-    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    customers = table(spark, sf_dir, "customer")
     writers.write_parquet(customers, path)
     writers.write_parquet(customers, path, mode="a")
-    return spark.read.parquet(path).groupBy("c_custkey").agg(F.count("*").alias("copies"))
+    return spark.read.parquet(path).groupBy(*customers.columns).agg(F.count("*").alias("copies"))
 
 
 _PATH = "regexp_replace(url, '^https?://[^/?#]*', '/mnt/old')"
@@ -224,12 +270,59 @@ def recon_summary(spark, sf_dir):
     return V.summary(V.issues(orders, _edited(orders, True)))
 
 
-@query()
+_SAMPLED = "CAST('0x' || left(sha256(CAST(o_orderkey AS VARCHAR)), 8) AS BIGINT) % 100 < 10"
+
+
+@query(
+    f"""
+    SELECT o_orderkey, 'missing' AS change, NULL AS "column", NULL AS source, NULL AS target FROM orders
+    WHERE o_orderkey % 100 = 0 AND {_SAMPLED}
+    UNION ALL
+    SELECT o_orderkey, 'changed', 'o_totalprice', CAST(o_totalprice AS VARCHAR), CAST(o_totalprice + 1 AS VARCHAR)
+    FROM orders WHERE o_orderkey % 100 <> 0 AND o_orderkey % 101 = 0 AND {_SAMPLED}
+    """
+)
 def recon_sampled(spark, sf_dir):
-    """Cell changes among a tenth of the keys, the same keys on both sides; the hash has no SQL twin."""
+    """Cell changes among a tenth of the keys, the same keys on both sides though one has them as text."""
     orders = table(spark, sf_dir, "orders")
-    sides = [V.key_sample(side, ["o_orderkey"], 10) for side in (orders, _edited(orders, False))]
-    return V.keyed_diff(*sides, ["o_orderkey"])
+    other = _edited(orders, False).withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
+    sides = [V.key_sample(side, ["o_orderkey"], 10) for side in (orders, other)]
+    return V.keyed_diff(*sides, ["o_orderkey"]).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
+@query("SELECT * FROM (VALUES ('o_comment', 'missing_in_source', NULL, 'string'), ('o_custkey', 'type_changed', 'bigint', 'string'), ('o_orderpriority', 'missing_in_target', 'string', NULL)) AS t(\"column\", issue, source, target) WHERE (SELECT count(*) FROM orders) > 0")
+def recon_schema_diff(spark, sf_dir):
+    """Columns lost, gained and changed between the orders and an altered copy."""
+    orders = table(spark, sf_dir, "orders")
+    altered = orders.drop("o_orderpriority").withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn("o_comment", F.lit("").cast("string"))
+    return V.schema_diff(orders, altered).where("issue <> 'nullability_changed'")
+
+
+@query(
+    """
+    SELECT 'row_count' AS type, CAST(count(*) AS VARCHAR) AS source, CAST(count(*) FILTER (WHERE o_orderkey % 100 <> 0) AS VARCHAR) AS target, 'HIGH' AS severity FROM orders
+    UNION ALL SELECT 'type', 'o_custkey bigint', 'o_custkey string', 'HIGH'
+    UNION ALL SELECT 'rows', CAST(count(*) FILTER (WHERE o_orderkey % 100 = 0) AS VARCHAR), '0', 'HIGH' FROM orders
+    """
+)
+def recon_changed_types(spark, sf_dir):
+    """A column that turned to text is an issue, and its rows are still compared."""
+    orders = table(spark, sf_dir, "orders")
+    return V.issues(orders, orders.where("o_orderkey % 100 <> 0").withColumn("o_custkey", F.col("o_custkey").cast("string")))
+
+
+@query(
+    """
+    SELECT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE doc_id END AS doc_id, 'changed' AS change, 'lang' AS "column", lang AS source, upper(lang) AS target
+    FROM documents WHERE doc_id = 0 OR (doc_id % 10 <> 0 AND doc_id % 3 = 0)
+    """
+)
+def recon_null_keys(spark, sf_dir):
+    """One row with a null key meets its like on the other side."""
+    docs = table(spark, sf_dir, "documents").where("doc_id = 0 OR doc_id % 10 <> 0").select("doc_id", "lang")
+    key = F.when(F.col("doc_id") % 10 != 0, F.col("doc_id")).alias("doc_id")
+    changed = F.when(F.col("doc_id") % 3 == 0, F.upper("lang")).otherwise(F.col("lang")).alias("lang")
+    return V.keyed_diff(docs.select(key, "lang"), docs.select(key, changed), ["doc_id"])
 
 
 def _quality_sql(source: str, name: str) -> str:
@@ -294,12 +387,29 @@ def table_copy(spark, sf_dir):
     return I.copy_table(table(spark, sf_dir, "lineitem"), scratch_path(spark, "copy"))
 
 
-@query()
+@query(
+    """
+    SELECT count(*) AS rows, CAST(CAST(sum(CAST(CAST('0x' || left(sha256(concat_ws(chr(31),
+        coalesce('+' || CAST(doc_id AS VARCHAR), '-'), coalesce('+' || lang, '-'), coalesce('+' || CAST(n_chars AS VARCHAR), '-'),
+        coalesce('+' || source, '-'), coalesce('+' || text, '-'))), 15) AS BIGINT) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS fingerprint
+    FROM documents
+    """
+)
 def table_fingerprint(spark, sf_dir):
-    """Rows and hash sum of a table; the hash has no SQL twin."""
+    """Rows and digest sum of a table."""
     return I.fingerprint(table(spark, sf_dir, "documents"))
 
 
+@query("SELECT DISTINCT '_' || lang || '.bin' AS path, CAST(2 AS BIGINT) AS size, sha256(lang) AS sha256, 'ok' AS status FROM documents")
+def copy_files(spark, sf_dir):
+    """Files with hidden names, one per language, copied and compared with what was to be written."""
+    source, target = scratch_path(spark, "files"), scratch_path(spark, "files-copy")
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    I.write_files(langs.select(F.concat(F.lit("_"), "lang", F.lit(".bin")).alias("path"), F.col("lang").cast("binary").alias("content")), source)
+    checked = I.copy_and_verify(spark, source, target, scratch_path(spark, "manifest"))
+    return checked.select("path", F.col("target_size").alias("size"), F.col("target_sha256").alias("sha256"), "status")
+
+
 @query(
     """
     SELECT event_id, ts, event_type FROM events
@@ -312,11 +422,11 @@ def incremental_delta(spark, sf_dir):
     return I.new_rows(events, events.where(F.col("ts") < start), ["event_id"])
 
 
-@query("SELECT event_id, user_id, event_type, value, props FROM events")
+@query("SELECT * FROM events")
 def incremental_copy(spark, sf_dir):
     """The event files copied by a stream that ends when no file is left; a second run adds nothing."""
     target, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
     schema = table(spark, sf_dir, "events").schema
     for _ in range(2):
         copy_new_files(spark, sf_dir, target, state, schema, pattern="events.parquet")
-    return spark.read.schema(schema).parquet(target).drop("ts")
+    return spark.read.schema(schema).parquet(target)

@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesmith.sources.readers import hadoop
+
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """Files below a folder: relative path, size, change time and full address.
+    """All files below a folder, hidden ones too: relative path, size, change time and full address.
 
-    The content column is never asked for, so no file is opened.
+    The driver lists the folder, as for any table that Spark reads, on any file system that Spark knows. No file is
+    opened. A reader of tables would leave out names that begin with a dot or an underscore.
     """
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(folder)
-    )
-    return listing.select(
-        _below(F.col("path"), folder).alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-        F.col("path").alias("uri"),
-    )
+    system, root = hadoop(spark, folder)
+    if not system.exists(root):
+        raise FileNotFoundError(folder)
+    matches = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern)
+    start = len(root.toString().rstrip("/")) + 1
+    files, rows = system.listFiles(root, recursive), []
+    while files.hasNext():
+        status = files.next()
+        place = status.getPath()
+        if matches.matches(place.getName()):
+            address = place.toString()
+            rows.append((address[start:], status.getLen(), status.getModificationTime(), address))
+    listing = spark.createDataFrame(rows, "path string, size bigint, millis bigint, uri string")
+    return listing.select("path", "size", F.timestamp_millis("millis").alias("modified"), "uri")
 
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -34,18 +39,22 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*", recursive:
         .option("recursiveFileLookup", str(recursive).lower())
         .text(folder, wholetext=True)
     )
-    address = F.col("_metadata.file_path")
-    return texts.select(_below(F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))), folder).alias("path"), F.col("value").alias("text"))
+    # the reader's addresses have file:/// where the file system says file:/
+    root = hadoop(spark, folder)[1].toString().rstrip("/")
+    address = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    return texts.select(F.substring(address, F.lit(len(root) + 2), F.length(address)).alias("path"), F.col("value").alias("text"))
 
 
-def _below(address: Column, folder: str) -> Column:
-    """The part of an address below the folder; the folder name ends at a slash."""
-    name = folder.rstrip("/").split("://")[-1] + "/"
-    plain = F.substring(address, F.locate(name, address) + F.lit(len(name)), F.length(address))
-    coded = quote(name)
-    return F.when(F.locate(name, address) > 0, plain).otherwise(
-        F.substring(address, F.locate(coded, address) + F.lit(len(coded)), F.length(address))
-    )
+def json_outcomes(spark: SparkSession, folder: str, schema: str, file: Sequence[str] = ()) -> DataFrame:
+    """What became of each JSON-lines file below a folder: a broken record makes its file an error, others are unaffected.
+
+    ``file`` names partition columns that stand for the file; without any, its address does.
+    """
+    rows = spark.read.text(folder)
+    name = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), c) for c in file]) if file else F.col("_metadata.file_path")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string")
+    broken = F.when(parsed["_corrupt_record"].isNotNull(), F.lit("broken record"))
+    return file_outcomes(rows.select(name.alias("file"), broken.alias("error")), "file", F.col("error"))
 
 
 def file_outcomes(rows: DataFrame, file: str, error: Column) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +43,16 @@ def read_csv(
     na_values: Sequence[str] = (),
     infer: bool = False,
     nrows: int | None = None,
+    multiline: bool = True,
+    bad_rows: str = "raise",
 ) -> DataFrame:
     """Read CSV files. Give a schema: inferring types costs a second pass and is opt-in.
 
+    Quotes inside quoted cells are doubled, unless there is an ``escapechar``, and quoted cells may hold line ends. For
+    that a file is read by one task; ``multiline=False`` splits large files that have no such cells.
+    Cells that don't fit the schema raise; ``bad_rows="null"`` makes them null, and ``"keep"`` also
+    keeps the line in a column ``_corrupt_record``.
+
     With several ``na_values`` the columns are read as text, the tokens become null and
     the rest is cast to the schema. ``nrows`` is an explicit limit; there is no other.
     """
@@ -55,12 +61,17 @@ def read_csv(
         "header": str(header is not None and header is not False).lower(),
         "encoding": charset(encoding),
         "quote": quotechar,
+        "escape": quotechar if escapechar is None else escapechar,
+        "multiLine": str(multiline).lower(),
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        "mode": _bad_mode(bad_rows),
     }
-    if escapechar is not None:
-        options["escape"] = escapechar
     if comment is not None:
         options["comment"] = comment
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if bad_rows == "keep":
+        wanted = _with_record(wanted)
     reader = spark.read.options(**options)
     if len(na_values) == 1:
         reader = reader.option("nullValue", na_values[0])
@@ -68,7 +79,7 @@ def read_csv(
         texts = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
         rows = reader.schema(texts).csv(path)
         df = rows.select(
-            *[null_tokens(F.col(_quoted(f.name)), na_values).cast(f.dataType).alias(f.name) for f in wanted.fields]
+            *[_cast(null_tokens(F.col(_quoted(f.name)), na_values), f.dataType, bad_rows).alias(f.name) for f in wanted.fields]
         )
     elif len(na_values) > 1:
         rows = reader.csv(path)
@@ -80,6 +91,20 @@ def read_csv(
     return df if nrows is None else df.limit(nrows)
 
 
+def _bad_mode(bad_rows: str) -> str:
+    return {"raise": "FAILFAST", "null": "PERMISSIVE", "keep": "PERMISSIVE"}[bad_rows]
+
+
+def _with_record(schema: T.StructType | None) -> T.StructType:
+    if schema is None:
+        raise ValueError("keeping bad rows needs a schema")
+    return T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+
+
+def _cast(value: Column, kind: T.DataType, bad_rows: str) -> Column:
+    return value.cast(kind) if bad_rows == "raise" else value.try_cast(kind)
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Read Parquet files; listed columns are all that is read."""
     df = spark.read.parquet(path)
@@ -87,46 +112,65 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def read_json(
-    spark: SparkSession, path: str, lines: bool = False, schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, lines: bool = False, schema: T.StructType | str | None = None, bad_rows: str = "raise"
 ) -> DataFrame:
-    """Read JSON: one object per line with ``lines``, else whole documents or arrays."""
-    reader = spark.read.option("multiLine", str(not lines).lower())
-    if schema is not None:
-        reader = reader.schema(schema)
+    """Read JSON: one object per line with ``lines``, else whole documents or arrays.
+
+    A broken record raises; ``bad_rows`` is as for CSV.
+    """
+    reader = spark.read.option("multiLine", str(not lines).lower()).option("mode", _bad_mode(bad_rows))
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if bad_rows == "keep":
+        wanted = _with_record(wanted)
+    if wanted is not None:
+        reader = reader.schema(wanted)
     return reader.json(path)
 
 
-def detect_format(path: str) -> str:
-    """``parquet``, ``json``, ``jsonl``, ``csv`` or ``delta``, from first bytes, else the extension.
+def detect_format(path: str, spark: SparkSession | None = None) -> str:
+    """``parquet``, ``json``, ``jsonl``, ``csv`` or ``delta``, from the first line with text, else the extension.
 
-    Looks at a few bytes of one file, not at the data.
+    Works on every file system that Spark reads. Of a folder it lists one directory per level and opens the first file;
+    the line is read whole, however long.
     """
-    system, place = fs.FileSystem.from_uri(path)
-    info = system.get_file_info(place)
-    if info.type == fs.FileType.NotFound:
+    spark = spark or SparkSession.active()
+    system, place = hadoop(spark, path)
+    if not system.exists(place):
         raise FileNotFoundError(path)
-    if info.type == fs.FileType.Directory:
-        entries = system.get_file_info(fs.FileSelector(place, recursive=True))
-        if any(e.base_name == "_delta_log" for e in entries):
+    while system.getFileStatus(place).isDirectory():
+        names = sorted(entry.getPath().getName() for entry in system.listStatus(place))
+        if "_delta_log" in names:
             return "delta"
-        files = sorted(e.path for e in entries if e.type == fs.FileType.File and not e.base_name.startswith(("_", ".")))
-        if not files:
+        names = [n for n in names if not n.startswith(("_", "."))]
+        if not names:
             raise FileNotFoundError(f"no data files in {path}")
-        place = files[0]
-    with system.open_input_stream(place) as data:
-        start = data.read(64 * 1024)
-    if start[:4] == b"PAR1":
+        place = spark._jvm.org.apache.hadoop.fs.Path(place, names[0])
+    name = place.getName()
+    first = spark.read.text(glob_free(place.toString())).where("trim(value) <> ''").first()
+    text = first["value"].lstrip() if first else ""
+    if text.startswith("PAR1"):
         return "parquet"
-    text = start.lstrip()
-    if text[:1] == b"[":
+    if text.startswith("["):
         return "json"
-    if text[:1] == b"{":
-        return "jsonl" if _is_json(text.split(b"\n", 1)[0]) else "json"
-    extension = place.rsplit(".", 1)[-1].lower() if "." in place.rsplit("/", 1)[-1] else ""
+    if text.startswith("{"):
+        return "jsonl" if _is_json(text) else "json"
+    extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     return extension if extension in ("parquet", "json", "jsonl") else "csv"
 
 
-def _is_json(line: bytes) -> bool:
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path and the path in full, as Spark itself resolves them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(place)
+
+
+def glob_free(path: str) -> str:
+    """A path whose special characters stand for themselves."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def _is_json(line: str) -> bool:
     try:
         json.loads(line)
     except ValueError:
@@ -136,7 +180,7 @@ def _is_json(line: bytes) -> bool:
 
 def load(spark: SparkSession, path: str, file_type: str = "auto", **options) -> DataFrame:
     """Read a table in a named or detected format; other formats go to their connector."""
-    kind = detect_format(path) if file_type == "auto" else file_type
+    kind = detect_format(path, spark) if file_type == "auto" else file_type
     if kind == "csv":
         return read_csv(spark, path, **options)
     if kind == "parquet":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesmith.sources.readers import charset
 
@@ -28,10 +30,18 @@ def write_csv(
     mode: str = "w",
     rows_per_file: int | None = None,
 ) -> None:
+    """Cells keep their blanks and line ends; quotes in them are doubled unless there is an ``escapechar``.
+
+    An empty text is written as two quotes, a null as ``na_rep``. Text that the character set can't hold raises.
+    """
     options = {
         "sep": sep, "header": str(header).lower(), "encoding": charset(encoding), "quote": quotechar, "nullValue": na_rep,
+        "escape": quotechar if escapechar is None else escapechar, "emptyValue": quotechar * 2,
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
     }
-    for name, value in (("escape", escapechar), ("compression", compression), ("lineSep", lineterminator)):
+    if not charset(encoding).startswith("UTF"):
+        df = _encodable(df, charset(encoding))
+    for name, value in (("compression", compression), ("lineSep", lineterminator)):
         if value is not None:
             options[name] = value
     if rows_per_file is not None:
@@ -39,6 +49,13 @@ def write_csv(
     df.write.mode(_mode(mode)).options(**options).csv(path)
 
 
+def _encodable(df: DataFrame, name: str) -> DataFrame:
+    """The same rows; a text that ``name`` can't hold raises when it is written."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return df.select(*[F.decode(F.encode(c, name), name).alias(n) if n in texts else c for c, n in zip(columns, df.columns)])
+
+
 def write_parquet(
     df: DataFrame,
     path: str,
