@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from tablesmith.operators.splits import SALTS, Splits, hot_keys, salt
+from tablesmith.operators.splits import Splits, hot_keys, salt, shuffle_partitions
 
 
 def group_by(df: DataFrame, *keys: str, dropna: bool = True) -> GroupedData:
@@ -30,9 +30,10 @@ def merge(
     """Join on equal names, or on ``left_on``/``right_on`` keeping both columns.
 
     Clashing other names get the suffixes. ``null_equal`` lets null keys match.
-    ``spread_hot`` names the side, ``left`` or ``right``, whose keys may repeat without
-    bound, for inner and left joins: its keys are sampled, rows of keys that fill many
-    tasks get a salt, and the other side repeats only its rows with such a key.
+    Adaptive execution splits skewed partitions of inner and left joins by itself, without a look at the data
+    beforehand. Where that is off, ``spread_hot`` names the side, ``left`` or ``right``, whose keys may repeat without
+    bound: its keys are counted and sampled when the join is declared, rows of keys that fill a
+    task get a salt, and the other side repeats only its rows with such a key.
     """
     keys = [on] if isinstance(on, str) else list(on or [])
     if not keys and (left_on is None or right_on is None):
@@ -79,7 +80,7 @@ def _salted_join(
 ) -> DataFrame:
     """Join a side with hot keys to one without: salt the first, repeat hot rows of the second."""
     same_keys = Splits(tuple(b for _, b in pairs), (), hot.types, hot.points)
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    every = F.sequence(F.lit(0), F.lit(shuffle_partitions(many) - 1))
     salted = many.withColumn("_salt", F.when(hot.in_split_group(), salt(many).cast("int")).otherwise(F.lit(0)))
     repeated = few.withColumn(
         "_copy", F.explode(F.when(same_keys.in_split_group(), every).otherwise(F.array(F.lit(0))))

@@ -17,11 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_BLOCK = 100_000
-MAX_BLOCKS = 4096
+BLOCKS_PER_PARTITION = 2
 SAMPLES_PER_BLOCK = 32
-SALTS = 512
 FEW_POINTS = 40
+#: Longest text kept in a split point; a beginning splits as well as the whole.
+POINT_CHARS = 200
 
 
 @dataclass(frozen=True)
@@ -107,15 +107,15 @@ def find_splits(
     df: DataFrame,
     by: Sequence[str] = (),
     order: Sequence[str] = (),
-    rows_per_block: int = ROWS_PER_BLOCK,
-    max_blocks: int = MAX_BLOCKS,
+    rows_per_block: int | None = None,
     rows: int | None = None,
+    point_chars: int | None = POINT_CHARS,
 ) -> Splits:
     """Split points for groups of ``by`` that hold more than about one block of rows.
 
-    Costs a count, unless ``rows`` gives it, and one thin sample of the key columns,
-    whose size depends on ``max_blocks`` and not on the data. Small tables get no
-    points, and callers then use a plain window.
+    There are a few blocks for each shuffle partition, whatever the size of the table, so blocks
+    grow and shrink with what a task is meant to hold. Runs a count, unless ``rows`` gives it, and collects one thin
+    sample of the key columns, a few dozen keys per block, texts cut to ``point_chars``.
     """
     by, order = tuple(by), tuple(order)
     schema = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -123,12 +123,14 @@ def find_splits(
     none = Splits(by, order, types, ())
     keys = df.select(*by, *order)
     rows = keys.count() if rows is None else rows
-    blocks = min(max_blocks, rows // rows_per_block)
-    if blocks < 2:
+    blocks = BLOCKS_PER_PARTITION * shuffle_partitions(df) if rows_per_block is None else rows // rows_per_block
+    if blocks < 2 or not rows:
         return none
     wanted = blocks * SAMPLES_PER_BLOCK
+    cut = [c for c in order if schema[c] == "string" and point_chars]
     sample = (
         keys.sample(fraction=min(1.0, wanted / rows), seed=17)
+        .withColumns({c: F.substring(_quoted(c), 1, point_chars) for c in cut})
         .select("*", *[F.col(c).cast("string").alias(f"_s{i}") for i, c in enumerate(by + order)])
         .orderBy(*by, *order)
         .select(*[f"_s{i}" for i in range(len(types))])
@@ -137,6 +139,10 @@ def find_splits(
     return Splits(by, order, types, _points([tuple(r) for r in sample], len(by)))
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _points(sample: list[tuple], by: int) -> tuple[tuple, ...]:
     """Every n-th sampled row of the groups that fill at least one block."""
     sizes: dict[tuple, int] = {}
@@ -152,14 +158,12 @@ def _points(sample: list[tuple], by: int) -> tuple[tuple, ...]:
     return tuple(dict.fromkeys(points))
 
 
-def salt(df: DataFrame, salts: int = SALTS) -> Column:
-    """A spread of rows that depends on their content only, so retries agree."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+def salt(df: DataFrame) -> Column:
+    """A spread of rows by their place in the input, so that equal rows spread too; there are as many salts as shuffle partitions."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(shuffle_partitions(df)))
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows_per_key: int = 1_000_000, max_keys: int = MAX_BLOCKS
-) -> Splits:
-    """The key values, null among them, that hold more than about ``rows_per_key`` rows, as points."""
-    splits = find_splits(df, keys, (), rows_per_key, max_keys)
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_key: int | None = None) -> Splits:
+    """The key values, null among them, that fill more than about one block of rows on their own, as points."""
+    splits = find_splits(df, keys, (), rows_per_key, point_chars=None)
     return Splits(splits.by, (), splits.types, tuple(dict.fromkeys(splits.points)))

@@ -48,7 +48,7 @@ def transform_groups(
     back, so a group of any size stays spread over its tasks.
     """
     stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in statistics.items()])
-    joined = merge(df, stats, list(by), how="left", null_equal=True, spread_hot="left")
+    joined = merge(df, stats, list(by), how="left", null_equal=True)
     return apply_rows(joined, [*columns, *statistics], function, dtype, name).select(*df.columns, name)
 
 

@@ -153,7 +153,7 @@ def _orders(spark, sf_dir, *extra: str) -> DataFrame:
     """
 )
 def join_inner(spark, sf_dir):
-    return R.merge(_orders(spark, sf_dir), _customers(spark, sf_dir), on="customer_id", spread_hot="left")
+    return R.merge(_orders(spark, sf_dir), _customers(spark, sf_dir), on="customer_id")
 
 
 _ORDERS_96 = "(SELECT * FROM orders WHERE year(o_orderdate) = 1996)"
@@ -176,7 +176,7 @@ def _partial_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 )
 def join_left(spark, sf_dir):
     orders, customers = _partial_sides(spark, sf_dir)
-    return R.merge(orders, customers, on="customer_id", how="left", spread_hot="left")
+    return R.merge(orders, customers, on="customer_id", how="left")
 
 
 @query(
@@ -207,9 +207,9 @@ def join_multi(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product"))
     orders = _orders(spark, sf_dir).drop("amount")
     customers = _customers(spark, sf_dir).drop("segment")
-    buyers = R.merge(orders, customers, on="customer_id", spread_hot="left")
-    products = R.merge(lines, parts, on="product_id", spread_hot="left")
-    return R.merge(products, buyers, on="order_id", spread_hot="left")
+    buyers = R.merge(orders, customers, on="customer_id")
+    products = R.merge(lines, parts, on="product_id")
+    return R.merge(products, buyers, on="order_id")
 
 
 @query(
@@ -220,7 +220,7 @@ def join_multi(spark, sf_dir):
 def join_diff_keys(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return R.merge(orders, customers, left_on="o_custkey", right_on="c_custkey", spread_hot="left")
+    return R.merge(orders, customers, left_on="o_custkey", right_on="c_custkey")
 
 
 @query(
@@ -237,7 +237,7 @@ def join_suffixes(spark, sf_dir):
         F.col("l_extendedprice").alias("price"),
     )
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_retailprice").alias("price"))
-    return R.merge(lines, parts, on="product_id", how="left", suffixes=("_order", "_product"), spread_hot="left")
+    return R.merge(lines, parts, on="product_id", how="left", suffixes=("_order", "_product"))
 
 
 # Aggregates
@@ -487,7 +487,7 @@ def _lines_with_type(spark, sf_dir) -> DataFrame:
     """Sales per order and part type. Lines per part are many, parts are unique."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", C.exact("l_extendedprice").alias("amount"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    typed = R.merge(lines, parts, on="l_partkey", spread_hot="left")
+    typed = R.merge(lines, parts, on="l_partkey")
     per_order = typed.groupBy("l_orderkey", "p_type").agg(F.sum("amount").alias("amount"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
