@@ -209,6 +209,14 @@ def migration_flags(scripts: DataFrame, keep_unflagged: bool = False) -> DataFra
     return flag_rows(scripts, rules, ["path"], keep_unflagged)
 
 
+def migration_risk(scripts: DataFrame) -> DataFrame:
+    """HIGH findings per script, each occurrence counted, and the level they make."""
+    text = F.col("text")
+    high = F.when(text.contains("SparkContext"), F.regexp_count(text, F.lit(r"\bsc\."))).otherwise(F.lit(0)).cast("bigint")
+    level = F.when(F.col("high") > 3, "CRITICAL").when(F.col("high") > 0, "HIGH").otherwise("LOW")
+    return scripts.select("path", high.alias("high")).withColumn("risk_level", level)
+
+
 def old_interfaces(scripts: DataFrame) -> DataFrame:
     """Old interface names a script mentions, with the advice."""
     found = [

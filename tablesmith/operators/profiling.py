@@ -190,13 +190,23 @@ def outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataF
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """The ``k`` most frequent values per column with share; ties go to the smaller text."""
+    """The ``k`` most frequent values per column with their share of the values present, and the share of values that differ.
+
+    Ties go to the smaller text.
+    """
     frames = []
     for name in columns:
         text = F.col(_quoted(name)).cast("string")
         counts = df.groupBy(text.alias("value")).agg(F.count("*").alias("n")).where("value IS NOT NULL")
+        totals = counts.agg(F.sum("n").alias("present"), F.count("*").alias("different"))
         best = counts.orderBy(F.col("n").desc(), F.col("value")).limit(k)
-        frames.append(best.select(F.lit(name).alias("column"), "value", "n"))
+        frames.append(
+            best.select(
+                F.lit(name).alias("column"), "value", "n",
+                (F.col("n") / totals.select("present").scalar()).alias("share"),
+                (totals.select("different").scalar() / totals.select("present").scalar()).alias("cardinality_ratio"),
+            )
+        )
     return _union(frames)
 
 
@@ -207,22 +217,13 @@ def value_patterns(df: DataFrame, column: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
-    """A repeatable sample: the rows whose key hashes lowest, marked as a sample.
+    """A repeatable sample: the rows whose key has the lowest SHA-256 as text, marked as a sample.
 
-    A hash threshold thins the input, so that the final sort sees a few times the
-    wanted rows and not some from every task; the full sort remains for the case
-    that too few pass.
+    Each task keeps its lowest rows, and those are merged; there is no full sort.
     """
-    place = F.xxhash64(*key)
-    total = df.count()
-    share = 4 * rows / total if total else 1.0
-    chosen = df
-    if share < 1:
-        near = df.where(place < -(2**63) + int(2**64 * share))
-        if near.limit(rows).count() == rows:
-            chosen = near
-    result = chosen.orderBy(place, *key).limit(rows)
-    return result.withColumn("is_sample", F.lit(rows < total))
+    place = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(_quoted(k)).cast("string"), F.lit("")) for k in key]), 256)
+    result = df.orderBy(place, *key).limit(rows)
+    return result.withColumn("is_sample", F.lit(rows) < df.agg(F.count("*").alias("n")).select("n").scalar())
 
 
 def check_columns(

@@ -30,15 +30,17 @@ def parse_templates(texts: DataFrame) -> DataFrame:
     # Each nesting level needs one more key of this name; escapes could hide one.
     levels = F.when(F.contains("text", F.lit("\\u")), F.length("text")).otherwise(F.regexp_count("text", F.lit('"resources"')))
     parsed = texts.select(
-        F.col("path").alias("template"), F.try_parse_json("text").alias("doc"), levels.alias("most_levels")
+        F.col("path").alias("template"), F.try_parse_json("text").alias("doc"), levels.alias("most_levels"),
+        F.get_json_object("text", "$").isNotNull().alias("readable"),
     )
     schema = _text("doc", "$['$schema']")
     reason = (
-        F.when(F.col("doc").isNull(), "Invalid JSON")
+        F.when(F.col("doc").isNull() & F.col("readable"), "Repeated key")
+        .when(F.col("doc").isNull(), "Invalid JSON")
         .when(schema.isNull(), "Missing $schema")
         .when(~schema.contains(SCHEMA_MARK), F.concat(F.lit("Unknown schema: "), schema))
     )
-    return parsed.withColumn("error", reason)
+    return parsed.withColumn("error", reason).drop("readable")
 
 
 def template_errors(parsed: DataFrame) -> DataFrame:

@@ -304,7 +304,7 @@ def _scripts(spark, sf_dir) -> DataFrame:
         F.format_string("other = pd.read_parquet(f'{base}/%d.parquet')", "p_size"),
         F.when(size % 2 == 0, F.format_string("df.to_json('out/%d.json', orient='records')", "p_partkey")).otherwise("df.to_csv(target)"),
         F.lit("m = df['t'].dt.to_period('M')"),
-        F.when(size % 3 == 0, "sc = SparkContext(); sc.textFile('x')"),
+        F.when(size % 9 == 0, "sc = SparkContext(); sc.textFile('x'); sc.stop(); sc.stop(); sc.stop()").when(size % 3 == 0, "sc = SparkContext(); sc.textFile('x')"),
         F.when(size % 4 == 0, "r = df.rdd"),
         F.when(size % 5 == 0, "c = SQLContext(s)"),
         F.when(size % 10 == 0, "def broken(:"),
@@ -364,13 +364,13 @@ def migration_flags(spark, sf_dir):
 
 @query(
     f"""
-    SELECT {_SCRIPT} AS path, CAST(CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS high,
-           CASE WHEN p_size % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level
+    SELECT {_SCRIPT} AS path, CAST(CASE WHEN p_size % 9 = 0 THEN 4 WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS high,
+           CASE WHEN p_size % 9 = 0 THEN 'CRITICAL' WHEN p_size % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level
     FROM part
     """
 )
 def migration_risk(spark, sf_dir):
-    return Q.risk_level(K.migration_flags(_scripts(spark, sf_dir), keep_unflagged=True), ["path"])
+    return K.migration_risk(_scripts(spark, sf_dir))
 
 
 @query(f"SELECT {_SCRIPT} AS path, 'SQLContext' AS old, 'Use SparkSession' AS new FROM part WHERE p_size % 5 = 0")

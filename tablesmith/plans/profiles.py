@@ -114,7 +114,9 @@ def column_stats(spark, sf_dir):
 
 
 def _top_sql(source: str, column: str, k: int) -> str:
-    return f"""SELECT * FROM (SELECT '{column}' AS "column", CAST({column} AS VARCHAR) AS value, count(*) AS n
+    return f"""SELECT * FROM (SELECT '{column}' AS "column", CAST({column} AS VARCHAR) AS value, count(*) AS n,
+               count(*) / (SELECT count({column}) FROM {source}) AS share,
+               (SELECT count(DISTINCT {column}) / count({column}) FROM {source}) AS cardinality_ratio
                FROM {source} GROUP BY 2 ORDER BY n DESC, value LIMIT {k})"""
 
 
@@ -133,9 +135,9 @@ def value_patterns(spark, sf_dir):
     return P.value_patterns(table(spark, sf_dir, "pages"), "url")
 
 
-@query()
+@query("SELECT *, 1000 < (SELECT count(*) FROM orders) AS is_sample FROM orders ORDER BY sha256(CAST(o_orderkey AS VARCHAR)) LIMIT 1000")
 def sample_rows(spark, sf_dir):
-    """A hash sample; the hash has no twin in the other engine, so only rows are checked."""
+    """The thousand orders whose keys have the lowest digests."""
     return P.sample_rows(table(spark, sf_dir, "orders"), ["o_orderkey"], 1000)
 
 
@@ -149,9 +151,9 @@ def _outliers_sql(source: str, column: str) -> str:
     """
 
 
-@query(_outliers_sql("events", "value"))
+@query(f"{_outliers_sql('events', 'value')} UNION ALL {_outliers_sql('orders', 'o_totalprice')}")
 def outliers_iqr(spark, sf_dir):
-    found = P.outliers(table(spark, sf_dir, "events"), ["value"])
+    found = P.outliers(table(spark, sf_dir, "events"), ["value"]).unionByName(P.outliers(table(spark, sf_dir, "orders"), ["o_totalprice"]))
     return found.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
