@@ -21,8 +21,10 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.llm.common import fresh, let, slices
+from tablesmith.session import stage
 
 LONG = 128
-#: Ids of a vocabulary are below this; with the other two, it places pairs of ids in the literal map.
-IDS_AT_MOST = 1 << 16
-BUCKETS = 65_521
-FACTOR = 7919
-BATCH_BYTES = 16 << 20
+#: Ids of a vocabulary are below the first; pairs of ids are in so many maps.
+IDS_AT_MOST, BUCKETS = 1 << 16, 99_991
+BATCH_BYTES, CHUNKS_AT_ONCE = 8 << 20, 1 << 17
 #: Pieces folded beforehand, at most, and the documents that they are counted in, about.
-COMMON, SAMPLE_DOCS = 1 << 19, 30_000
+COMMON, SAMPLE_DOCS = 1 << 18, 20_000
 IDS = np.dtype("<u4")
 
 
@@ -51,18 +52,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: what a pair of neighbouring ids merges to.
-
-    Buckets hold null and then key, rank, key, rank and so on; no key is as small as a rank. So the
-    place of a key is that of its rank if counted from 0, and of null if there is none.
-    """
-    buckets: list[list[int | None]] = [[None] for _ in range(BUCKETS)]
+    """The ranks as a literal: what a pair of neighbouring ids merges to, in an array of small maps."""
+    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                buckets[(left * FACTOR + right) % BUCKETS] += [(left + 1) * IDS_AT_MOST + right, rank]
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
+                pair = left * IDS_AT_MOST + right
+                buckets[pair % BUCKETS][pair] = rank
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,bigint>>")
 
 
 def byte_ids(ranks: dict[bytes, int]) -> Column:
@@ -73,14 +71,13 @@ def byte_ids(ranks: dict[bytes, int]) -> Column:
 def encode(pieces: Column, table: Column, of_bytes: Column) -> Column:
     """The ids of each piece, given as arrays of byte values, by folds of ranked merges.
 
-    The id that a pair merges to is its rank. A state is the ids so far and the rank of each with its right neighbour.
+    The id that a pair merges to is its rank. A state is the ids so far and the rank of each with its right neighbour, null if they don't merge.
     """
-    none = F.array().cast("array<bigint>")
 
     def fold(table: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
-            near = F.get(table, ((left * FACTOR + right) % BUCKETS).cast("int"))
-            return let(near, lambda found: F.get(found, F.array_position(found, (left + 1) * IDS_AT_MOST + right).cast("int")))
+            pair = left * IDS_AT_MOST + right
+            return F.get(table, (pair % BUCKETS).cast("int"))[pair]
 
         def step(state: Column, _: Column) -> Column:
             return let(F.array_min(state["ranks"]), lambda best: F.when(best.isNull(), state).otherwise(merged(state, best)))
@@ -89,18 +86,18 @@ def encode(pieces: Column, table: Column, of_bytes: Column) -> Column:
             return let(F.array_position(state["ranks"], best).cast("int"), lambda at: joined(state["ids"], state["ranks"], best, at))
 
         def joined(ids: Column, ranks: Column, new: Column, at: Column) -> Column:
-            """The pair at ``at``, from 1, becomes one id; the ranks beside it are looked up anew."""
+            """The pair at ``at``, from 1, becomes one id; the ranks on both sides are looked up anew."""
             count = F.size(ids)
-            left = F.when(at > 1, F.array(rank(F.get(ids, at - 2), new))).otherwise(none)
-            right = F.when(at + 1 < count, F.array(rank(new, F.get(ids, at + 1)))).otherwise(none)
+            beside = F.array(rank(F.get(ids, at - 2), new), rank(new, F.get(ids, at + 1)))
             return F.struct(
                 F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, count)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, count)).alias("ranks"),
+                F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), beside, F.slice(ranks, at + 2, count)))
+                .otherwise(F.concat(F.slice(beside, 2, 1), F.slice(ranks, at + 2, count)))
+                .alias("ranks"),
             )
 
         def start(ids: Column) -> Column:
-            rest = F.slice(ids, F.lit(2), F.size(ids))
-            return F.struct(ids.alias("ids"), F.transform(rest, lambda right, i: rank(F.get(ids, i), right)).alias("ranks"))
+            return F.struct(ids.alias("ids"), F.transform(ids, lambda left, i: rank(left, F.get(ids, i + 1))).alias("ranks"))
 
         def one(piece: Column) -> Column:
             first = let(F.transform(piece, lambda b: F.get(of_bytes, b.cast("int"))), start)
@@ -144,76 +141,123 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Numbering(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+class Codes(dict):
+    """Codes of known pieces; a new piece gets the next code below 0."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        code = self[piece] = -len(self.new)
+        return code
+
+
 class Codec:
-    """A vocabulary with its pattern; ``common`` lists pieces whose ids are known beforehand."""
+    """A vocabulary with its pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, pattern
 
     def cut(self, batches: Iterator[pa.RecordBatch], known: dict[str, int], keep: list[str]) -> Iterator[pa.RecordBatch]:
-        """One row per few megabytes of texts: kept columns, a code for each piece, the distinct pieces not known.
+        """One row per few megabytes of texts: kept columns, numbers of chunks, pieces of each chunk, bytes of the new pieces.
 
-        Codes from 0 are places in the known pieces, codes below are ``-1 -`` places in the new ones.
+        A single blank before a chunk belongs to it, so no piece reaches over from one chunk to the next, and each
+        distinct chunk is cut into pieces once. Where blanks follow each other that doesn't hold, and
+        the pieces themselves are the chunks. Codes of pieces from 0 are places in the known
+        pieces, codes below are ``-1 -`` places in the new ones.
         """
         find = regex.compile(self.pattern).findall
         for batch in slices(batches, size=BATCH_BYTES):
-            new: dict[str, int] = {}
-            codes, sizes = [], []
+            after_blank, plain = Numbering(), Numbering()
+            numbers, sizes = [], []
             for text in batch.column("text").to_pylist():
-                pieces = find(text or "")
-                sizes.append(len(pieces))
-                found = [known.get(p) for p in pieces]
-                if None in found:
-                    found = [-1 - new.setdefault(p, len(new)) if c is None else c for p, c in zip(pieces, found)]
-                codes.append(np.array(found, np.int32))
-            words = [p.encode() for p in new]
+                if not text or "  " in text:
+                    found = [~plain[p] for p in find(text or "")]
+                else:
+                    first, *rest = text.split(" ")
+                    found = list(map(after_blank.__getitem__, rest))
+                    if first:
+                        found.insert(0, ~plain[first])
+                sizes.append(len(found))
+                numbers.append(np.array(found, np.int32))
+            numbers = np.concatenate(numbers)
+            numbers = np.where(numbers < 0, len(after_blank) + ~numbers, numbers).astype(np.int32)  # those after a blank come first
+            codes_of, codes, lengths = Codes(known), array("i"), array("i")
+            for blank, chunks in ((" ", after_blank), ("", plain)):
+                for chunk in chunks:
+                    pieces = find(blank + chunk)
+                    lengths.append(len(pieces))
+                    codes.extend(map(codes_of.__getitem__, pieces))
+            words = [p.encode() for p in codes_of.new]
+            del codes_of, after_blank, plain
             short = [w if len(w) <= LONG else b"" for w in words]
+            packed = [_packed(batch.select(keep)), *[np.array(x, np.int32).tobytes() for x in (sizes, numbers, lengths, codes)]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([_packed(batch.select(keep))], pa.binary()),
-                    pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()),
-                    pa.array([np.concatenate(codes).tobytes()], pa.binary()),
+                    *[pa.array([x], pa.binary()) for x in packed],
                     pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), _byte_lists(short)),
                     pa.array([[w for w in words if len(w) > LONG]], pa.list_(pa.binary())),
                 ],
-                ["kept", "sizes", "codes", "pieces", "long"],
+                ["kept", "sizes", "numbers", "lengths", "codes", "pieces", "long"],
             )
 
-    def put(self, batches: Iterator[pa.RecordBatch], known: tuple[np.ndarray, np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
-        """The kept columns with the ids of each text as little-endian bytes."""
+    def put(self, batches: Iterator[pa.RecordBatch], known: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        """The kept columns and the ids of each text."""
         for batch in batches:
             for row in range(batch.num_rows):
                 one = {n: batch.column(n)[row] for n in batch.schema.names}
-                folded = one["ids"].values
-                lengths, flat = _flat(folded)
-                long = one["long"].values
-                if len(long):
-                    lengths, flat = self._with_long(lengths, flat, long.to_pylist())
-                codes = np.frombuffer(one["codes"].as_py(), np.int32)
-                # new pieces come first, so that -1 - code and count + code are places in one table
-                lengths = np.concatenate((lengths, known[0]))
-                flat = np.concatenate((flat, known[1]))
-                count = len(lengths) - len(known[0])
-                places = np.where(codes < 0, -1 - codes, count + codes)
-                starts = np.cumsum(lengths) - lengths
-                taken = lengths[places]
-                ends = np.cumsum(taken)
-                ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[places] - (ends - taken), taken)]
-                sizes = np.frombuffer(one["sizes"].as_py(), np.int64)
-                bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
-                texts = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                kept = _unpacked(one["kept"].as_py())
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.binary())], [*kept.schema.names, name])
-
-    def _with_long(self, lengths: np.ndarray, flat: np.ndarray, long: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                sizes, numbers, lengths, codes = (np.frombuffer(one[n].as_py(), np.int32) for n in ("sizes", "numbers", "lengths", "codes"))
+                new = self._with_long(*_flat(one["ids"].values), one["long"].as_py())
+                # new pieces come first, so that ~code and count + code are places in one table
+                pieces = Ragged(np.concatenate((new.lengths, known[0])), np.concatenate((new.flat, known[1])))
+                places = np.where(codes < 0, ~codes, len(new.lengths) + codes)
+                chunks = Ragged(np.add.reduceat(np.append(pieces.lengths[places], 0), np.cumsum(lengths) - lengths) * (lengths > 0), pieces.taken(places)) if len(lengths) else Ragged(lengths, codes)
+                ends = np.cumsum(sizes)
+                kept, at = _unpacked(one["kept"].as_py()), 0
+                while at < len(sizes):  # some texts at once
+                    stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + CHUNKS_AT_ONCE, side="right")))
+                    mine = numbers[ends[at] - sizes[at] : ends[stop - 1]]
+                    bounds = np.concatenate(([0], np.cumsum(chunks.lengths[mine])))[np.concatenate(([0], np.cumsum(sizes[at:stop])))]
+                    ids = chunks.taken(mine)
+                    yield kept.slice(at, stop - at), [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+                    at = stop
+
+    def _with_long(self, lengths: np.ndarray, flat: np.ndarray, long: list[bytes]) -> Ragged:
         """Pieces too long to be folded have no ids yet."""
+        if not long:
+            return Ragged(lengths, flat)
         parts = np.split(flat, np.cumsum(lengths)[:-1])
         for at, piece in zip(np.flatnonzero(lengths == 0), long):
-            parts[at] = np.array(self.merge(piece), IDS)
-        return np.array([len(p) for p in parts], np.int64), np.concatenate(parts).astype(IDS)
+            parts[at] = np.array(merge(piece, self.ranks), IDS)
+        return Ragged(np.array([len(p) for p in parts], np.int64), np.concatenate(parts).astype(IDS))
+
+    def decoder(self) -> Callable[[np.ndarray], bytes]:
+        pieces = {rank: piece for piece, rank in self.ranks.items()}
+        return lambda ids: b"".join(map(pieces.__getitem__, ids.tolist()))
+
+
+@dataclass(frozen=True)
+class Ragged:
+    """Runs of ids, end to end."""
 
-    def merge(self, piece: bytes) -> list[int]:
-        return merge(piece, self.ranks)
+    lengths: np.ndarray
+    flat: np.ndarray
+
+    def taken(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the runs at ``places``, end to end."""
+        starts, lengths = (np.cumsum(self.lengths) - self.lengths)[places], self.lengths[places]
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
 
 
 def _byte_lists(words: list[bytes]) -> pa.ListArray:
@@ -237,8 +281,8 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lengths, lists.flatten().to_numpy(zero_copy_only=False).astype(IDS)
 
 
-def common_pieces(docs: DataFrame, codec: Codec, documents: int = SAMPLE_DOCS, most: int = COMMON) -> list[str]:
-    """At most ``most`` pieces, the most frequent of about ``documents`` documents. They save work only: others are folded where they occur."""
+def common_pieces(docs: DataFrame, codec: Codec, documents: int = SAMPLE_DOCS, most: int = COMMON) -> DataFrame:
+    """(piece): at most ``most`` pieces, the most frequent of about ``documents`` documents. They save work only: others are folded where they occur."""
     share = min(1.0, documents / max(1, docs.count()))
     chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
 
@@ -250,45 +294,61 @@ def common_pieces(docs: DataFrame, codec: Codec, documents: int = SAMPLE_DOCS, m
         seen = [(p, n) for p, n in total.items() if len(p) <= LONG // 4]  # no longer than LONG in bytes
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64())], ["piece", "n"])
 
-    counted = chosen.select("text").mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "piece").limit(most)
-    return [row.piece for row in top.collect()]
+    counts = chosen.select("text").mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "pieces")
+    least, room = 1, most
+    for n, pieces in sorted(counts.groupBy("n").count().collect(), reverse=True):  # one row per frequency, few
+        room -= pieces
+        if room < 0:
+            least = n + 1
+            break
+    return counts.where(F.col("n") >= least).select("piece")
+
 
+def encoded(docs: DataFrame, codec: Codec, keep: list[str] | None = None, common: DataFrame | None = None, decoding: bool = False) -> DataFrame:
+    """The kept columns, all if not said, and ``ids``: each text's ids as little-endian unsigned 32-bit integers.
 
-def encoded(docs: DataFrame, codec: Codec, keep: list[str] | None = None, common: list[str] | None = None) -> DataFrame:
-    """The kept columns, all if not said, and ``ids``: each text's ids as little-endian unsigned 32-bit integers."""
+    With ``decoding`` also ``bytes``, what the ids decode to, without another pass.
+    """
     keep = docs.columns if keep is None else keep
-    spark, name = docs.sparkSession, fresh(docs, "ids")
+    spark, names = docs.sparkSession, [fresh(docs, n) for n in (("ids", "bytes") if decoding else ("ids",))]
     common = common_pieces(docs, codec) if common is None else common
     table, of_bytes = rank_map(codec.ranks), byte_ids(codec.ranks)
-    rows = spark.createDataFrame(pa.table({"piece": pa.array(np.arange(len(common))), "bytes": _byte_lists([p.encode() for p in common])}))
-    grouped = rows.groupBy(F.floor(F.col("piece") / 4096).alias("part")).agg(F.array_sort(F.collect_list(F.struct("piece", "bytes"))).alias("all"))
-    folded = grouped.select("part", encode(F.transform("all", lambda x: x["bytes"]), table, of_bytes).alias("ids")).toArrow().sort_by("part")  # the common pieces
-    lists = folded.column("ids").combine_chunks()
-    lengths, flat = _flat(lists.flatten()) if len(lists) else (np.zeros(0, np.int64), np.zeros(0, IDS))
-    known = spark.sparkContext.broadcast(({p: i for i, p in enumerate(common)}, (lengths, flat)))  # at most COMMON pieces of at most LONG bytes
+    digits, places = F.hex("piece"), F.sequence(F.lit(1), F.octet_length("piece"))
+    values = F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("smallint"))
+    folded = common.select("piece", encode(F.array(values), table, of_bytes)[0].alias("ids")).toArrow().combine_chunks()  # the common pieces
+    lists = pa.concat_arrays([pa.array([], pa.list_(pa.int64())), *folded.column("ids").chunks])
+    pieces = {p: i for i, p in enumerate(folded.column("piece").to_pylist())}
+    known, runs = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(_flat(lists))  # at most COMMON pieces of at most LONG bytes
+    del folded, lists, pieces
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return codec.cut(batches, known.value[0], keep)
+        return codec.cut(batches, known.value, keep)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return codec.put(batches, known.value[1], name)
+        decode = codec.decoder()
+        for kept, ids in codec.put(batches, runs.value):
+            columns = [*kept.columns, pa.array([x.tobytes() for x in ids], pa.binary())]
+            if decoding:
+                columns.append(pa.array([decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [*kept.schema.names, *names])
 
     needed = [*keep, *([] if "text" in keep else ["text"])]
-    pieces = docs.select(*needed).mapInArrow(cut, "kept binary, sizes binary, codes binary, pieces array<array<smallint>>, long array<binary>")
-    folds = pieces.select("kept", "sizes", "codes", "long", encode(F.col("pieces"), table, of_bytes).alias("ids"))
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, T.BinaryType())])
+    shape = "kept binary, sizes binary, numbers binary, lengths binary, codes binary, pieces array<array<smallint>>, long array<binary>"
+    pieces = docs.select(*needed).mapInArrow(cut, shape)
+    folds = pieces.withColumn("ids", encode(F.col("pieces"), table, of_bytes)).drop("pieces")
+    schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.BinaryType()) for n in names]])
     return folds.mapInArrow(put, schema)
 
 
 def decoded(tokens: DataFrame, codec: Codec) -> DataFrame:
     """The rows with ``bytes``: what the ids stand for, put together."""
-    pieces = {rank: piece for piece, rank in codec.ranks.items()}
     name = fresh(tokens, "bytes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = codec.decoder()
         for batch in slices(batches, "ids"):
-            whole = [b"".join(map(pieces.__getitem__, np.frombuffer(ids or b"", IDS).tolist())) for ids in batch.column("ids").to_pylist()]
+            whole = [decode(np.frombuffer(ids or b"", IDS)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole, pa.binary())], [*batch.schema.names, name])
 
     return tokens.mapInArrow(work, T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())]))
@@ -296,8 +356,7 @@ def decoded(tokens: DataFrame, codec: Codec) -> DataFrame:
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
-    both = decoded(encoded(docs.select("doc_id", "text"), codec, ["doc_id"]), codec)
-    return both.select(
+    return encoded(docs.select("doc_id", "text"), codec, ["doc_id"], decoding=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
