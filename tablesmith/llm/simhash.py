@@ -147,11 +147,14 @@ def reach(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(members, np.uint64), np.array(roots, np.uint64)
 
 
-def links(points: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b): enough links between the distinct values of column ``f`` to connect all within ``radius``."""
+def links(points: DataFrame, radius: int = 2, shard_size: int = SHARD) -> DataFrame:
+    """(a, b): enough links between the distinct values of column ``f`` to connect all within ``radius``.
+
+    The wider the radius, the more points lie near a bound and go to both sides, so the larger shards should be.
+    """
     distinct = stage(points.select("f").distinct(), "fingerprints")
     count = distinct.count()
-    wanted = min(MAX_SAMPLE, SAMPLED_PER_SHARD * (count // SHARD))
+    wanted = min(MAX_SAMPLE, SAMPLED_PER_SHARD * (count // shard_size))
     sample = []
     if wanted:
         # bounded: a few dozen fingerprints per shard of thousands, at most MAX_SAMPLE
@@ -170,7 +173,8 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
         members, roots = reach(group.column("f").to_numpy().view(np.uint64), radius)
         return pa.table({"a": members.view(np.int64), "b": roots.view(np.int64)})
 
-    dealt = distinct.mapInArrow(deal, "shard bigint, f bigint")
+    spread = distinct.repartition(max(1, count // 16_000), "f")  # a small file would be one task
+    dealt = spread.mapInArrow(deal, "shard bigint, f bigint")
     return dealt.groupBy("shard").applyInArrow(close, "a bigint, b bigint")
 
 
@@ -188,7 +192,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 
 #: For documents as similar as ``SIMILARITY`` by shingles of five words: fingerprints of single words, which small edits
 #: change little, several of them and at a wider radius, so that hardly a pair is missed before it is compared.
-SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 8
+SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, WORD_SHARD, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 16_000, 8
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -198,7 +202,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
         f = F.col(f"f{i}")
         least = classes.groupBy(f.alias("f")).agg(F.min("node").alias("b"), F.count("*").alias("n"))
         equal = classes.select(F.col("node").alias("a"), f.alias("f")).join(least.where("n > 1"), "f").select("a", "b")
-        close = links(classes.select(f.alias("f")), WORD_RADIUS)
+        close = links(classes.select(f.alias("f")), WORD_RADIUS, WORD_SHARD)
         ends = least.select("f", F.col("b").alias("node"))
         near = close.join(ends.select(F.col("f").alias("a"), F.col("node").alias("first")), "a").join(ends.select(F.col("f").alias("b"), F.col("node").alias("second")), "b")
         both = equal.unionByName(near.select(F.col("first").alias("a"), F.col("second").alias("b")))
