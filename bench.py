@@ -15,7 +15,7 @@ from tablesmith.session import local_session
 HEADLINE = [
     "region_sales", "join_multi", "customer_summary", "category_summary", "crosstab_sum", "running_total", "rank_in_month",
     "spend_percentile", "moving_avg_all", "dedup_first", "profile_columns", "describe_numeric", "duplicate_rows",
-    "recon_row_diff", "recon_keyed_diff", "csv_roundtrip", "table_copy", "text_checksums", "line_diff", "keyword_topk",
+    "recon_row_diff", "csv_documents", "recon_keyed_diff", "csv_roundtrip", "table_copy", "text_checksums", "line_diff", "keyword_topk",
     "template_flags", "cycle_detection", "code_access", "order_workflow",
 ]
 RUNS = 3

@@ -7,14 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesmith.functions.columns import comparable, round_even, row_digest
 from tablesmith.operators.rules import Rule, flag_rows
 from tablesmith.operators.splits import find_splits
 
-COLUMNS_PER_PASS = 3
-
-
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -23,44 +21,54 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def profile_columns(
-    df: DataFrame, approximate: bool = False, per_pass: int = COLUMNS_PER_PASS, by_digest: Sequence[str] = ()
-) -> DataFrame:
+def profile_columns(df: DataFrame, approximate: bool = False, by_digest: Sequence[str] = ()) -> DataFrame:
     """One row per column: type, values present, nulls, share of nulls, distinct values.
 
-    A few columns share each pass. One pass over all of them would send every row
-    once per column through the exchange with all columns in it; a pass reads only
-    its own columns from a columnar source. Stage row-oriented sources first. Columns
-    of long texts may be counted ``by_digest``: SHA-256 instead of the text travels.
+    One scan for any number of columns: each row becomes its values by position, equal ones collapse in each task
+    before they are shuffled. Columns of long texts may be counted ``by_digest``: SHA-256 instead of the text travels.
     """
     df = comparable(df)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    frames = []
-    for start in range(0, len(df.columns), per_pass):
-        fields = df.schema.fields[start : start + per_pass]
-        measures = []
-        for i, field in enumerate(fields):
-            value = F.col(_quoted(field.name))
-            key = F.sha2(value, 256) if field.name in by_digest else value
-            measures += [F.count(value).alias(f"p{i}"), distinct(key).alias(f"d{i}")]
-        counted = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
-        profiles = F.array(
-            *[
-                F.struct(
-                    F.lit(start + i).alias("position"),
-                    F.lit(field.name).alias("column"),
-                    F.lit(field.dataType.simpleString()).alias("dtype"),
-                    F.col(f"p{i}").alias("non_null"),
-                    (F.col("rows") - F.col(f"p{i}")).alias("null_count"),
-                    F.col(f"d{i}").alias("unique"),
-                    F.col("rows").alias("row_count"),
-                )
-                for i, field in enumerate(fields)
-            ]
+    fields = df.schema.fields
+    # a value at place -1 in each row counts the rows
+    every = F.struct(F.lit(-1).alias("position"), F.lit("").alias("value"))
+    values = [F.struct(F.lit(i).alias("position"), _as_text(f, by_digest).alias("value")) for i, f in enumerate(fields)]
+    long = df.select(F.explode(F.array(every, *values)).alias("_v")).select("_v.*").where("value IS NOT NULL")
+    if approximate:
+        counted = long.groupBy("position").agg(F.count("*").alias("non_null"), F.approx_count_distinct("value").alias("unique"))
+    else:
+        distinct = long.groupBy("position", "value").agg(F.count("*").alias("n"))
+        counted = distinct.groupBy("position").agg(F.sum("n").alias("non_null"), F.count("*").alias("unique"))
+    found = counted.agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("non_null", "unique")))).alias("_m"))  # a value per column
+    rows = F.coalesce(F.try_element_at("_m", F.lit(-1))["non_null"], F.lit(0))
+    profiles = []
+    for i, field in enumerate(fields):
+        mine = F.try_element_at("_m", F.lit(i))
+        present = F.coalesce(mine["non_null"], F.lit(0))
+        profiles.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(field.name).alias("column"),
+                F.lit(field.dataType.simpleString()).alias("dtype"),
+                present.alias("non_null"),
+                (rows - present).alias("null_count"),
+                F.coalesce(mine["unique"], F.lit(0)).alias("unique"),
+                rows.alias("row_count"),
+            )
         )
-        frames.append(counted.select(F.explode(profiles).alias("_p")).select("_p.*"))
     percent = round_even(F.try_divide(F.col("null_count") * 100, F.col("row_count")))
-    return _union(frames).withColumn("null_percent", percent)
+    return found.select(F.explode(F.array(*profiles)).alias("_p")).select("_p.*").withColumn("null_percent", percent)
+
+
+def _as_text(field: T.StructField, by_digest: Sequence[str]) -> Column:
+    """A text that is equal for equal values of the column only."""
+    value, kind = F.col(_quoted(field.name)), field.dataType
+    if isinstance(kind, (T.StructType, T.ArrayType)):
+        return F.when(value.isNotNull(), F.to_json(value, {"ignoreNullFields": "false"}))
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(value == 0, F.lit("0.0")).otherwise(value.cast("string"))  # either zero
+    return F.sha2(value, 256) if field.name in by_digest else value.cast("string")
 
 
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, by_digest: bool = False) -> DataFrame:

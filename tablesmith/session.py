@@ -43,9 +43,20 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"tablesmith-{application}-")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/tablesmith/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/tablesmith/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the application's folder."""
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results that still read it must be written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -62,7 +73,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage at a table that outlives any executor. Unlike
-    ``checkpoint()`` the plan runs once and the result stays columnar.
+    ``checkpoint()`` the plan runs once and the result stays columnar. It stays until :func:`clear_scratch`.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -66,6 +66,7 @@ def read_csv(
         "ignoreLeadingWhiteSpace": "false",
         "ignoreTrailingWhiteSpace": "false",
         "mode": _bad_mode(bad_rows),
+        "nullValue": "\u0000",  # an empty cell is null, and a quoted empty one is an empty text
     }
     if comment is not None:
         options["comment"] = comment

@@ -2,6 +2,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tablesmith.operators import reconcile as V
 
 SCHEMA = "k int, v string, x double"
@@ -86,3 +88,13 @@ def test_keyed_diff_finds_the_edits(spark, dropped, changed):
     found = V.keyed_diff(source, spark.createDataFrame(target, "k int, x double"), ["k"]).collect()
     assert {r["k"] for r in found if r["change"] == "missing"} == dropped
     assert {r["k"] for r in found if r["change"] == "changed"} == changed - dropped
+
+
+def test_null_keys_and_changed_types(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string")
+    assert V.keyed_diff(df, df, ["k"]).count() == 0
+    wide = df.withColumn("k", F.col("k").cast("bigint"))
+    assert V.row_diff(df, wide).count() == 0 and V.keyed_diff(df, wide, ["k"]).count() == 0
+    assert [(r.type, r.source, r.target) for r in V.issues(df, wide).collect()] == [("type", "k int", "k bigint")]
+    both = [{r.k for r in V.key_sample(side, ["k"], 50).collect()} for side in (spark.range(100).select(F.col("id").cast("int").alias("k")), spark.range(100).withColumnRenamed("id", "k"))]
+    assert both[0] == both[1]

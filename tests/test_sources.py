@@ -116,3 +116,45 @@ def test_folder_scan_and_outcomes(spark, tmp_path):
     outcomes = folders.file_outcomes(rows, "f", F.col("e"))
     assert {r["f"]: (r["status"], r["message"]) for r in outcomes.collect()} == {"a": ("success", None), "b": ("error", "broken")}
     assert folders.outcome_totals(outcomes).first().asDict() == {"files": 2, "successful": 1, "failed": 1}
+
+
+def test_text_survives_csv(spark, tmp_path):
+    rows = [(1, 'say ""hi"", "x"\nnext line'), (2, "  blanks  "), (3, ""), (4, None), (5, "back\\slash,comma\r\nend"), (6, '"'), (7, "\n")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for escape in (None, "\\"):
+        path = str(tmp_path / f"csv{escape is None}")
+        writers.write_csv(df, path, escapechar=escape)
+        assert sorted(map(tuple, readers.read_csv(spark, path, "id int, t string", escapechar=escape).collect())) == rows or escape
+
+
+def test_bad_rows_raise_or_are_kept(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("id,v\nx,3\n2,4\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        readers.read_csv(spark, str(tmp_path / "bad.csv"), "id int, v int").collect()
+    lenient = readers.read_csv(spark, str(tmp_path / "bad.csv"), "id int, v int", bad_rows="null").collect()
+    assert [tuple(r) for r in lenient] == [(None, 3), (2, 4)]
+    kept = readers.read_csv(spark, str(tmp_path / "bad.csv"), "id int, v int", bad_rows="keep").collect()
+    assert [r["_corrupt_record"] for r in kept] == ["x,3", None]
+    (tmp_path / "bad.json").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        readers.read_json(spark, str(tmp_path / "bad.json"), lines=True, schema="a int").collect()
+
+
+def test_unencodable_text_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="MALFORMED_CHARACTER_CODING|FAILED"):
+        writers.write_csv(spark.createDataFrame([("日本 €",)], "t string"), str(tmp_path / "l1"), encoding="latin-1")
+
+
+def test_long_json_lines_are_found(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * 70_000) for i in range(5)], "i int, t string")
+    writers.write_json(df.coalesce(1), str(tmp_path / "long"))
+    assert readers.detect_format(str(tmp_path / "long")) == "jsonl" and readers.load(spark, str(tmp_path / "long")).count() == 5
+
+
+def test_hidden_files_and_odd_folders_are_listed(spark, tmp_path):
+    root = tmp_path / "xmain" / "main"
+    (root / "_delta_log").mkdir(parents=True)
+    for name in ("z.bin", "_hidden", ".dot", "_delta_log/0.json"):
+        (root / name).write_text(name)
+    odd = f"{tmp_path}/xmain/../xmain//main"
+    assert {r.path for r in folders.list_files(spark, odd).collect()} == {"z.bin", "_hidden", ".dot", "_delta_log/0.json"}
