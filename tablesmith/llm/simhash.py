@@ -148,40 +148,46 @@ def reach(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(points: DataFrame, radius: int = 2, shard_size: int = SHARD) -> DataFrame:
-    """(a, b): enough links between the distinct values of column ``f`` to connect all within ``radius``.
+    """(seed, a, b): enough links between the distinct values ``f`` of each ``seed`` to connect all within ``radius``.
 
     The wider the radius, the more points lie near a bound and go to both sides, so the larger shards should be.
     """
-    distinct = stage(points.select("f").distinct(), "fingerprints")
-    count = distinct.count()
+    distinct = stage(points.select("seed", "f").distinct(), "fingerprints")
+    counts = dict(distinct.groupBy("seed").count().collect())  # a few seeds
+    count = max(counts.values(), default=0)
     wanted = min(MAX_SAMPLE, SAMPLED_PER_SHARD * (count // shard_size))
     sample = []
     if wanted:
-        # bounded: a few dozen fingerprints per shard of thousands, at most MAX_SAMPLE
+        # bounded: a few dozen fingerprints per shard of thousands, at most about MAX_SAMPLE for each seed
         part = F.pmod(F.xxhash64("f"), F.lit(1 << 40)) < int((1 << 40) * wanted / count)
-        sample = [row.f for row in distinct.where(part).limit(2 * MAX_SAMPLE).collect()]
-    tree = Tree(np.array(sample, np.int64).view(np.uint64), radius)
+        sample = distinct.where(part).collect()
+    by_seed = {seed: np.array([row.f for row in sample if row.seed == seed], np.int64) for seed in counts}
+    trees = {seed: Tree(values.view(np.uint64), radius) for seed, values in by_seed.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, here in tree.shards_of(values):
-                if len(here):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), shard, np.int64)), pa.array(here.view(np.int64))], ["shard", "f"])
+            seeds = batch.column("seed").to_numpy(zero_copy_only=False)
+            values = batch.column("f").to_numpy(zero_copy_only=False).view(np.uint64)
+            for seed in np.unique(seeds).tolist():
+                for shard, here in trees[seed].shards_of(values[seeds == seed]):
+                    if len(here):
+                        keys = [pa.array(np.full(len(here), seed, np.int32)), pa.array(np.full(len(here), shard, np.int64))]
+                        yield pa.RecordBatch.from_arrays([*keys, pa.array(here.view(np.int64))], ["seed", "shard", "f"])
 
     def close(group: pa.Table) -> pa.Table:
         members, roots = reach(group.column("f").to_numpy().view(np.uint64), radius)
-        return pa.table({"a": members.view(np.int64), "b": roots.view(np.int64)})
+        seeds = np.full(len(members), group.column("seed")[0].as_py(), np.int32)
+        return pa.table({"seed": seeds, "a": members.view(np.int64), "b": roots.view(np.int64)})
 
-    spread = distinct.repartition(max(1, count // 16_000), "f")  # a small file would be one task
-    dealt = spread.mapInArrow(deal, "shard bigint, f bigint")
-    return dealt.groupBy("shard").applyInArrow(close, "a bigint, b bigint")
+    spread = distinct.repartition(max(1, sum(counts.values()) // 16_000), "f")  # a small file would be one task
+    dealt = spread.mapInArrow(deal, "seed int, shard bigint, f bigint")
+    return dealt.groupBy("seed", "shard").applyInArrow(close, "seed int, a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: 16 hex digits, and the smallest id reachable."""
     marked = stage(fingerprints(docs, words, (seed,)), "marked")
-    roots = components(links(marked.withColumnRenamed("f0", "f"), radius))
+    roots = components(links(marked.select(F.lit(0).alias("seed"), F.col("f0").alias("f")), radius).select("a", "b"))
     least = marked.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -197,17 +203,15 @@ SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, WORD_SHARD, ROUNDS = 0.8, 5, (42,
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """(node, root): texts that a chain of close fingerprints of any seed joins."""
-    edges = None
-    for i in range(len(WORD_SEEDS)):
-        f = F.col(f"f{i}")
-        least = classes.groupBy(f.alias("f")).agg(F.min("node").alias("b"), F.count("*").alias("n"))
-        equal = classes.select(F.col("node").alias("a"), f.alias("f")).join(least.where("n > 1"), "f").select("a", "b")
-        close = links(classes.select(f.alias("f")), WORD_RADIUS, WORD_SHARD)
-        ends = least.select("f", F.col("b").alias("node"))
-        near = close.join(ends.select(F.col("f").alias("a"), F.col("node").alias("first")), "a").join(ends.select(F.col("f").alias("b"), F.col("node").alias("second")), "b")
-        both = equal.unionByName(near.select(F.col("first").alias("a"), F.col("second").alias("b")))
-        edges = both if edges is None else edges.unionByName(both)
-    return components(edges)
+    prints = F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"f{i}").alias("f")) for i in range(len(WORD_SEEDS))])
+    stacked = classes.select("node", F.explode(prints).alias("one")).select("node", "one.*")
+    least = stacked.groupBy("seed", "f").agg(F.min("node").alias("b"), F.count("*").alias("n"))
+    equal = stacked.withColumnRenamed("node", "a").join(least.where("n > 1"), ["seed", "f"]).select("a", "b")
+    ends = stage(least.select("seed", "f", F.col("b").alias("node")), "ends")
+    close = links(stacked, WORD_RADIUS, WORD_SHARD)
+    near = close.join(ends.select("seed", F.col("f").alias("a"), F.col("node").alias("first")), ["seed", "a"])
+    near = near.join(ends.select("seed", F.col("f").alias("b"), F.col("node").alias("second")), ["seed", "b"])
+    return components(equal.unionByName(near.select(F.col("first").alias("a"), F.col("second").alias("b"))))
 
 
 def _similar(members: DataFrame, similarity: float) -> DataFrame:
