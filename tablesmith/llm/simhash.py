@@ -18,9 +18,11 @@ Other columns, whatever their names, are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,7 +200,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 
 #: For documents as similar as ``SIMILARITY`` by shingles of five words: fingerprints of single words, which small edits
 #: change little, several of them and at a wider radius, so that hardly a pair is missed before it is compared.
-SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, WORD_SHARD, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 16_000, 8
+SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, WORD_SHARD, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 16_000, 3
+#: Sets sampled for the order of shingles and shingles put last by it; set values held at once; pairs for each row that are made without a further
+#: round; allowance for rounding, so that bounds leave out no pair.
+COMMON_SAMPLE, MOST_COMMON, SET_VALUES, FEW_PAIRS, SLACK = 4_000, 65_536, 1 << 20, 4, 1e-6
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -214,24 +219,99 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return components(equal.unionByName(near.select(F.col("first").alias("a"), F.col("second").alias("b"))))
 
 
+def _prefixes(members: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """(shingle, node, size, place): the first shingles of each set, those of ``common`` last and in its order.
+
+    Two sets that agree to ``similarity`` share one of the first ``n - ceil(similarity * n) + 1`` of each, whatever the order is.
+    """
+    names = np.sort(common)
+    weights = np.argsort(common, kind="stable") + 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, values, sizes in _sets(batch):
+                starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+                weight = np.zeros(len(values), np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+                    weight = np.where(names[at] == values, weights[at], 0)
+                order = np.lexsort((values, weight, owner))
+                place = np.arange(len(values)) - starts[owner]
+                first = sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1
+                kept = place < first[owner]
+                rows = [values[order][kept], node[owner[kept]], sizes[owner[kept]].astype(np.int32), place[kept].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["shingle", "node", "size", "place"])
+
+    return members.select("node", "set").mapInArrow(work, "shingle bigint, node bigint, size int, place int")
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes, the values of their sets one after the other, and the sizes, about SET_VALUES at once; no empty set."""
+    sizes = pc.list_value_length(batch.column("set")).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SET_VALUES, side="right")))
+        part, here = batch.slice(start, stop - start), sizes[start:stop]
+        if here.any():
+            yield part.column("node").to_numpy()[here > 0], part.column("set").flatten().to_numpy(), here[here > 0]
+        start = stop
+
+
+def _common(members: DataFrame) -> np.ndarray:
+    """Shingles that several sets of a bounded sample have, the rarest first; they set the order and change no result."""
+    share = min(1.0, COMMON_SAMPLE / max(1, members.count()))
+    part = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < int((1 << 40) * share)
+    counts = members.where(part).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return np.array([row.h for row in reversed(counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect())], np.int64)
+
+
 def _similar(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of ``members`` (node, root, rank, set) found to be similar.
+    """(a, b): enough of the pairs of ``members`` (node, set) that agree to ``similarity`` to connect all such pairs.
 
-    In each round the members of a candidate group that share their smallest shingle hash of that round are compared
-    with the first among them. So there are a few comparisons for each member, however large the group.
+    Every such pair meets at a shingle that both have among their first. In each round the members that meet at a shingle
+    are compared with one of them, another one in each round, as long as that saves comparisons; then all pairs that still
+    meet and are not yet connected are compared. So large groups collapse before pairs are made, and no pair is left out.
     """
-    keys = F.array(*[F.struct(F.lit(r).alias("round"), F.array_min(F.transform("set", _hash_of(r))).alias("least")) for r in range(ROUNDS)])
-    keyed = members.select("node", "root", "rank", F.explode(keys).alias("key"))
-    first = keyed.groupBy("root", "key").agg(F.min(F.struct("rank", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(first, ["root", "key"]).select(F.col("node").alias("a"), F.col("first.node").alias("b")).where("a <> b").distinct()
     sets = members.select("node", "set")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("mine")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("theirs")), "b")
+    rows = _prefixes(members, similarity, _common(members))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    meeting = stage(rows.join(often, "shingle").drop("n"), "meeting")
+    empty = sets.where(F.size("set") == 0).select(F.col("node").alias("a"))  # alike
+    total, found, roots = meeting.count(), [empty.crossJoin(empty.agg(F.min("a").alias("b")))], None
+    for turn in range(ROUNDS + 1):
+        here = meeting.withColumn("root", F.col("node"))
+        if roots is not None:
+            here = meeting.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        by_root = here.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "place")).alias("first"))
+        square = F.col("n").cast("double") * F.col("n")
+        by_shingle = by_root.groupBy("shingle").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(square).alias("within"), F.min("first").alias("first"))
+        unsettled = stage(by_shingle.where("roots > 1").select("shingle", "first", ((square - F.col("within")) / 2).alias("pairs")), "unsettled")
+        pairs = unsettled.agg(F.sum("pairs")).first()[0]
+        if not pairs:
+            break
+        here = here.join(unsettled, "shingle").drop("pairs")
+        last = turn == ROUNDS or pairs <= FEW_PAIRS * total
+        if last:
+            other = here.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "place", "root")])
+            met = here.join(other, "shingle").where("node < other_node and root <> other_root")
+        else:
+            met = here.select("*", *[F.col(f"first.{c}").alias(f"other_{c}") for c in ("node", "size", "place")]).where("node <> other_node")
+        # a pair that agrees meets at its first common shingle too, with all others of both sets behind it
+        shared = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+        enough = shared >= similarity * (F.col("size") + F.col("other_size") - shared) - SLACK
+        alike = _verified(met.where(enough).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), sets, similarity)
+        found.append(stage(alike, "alike"))
+        if last:
+            break
+        roots = components(reduce(DataFrame.unionByName, found))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    mine, theirs = (sets.select(F.col("node").alias(end), F.col("set").alias(name)) for end, name in (("a", "mine"), ("b", "theirs")))
     shared = F.size(F.array_intersect("mine", "theirs"))
-    return both.where(shared >= similarity * (F.size("mine") + F.size("theirs") - shared)).select("a", "b")
-
-
-def _hash_of(seed: int):
-    return lambda h: F.xxhash64(h, F.lit(seed))
+    return pairs.join(mine, "a").join(theirs, "b").where(shared >= similarity * (F.size("mine") + F.size("theirs") - shared)).select("a", "b")
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:

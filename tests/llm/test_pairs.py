@@ -102,6 +102,50 @@ def test_distinct_documents(spark, odd, empty):
     assert simhash.distinct_documents(empty).collect() == []
 
 
+def plain_groups(texts: list[str], similarity: float = 0.8) -> list[int]:
+    """The first member of each text's group, from all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            shared = len(sets[a] & sets[b])
+            if root[a] != root[b] and shared >= similarity * (len(sets[a]) + len(sets[b]) - shared):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def versions(rng) -> dict[str, list[str]]:
+    """A chain of versions, copies with scattered changes, pages of one template."""
+    def word() -> str:
+        return f"w{rng.integers(50_000)}"
+
+    def changed(words: list[str], n: int) -> list[str]:
+        out = list(words)
+        for at in rng.choice(len(out), n, replace=False):
+            out[at] = word()
+        return out
+
+    base = [word() for _ in range(200)]
+    chain = [base]
+    for _ in range(120):
+        chain.append(changed(chain[-1], 2))
+    template = [word() for _ in range(300)]
+    return {
+        "chain": [" ".join(w) for w in chain],
+        "copies": [" ".join(changed(base, int(rng.integers(3, 10)))) for _ in range(120)],
+        "template": [" ".join(template + [word() for _ in range(rng.integers(20, 60))]) for _ in range(80)],
+    }
+
+
+def test_similar_finds_what_all_pairs_find(spark):
+    texts = [t for group in versions(np.random.default_rng(5)).values() for t in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    members = docs.select("node", F.array_distinct(sketches.shingle_hashes(F.col("text"), 5)).alias("set"))
+    found = {r.node: r.root for r in common.components(simhash._similar(members, 0.8)).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == plain_groups(texts)
+
+
 def plain_sketch(text: str, scale: int = sketches.SCALE) -> list[int]:
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text.lower())]
 
