@@ -146,6 +146,23 @@ def test_similar_finds_what_all_pairs_find(spark):
     assert [found.get(i, i) for i in range(len(texts))] == plain_groups(texts)
 
 
+def edited(words: list[str], kind: str, other: list[str], share: float) -> list[str]:
+    n = int(len(words) * share)
+    at = len(words) // 3
+    return {"cut": words[: len(words) - n], "appended": words + other[:n], "replaced": words[:at] + other[: n // 2] + words[at + n // 2 :]}[kind]
+
+
+def test_distinct_documents_reach_blocks(spark):
+    rng = np.random.default_rng(6)
+    base = [[f"w{i}" for i in rng.integers(0, 20_000, rng.integers(60, 600))] for _ in range(90)]
+    kinds = ["cut", "appended", "replaced"]
+    texts = [" ".join(w) for w in base] + [" ".join(edited(w, kinds[i % 3], base[i - 1] * 10, 0.16)) for i, w in enumerate(base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = plain_groups(texts)
+    assert sum(g != i for i, g in enumerate(groups)) > 80
+    assert sorted(r.doc_id for r in simhash.distinct_documents(docs).collect()) == sorted(set(groups))
+
+
 def plain_sketch(text: str, scale: int = sketches.SCALE) -> list[int]:
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text.lower())]
 
