@@ -131,3 +131,10 @@ def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff scores of all documents, with counts from all of them."""
     scored = backoff.scores(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+@query()
+def op1_backoff_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents with up to two words of context; the query above has one, as its SQL."""
+    scored = backoff.scores(table(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))

@@ -62,6 +62,14 @@ def test_backoff_brute_force(odd, order):
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
 
 
+def test_a_registered_query_counts_triples(spark, documents):
+    got = {r.doc_id: (r.n_words, r.log_score) for r in __spark_entry__.queries()["op1_backoff_triples"](spark, SF_DIR).collect()}
+    want = plain_scores([t for _, t, _ in documents], 3)
+    assert len(got) == len(documents)
+    for (doc_id, _, _), (n, score) in zip(documents, want):
+        assert got[doc_id][0] == n and abs(got[doc_id][1] - score) < 1e-3
+
+
 def test_backoff_empty(empty):
     assert backoff.scores(empty).collect() == []
 
