@@ -141,12 +141,12 @@ def _fly(group: pa.Table) -> pa.Table:
     return kept.append_column("chance", pa.array(chances, pa.float64()))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, others: Sequence[str] = ()) -> DataFrame:
     """One row for equal documents: key, doc_id, size, source_size, target, copies and how often the mix takes them in all.
 
-    ``key`` is what ``row_key`` gives.
+    ``key`` is what ``row_key`` gives for the other columns named.
     """
-    rows = docs.select("doc_id", "source", row_key().alias("key"), word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", row_key(others).alias("key"), word_count(F.col("text")).alias("size"))
     units = stage(rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("copies")), "units")
     wanted = targets(units.select("source", (F.col("size") * F.col("copies")).alias("size")), weights, share, most)
     joined = units.join(wanted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -157,9 +157,9 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     return shared.join(hits, "key", "left").select("key", "doc_id", "size", "source_size", "target", "copies", times.cast("bigint").alias("times"))
 
 
-def row_key() -> Column:
-    """A digest of id, source and text, equal for rows that agree in them."""
-    parts = [F.col("doc_id").cast("string"), F.col("source"), F.col("text")]
+def row_key(others: Sequence[str] = ()) -> Column:
+    """A digest of id, source, text and the other columns named, equal for rows that agree in them."""
+    parts = [F.col("doc_id").cast("string"), F.col("source"), F.col("text"), *[F.col("`" + c.replace("`", "``") + "`") for c in others]]
     return F.md5(F.to_json(F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)])).cast("binary"))
 
 
@@ -179,5 +179,6 @@ def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The documents as often as the mix takes them."""
     key, times = fresh(docs, "mix_key"), fresh(docs, "mix_times")
-    planned = plan(docs, weights, share, most).where("times > 0").select(F.col("key").alias(key), F.col("times").alias(times))
-    return repeated(docs.withColumn(key, row_key()).dropDuplicates([key]).join(planned, key).drop(key), times)
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "source", "text")]
+    planned = plan(docs, weights, share, most, others).where("times > 0").select(F.col("key").alias(key), F.col("times").alias(times))
+    return repeated(docs.withColumn(key, row_key(others)).dropDuplicates([key]).join(planned, key).drop(key), times)

@@ -164,6 +164,12 @@ def test_mixing_blocks(spark, monkeypatch):
     assert mixed == +by_id
 
 
+def test_mixed_keeps_rows_that_differ_in_another_column(spark):
+    rows = [(1, "two words", "a", "en"), (1, "two words", "a", "fr"), (1, "two words", "a", None), (1, "two words", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert Counter(r.lang for r in mixing.mixed(docs, share=1.0).collect()) == {"en": 1, "fr": 1, None: 2}
+
+
 def test_mixing_odd(odd, empty):
     check_mix(mixing.taken(odd).collect(), [(r[0], r[1] or "", r[2 + 1]) for r in rows()], 25_000)
     mixed = mixing.mixed(odd)
