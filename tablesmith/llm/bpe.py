@@ -172,16 +172,17 @@ class Codec:
         """One row per few megabytes of texts: kept columns, numbers of chunks, pieces of each chunk, bytes of the new pieces.
 
         A single blank before a chunk belongs to it, so no piece reaches over from one chunk to the next, and each
-        distinct chunk is cut into pieces once. Where blanks follow each other that doesn't hold, and
+        distinct chunk is cut into pieces once. Where a blank of any kind stands before one that doesn't hold, and
         the pieces themselves are the chunks. Codes of pieces from 0 are places in the known
         pieces, codes below are ``-1 -`` places in the new ones.
         """
         find = regex.compile(self.pattern).findall
+        after_another = regex.compile(r"\s ").search
         for batch in slices(batches, size=BATCH_BYTES):
             after_blank, plain = Numbering(), Numbering()
             numbers, sizes = [], []
             for text in batch.column("text").to_pylist():
-                if not text or "  " in text:
+                if not text or after_another(text):
                     found = [~plain[p] for p in find(text or "")]
                 else:
                     first, *rest = text.split(" ")

@@ -310,6 +310,16 @@ def test_tokens_odd(spark, odd, empty, codec, library):
     check_tokens(bpe.digests(spark.createDataFrame(spaces, "doc_id long, text string"), codec).collect(), spaces, library)
 
 
+def test_blanks_of_several_kinds_with_a_vocabulary_that_merges_them(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"\n ": 256, b"\t ": 257}
+    own = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("blanks", pat_str=own.pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a\n \nb", "a\n ", "\t \t", "a b\n c d", "a \nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encoded(docs, own, ["doc_id"]).collect()}
+    assert got == {i: plain.encode(t) for i, t in enumerate(texts)}
+
+
 def test_merge_of_long_pieces(codec, library):
     made = random.Random(9)
     for _ in range(300):
