@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import backoff, bpe, chat, importance, mixing, passages, secrets, simhash, sketches, topk
+from tablesmith.llm import archives, backoff, bpe, chat, importance, mixing, passages, repair, secrets, simhash, sketches, topk, whitening
 from tablesmith.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -138,3 +138,33 @@ def op1_backoff_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff scores of all documents with up to two words of context; the query above has one, as its SQL."""
     scored = backoff.scores(table(spark, sf_dir, "documents"), order=3)
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the four strongest components of all, each with variance one."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+    )
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+        CASE WHEN n < 1000 OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN n < 1000 OR page_id = last THEN NULL ELSE last END AS refers_to
+    FROM p
+    """
+)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as legacy archives, converted to WARC and read back."""
+    found = archives.through_archives(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and the cheapest edits that mend their structure."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(turns, repair.damaged(turns))
