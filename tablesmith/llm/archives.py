@@ -9,9 +9,11 @@ the content (``warcinfo`` of the version block, ``response`` of HTTP and DNS ans
 Of responses with equal payloads of at least 1,000 bytes one stays and the others become
 ``revisit`` records without the payload, which name it.
 
-All files are written and listed by Spark, with its commit protocol, so any file system will do and a lost task
-leaves nothing half-written. Archives are of bounded size, as Spark reads a file as one value; a record that is
-larger than the bound is alone in its file's excess.
+ARC files are compressed as a whole, WARC records as gzip members of their own; either form, and plain files, are read. All files are
+written and listed by Spark, with its commit protocol, so any file system will do and a lost task
+leaves nothing half-written: a row holds an archive of bounded size and becomes a file, whose last byte is a zero that
+gzip passes over. A record that is larger than the bound is alone in its file. Archives are read once for their digests and once for
+their contents; blocks are shuffled once, compressed.
 
 Defined cases: a null text is an empty payload, a null url is ``about:blank``, and blanks in a url are percent-encoded; null ids stay null and
 rank last among equal payloads; rows that repeat are records of their own, so one of them is the response and the
@@ -22,9 +24,11 @@ others revisit it; an empty table gives archives without records and an empty re
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 
 from tablesmith.session import scratch_path, stage
 
+#: What a file holds at most before compression, but for its last record.
 ARCHIVE_BYTES = 16 << 20
+GZIP_LEVEL, GZIP_STEP = 6, 4096
 LEAST_REVISITED = 1000
 BATCH_BYTES = 8 << 20
 #: The header of the captured answers that carries the number of a page.
@@ -55,8 +61,8 @@ RECORD = (
 # ---- writing legacy archives
 
 
-def arc_records(pages: DataFrame, version: int) -> DataFrame:
-    """(value, bytes): each page as the bytes of an HTTP answer, with what its header line needs."""
+def captured(pages: DataFrame) -> DataFrame:
+    """(url, moment, answer): each page as the bytes of an HTTP answer, with what its header line needs."""
     body = F.coalesce(F.col("html"), F.lit(""))
     number = F.coalesce(F.concat(F.lit(f"{PAGE_HEADER}: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
     answer = F.concat(
@@ -67,35 +73,49 @@ def arc_records(pages: DataFrame, version: int) -> DataFrame:
     # pages have no date of capture: a second each from the start of 2000 on
     second = F.lit(946_684_800) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(1_000_000_000))
     moment = F.date_format(F.timestamp_seconds(second), "yyyyMMddHHmmss")
-    return pages.select(F.when(url == "", "about:blank").otherwise(url).alias("url"), moment.alias("moment"), answer.cast("binary").alias("answer"), F.lit(version).alias("version"))
+    return pages.select(F.when(url == "", "about:blank").otherwise(url).alias("url"), moment.alias("moment"), answer.cast("binary").alias("answer"))
+
+
+def member(content: bytes) -> bytes:
+    return gzip.compress(content, GZIP_LEVEL, mtime=0)
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write (page_id, url, html) as ARC files of about ``archive_bytes`` bytes into the folder ``path``."""
+    """Write (page_id, url, html) as ARC files of at most about ``archive_bytes`` bytes into the folder ``path``."""
     fields = ARC_FIELDS[version]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, at = None, 0
+        archive, at, name = [], 0, ""
         for batch in batches:
-            held, size = [], 0
-            for url, moment, answer in zip(*(batch.column(c).to_pylist() for c in ("url", "moment", "answer"))):
-                if name is None:
-                    name = f"{hashlib.sha1((url + moment).encode()).hexdigest()[:16]}.arc"
-                    held.append(_version_block(name, version, fields))
-                    at += len(held[-1]) + 1
+            for url, moment, answer in zip(*(batch.column(c) for c in ("url", "moment", "answer"))):
+                url, moment, answer = url.as_py(), moment.as_py(), answer.as_py()
+                if archive and at + len(answer) > archive_bytes:
+                    yield _archive([member(b"".join(archive))])
+                    archive = []
+                if not archive:
+                    name = f"{hashlib.sha1((url + moment).encode()).hexdigest()[:16]}.arc.gz"
+                    archive.append(_version_block(name, version, fields) + b"\n")
+                    at = len(archive[0])
                 values = {
                     "URL": url, "IP-address": "0.0.0.0", "Archive-date": moment, "Content-type": "text/html", "Result-code": "200",
                     "Checksum": hashlib.md5(answer).hexdigest(), "Location": "-", "Offset": str(at), "Filename": name, "Archive-length": str(len(answer)),
                 }
-                held.append(" ".join(values[f] for f in fields).encode() + b"\n" + answer)
-                at, size = at + len(held[-1]) + 1, size + len(held[-1])
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+                archive.append(" ".join(values[f] for f in fields).encode() + b"\n" + answer + b"\n")
+                at += len(archive[-1])
+        if archive:
+            yield _archive([member(b"".join(archive))])
+
+    _write_archives(captured(pages).mapInArrow(work, "value binary"), path)
+
 
-    _write(arc_records(pages, version), F.octet_length("answer"), work, path, archive_bytes)
+def _archive(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["value"])
+
+
+def _write_archives(archives: DataFrame, path: str) -> None:
+    """A file per row; a cast leaves the bytes as they are, and so does the writer of lines, but for a zero at the end."""
+    lines = archives.select(F.col("value").cast("string").alias("value"))
+    lines.write.option("maxRecordsPerFile", 1).text(path, lineSep="\0")
 
 
 def _version_block(name: str, version: int, fields: list[str]) -> bytes:
@@ -105,15 +125,6 @@ def _version_block(name: str, version: int, fields: list[str]) -> bytes:
     return " ".join(values[f] for f in fields).encode() + b"\n" + content
 
 
-def _write(records: DataFrame, size, work, path: str, archive_bytes: int) -> None:
-    """Bytes made by ``work`` from records, in as many files as their size asks for; each ends with a line end."""
-    total = records.agg(F.sum(size)).first()[0] or 0
-    files = max(1, -(-int(total) // archive_bytes))
-    written = records.repartition(files).mapInArrow(work, "value binary")
-    # a cast leaves the bytes as they are, and so does the writer of lines
-    written.select(F.col("value").cast("string").alias("value")).write.text(path, lineSep="\n")
-
-
 # ---- reading
 
 
@@ -123,13 +134,31 @@ def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select(F.col("path").alias("archive"), "content")
 
 
-def read_arc(spark: SparkSession, *paths: str) -> DataFrame:
-    """The records of all ARC files below the paths, with what their WARC twins need."""
+def plain_bytes(content: bytes) -> bytes:
+    """An archive without compression; members follow each other and zeros may end it. What is no member stays, to be told as no record."""
+    if content[:2] != b"\x1f\x8b":
+        return content.rstrip(b"\0") if content[-1:] == b"\0" else content
+    view, at, out = memoryview(content), 0, []
+    while content[at : at + 2] == b"\x1f\x8b":
+        reader = zlib.decompressobj(31)
+        while at < len(content) and not reader.eof:
+            piece = view[at : at + GZIP_STEP]
+            try:
+                out.append(reader.decompress(piece))
+            except zlib.error:
+                return b"".join([*out, b"\ndamaged member\n"])
+            at += len(piece) - len(reader.unused_data)
+    return b"".join([*out, content[at:].rstrip(b"\0")])
+
+
+def read_arc(spark: SparkSession, *paths: str, payloads: bool = True) -> DataFrame:
+    """The records of all ARC files below the paths, with what their WARC twins need; contents may be left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0), batch.column(1)):
-                yield from _batches(_arc_rows(archive.as_py(), content.as_py()), RECORD_SCHEMA)
+                rows = _arc_rows(archive.as_py(), plain_bytes(content.as_py()))
+                yield from _batches(rows if payloads else (r | {"payload": None, "head": None} for r in rows), RECORD_SCHEMA)
 
     return _contents(spark, list(paths)).mapInArrow(work, RECORD)
 
@@ -227,38 +256,49 @@ def answer_facts(head: bytes) -> tuple[int | None, int | None]:
 # ---- converting
 
 
-def with_revisits(records: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
-    """Records with what each revisits: ``of_id``, ``of_url``, ``of_moment``, null for those that stay.
-
-    Only identifiers and digests meet by digest; the blocks are joined by their own identifier, which no two records share.
-    """
-    light = records.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least)).select("payload_sha1", "payload_bytes", "page_id", "record_id", "url", "moment")
-    light = stage(light, "light")
+def revisits(light: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
+    """(record_id, of_id, of_url, of_moment): the records that repeat a payload, and of each the one that stays, that of the largest page."""
+    answers = light.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least)).select("payload_sha1", "payload_bytes", "page_id", "record_id", "url", "moment")
     rank = F.struct(F.col("page_id").isNotNull(), "page_id", "record_id")
     best = F.max_by(F.struct("record_id", "url", "moment"), rank)
-    kept = light.groupBy("payload_sha1", "payload_bytes").agg(best.alias("best"), F.count("*").alias("times")).where("times > 1")
+    kept = answers.groupBy("payload_sha1", "payload_bytes").agg(best.alias("best"), F.count("*").alias("times")).where("times > 1")
+    # written, so that the join can split the digest that most records share
     kept = stage(kept.select("payload_sha1", "payload_bytes", F.col("best.record_id").alias("of_id"), F.col("best.url").alias("of_url"), F.col("best.moment").alias("of_moment")), "kept")
-    again = light.join(kept, ["payload_sha1", "payload_bytes"]).where("record_id <> of_id").select("record_id", "of_id", "of_url", "of_moment")
-    return records.join(again, "record_id", "left")
+    return answers.join(kept, ["payload_sha1", "payload_bytes"]).where("record_id <> of_id").select("record_id", "of_id", "of_url", "of_moment")
+
+
+MADE = "record_id string, whole binary"
 
 
 def convert(spark: SparkSession, arc_paths: list[str], warc_path: str, least: int = LEAST_REVISITED, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write what the ARC files hold as WARC files into ``warc_path``; return (archive, offset, url, problem) of what is no record."""
-    read = stage(read_arc(spark, *arc_paths), "arc-records")
-    good = with_revisits(read.where("problem is null"), least)
-    names = ["kind", "record_id", "info_id", "url", "ip", "moment", "mime", "payload_sha1", "head", "payload", "of_id", "of_url", "of_moment"]
-    payload = F.when(F.col("of_id").isNull(), F.col("payload"))
-    records = good.withColumn("payload", payload).select(*names)
+    light = stage(read_arc(spark, *arc_paths, payloads=False).drop("head", "payload"), "arc-records")
+    made_schema = _schema(MADE)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                made = [warc_record(row) for row in batch.slice(at, 64).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
+            for archive, content in zip(batch.column(0), batch.column(1)):
+                rows = (r for r in _arc_rows(archive.as_py(), plain_bytes(content.as_py())) if not r.get("problem"))
+                yield from _batches(({"record_id": r["record_id"], "whole": member(warc_record(r))} for r in rows), made_schema)
 
-    size = F.octet_length("head") + F.coalesce(F.octet_length("payload"), F.lit(0)) + 600
-    _write(records, size, work, warc_path, archive_bytes)
-    return read.where("problem is not null").select("archive", "offset", "url", "problem")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, size = [], 0
+        for batch in batches:
+            for whole, length, *of in zip(*batch.columns):
+                if archive and size + length.as_py() > archive_bytes:
+                    yield _archive(archive)
+                    archive, size = [], 0
+                whole, of = whole.as_py(), [o.as_py() for o in of]
+                archive.append(whole if of[0] is None else member(revisit_record(gzip.decompress(whole), *of)))
+                size += length.as_py()
+        if archive:
+            yield _archive(archive)
+
+    # blocks meet their fate by their own identifier, which no two records share
+    sized = light.where("problem is null").select("record_id", F.col("payload_bytes").alias("size")).join(revisits(light, least), "record_id", "left")
+    made = _contents(spark, arc_paths).mapInArrow(make, MADE).join(sized, "record_id")
+    _write_archives(made.select("whole", "size", "of_id", "of_url", "of_moment").mapInArrow(gather, "value binary"), warc_path)
+    return light.where("problem is not null").select("archive", "offset", "url", "problem")
 
 
 def warc_digest(content: bytes) -> str:
@@ -266,25 +306,33 @@ def warc_digest(content: bytes) -> str:
 
 
 def warc_record(row: dict) -> bytes:
-    """The bytes of a record but for its last line end, which the writer adds."""
-    revisit = row["of_id"] is not None
-    block = row["head"] + (row["payload"] or b"")
-    headers = [("WARC-Type", "revisit" if revisit else row["kind"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["moment"])]
+    """A record with all of its block."""
+    block = row["head"] + row["payload"]
     if row["kind"] == "warcinfo":
-        kind = "text/plain"
-        headers.append(("WARC-Filename", row["url"].removeprefix("filedesc://")))
-    else:
-        kind = "application/http; msgtype=response" if row["head"] else row["mime"] or "application/octet-stream"
-        headers += [("WARC-Target-URI", row["url"]), ("WARC-IP-Address", row["ip"]), ("WARC-Warcinfo-ID", row["info_id"])]
-        headers.append(("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(row["payload_sha1"])).decode()))
-    if revisit:
-        headers += [
-            ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", row["of_id"]),
-            ("WARC-Refers-To-Target-URI", row["of_url"]), ("WARC-Refers-To-Date", row["of_moment"]),
-        ]
-    headers += [("WARC-Block-Digest", warc_digest(block)), ("Content-Type", kind), ("Content-Length", str(len(block)))]
+        return _record(row["kind"], row, [("WARC-Filename", row["url"].removeprefix("filedesc://"))], "text/plain", block)
+    kind = "application/http; msgtype=response" if row["head"] else row["mime"] or "application/octet-stream"
+    digest = "sha1:" + base64.b32encode(bytes.fromhex(row["payload_sha1"])).decode()
+    origin = [("WARC-Target-URI", row["url"]), ("WARC-IP-Address", row["ip"]), ("WARC-Warcinfo-ID", row["info_id"]), ("WARC-Payload-Digest", digest)]
+    return _record(row["kind"], row, origin, kind, block)
+
+
+def revisit_record(whole: bytes, of_id: str, of_url: str, of_moment: str) -> bytes:
+    """A response without its payload, that names the one with the same."""
+    headers, _, block = whole.partition(b"\r\n\r\n")
+    kept = dict(line.split(": ", 1) for line in headers.decode().split("\r\n")[1:])
+    row = {"record_id": kept.pop("WARC-Record-ID"), "moment": kept.pop("WARC-Date")}
+    origin = [(name, value) for name, value in kept.items() if name not in ("WARC-Type", "WARC-Block-Digest", "Content-Type", "Content-Length")]
+    more = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", of_id), ("WARC-Refers-To-Target-URI", of_url), ("WARC-Refers-To-Date", of_moment)]
+    return _record("revisit", row, origin + more, kept["Content-Type"], split_answer(block)[0])
+
+
+def _record(kind: str, row: dict, more: list[tuple], mime: str, block: bytes) -> bytes:
+    headers = [
+        ("WARC-Type", kind), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["moment"]), *more,
+        ("WARC-Block-Digest", warc_digest(block)), ("Content-Type", mime), ("Content-Length", str(len(block))),
+    ]
     lines = "".join(f"{name}: {value}\r\n" for name, value in headers if value is not None)
-    return f"{WARC_VERSION}\r\n{lines}\r\n".encode() + block + b"\r\n\r"
+    return f"{WARC_VERSION}\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
 
 
 # ---- reading WARC
@@ -297,13 +345,14 @@ WARC_ROW = (
 WARC_SCHEMA = _schema(WARC_ROW)
 
 
-def read_warc(spark: SparkSession, *paths: str) -> DataFrame:
+def read_warc(spark: SparkSession, *paths: str, payloads: bool = True) -> DataFrame:
     """The records of all WARC files below the paths, digests checked; a revisit has a digest but no payload of its own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0), batch.column(1)):
-                yield from _batches(_warc_rows(archive.as_py(), content.as_py()), WARC_SCHEMA)
+                rows = _warc_rows(archive.as_py(), plain_bytes(content.as_py()))
+                yield from _batches(rows if payloads else (r | {"payload": None} for r in rows), WARC_SCHEMA)
 
     return _contents(spark, list(paths)).mapInArrow(work, WARC_ROW)
 
@@ -374,4 +423,4 @@ def through_archives(pages: DataFrame, least: int = LEAST_REVISITED, archive_byt
         write_arc(pages.where(older if version == 1 else ~older), folder, version, archive_bytes)
     target = scratch_path(spark, "warc")
     convert(spark, folders, target, least, archive_bytes)
-    return resolved(read_warc(spark, target))
+    return resolved(read_warc(spark, target, payloads=False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from pathlib import Path
 
@@ -83,6 +84,11 @@ def arc(version: int, records: list[tuple[str, str, bytes]]) -> bytes:
     return b"\n".join(out) + b"\n"
 
 
+def unpacked(folder: Path) -> bytes:
+    """All files of a folder, by the library's own reader of gzip."""
+    return b"".join(gzip.decompress(p.read_bytes()) for p in sorted(folder.glob("part-*")) if p.stat().st_size)
+
+
 ANSWER = b"HTTP/1.0 404 Not Found\r\nContent-Type: text/html\r\n\r\nNothing\n\nhere\n"
 
 
@@ -103,7 +109,7 @@ def test_archives_of_other_makers(spark, tmp_path, version):
 
     problems = archives.convert(spark, [str(tmp_path / "arc")], str(tmp_path / "warc"))
     assert problems.collect() == []
-    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "warc").glob("part-*")))
+    text = unpacked(tmp_path / "warc")
     assert text.count(b"WARC/1.0\r\n") == 5 and b"WARC-Date: 2001-02-03T04:05:06Z\r\n" in text
     assert ("WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"Nothing\n\nhere\n").digest()).decode()).encode() in text
     back = {r.url: r for r in archives.read_warc(spark, str(tmp_path / "warc")).collect()}
@@ -120,19 +126,25 @@ def test_broken_archives(spark, tmp_path):
     (folder / "future.arc").write_bytes(good.replace(b"\n1 0 tablesmith", b"\n9 0 tablesmith"))
     (folder / "empty.arc").write_bytes(b"")
     (folder / "good.arc").write_bytes(good)
+    (folder / "packed.arc.gz").write_bytes(gzip.compress(good))
+    (folder / "cut.arc.gz").write_bytes(gzip.compress(good)[:-12])
+    packed = gzip.compress(good)
+    (folder / "changed.arc.gz").write_bytes(packed + packed[:40] + bytes([packed[40] ^ 255]) + packed[41:])
+    (folder / "tail.arc.gz").write_bytes(packed + b"tail")
     problems = archives.convert(spark, [str(folder)], str(tmp_path / "warc"))
     assert {Path(r.archive).name: r.problem for r in problems.collect()} == {
         "cut.arc": "shorter than its declared length", "junk.arc": "no header line", "future.arc": "version not known",
+        "cut.arc.gz": "shorter than its declared length", "changed.arc.gz": "no header line", "tail.arc.gz": "no header line",
     }
     kinds = [r.kind for r in archives.read_warc(spark, str(tmp_path / "warc")).collect()]
-    assert kinds.count("response") == 2 and kinds.count("warcinfo") == 3
+    assert kinds.count("response") == 5 and kinds.count("warcinfo") == 7
 
 
 def test_damaged_warc(spark, tmp_path):
     (tmp_path / "arc").mkdir()
     (tmp_path / "arc" / "one.arc").write_bytes(arc(1, [("http://x.example.com/", "text/html", ANSWER)]))
     archives.convert(spark, [str(tmp_path / "arc")], str(tmp_path / "warc"))
-    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "warc").glob("part-*")))
+    whole = unpacked(tmp_path / "warc")
     for name, content in {"changed": whole.replace(b"Nothing", b"nothing"), "cut": whole[:-30], "junk": whole + b"junk"}.items():
         (tmp_path / name).mkdir()
         (tmp_path / name / "a.warc").write_bytes(content)
