@@ -2,9 +2,13 @@
 
 The edges may belong to many separate graphs, told apart by group columns. Graphs
 with few edges are solved where they are, in one exchange. Larger ones, and a group
-that holds much of the table, go through rounds of joins; each round writes its
-small state to the shared folder, which keeps plans short and survives lost
-executors, and costs work linear in the edges still in question.
+that holds much of the table, are made smaller in rounds: what nothing enters or leaves goes, and of the nodes
+with few ways through them a third or more are taken out at once, no two of them neighbours, while each way through one
+becomes an edge. That keeps what reaches what, halves paths and cycles of any length every other round, and never adds more than a few edges for
+a node. What is small enough then is solved at once; what has only nodes with many ways through them is solved by passing labels,
+in as many rounds as its longest way has steps. Then the rounds are gone through backwards: a node taken out
+is on a cycle if it led from a group of nodes that reach each other back to the same group. Each round writes its
+state to the shared folder, which keeps plans short and survives lost executors.
 """
 
 from __future__ import annotations
@@ -13,12 +17,14 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.session import stage
 
 SMALL_GRAPH = 1000
+#: Nodes with so many ways through them, or no more ways than edges, are taken out.
+FEW_WAYS = 16
 
 
 def cyclic_edges(
@@ -115,7 +121,99 @@ def _paths(root, steps: dict) -> dict:
     return found
 
 
-def _solve_large(edges: DataFrame, by: list[str]) -> DataFrame:
+def _solve_large(edges: DataFrame, by: list[str], finish: int = SMALL_GRAPH) -> DataFrame:
+    """Components of graphs of any size."""
+    labels = components(edges, by, finish)
+    roots = labels.groupBy(*by, "label").agg(F.min("node").alias("root"))
+    known = stage(labels.join(roots, [*by, "label"]).select(*by, "node", "root"), "roots")
+    starts = known.withColumnRenamed("node", "s")
+    ends = known.withColumnsRenamed({"node": "t", "root": "root_t"})
+    inner = edges.join(starts, [*by, "s"]).join(ends, [*by, "t"]).where("root = root_t")
+    return inner.select(*by, "root", "s", "t")
+
+
+#: The rounds of the last call, to look at.
+rounds: list[int] = []
+
+
+def components(edges: DataFrame, by: list[str], finish: int = SMALL_GRAPH) -> DataFrame:
+    """(by, node, label) of all nodes that reach themselves; nodes with the same label reach each other."""
+    loops = [stage(edges.where("s = t").select(*by, F.col("s").alias("node")), "loops")]
+    current, taken = stage(edges.where("s <> t"), "edges"), []
+    rounds.clear()
+    while True:
+        count = current.count()
+        rounds.append(count)
+        if count <= finish:
+            break
+        smaller = _smaller(current, by, len(rounds))
+        if smaller is None:
+            break
+        current, ways, found = smaller
+        taken.append(ways)
+        loops.append(found)
+    if count <= finish:
+        solved = _solve_small(current, by).select(*by, "root", F.explode("edges").alias("_e"))
+        labels = solved.select(*by, F.col("_e.s").alias("node"), F.col("root").alias("label")).distinct()
+    else:
+        labels = _kernel(current, by).select(*by, F.col("s").alias("node"), F.col("root").alias("label")).distinct()
+    labels = stage(labels, "components")
+    closed = stage(_all(loops).distinct(), "closed")
+    out = _all([ways.select(*by, "node") for ways in taken]).distinct() if taken else closed.limit(0)
+    alone = closed.join(out, [*by, "node"], "left_anti").join(labels, [*by, "node"], "left_anti")
+    labels = stage(labels.unionByName(alone.withColumn("label", F.col("node"))), "components")
+    for ways in reversed(taken):
+        labels = stage(labels.unionByName(_labelled(ways, labels, closed, by)), "components")
+    return labels
+
+
+def _smaller(edges: DataFrame, by: list[str], turn: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The edges after a round, the edges of the nodes taken out, and the nodes that got an edge to themselves; none if no node can go."""
+    ends = edges.select(*by, F.col("s").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+        edges.select(*by, F.col("t").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    )
+    degrees = ends.groupBy(*by, "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    through = F.col("i") * F.col("o")
+    few = (through > 0) & ((through <= FEW_WAYS) | (through <= F.col("i") + F.col("o")))
+    nodes = stage(degrees.select(*by, "node", (through == 0).alias("dead"), F.when(few, F.xxhash64(*by, "node", F.lit(turn))).alias("luck")), "nodes")
+    if nodes.where("dead OR luck IS NOT NULL").isEmpty():
+        return None
+    starts = nodes.withColumnsRenamed({"node": "s", "dead": "s_dead", "luck": "s_luck"})
+    targets = nodes.withColumnsRenamed({"node": "t", "dead": "t_dead", "luck": "t_luck"})
+    alive = stage(edges.join(starts, [*by, "s"]).join(targets, [*by, "t"]).where("NOT s_dead AND NOT t_dead").select(*by, "s", "t", "s_luck", "t_luck"), "alive")
+    # the luckiest of each neighbourhood goes
+    both = alive.where("s_luck IS NOT NULL AND t_luck IS NOT NULL")
+    rivals = both.select(*by, F.col("s").alias("node"), _rank("t_luck", "t").alias("rival")).unionByName(both.select(*by, F.col("t").alias("node"), _rank("s_luck", "s").alias("rival")))
+    best = rivals.groupBy(*by, "node").agg(F.min("rival").alias("rival"))
+    beaten = best.join(nodes.where("luck IS NOT NULL"), [*by, "node"]).where(_rank("luck", "node") > F.col("rival")).select(*by, "node", F.lit(True).alias("beaten"))
+    chosen = nodes.where("luck IS NOT NULL").join(beaten, [*by, "node"], "left").where("beaten IS NULL").select(*by, "node")
+    chosen = stage(chosen.withColumn("goes", F.lit(True)), "chosen")
+    marked = alive.join(chosen.withColumnsRenamed({"node": "s", "goes": "s_goes"}), [*by, "s"], "left").join(
+        chosen.withColumnsRenamed({"node": "t", "goes": "t_goes"}), [*by, "t"], "left"
+    )
+    marked = stage(marked.select(*by, "s", "t", "s_goes", "t_goes"), "marked")
+    into = marked.where("t_goes").select(*by, F.col("t").alias("node"), F.col("s").alias("other"), F.lit(True).alias("enters"))
+    out = marked.where("s_goes").select(*by, F.col("s").alias("node"), F.col("t").alias("other"), F.lit(False).alias("enters"))
+    ways = into.withColumnRenamed("other", "s").join(out.withColumnRenamed("other", "t"), [*by, "node"]).select(*by, "s", "t")
+    rest = marked.where("s_goes IS NULL AND t_goes IS NULL").select(*by, "s", "t")
+    after = stage(rest.unionByName(ways).distinct(), "edges")
+    return after.where("s <> t"), into.unionByName(out), after.where("s = t").select(*by, F.col("s").alias("node"))
+
+
+def _rank(luck: str, node: str) -> Column:
+    return F.struct(F.col(luck).alias("luck"), F.col(node).alias("node"))
+
+
+def _labelled(ways: DataFrame, labels: DataFrame, closed: DataFrame, by: list[str]) -> DataFrame:
+    """Labels of the nodes of a round, given those of all that stayed longer."""
+    sides = ways.join(labels.withColumnRenamed("node", "other"), [*by, "other"]).groupBy(*by, "node", "label").agg(F.count_if("enters").alias("i"), F.count_if(~F.col("enters")).alias("o"))
+    found = sides.where("i > 0 AND o > 0").select(*by, "node", F.col("label").alias("found"))
+    own = ways.select(*by, "node").distinct().join(closed.withColumn("loop", F.lit(True)), [*by, "node"], "left")
+    label = F.coalesce("found", F.when(F.col("loop"), F.col("node")))
+    return own.join(found, [*by, "node"], "left").select(*by, "node", label.alias("label")).where("label IS NOT NULL")
+
+
+def _kernel(edges: DataFrame, by: list[str]) -> DataFrame:
     """Components by passing labels along the edges, in both directions at once."""
     remaining, found = _trim(edges, by), []
     while not remaining.isEmpty():

@@ -7,12 +7,11 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import comparable
-from tablesmith.sources.folders import list_files
+from tablesmith.sources.folders import list_by_tasks, system_of
 from tablesmith.sources.readers import hadoop
 from tablesmith.sources.writers import write_json
 
@@ -32,7 +31,7 @@ def file_checksums(spark: SparkSession, folder: str, pattern: str = "*", recursi
             rows = [(r.path, r.size, _stream(r.uri, None)) for r in frame.itertuples()]
             yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
 
-    return _dealt(list_files(spark, folder, pattern, recursive)).mapInPandas(digests, CHECKSUM)
+    return _dealt(list_by_tasks(spark, folder, pattern, recursive)).mapInPandas(digests, CHECKSUM)
 
 
 def _dealt(files: DataFrame) -> DataFrame:
@@ -40,6 +39,42 @@ def _dealt(files: DataFrame) -> DataFrame:
     return files.repartition(F.col("path"))
 
 
+RANGE_BYTES = 64 << 20
+
+
+def tree_checksums(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Relative path, size, number of ranges and tree digest of every file below a folder; a large file is hashed by many tasks.
+
+    A file is cut into ranges of ``range_bytes``; the tree digest is the SHA-256 of the SHA-256 digests, as bytes, of its ranges in
+    order. An empty file has one empty range. Only digests meet, 32 bytes for each range.
+    """
+
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["digest"] = [_range_digest(r.uri, r.start, min(r.size, r.start + range_bytes)) for r in frame.itertuples()]
+            yield frame[["path", "size", "start", "digest"]]
+
+    last = F.greatest(F.floor((F.col("size") - 1) / range_bytes), F.lit(0)).cast("int")
+    ranges = list_by_tasks(spark, folder, pattern, recursive).select("path", "size", "uri", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i.cast("bigint") * range_bytes)).alias("start"))
+    hashed = ranges.repartition("path", "start").mapInPandas(digests, "path string, size bigint, start bigint, digest binary")
+    inner = F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("digest").alias("digest")))), lambda r: r["digest"])
+    return hashed.groupBy("path", "size").agg(F.count("*").alias("ranges"), F.sha2(F.unhex(F.array_join(inner, "")), 256).alias("tree_sha256"))
+
+
+def _range_digest(uri: str, start: int, stop: int) -> bytes:
+    digest = hashlib.sha256()
+    system, path = system_of(uri)
+    with system.open_input_file(path) as data:
+        data.seek(start)
+        while start < stop:
+            chunk = data.read(min(CHUNK, stop - start))
+            if not chunk:
+                raise EOFError(f"{uri} is shorter than when it was listed")
+            digest.update(chunk)
+            start += len(chunk)
+    return digest.digest()
+
+
 def copy_files(spark: SparkSession, source: str, target: str, pattern: str = "*", only: DataFrame | None = None) -> DataFrame:
     """Copy files by tasks; returns path, size and hash of what was read.
 
@@ -54,30 +89,16 @@ def copy_files(spark: SparkSession, source: str, target: str, pattern: str = "*"
             yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
 
     target = hadoop(spark, target)[1].toString()
-    files = list_files(spark, source, pattern)
+    files = list_by_tasks(spark, source, pattern)
     if only is not None:
         files = files.join(only.select("path"), "path", "left_semi").select(*files.columns)
     return _dealt(files).mapInPandas(copies, CHECKSUM)
 
 
-# How the tasks' file systems name those that Spark names otherwise.
-SCHEMES = {"s3a": "s3", "s3n": "s3"}
-
-
-def _system(uri: str):
-    """The file system and the path on it, for an address that Spark has resolved."""
-    scheme, _, rest = uri.partition(":") if "://" in uri or uri.startswith(("file:", "dbfs:")) else ("file", "", uri)
-    if scheme == "dbfs":
-        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
-    if scheme == "file":
-        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
-
-
 def _stream(uri: str, target: str | None) -> str:
     """Hash a file in chunks, writing them to the target if there is one."""
     digest = hashlib.sha256()
-    system, path = _system(uri)
+    system, path = system_of(uri)
     with system.open_input_stream(path) as data:
 
         def chunks() -> Iterator[bytes]:
@@ -107,7 +128,7 @@ def write_files(files: DataFrame, target: str) -> None:
 
 
 def _put(chunks: Iterable[bytes], target: str) -> None:
-    there, final = _system(target)
+    there, final = system_of(target)
     folder = final.rsplit("/", 1)[0]
     there.create_dir(folder, recursive=True)
     partial = f"{folder}/.{uuid.uuid4().hex}.partial"

@@ -290,6 +290,20 @@ def cycle_detection(spark, sf_dir):
     return graph.cyclic_nodes(edges, ["l_orderkey"], "line", "next")
 
 
+@query(
+    """
+    SELECT o.o_orderkey AS node, p.o_orderkey - 7 AS root
+    FROM orders o JOIN orders p ON p.o_orderkey % 50 = 0 AND p.o_orderkey > 0 AND o.o_orderkey BETWEEN p.o_orderkey - 7 AND p.o_orderkey
+    """
+)
+def cycle_components(spark, sf_dir):
+    """Orders that lead back to themselves in one graph of all orders: a path through all, with a way back of seven steps at every fiftieth."""
+    key = F.col("o_orderkey")
+    steps = F.when((key % 50 == 0) & (key > 0), F.array(key + 1, key - 7)).otherwise(F.array(key + 1))
+    edges = table(spark, sf_dir, "orders").select(key.alias("s"), F.explode(steps).alias("t"))
+    return graph.cyclic_edges(edges, [], "s", "t").select(F.col("s").alias("node"), "root").distinct()
+
+
 # Scripts, one per part
 
 

@@ -10,7 +10,7 @@ from tablesmith.operators import integrity as I
 from tablesmith.operators import reconcile as V
 from tablesmith.plans.registry import query, table
 from tablesmith.session import scratch_path
-from tablesmith.sources import folders, paths, readers, writers
+from tablesmith.sources import folders, isolation, paths, readers, writers
 from tablesmith.streaming.incremental import copy_new_files
 
 _ORDERS_SCHEMA = (
@@ -127,6 +127,57 @@ def folder_outcomes(spark, sf_dir):
     return folders.json_outcomes(spark, path, "event_id bigint, user_id bigint", ["event_type"]).drop("message")
 
 
+def _mixed_folder(spark, sf_dir) -> str:
+    """Events in files of all formats, a folder for each type of event and form: whole ones, and ones broken in ways of their own."""
+    path, events = scratch_path(spark, "mixed"), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    whole = events.repartition(3, "event_id")
+    whole.where("event_type = 'click'").write.parquet(f"{path}/click-parquet")
+    writers.write_csv(whole.where("event_type = 'view'"), f"{path}/view-csv", compression="gzip")
+    writers.write_json(whole.where("event_type = 'signup'"), f"{path}/signup-json")
+    # a cell that is no number in every fifth row
+    bad = events.where("event_type = 'error'").withColumn("value", F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string")))
+    writers.write_csv(bad.coalesce(1), f"{path}/error-csv")
+    # a file cut in half and one with a byte that is no UTF-8, from the bytes of whole ones
+    source = scratch_path(spark, "source")
+    bought = events.where("event_type = 'purchase'")
+    bought.coalesce(1).write.parquet(f"{source}/purchase-parquet")
+    writers.write_csv(bought.coalesce(1), f"{source}/purchase-csv")
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(source)
+    cut = F.col("path").endswith(".parquet")
+    broken = content.select(
+        F.when(cut, "purchase-parquet/cut.parquet").otherwise("purchase-csv/bytes.csv").alias("path"),
+        F.when(cut, F.substring("content", F.lit(1), (F.length("content") / 2).cast("int"))).otherwise(F.concat("content", F.unhex(F.lit("FF0A")))).alias("content"),
+    )
+    I.write_files(broken, path)
+    return path
+
+
+_MIXED = "event_id bigint, user_id bigint, event_type string, value double"
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('click', 'view', 'signup')")
+def folder_good_rows(spark, sf_dir):
+    """The rows of the good files of a folder of all formats, some of whose files are broken."""
+    return isolation.read_folder(spark, _mixed_folder(spark, sf_dir), _MIXED)[0].drop("path")
+
+
+@query(
+    """
+    WITH t AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id % 5 = 0) AS bad FROM events GROUP BY event_type)
+    SELECT 'click-parquet' AS folder, 'parquet' AS kind, n AS rows, 0::BIGINT AS bad_rows, NULL AS message, 'success' AS status FROM t WHERE event_type = 'click'
+    UNION ALL SELECT 'view-csv', 'csv', n, 0, NULL, 'success' FROM t WHERE event_type = 'view'
+    UNION ALL SELECT 'signup-json', 'json', n, 0, NULL, 'success' FROM t WHERE event_type = 'signup'
+    UNION ALL SELECT 'error-csv', 'csv', n, bad, 'broken record', 'error' FROM t WHERE event_type = 'error'
+    UNION ALL SELECT 'purchase-parquet', 'parquet', 0, 0, 'not readable: ArrowInvalid', 'error' FROM t WHERE event_type = 'purchase'
+    UNION ALL SELECT 'purchase-csv', 'csv', n + 1, 1, 'invalid UTF-8', 'error' FROM t WHERE event_type = 'purchase'
+    """
+)
+def folder_all_outcomes(spark, sf_dir):
+    """What became of the files of a folder of all formats, added up by folder."""
+    found = isolation.read_folder(spark, _mixed_folder(spark, sf_dir), _MIXED)[1]
+    return found.groupBy(F.substring_index("path", "/", 1).alias("folder"), "kind", "message", "status").agg(F.sum("rows").alias("rows"), F.sum("bad_rows").alias("bad_rows"))
+
+
 @query("SELECT * FROM orders")
 def parquet_write(spark, sf_dir):
     """A partitioned write, read back whole."""
@@ -400,6 +451,21 @@ def table_fingerprint(spark, sf_dir):
     return I.fingerprint(table(spark, sf_dir, "documents"))
 
 
+@query(
+    """
+    SELECT 'texts/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, CAST(1 AS BIGINT) AS ranges,
+        sha256(unhex(sha256(coalesce(text, '')))) AS tree_sha256
+    FROM documents
+    """
+)
+def file_tree_checksums(spark, sf_dir):
+    """Every document as a file, and the tree digests of the files, hashed in ranges."""
+    path = scratch_path(spark, "texts")
+    name = F.concat(F.lit("texts/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")
+    I.write_files(table(spark, sf_dir, "documents").select(name, F.col("text").cast("binary").alias("content")), path)
+    return I.tree_checksums(spark, path)
+
+
 @query("SELECT DISTINCT '_' || lang || '.bin' AS path, CAST(2 AS BIGINT) AS size, sha256(lang) AS sha256, 'ok' AS status FROM documents")
 def copy_files(spark, sf_dir):
     """Files with hidden names, one per language, copied and compared with what was to be written."""

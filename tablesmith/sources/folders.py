@@ -2,13 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesmith.session import stage
 from tablesmith.sources.readers import hadoop
 
+# How the tasks' file systems name those that Spark names otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def system_of(uri: str):
+    """The file system and the path on it, for an address that Spark has resolved."""
+    scheme, _, rest = uri.partition(":") if "://" in uri or uri.startswith(("file:", "dbfs:")) else ("file", "", uri)
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def list_by_tasks(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """All files below a folder as :func:`list_files` gives them, listed by tasks, a level of folders at a time.
+
+    The folders of a level are a table, dealt by name; what they hold is written to the shared folder, so the driver
+    never sees a name. There are as many rounds as levels. More than 1000 levels raise, so that links that lead back end.
+    """
+    system, root = hadoop(spark, folder)
+    if not system.exists(root):
+        raise FileNotFoundError(folder)
+    address = root.toString().rstrip("/")
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for uri in frame["uri"]:
+                there, place = system_of(uri)
+                for entry in there.get_file_info(fs.FileSelector(place)):
+                    name = f"{uri}/{entry.base_name}"
+                    moment = 0 if entry.mtime_ns is None else entry.mtime_ns // 1_000_000
+                    found.append((name[len(address) + 1 :], entry.size or 0, moment, name, entry.type == fs.FileType.Directory))
+            yield pd.DataFrame(found, columns=["path", "size", "millis", "uri", "folder"])
+
+    levels, frontier = [], spark.createDataFrame([(address,)], "uri string")
+    for _ in range(1000):
+        level = stage(frontier.repartition(F.col("uri")).mapInPandas(entries, "path string, size bigint, millis bigint, uri string, folder boolean"), "listing")
+        levels.append(level.where("not folder"))
+        frontier = level.where("folder").select("uri")
+        if not recursive or frontier.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"more than 1000 levels of folders in {folder}")
+    listing = levels[0]
+    for level in levels[1:]:
+        listing = listing.unionByName(level)
+    # what a local file system keeps beside files is no file, as for Spark itself
+    name = F.element_at(F.split("path", "/"), -1)
+    matches = spark._jvm.org.apache.hadoop.fs.GlobPattern.compile(pattern).pattern()
+    listing = listing.where(~name.rlike(r"^\..*\.crc$") & name.rlike(f"^(?:{matches})$"))
+    return listing.select("path", "size", F.timestamp_millis("millis").alias("modified"), "uri")
+
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """All files below a folder, hidden ones too: relative path, size, change time and full address.
@@ -39,10 +96,15 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*", recursive:
         .option("recursiveFileLookup", str(recursive).lower())
         .text(folder, wholetext=True)
     )
+    return texts.select(relative_path(spark, folder, F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+
+
+def relative_path(spark: SparkSession, folder: str, address: Column) -> Column:
+    """The place of a file below a folder, from the address that a reader gives it."""
     # the reader's addresses have file:/// where the file system says file:/
     root = hadoop(spark, folder)[1].toString().rstrip("/")
-    address = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
-    return texts.select(F.substring(address, F.lit(len(root) + 2), F.length(address)).alias("path"), F.col("value").alias("text"))
+    plain = F.regexp_replace(F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    return F.substring(plain, F.lit(len(root) + 2), F.length(plain))
 
 
 def json_outcomes(spark: SparkSession, folder: str, schema: str, file: Sequence[str] = ()) -> DataFrame:

@@ -74,3 +74,15 @@ def test_table_copy(spark, tmp_path):
 def test_new_rows(spark):
     copied = spark.range(5)
     assert I.new_rows(spark.range(8), copied.union(copied), ["id"]).count() == 3
+
+
+def test_tree_digests_are_those_of_ranges(spark, tmp_path):
+    contents = {"a.bin": bytes(range(256)) * 5, "b/empty.bin": b"", "b/exact.bin": b"x" * 200}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {r.path: (r.size, r.ranges, r.tree_sha256) for r in I.tree_checksums(spark, str(tmp_path), range_bytes=100).collect()}
+    for name, content in contents.items():
+        parts = [content[i : i + 100] for i in range(0, max(1, len(content)), 100)]
+        tree = hashlib.sha256(b"".join(hashlib.sha256(p).digest() for p in parts)).hexdigest()
+        assert got[name] == (len(content), len(parts), tree)
