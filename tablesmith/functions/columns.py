@@ -117,6 +117,16 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.withColumns(changed) if changed else df
 
 
+def missing_as_null(df: DataFrame) -> DataFrame:
+    """The same rows with null in place of NaN, which data frames take for missing too."""
+    changed = {}
+    for field in df.schema.fields:
+        if field.dataType.typeName() in ("float", "double"):
+            value = F.col("`" + field.name.replace("`", "``") + "`")
+            changed[field.name] = F.when(~F.isnan(value), value)
+    return df.withColumns(changed) if changed else df
+
+
 def row_digest(columns: Sequence[str]) -> Column:
     """SHA-256 over the columns by name; nulls and empty texts differ."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,50 +34,163 @@ OLD_INTERFACES = {
 }
 REPLACED_NAMES = {"SQLContext": "SparkSession", "HiveContext": "SparkSession"}
 
-_PARTS = "array<struct<kind:string,value:string>>"
+_PARTS = "array<struct<kind:string,value:string,known:string>>"
 _FACTS = (
-    "error string, bindings map<string,string>, "
+    "error string, "
     f"calls array<struct<line:int,receiver:string,name:string,code:string,path:{_PARTS}>>, "
     "texts array<struct<line:int,value:string>>"
 )
 _SNIPPET = "parses boolean, call boolean, module string, name string, functions array<string>, methods array<string>"
 
 
-def _path_parts(node: ast.expr | None) -> list[dict]:
-    """A path expression as literal texts and names; anything else is an unknown part."""
+def _path_parts(node: ast.expr | None, known: dict[str, str | None]) -> list[dict]:
+    """A path expression as literal texts and names, with what a name holds here if that is certain; anything else is an unknown part."""
     if isinstance(node, ast.Constant) and isinstance(node.value, str):
-        return [{"kind": "text", "value": node.value}]
+        return [{"kind": "text", "value": node.value, "known": node.value}]
     if isinstance(node, ast.Name):
-        return [{"kind": "name", "value": node.id}]
+        return [{"kind": "name", "value": node.id, "known": known.get(node.id)}]
     if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
-        return _path_parts(node.left) + _path_parts(node.right)
+        return _path_parts(node.left, known) + _path_parts(node.right, known)
     if isinstance(node, ast.JoinedStr):
-        return [p for v in node.values for p in _path_parts(v.value if isinstance(v, ast.FormattedValue) else v)]
-    return [{"kind": "unknown", "value": None}]
+        return [p for v in node.values for p in _path_parts(v.value if isinstance(v, ast.FormattedValue) else v, known)]
+    return [{"kind": "unknown", "value": None, "known": None}]
 
 
-def _call_fact(node: ast.Call) -> dict:
+def _text_of(node: ast.expr | None, known: dict[str, str | None]) -> str | None:
+    """The text an expression has here, if that is certain."""
+    texts = [p["known"] for p in _path_parts(node, known)]
+    return "".join(texts) if texts and all(t is not None for t in texts) else None
+
+
+def _call_fact(node: ast.Call, known: dict[str, str | None]) -> dict:
     named = {k.arg: k.value for k in node.keywords}
     path = node.args[0] if node.args else next((named[a] for a in PATH_ARGUMENTS if a in named), None)
     receiver = node.func.value.id if isinstance(node.func.value, ast.Name) else None
     return {
         "line": node.lineno, "receiver": receiver, "name": node.func.attr, "code": ast.unparse(node),
-        "path": None if path is None else _path_parts(path),
+        "path": None if path is None else _path_parts(path, known),
     }
 
 
+def _bound(nodes: list[ast.AST]) -> set[str]:
+    """The names that statements bind in any way, those of inner functions aside."""
+    names: set[str] = set()
+    front = list(nodes)
+    while front:
+        node = front.pop()
+        match node:
+            case ast.Name(id=name, ctx=ast.Store() | ast.Del()):
+                names.add(name)
+            case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name) | ast.ClassDef(name=name):
+                names.add(name)
+                continue
+            case ast.Lambda():
+                continue
+            case ast.alias(name=name, asname=other):
+                names.add(other or name.split(".")[0])
+            case ast.ExceptHandler(name=str(name)) | ast.MatchAs(name=str(name)) | ast.MatchStar(name=str(name)) | ast.MatchMapping(rest=str(name)):
+                names.add(name)
+        front += ast.iter_child_nodes(node)
+    return names
+
+
+class _Reader:
+    """Walks a script in the order in which it runs and notes calls with what the names in their paths hold at that place.
+
+    A name holds the text last bound to it. Where ways meet, a name keeps its text only if all agree; a loop may
+    run again, so what it binds is unknown where it begins. A function sees its own bindings, and of names outside those that are bound once.
+    """
+
+    def __init__(self) -> None:
+        self.calls: list[dict] = []
+
+    def block(self, body: list[ast.stmt], known: dict) -> dict:
+        for statement in body:
+            known = self.statement(statement, known)
+        return known
+
+    def look(self, nodes: list[ast.AST | None], known: dict) -> None:
+        """Note the calls in expressions; names that they bind themselves are unknown in them."""
+        for node in nodes:
+            if node is not None:
+                inner = known | dict.fromkeys(_bound([node]) | {a.arg for n in ast.walk(node) if isinstance(n, ast.Lambda) for a in ast.walk(n.args) if isinstance(a, ast.arg)})
+                self.calls += [
+                    _call_fact(n, inner) for n in ast.walk(node)
+                    if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and (n.func.attr.startswith("read_") or n.func.attr in WRITES)
+                ]
+
+    def statement(self, node: ast.stmt, known: dict) -> dict:
+        match node:
+            case ast.Assign(targets=targets, value=value):
+                self.look([*targets, value], known)
+                plain = {t.id for t in targets if isinstance(t, ast.Name)}
+                return known | dict.fromkeys(_bound([*targets, value])) | dict.fromkeys(plain, _text_of(value, known))
+            case ast.AnnAssign(target=ast.Name(id=name), value=ast.expr() as value):
+                self.look([value], known)
+                return known | {name: _text_of(value, known)}
+            case ast.AugAssign(target=ast.Name(id=name) as target, op=ast.Add(), value=value):
+                self.look([value], known)
+                return known | {name: _text_of(ast.BinOp(ast.Name(id=target.id, ctx=ast.Load()), ast.Add(), value), known)}
+            case ast.If(test=test, body=body, orelse=orelse):
+                self.look([test], known)
+                return _agreed(self.block(body, known), self.block(orelse, known))
+            case ast.For(iter=iterable, body=body, orelse=orelse) | ast.AsyncFor(iter=iterable, body=body, orelse=orelse):
+                self.look([iterable], known)
+                again = known | dict.fromkeys(_bound([node.target, *body]))
+                return self.block(orelse, _agreed(known, self.block(body, again)))
+            case ast.While(test=test, body=body, orelse=orelse):
+                again = known | dict.fromkeys(_bound(body))
+                self.look([test], again)
+                return self.block(orelse, _agreed(known, self.block(body, again)))
+            case ast.With(items=items, body=body) | ast.AsyncWith(items=items, body=body):
+                self.look(list(items), known)
+                return self.block(body, known | dict.fromkeys(_bound(list(items))))
+            case ast.Try(body=body, handlers=handlers, orelse=orelse, finalbody=final) | ast.TryStar(body=body, handlers=handlers, orelse=orelse, finalbody=final):
+                tried = self.block(body, known)
+                broken = known | dict.fromkeys(_bound(body))  # it may have stopped anywhere
+                ways = [self.block(orelse, tried), *[self.block(h.body, broken | dict.fromkeys([h.name] if h.name else [])) for h in handlers]]
+                return self.block(final, _agreed(*ways))
+            case ast.Match(subject=subject, cases=cases):
+                self.look([subject], known)
+                return _agreed(known, *[self.block(c.body, known | dict.fromkeys(_bound([c.pattern]))) for c in cases])
+            case ast.FunctionDef(args=args, body=body) | ast.AsyncFunctionDef(args=args, body=body):
+                self.look([*node.decorator_list, *args.defaults, *args.kw_defaults], known)
+                own = {a.arg for a in ast.walk(args) if isinstance(a, ast.arg)} | _bound(body)
+                self.block(body, known | self.once | dict.fromkeys(own))
+                return known | {node.name: None}
+            case ast.ClassDef(body=body):
+                self.look([*node.decorator_list, *node.bases], known)
+                self.block(body, known)
+                return known | {node.name: None}
+            case _:
+                self.look([node], known)
+                return known | dict.fromkeys(_bound([node]))
+
+    def read(self, module: ast.Module) -> list[dict]:
+        bound = Counter(n.id for n in ast.walk(module) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store))
+        single = {t.id: s.value for s in module.body if isinstance(s, ast.Assign) for t in s.targets if isinstance(t, ast.Name) and bound[t.id] == 1}
+        # a function may run later: names bound more than once are unknown in it, names bound once hold their text
+        self.once = dict.fromkeys(bound) | {name: _text_of(value, {}) for name, value in single.items()}
+        self.block(module.body, {})
+        return self.calls
+
+
+def _agreed(*ways: dict) -> dict:
+    """What names hold where several ways meet."""
+    names = set().union(*ways)
+    return {n: ways[0].get(n) if all(w.get(n) == ways[0].get(n) for w in ways) else None for n in names}
+
+
 def _script_facts(text: str) -> str:
-    facts = {"error": None, "bindings": {}, "calls": [], "texts": []}
+    facts = {"error": None, "calls": [], "texts": []}
     try:
-        nodes = list(ast.walk(ast.parse(text)))
+        module = ast.parse(text)
+        nodes = list(ast.walk(module))
+        facts["calls"] = _Reader().read(module)
     except (SyntaxError, ValueError, RecursionError) as problem:
-        return json.dumps(facts | {"error": f"{type(problem).__name__}: {problem}"})
+        return json.dumps(facts | {"error": f"{type(problem).__name__}: {problem}", "calls": []})
     for node in nodes:
         match node:
-            case ast.Assign(value=ast.Constant(value=str(value))):
-                facts["bindings"] |= {t.id: value for t in node.targets if isinstance(t, ast.Name)}
-            case ast.Call(func=ast.Attribute(attr=name)) if name.startswith("read_") or name in WRITES:
-                facts["calls"].append(_call_fact(node))
             case ast.Constant(value=str(value)) if "/mnt/" in value:
                 facts["texts"].append({"line": node.lineno, "value": value})
     return json.dumps(facts)
@@ -116,19 +230,15 @@ def without_magics(text: str | Column) -> Column:
 
 
 def script_facts(scripts: DataFrame) -> DataFrame:
-    """One row per script: calls of interest, text bindings and mount texts, or the parse error."""
+    """One row per script: calls of interest and mount texts, or the parse error."""
     facts = _parsed(without_magics("text"), _script_facts, _FACTS)
     return scripts.select("path", facts.alias("_f")).select("path", "_f.*")
 
 
-def _resolved(parts: Column, bindings: Column) -> Column:
+def _resolved(parts: Column) -> Column:
     """The path if every part is known, else null."""
-    values = F.transform(
-        parts,
-        lambda p: F.when(p["kind"] == "text", p["value"]).when(p["kind"] == "name", F.try_element_at(bindings, p["value"])),
-    )
-    known = (F.size(values) > 0) & F.forall(values, lambda v: v.isNotNull())
-    return F.when(F.coalesce(known, F.lit(False)), F.array_join(values, ""))
+    known = (F.size(parts) > 0) & F.forall(parts, lambda p: p["known"].isNotNull())
+    return F.when(F.coalesce(known, F.lit(False)), F.array_join(F.transform(parts, lambda p: p["known"]), ""))
 
 
 def _variable(parts: Column) -> Column:
@@ -139,10 +249,10 @@ def _variable(parts: Column) -> Column:
 
 def access_findings(facts: DataFrame) -> DataFrame:
     """Reads through ``pd`` and the supported writes: line, operation, code, path, variable, mount."""
-    call = facts.select("path", "bindings", F.explode("calls").alias("c"))
+    call = facts.select("path", F.explode("calls").alias("c"))
     reads = (F.col("c.receiver") == "pd") & F.col("c.name").startswith("read_")
     writes = F.col("c.name").isin(WRITES) & F.col("c.path").isNotNull()
-    used = _resolved(F.col("c.path"), F.col("bindings"))
+    used = _resolved(F.col("c.path"))
     return call.where(F.coalesce(reads, F.lit(False)) | writes).select(
         F.col("path").alias("file_path"),
         F.col("c.line").alias("line_number"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesmith.functions.columns import comparable, round_even, row_digest
+from tablesmith.functions.columns import comparable, missing_as_null, round_even, row_digest
 from tablesmith.operators.rules import Rule, flag_rows
 from tablesmith.operators.splits import find_splits
 
@@ -26,8 +26,9 @@ def profile_columns(df: DataFrame, approximate: bool = False, by_digest: Sequenc
 
     One scan for any number of columns: each row becomes its values by position, equal ones collapse in each task
     before they are shuffled. Columns of long texts may be counted ``by_digest``: SHA-256 instead of the text travels.
+    NaN counts as null.
     """
-    df = comparable(df)
+    df = missing_as_null(comparable(df))
     fields = df.schema.fields
     # a value at place -1 in each row counts the rows
     every = F.struct(F.lit(-1).alias("position"), F.lit("").alias("value"))
@@ -118,8 +119,8 @@ def write_profile(df: DataFrame, path: str, name: str, by_digest: bool = False)
 
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Numeric columns as rows of ``column, value``."""
-    doubles = df.select(*[F.col(_quoted(c)).cast("double").alias(c) for c in columns])
+    """Numeric columns as rows of ``column, value``; NaN is null."""
+    doubles = missing_as_null(df.select(*[F.col(_quoted(c)).cast("double").alias(c) for c in columns]))
     return doubles.unpivot([], list(columns), "column", "value")
 
 
@@ -166,7 +167,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
 
 
 def describe(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Count, mean, standard deviation, minimum, quantiles and maximum per column."""
+    """Count, mean, standard deviation, minimum, quantiles and maximum per column; NaN is left out like null."""
+    df = missing_as_null(df)
     measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     value = [F.col(_quoted(c)).cast("double") for c in columns]
     row = df.agg(*[f(v).alias(f"{m}{i}") for m, f in measures.items() for i, v in enumerate(value)])

@@ -345,6 +345,34 @@ def code_access(spark, sf_dir):
     return K.access_findings(K.script_facts(_scripts(spark, sf_dir)))
 
 
+_K = "CAST(p_partkey AS VARCHAR)"
+
+
+@query(
+    f"""
+    SELECT {_SCRIPT} AS file_path, 3 AS line_number, '/mnt/in/' || {_K} AS path_used FROM part
+    UNION ALL SELECT {_SCRIPT}, 5, '/mnt/out/' || {_K} FROM part
+    UNION ALL SELECT {_SCRIPT}, 8, CASE WHEN p_size % 2 = 0 THEN '/mnt/out/' || {_K} END FROM part
+    UNION ALL SELECT {_SCRIPT}, 10, NULL FROM part
+    UNION ALL SELECT {_SCRIPT}, 12, 'root/x.csv' FROM part
+    UNION ALL SELECT {_SCRIPT}, 14, '/mnt/out/' || {_K} || '.bak' FROM part WHERE p_size % 2 = 0
+    UNION ALL SELECT {_SCRIPT}, 14, NULL FROM part WHERE p_size % 2 <> 0
+    """
+)
+def code_rebound_paths(spark, sf_dir):
+    """Paths held by names that are bound again, in branches, loops and functions: what a name holds where it is used."""
+    key = F.col("p_partkey").cast("string")
+    other = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("    p = '/mnt/out/"), key, F.lit("'"))).otherwise("    p = '/mnt/else'")
+    text = F.concat_ws(
+        "\n",
+        F.lit("root = 'root'"), F.concat(F.lit("p = '/mnt/in/"), key, F.lit("'")), F.lit("a = pd.read_csv(p)"), F.concat(F.lit("p = '/mnt/out/"), key, F.lit("'")),
+        F.lit("a.to_csv(p)"), F.lit("if late:"), other, F.lit("b = pd.read_json(p)"), F.lit("for q in names():"), F.lit("    c = pd.read_csv(q)"),
+        F.lit("def f(p):"), F.lit("    return pd.read_csv(root + '/x.csv')"), F.lit("p += '.bak'"), F.lit("pd.read_csv(p)"),
+    )
+    scripts = table(spark, sf_dir, "part").select(F.format_string("jobs/%d.py", "p_partkey").alias("path"), text.alias("text"))
+    return K.access_findings(K.script_facts(scripts)).select("file_path", "line_number", "path_used")
+
+
 @query(
     f"""
     SELECT f AS file_path, 3 AS line_number, 'mount_point_reference' AS operation_type, '/mnt/' || p_type AS path_used FROM {_PARSED}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,6 +218,31 @@ def path_mapping(spark, sf_dir):
     )
 
 
+@query(
+    """
+    SELECT 'customer' AS name, count(*) AS rows, count(DISTINCT c_custkey) AS keys FROM customer
+    UNION ALL SELECT 'supplier', count(*), count(DISTINCT s_suppkey) FROM supplier
+    UNION ALL SELECT 'nation', count(*), count(DISTINCT n_nationkey) FROM nation
+    """
+)
+def named_tables(spark, sf_dir):
+    """Several tables written by name into one folder, and each read back."""
+    path, keys = scratch_path(spark, "tables"), {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey"}
+    writers.write_tables({name: table(spark, sf_dir, name) for name in keys}, path)
+    read = [readers.read_parquet(spark, f"{path}/{name}").agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys")).select(F.lit(name).alias("name"), "rows", "keys") for name, key in keys.items()]
+    return functools.reduce(DataFrame.unionByName, read)
+
+
+@query("SELECT least(count(*), 100) AS rows, true AS whole FROM orders")
+def row_limit(spark, sf_dir):
+    """The first hundred rows of a CSV file: a limit that was asked for."""
+    path, orders = scratch_path(spark, "limit"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    writers.write_csv(orders, path)
+    some = readers.read_csv(spark, path, "o_orderkey bigint, o_custkey bigint", nrows=100)
+    known = some.join(orders, ["o_orderkey", "o_custkey"], "left_anti").agg(F.count("*").alias("n"))
+    return some.agg(F.count("*").alias("rows")).crossJoin(known).select("rows", (F.col("n") == 0).alias("whole"))
+
+
 @query("SELECT count(*) AS rows, CAST(sum(CAST(value AS DECIMAL(18,2)) * 2) AS DOUBLE) AS processed FROM events")
 def chunked_transform(spark, sf_dir):
     """What a chunk loop does: a derived column, written in bounded files, then totalled."""
@@ -294,6 +321,27 @@ def recon_keyed_diff(spark, sf_dir):
     return V.keyed_diff(orders, _edited(orders, False), ["o_orderkey"])
 
 
+@query(
+    f"""
+    SELECT o_orderkey, 'missing' AS change, NULL AS "column", NULL AS source, NULL AS target FROM orders WHERE o_orderkey % 100 = 0
+    UNION ALL
+    SELECT s.o_orderkey, 'changed', 'o_totalprice', CAST(s.o_totalprice AS VARCHAR), CAST(t.o_totalprice AS VARCHAR)
+    FROM orders s JOIN ({_KEPT}) t ON s.o_orderkey = t.o_orderkey WHERE s.o_totalprice <> t.o_totalprice
+    """
+)
+def recon_bucket_diff(spark, sf_dir):
+    """The cells that differ, sought only in buckets of keys whose digests differ."""
+    orders = table(spark, sf_dir, "orders")
+    return V.bucket_diff(orders, _edited(orders, False), ["o_orderkey"])
+
+
+@query("SELECT true AS row_count_match, false AS schema_match, CAST(1 AS BIGINT) AS data_discrepancies FROM orders LIMIT 1")
+def recon_other_columns(spark, sf_dir):
+    """A copy that lacks a column but no row."""
+    orders = table(spark, sf_dir, "orders")
+    return V.summary(V.issues(orders, orders.drop("o_orderpriority")))
+
+
 _ONLY = "CAST((SELECT count(*) FROM (SELECT * FROM {} EXCEPT ALL SELECT * FROM {})) AS VARCHAR)"
 _ISSUES = f"""(
     SELECT 'row_count' AS type, CAST((SELECT count(*) FROM orders) AS VARCHAR) AS source,
@@ -440,9 +488,10 @@ def table_copy(spark, sf_dir):
 
 @query(
     """
-    SELECT count(*) AS rows, CAST(CAST(sum(CAST(CAST('0x' || left(sha256(concat_ws(chr(31),
-        coalesce('+' || CAST(doc_id AS VARCHAR), '-'), coalesce('+' || lang, '-'), coalesce('+' || CAST(n_chars AS VARCHAR), '-'),
-        coalesce('+' || source, '-'), coalesce('+' || text, '-'))), 15) AS BIGINT) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS fingerprint
+    SELECT count(*) AS rows, CAST(CAST(sum(CAST(CAST('0x' || left(sha256(
+        coalesce('+' || length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce('+' || length(lang) || ':' || lang, '-')
+        || coalesce('+' || length(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || coalesce('+' || length(source) || ':' || source, '-')
+        || coalesce('+' || length(text) || ':' || text, '-')), 15) AS BIGINT) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS fingerprint
     FROM documents
     """
 )
@@ -451,6 +500,26 @@ def table_fingerprint(spark, sf_dir):
     return I.fingerprint(table(spark, sf_dir, "documents"))
 
 
+@query("SELECT count(*) AS rows, count(*) AS copied_rows, true AS matches FROM events WHERE value IS NOT NULL")
+def nested_copy(spark, sf_dir):
+    """A copy of rows with a map, an array and a struct, compared by what they hold."""
+    events = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    nested = events.select("event_id", F.create_map("event_type", "value").alias("by_type"), F.array("user_id", "event_id").alias("ids"), F.struct("ts", "props").alias("rest"))
+    return I.copy_table(nested, scratch_path(spark, "nested"))
+
+
+@query("SELECT count(*) AS pairs, count(*) FILTER (WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL) AS told_apart FROM documents")
+def fingerprint_of_cut_values(spark, sf_dir):
+    """Rows whose values are cut at another place have another fingerprint, though they read alike when put together."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    mark = F.lit("\u001f+")
+    one = docs.select("doc_id", F.concat("lang", mark, "source").alias("a"), F.col("text").alias("b"))
+    other = docs.select("doc_id", F.col("lang").alias("a"), F.concat("source", mark, "text").alias("b"))
+    digests = [t.groupBy("doc_id").agg(*I.quick_digest(t)).select("doc_id", F.col("digest1").alias(n)) for t, n in ((one, "x"), (other, "y"))]
+    both = digests[0].join(digests[1], "doc_id")
+    return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("x") != F.col("y")).alias("told_apart"))
+
+
 @query(
     """
     SELECT 'texts/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, CAST(1 AS BIGINT) AS ranges,

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tablesmith.functions import columns as C
 from tablesmith.operators import profiling as P
 from tablesmith.operators import rules as Q
+from tablesmith.operators import states
 from tablesmith.operators.rules import Rule
 from tablesmith.plans.registry import query, table
+from tablesmith.session import stage
 
 _LABELLED = "(SELECT d.doc_id, lang, text, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 _LINE_COLUMNS = {
@@ -271,3 +273,35 @@ def severity_filter(spark, sf_dir):
 )
 def risk_level(spark, sf_dir):
     return Q.risk_level(_order_flags(spark, sf_dir, keep_unflagged=True), ["o_custkey"])
+
+
+@query(
+    """
+    WITH t AS (
+        SELECT unnest(['event_id', 'user_id', 'event_type', 'value', 'ts']) AS "column",
+            unnest([min(event_id)::VARCHAR, min(user_id)::VARCHAR, min(event_type), min(value)::VARCHAR, min(ts)::VARCHAR]) AS least,
+            unnest([max(event_id)::VARCHAR, max(user_id)::VARCHAR, max(event_type), max(value)::VARCHAR, max(ts)::VARCHAR]) AS largest,
+            unnest([count(event_id), count(user_id), count(event_type), count(value), count(ts)]) AS present, count(*) AS rows
+        FROM events
+    )
+    SELECT "column", rows, rows - present AS nulls, least, largest, true AS distinct_near, true AS quantiles_near FROM t
+    """
+)
+def profile_of_days(spark, sf_dir):
+    """Profile states kept by day and merged to the whole: counts and extremes, and whether the sketches are as near as they should be."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    days = stage(states.profile_states(events.withColumn("day", F.to_date("ts")), ["day"]), "states")
+    found = states.state_profile(states.merged_states(days), (0.1, 0.5, 0.9))
+    # the exact numbers of distinct values, and the exact ranks of the estimated quantiles
+    numbers = ["event_id", "user_id", "value"]
+    exact = P.profile_columns(events).select("column", "unique")
+    values = P.long_form(events, numbers).where("value IS NOT NULL")
+    shares = values.join(F.broadcast(found.where(F.col("q0").isNotNull()).select("column", "q0", "q1", "q2")), "column").groupBy("column").agg(
+        *[(F.count_if(F.col("value") <= F.col(f"q{i}")) / F.count("*")).alias(f"upto{i}") for i in range(3)], *[(F.count_if(F.col("value") < F.col(f"q{i}")) / F.count("*")).alias(f"below{i}") for i in range(3)]
+    )
+    near = F.lit(True)
+    for i, share in enumerate((0.1, 0.5, 0.9)):
+        near = near & (F.col(f"below{i}") <= share + states.RANK_ERROR) & (F.col(f"upto{i}") >= share - states.RANK_ERROR)
+    both = found.join(exact, "column").join(shares, "column", "left")
+    close = F.abs(F.col("distinct") - F.col("unique")) <= F.greatest(F.lit(1), F.col("unique") * states.DISTINCT_ERROR)
+    return both.select("column", "rows", "nulls", "least", "largest", close.alias("distinct_near"), F.coalesce(near, F.lit(True)).alias("quantiles_near"))

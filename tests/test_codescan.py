@@ -80,3 +80,63 @@ def test_line_changes(spark):
     row = df.select(F.size(changes).alias("n"), changes.alias("c"), K.confidence(F.size(changes)).alias("s")).first()
     assert row["n"] == 2 and row["s"] == pytest.approx(0.9)
     assert [(c["line_number"], c["original"], c["converted"]) for c in row["c"]] == [(2, "b", "B"), (4, "d", "D")]
+
+
+def paths(spark, text):
+    facts = K.script_facts(spark.createDataFrame([("x.py", text)], "path string, text string"))
+    return {r.line_number: r.path_used for r in K.access_findings(facts).collect()}
+
+
+def test_names_hold_what_was_bound_last(spark):
+    text = """p = 'a'
+pd.read_csv(p)
+p = 'b'
+pd.read_csv(p)
+p = p + '/c'
+pd.read_csv(p)
+p = other()
+pd.read_csv(p)
+x = y = 'd'
+pd.read_csv(x + y)
+if t:
+    x = 'e'
+    pd.read_csv(x)
+else:
+    x = 'f'
+pd.read_csv(x)
+while t:
+    pd.read_csv(y)
+    y = 'g'
+    pd.read_csv(y)
+pd.read_csv(y)
+try:
+    z = 'h'
+except E as y:
+    z = 'h'
+pd.read_csv(z)
+with open('k') as z:
+    pd.read_csv(z)
+once, w = 'n', 'w'
+single = 's'
+def f(a, z='u'):
+    pd.read_csv(a)
+    q = 'own'
+    pd.read_csv(q)
+    pd.read_csv(single)
+    pd.read_csv(p)
+pd.read_csv([pd.read_csv(v) for v in vs][0])
+match t:
+    case 1:
+        m = 'x'
+    case v:
+        m = 'x'
+pd.read_csv(later)
+later = 'l'
+"""
+    lines = text.split("\n")
+    got = paths(spark, text)
+    at = {line.strip(): i + 1 for i, line in enumerate(lines)}
+    assert [got[i] for i in (2, 4, 6, 8, 10, 13, 16, 18, 20, 21)] == ["a", "b", "b/c", None, "dd", "e", None, None, "g", None]
+    assert got[26] == "h" and got[28] is None
+    assert got[at["pd.read_csv(a)"]] is None and got[at["pd.read_csv(q)"]] == "own" and got[at["pd.read_csv(single)"]] == "s"
+    assert got[at["pd.read_csv(later)"]] is None

@@ -98,3 +98,20 @@ def test_null_keys_and_changed_types(spark):
     assert [(r.type, r.source, r.target) for r in V.issues(df, wide).collect()] == [("type", "k int", "k bigint")]
     both = [{r.k for r in V.key_sample(side, ["k"], 50).collect()} for side in (spark.range(100).select(F.col("id").cast("int").alias("k")), spark.range(100).withColumnRenamed("id", "k"))]
     assert both[0] == both[1]
+
+
+def test_bucket_diff_reads_few_rows_and_finds_all(spark):
+    rows = [(None if i == 7 else i, f"n{i}", float(i), None if i % 3 else i) for i in range(5000)]
+    edited = [(k, n, v + 1 if k in (10, 2500) else v, None if k == 33 else o) for k, n, v, o in rows if k != 77] + [(9999, "new", 0.0, None)]
+    schema = "k bigint, n string, v double, o bigint"
+    source, target = spark.createDataFrame(rows, schema), spark.createDataFrame(edited, schema)
+    found = sorted(map(str, V.bucket_diff(source, target, ["k"], branches=64).collect()))
+    assert found == sorted(map(str, V.keyed_diff(source, target, ["k"]).collect())) and len(found) == 5
+    left, right = V.differing_buckets(source, target, ["k"], branches=64)
+    assert left.count() < 40 and right.count() < 40
+    assert V.bucket_diff(source, source, ["k"]).collect() == []
+    none = source.where("false")
+    assert V.bucket_diff(source, none, ["k"]).count() == 5000 and V.bucket_diff(none, none, ["k"]).count() == 0
+    # which column holds a null, and how often a row stands, makes a difference
+    one, other = spark.createDataFrame([(1, None, "a")], "k int, a string, b string"), spark.createDataFrame([(1, "a", None)], "k int, a string, b string")
+    assert V.bucket_diff(one, other, ["k"]).count() == 2
