@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import clamp, replace_words
+from tablesmith.operators.automaton import occurrences
 from tablesmith.operators.rules import Rule, flag_rows
 from tablesmith.sources.paths import is_mount
 
@@ -336,6 +337,13 @@ def old_interfaces(scripts: DataFrame) -> DataFrame:
     return scripts.select("path", F.explode(F.array_compact(F.array(*found))).alias("_f")).select("path", "_f.*")
 
 
+def dictionary_findings(scripts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(path, old, new, times): names of a dictionary (old, new) of any size that a script mentions, with the advice."""
+    names = [r.old for r in dictionary.select("old").distinct().collect() if r.old]
+    found = occurrences(scripts, "text", names, ["path"])
+    return found.select("path", F.col("pattern").alias("old"), "times").join(dictionary.select("old", "new").distinct(), "old").select("path", "old", "new", "times")
+
+
 def modernised(text: str | Column) -> Column:
     """The text with old interface names replaced."""
     return replace_words(text, REPLACED_NAMES)

@@ -542,3 +542,56 @@ def keyword_scores(spark, sf_dir):
 )
 def keyword_topk(spark, sf_dir):
     return ranking.keyword_topk(_messages(spark, sf_dir), "text", CATALOG, ["conv_id", "turn"])
+
+
+# A catalog made from the data: every word of the benchmark, by its first two letters, is a keyword of an entry, and the last words of items tell when to use it
+_WORDS = "list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
+_CATALOG_SQL = f"""
+    b AS (SELECT {_WORDS} AS words FROM benchmark),
+    c AS (SELECT DISTINCT left(w, 2) AS entry, w AS keyword, false AS shared FROM (SELECT unnest(words) AS w FROM b)
+          UNION SELECT DISTINCT left(words[1], 2), words[-1], true FROM b WHERE len(words) > 0),
+    d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct({_WORDS}) AS words FROM documents),
+    t AS (SELECT doc_id, unnest(words) AS keyword FROM d),
+    h AS (SELECT d.doc_id, k.keyword, t.keyword IS NOT NULL AS whole
+          FROM d JOIN (SELECT DISTINCT keyword FROM c) k ON contains(d.low, k.keyword) LEFT JOIN t ON t.doc_id = d.doc_id AND t.keyword = k.keyword),
+    s AS (SELECT doc_id, entry, sum(CASE WHEN shared THEN CASE WHEN whole THEN 0.5::DOUBLE ELSE 0 END WHEN whole THEN 3::DOUBLE ELSE 1::DOUBLE END) AS score
+          FROM h JOIN c USING (keyword) GROUP BY doc_id, entry)
+"""
+
+
+def _catalog(spark, sf_dir) -> DataFrame:
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f]+"), lambda w: w != "")
+    items = table(spark, sf_dir, "benchmark").select(words.alias("words")).where(F.size("words") > 0)
+    every = items.select(F.explode("words").alias("keyword")).select(F.left("keyword", F.lit(2)).alias("entry"), "keyword", F.lit(False).alias("shared"))
+    use = items.select(F.left(F.get("words", F.lit(0)), F.lit(2)).alias("entry"), F.element_at("words", -1).alias("keyword"), F.lit(True).alias("shared"))
+    return every.unionByName(use).distinct()
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT doc_id, entry, score FROM s WHERE score > 0")
+def catalog_scores(spark, sf_dir):
+    """Points of all documents for a catalog of thousands of keywords, kept as a table."""
+    return ranking.catalog_scores(table(spark, sf_dir, "documents"), "text", _catalog(spark, sf_dir), ["doc_id"])
+
+
+@query(
+    f"""
+    WITH {_CATALOG_SQL}
+    SELECT doc_id, CAST(place AS INTEGER) AS place, entry, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, entry) AS place FROM s WHERE score >= 1) WHERE place <= 3
+    """
+)
+def catalog_topk(spark, sf_dir):
+    return ranking.catalog_topk(table(spark, sf_dir, "documents"), "text", _catalog(spark, sf_dir), ["doc_id"])
+
+
+@query(
+    f"""
+    WITH d AS (SELECT DISTINCT p_type AS old, 'lake/' || p_type AS "new" FROM part)
+    SELECT {_SCRIPT} AS path, d.old, d."new", CAST((length(p_type) - length(replace(p_type, d.old, ''))) // length(d.old) AS BIGINT) AS times
+    FROM part JOIN d ON contains(p_type, d.old)
+    """
+)
+def dictionary_findings(spark, sf_dir):
+    """Names of a dictionary, which is a table, in all scripts."""
+    kinds = table(spark, sf_dir, "part").select(F.col("p_type").alias("old"), F.concat(F.lit("lake/"), "p_type").alias("new")).distinct()
+    return K.dictionary_findings(_scripts(spark, sf_dir), kinds)
