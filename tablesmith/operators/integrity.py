@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import comparable
+from tablesmith.session import stage
 from tablesmith.sources.folders import list_by_tasks, system_of
 from tablesmith.sources.readers import hadoop
 from tablesmith.sources.writers import write_json
@@ -175,6 +176,46 @@ def new_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return listing.join(manifest.select("path"), "path", "left_anti")
 
 
+def sync_folder(spark: SparkSession, source: str, target: str, manifest: str, pattern: str = "*") -> DataFrame:
+    """Copy the files that are new or have changed since the last run; returns (path, size, sha256, change) of all.
+
+    The manifest is a folder of versions, each a whole list of path, size and digest. ``change`` is new, changed, same or gone; files that are
+    gone stay in the target and leave the list. A version is written after its copies and only if something
+    changed, so a run that is cut short is done again, and a run that is done again changes nothing.
+    """
+    number, known = _last_version(spark, manifest)
+    now = stage(file_checksums(spark, source, pattern), "now")
+    before = known.select("path", F.col("size").alias("old_size"), F.col("sha256").alias("old_sha256"))
+    change = (
+        F.when(F.col("old_sha256").isNull(), "new").when(F.col("sha256").isNull(), "gone")
+        .when((F.col("sha256") != F.col("old_sha256")) | (F.col("size") != F.col("old_size")), "changed").otherwise("same")
+    )
+    compared = stage(now.join(before, "path", "full").withColumn("change", change), "changes")
+    wanted = compared.where("change IN ('new', 'changed')").select("path")
+    # a file that changes between the two reads is told by what was copied
+    copied = stage(copy_files(spark, source, target, pattern, wanted), "copied").select("path", F.col("size").alias("copied_size"), F.col("sha256").alias("copied_sha256"))
+    told = compared.join(copied, "path", "left").select(
+        "path", F.coalesce("copied_size", "size", "old_size").alias("size"), F.coalesce("copied_sha256", "sha256", "old_sha256").alias("sha256"), "change"
+    )
+    told = stage(told, "told")
+    if not told.where("change <> 'same'").isEmpty():
+        told.where("change <> 'gone'").drop("change").write.parquet(f"{manifest}/version={number + 1}")
+    return told
+
+
+def _last_version(spark: SparkSession, manifest: str) -> tuple[int, DataFrame]:
+    """Number and rows of the last whole version of a manifest; 0 and none at first."""
+    system, root = hadoop(spark, manifest)
+    names = [e.getPath() for e in system.listStatus(root)] if system.exists(root) else []
+    whole = [int(p.getName().removeprefix("version=")) for p in names if p.getName().startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    for p in names:  # what a run that was cut short has left
+        if p.getName().startswith("version=") and int(p.getName().removeprefix("version=")) not in whole:
+            system.delete(p, True)
+    if not whole:
+        return 0, spark.createDataFrame([], CHECKSUM)
+    return max(whole), spark.read.schema(CHECKSUM).parquet(f"{manifest}/version={max(whole)}")
+
+
 def new_rows(source: DataFrame, copied: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key has not been copied yet; repeated keys collapse before the exchange."""
     return source.join(copied.select(*key).distinct(), list(key), "left_anti")

@@ -1,12 +1,15 @@
 """Inventory, dependencies and risks of deployment templates: a folder of nested JSON documents.
 
 Input is a table ``path, text`` with one document per row. Every result has the
-column ``template``. Resources nest; the levels of a document are unfolded inside
-its row, so no exchange is needed before the graph work.
+column ``template``. Resources nest; a few levels of a document are unfolded inside
+its row, and what lies deeper is taken from there on, so each document is parsed once and
+no exchange is needed before the graph work.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,8 @@ from tablesmith.operators.rules import Rule, at_least, flag_rows
 from tablesmith.session import stage
 from tablesmith.sources.writers import write_json
 
-MANY_LEVELS = 8
+#: So many levels are unfolded at once.
+LEVELS = 3
 
 # What a template schema address contains, and the API age limit.
 SCHEMA_MARK = "deploymentTemplate"
@@ -27,10 +31,8 @@ SKU_TYPES = ("appServicePlans", "databases", "elasticPools", "registries")
 
 def parse_templates(texts: DataFrame) -> DataFrame:
     """Template, parsed document and, where it is no template, the reason."""
-    # Each nesting level needs one more key of this name; escapes could hide one.
-    levels = F.when(F.contains("text", F.lit("\\u")), F.length("text")).otherwise(F.regexp_count("text", F.lit('"resources"')))
     parsed = texts.select(
-        F.col("path").alias("template"), F.try_parse_json("text").alias("doc"), levels.alias("most_levels"),
+        F.col("path").alias("template"), F.try_parse_json("text").alias("doc"),
         F.get_json_object("text", "$").isNotNull().alias("readable"),
     )
     schema = _text("doc", "$['$schema']")
@@ -48,16 +50,41 @@ def template_errors(parsed: DataFrame) -> DataFrame:
 
 
 def extract_resources(parsed: DataFrame, include_children: bool = True) -> DataFrame:
-    """One row per resource with base and type-specific attributes; children name their parent."""
+    """One row per resource with base and type-specific attributes; children name their parent.
+
+    The documents are parsed once, when this is called: resources are written to the shared folder, those at the last level unfolded
+    with what they hold, from which the next levels are taken until none is left. So nesting may be of any depth.
+    """
     top = _items("doc", "$.resources", F.lit(None).cast("string"))
     # A filter on the reason would parse every document again; an empty list drops it as well.
-    rows = parsed.select("template", "most_levels", F.when(F.col("error").isNull(), top).otherwise(_nothing()).alias("_l0"))
-    depth = _levels(rows) if include_children else 1
-    rows = _unfold(rows, depth - 1)
-    every = F.concat(*[F.col(f"_l{i}") for i in range(depth)])
-    return rows.select("template", F.explode(every).alias("_i")).select(
-        "template", "_i.parent", F.col("_i.item").alias("res")
-    ).select("template", *_attributes())
+    rows = parsed.select("template", F.when(F.col("error").isNull(), top).otherwise(_nothing()).alias("_l0"))
+    if not include_children:
+        return rows.select("template", F.explode("_l0").alias("_i")).select("template", "_i.parent", F.col("_i.item").alias("res")).select("template", *_attributes())
+    found = []
+    while True:
+        level = stage(_unfolded(rows), "resources")
+        found.append(level.drop("_below"))
+        deeper = level.where(F.size("_below") > 0)
+        if deeper.isEmpty():
+            break
+        rows = deeper.select("template", F.col("_below").alias("_l0"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _unfolded(rows: DataFrame) -> DataFrame:
+    """The resources of some levels from ``_l0`` on; ``_below`` holds the children of those of the last one."""
+    for level in range(1, LEVELS):
+        rows = rows.withColumn(f"_l{level}", F.flatten(F.transform(F.col(f"_l{level - 1}"), _children)))
+    last = LEVELS - 1
+    every = F.concat(*[F.transform(F.col(f"_l{i}"), lambda r: F.struct(F.lit(i == last).alias("last"), r["parent"].alias("parent"), r["item"].alias("item"))) for i in range(LEVELS)])
+    one = rows.select("template", F.explode(every).alias("_i")).select(
+        "template", "_i.parent", F.col("_i.item").alias("res"), F.when(F.col("_i.last"), _children(F.col("_i"))).otherwise(_nothing()).alias("_below")
+    )
+    return one.select("template", *_attributes(), "_below")
+
+
+def _children(resource: Column) -> Column:
+    return _items(resource["item"], "$.resources", F.try_variant_get(resource["item"], "$.name", "string"))
 
 
 def _items(column: str | Column, path: str, parent: Column) -> Column:
@@ -72,29 +99,6 @@ def _nothing() -> Column:
     return F.array().cast("array<struct<parent:string,item:variant>>")
 
 
-def _levels(rows: DataFrame) -> int:
-    """How many levels to unfold so that no resource is left out.
-
-    The number of keys bounds the depth. Where that bound is loose, levels are unfolded
-    until one is empty in every document.
-    """
-    bound = rows.agg(F.max("most_levels")).first()[0] or 1
-    depth = min(bound, MANY_LEVELS)
-    while depth < bound and not _unfold(rows, depth).where(F.size(f"_l{depth}") > 0).isEmpty():
-        depth = min(2 * depth, bound)
-    return depth
-
-
-def _unfold(rows: DataFrame, depth: int) -> DataFrame:
-    """Columns ``_l1`` to ``_l{depth}``: the resources nested that deep."""
-    for level in range(1, depth + 1):
-        children = F.transform(
-            F.col(f"_l{level - 1}"), lambda r: _items(r["item"], "$.resources", F.try_variant_get(r["item"], "$.name", "string"))
-        )
-        rows = rows.withColumn(f"_l{level}", F.flatten(children))
-    return rows
-
-
 def _text(column: str | Column, path: str) -> Column:
     return F.try_variant_get(column, path, "string")
 
@@ -145,7 +149,7 @@ def _attributes() -> list[Column]:
         "child_resources": _size("$.resources"),
         "parent_resource": F.col("parent"),
     }
-    # The first family whose name occurs in the type supplies the special attributes.
+    # The names of the attributes. The first family whose name occurs in the type supplies the special ones.
     families = {
         "storageAccounts": {
             "accessTier": _text("res", "$.properties.accessTier"),
@@ -299,7 +303,7 @@ def template_summary(parsed: DataFrame, resources: DataFrame, edges: DataFrame,
 def write_inventory(texts: DataFrame, folder: str, include_children: bool = True, min_severity: str = "LOW") -> None:
     """Write every table of the inventory as a JSON dataset below ``folder``."""
     parsed = parse_templates(texts)
-    resources = stage(extract_resources(parsed, include_children), "resources")
+    resources = extract_resources(parsed, include_children)
     edges = dependencies(resources)
     flags = stage(risk_flags(resources, edges, min_severity), "flags")
     tables = {

@@ -17,7 +17,7 @@ from tablesmith.operators import templates as A
 from tablesmith.operators.ranking import Entry
 from tablesmith.operators.rules import Rule
 from tablesmith.plans.registry import query, table
-from tablesmith.session import spread, stage
+from tablesmith.session import spread
 
 # Templates, one per order
 
@@ -200,16 +200,70 @@ def _resources(spark, sf_dir) -> DataFrame:
     return A.extract_resources(A.parse_templates(_templates(spark, sf_dir)))
 
 
-def _staged_resources(spark, sf_dir) -> DataFrame:
-    """For results that use the resources more than once: parsed once, kept as a flat table."""
-    return stage(_resources(spark, sf_dir), "resources")
-
-
 @query(f"SELECT * FROM {_RESOURCES}")
 def template_resources(spark, sf_dir):
     return _resources(spark, sf_dir).select(*_RESOURCE_COLUMNS)
 
 
+@query(
+    f"""
+    SELECT 'deep/' || CAST(o_orderkey AS VARCHAR) AS template, 'r' || CAST(i AS VARCHAR) AS name, CASE WHEN i > 1 THEN 'r' || CAST(i - 1 AS VARCHAR) END AS parent_resource,
+        CASE WHEN i < o_orderkey % 21 THEN 1 ELSE 0 END AS child_resources
+    FROM (SELECT o_orderkey, unnest(range(1, o_orderkey % 21 + 1)) AS i FROM orders)
+    """
+)
+def template_nesting(spark, sf_dir):
+    """Templates of up to twenty levels of resources in resources, one per order."""
+    depth = (F.col("o_orderkey") % 21).cast("int")
+    opened = F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(F.lit('{"name":"r'), i.cast("string"), F.lit('","type":"T","resources":[')))
+    begin = F.lit('{"$schema":"https://schema.example.org/deploymentTemplate.json#","resources":[')
+    text = F.concat(begin, F.when(depth > 0, F.array_join(opened, "")).otherwise(""), F.repeat(F.lit("]}"), depth), F.lit("]}"))
+    texts = spread(table(spark, sf_dir, "orders")).select(F.concat(F.lit("deep/"), "o_orderkey").alias("path"), text.alias("text"))
+    return A.extract_resources(A.parse_templates(texts)).select("template", "name", "parent_resource", "child_resources")
+
+
+_NETWORK_SQL = """
+    SELECT 'net/' || CAST(s_suppkey AS VARCHAR) AS template, 'vnet' AS name, '10.' || CAST(s_suppkey % 200 AS VARCHAR) || '.0.0/16,10.250.0.0/24' AS "addressPrefixes",
+        s_suppkey % 4 AS "subnetCount", CASE WHEN s_suppkey % 3 = 0 THEN '10.0.0.4' ELSE '' END AS "dnsServers",
+        NULL AS "ruleCount", NULL AS "inboundRules", NULL AS "outboundRules", NULL AS "accessPolicieCount", NULL AS "vmSize", NULL AS "accessTier", NULL AS "minimumTlsVersion"
+    FROM supplier
+    UNION ALL SELECT 'net/' || CAST(s_suppkey AS VARCHAR), 'nsg', NULL, NULL, NULL, s_suppkey % 5 + s_suppkey % 2, s_suppkey % 5, s_suppkey % 2, NULL, NULL, NULL, NULL FROM supplier
+    UNION ALL SELECT 'net/' || CAST(s_suppkey AS VARCHAR), 'kv', NULL, NULL, NULL, NULL, NULL, NULL, 2, NULL, NULL, NULL FROM supplier
+    UNION ALL SELECT 'net/' || CAST(s_suppkey AS VARCHAR), 'vm', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'B' || CAST(s_suppkey % 8 AS VARCHAR), NULL, NULL FROM supplier
+    UNION ALL SELECT 'net/' || CAST(s_suppkey AS VARCHAR), 'st', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Hot', 'TLS1_2' FROM supplier
+"""
+
+
+@query(_NETWORK_SQL)
+def template_families(spark, sf_dir):
+    """The special attributes of all five families of resources, a template per supplier."""
+    key = F.col("s_suppkey")
+
+    def times(text: str, count: Column) -> Column:
+        return F.array_join(F.array_repeat(F.lit(text), count.cast("int")), ",")
+
+    def resource(name: str, kind: str, *properties: Column | str) -> Column:
+        parts = [F.lit(p) if isinstance(p, str) else p for p in properties]
+        return F.concat(F.lit('{"name":"' + name + '","type":"' + kind + '","properties":{'), *parts, F.lit("}}"))
+
+    rules = [times('{"direction":"Inbound"}', key % 5), times('{"direction":"Outbound"}', key % 2)]
+    listed = [
+        resource(
+            "vnet", "Microsoft.Network/virtualNetworks", '"addressSpace":{"addressPrefixes":["10.', (key % 200).cast("string"), '.0.0/16","10.250.0.0/24"]},"subnets":[',
+            times("{}", key % 4), "]", F.when(key % 3 == 0, ',"dhcpOptions":{"dnsServers":["10.0.0.4"]}').otherwise(""),
+        ),
+        resource("nsg", "Microsoft.Network/networkSecurityGroups", '"securityRules":[', F.array_join(F.filter(F.array(*rules), lambda r: r != ""), ","), "]"),
+        resource("kv", "Microsoft.KeyVault/vaults", '"accessPolicies":[{},{}]'),
+        resource("vm", "Microsoft.Compute/virtualMachines", '"hardwareProfile":{"vmSize":"B', (key % 8).cast("string"), '"}'),
+        resource("st", "Microsoft.Storage/storageAccounts", '"accessTier":"Hot","minimumTlsVersion":"TLS1_2"'),
+    ]
+    text = F.concat(F.lit('{"$schema":"https://schema.example.org/deploymentTemplate.json#","resources":['), F.concat_ws(",", *listed), F.lit("]}"))
+    texts = table(spark, sf_dir, "supplier").select(F.concat(F.lit("net/"), key.cast("string")).alias("path"), text.alias("text"))
+    found = A.extract_resources(A.parse_templates(texts))
+    names = ["addressPrefixes", "subnetCount", "dnsServers", "ruleCount", "inboundRules", "outboundRules", "accessPolicieCount", "vmSize", "accessTier", "minimumTlsVersion"]
+    return found.select("template", "name", *names)
+
+
 @query(f"SELECT name, type FROM {_RESOURCES} WHERE parent_resource IS NULL")
 def template_top_level(spark, sf_dir):
     parsed = A.parse_templates(_templates(spark, sf_dir))
@@ -223,7 +277,7 @@ def template_dependencies(spark, sf_dir):
 
 @query(f"SELECT * FROM {_FLAGS}")
 def template_flags(spark, sf_dir):
-    resources = _staged_resources(spark, sf_dir)
+    resources = _resources(spark, sf_dir)
     return A.risk_flags(resources, A.dependencies(resources))
 
 
@@ -267,7 +321,7 @@ def template_values(spark, sf_dir):
 )
 def template_summary(spark, sf_dir):
     parsed = A.parse_templates(_templates(spark, sf_dir))
-    resources = _staged_resources(spark, sf_dir)
+    resources = _resources(spark, sf_dir)
     edges = A.dependencies(resources)
     return A.template_summary(parsed, resources, edges, A.risk_flags(resources, edges))
 

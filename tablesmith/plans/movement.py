@@ -557,6 +557,29 @@ def incremental_delta(spark, sf_dir):
     return I.new_rows(events, events.where(F.col("ts") < start), ["event_id"])
 
 
+@query(
+    """
+    SELECT CAST(doc_id AS VARCHAR) || '.txt' AS path, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 7 = 1 THEN 'changed' ELSE 'same' END AS change,
+        sha256(coalesce(text, '') || CASE WHEN doc_id % 3 <> 0 AND doc_id % 7 = 1 THEN '!' ELSE '' END) AS sha256,
+        sha256(coalesce(text, '') || CASE WHEN doc_id % 3 <> 0 AND doc_id % 7 = 1 THEN '!' ELSE '' END) AS arrived, 'same' AS later
+    FROM documents
+    """
+)
+def incremental_changes(spark, sf_dir):
+    """A folder copied again after files came and others were rewritten under their names; a third run finds nothing to do."""
+    source, target, manifest = (scratch_path(spark, name) for name in ("living", "mirror", "versions"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path, late = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("doc_id") % 3 == 0
+    I.write_files(docs.where(~late).select(path, F.col("text").cast("binary").alias("content")), source)
+    I.sync_folder(spark, source, target, manifest)
+    I.write_files(docs.where(late).select(path, F.col("text").cast("binary").alias("content")), source)
+    I.write_files(docs.where(~late & (F.col("doc_id") % 7 == 1)).select(path, F.concat("text", F.lit("!")).cast("binary").alias("content")), source)
+    second = I.sync_folder(spark, source, target, manifest)
+    third = I.sync_folder(spark, source, target, manifest).select("path", F.col("change").alias("later"))
+    arrived = I.file_checksums(spark, target).select("path", F.col("sha256").alias("arrived"))
+    return second.join(arrived, "path", "left").join(third, "path", "left").select("path", "change", "sha256", "arrived", "later")
+
+
 @query("SELECT * FROM events")
 def incremental_copy(spark, sf_dir):
     """The event files copied by a stream that ends when no file is left; a second run adds nothing."""
