@@ -39,7 +39,10 @@ from tablesmith.session import stage
 LONG = 128
 #: Ids of a vocabulary are below the first; pairs of ids are in so many maps.
 IDS_AT_MOST, BUCKETS = 1 << 16, 99_991
-BATCH_BYTES, CHUNKS_AT_ONCE = 8 << 20, 1 << 17
+#: Where the place and the rank begin in the number that stands for a part, after 17 bits for its id and 7 for its place.
+PLACE_AT, RANK_AT = 17, 24
+#: Texts are cut a few megabytes at a time, and some of these share their new pieces.
+BATCH_BYTES, BATCHES_AT_ONCE, CHUNKS_AT_ONCE = 8 << 20, 1, 1 << 17
 #: Pieces folded beforehand, at most, and the documents that they are counted in, about.
 COMMON, SAMPLE_DOCS = 1 << 18, 20_000
 IDS = np.dtype("<u4")
@@ -53,14 +56,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
     """The ranks as a literal: what a pair of neighbouring ids merges to, in an array of small maps."""
-    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                pair = left * IDS_AT_MOST + right
-                buckets[pair % BUCKETS][pair] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,bigint>>")
+    if ranks and max(ranks.values()) >= IDS_AT_MOST:
+        raise ValueError(f"ids of a vocabulary must be below {IDS_AT_MOST}")
+    pairs = np.array(
+        [(ranks[piece[:cut]] * IDS_AT_MOST + ranks[piece[cut:]], rank) for piece, rank in ranks.items() for cut in range(1, len(piece)) if piece[:cut] in ranks and piece[cut:] in ranks],
+        np.int64,
+    ).reshape(-1, 2)
+    buckets = ["{}"] * BUCKETS
+    order = np.argsort(pairs[:, 0] % BUCKETS, kind="stable")
+    where = pairs[order, 0] % BUCKETS
+    for rows in np.split(order, np.flatnonzero(np.diff(where)) + 1) if len(order) else []:
+        buckets[pairs[rows[0], 0] % BUCKETS] = "{" + ",".join(f'"{pairs[r, 0]}":{pairs[r, 1]}' for r in rows) + "}"
+    return F.from_json(F.lit("[" + ",".join(buckets) + "]"), "array<map<string,int>>").cast("array<map<bigint,bigint>>")
 
 
 def byte_ids(ranks: dict[bytes, int]) -> Column:
@@ -71,43 +78,46 @@ def byte_ids(ranks: dict[bytes, int]) -> Column:
 def encode(pieces: Column, table: Column, of_bytes: Column) -> Column:
     """The ids of each piece, given as arrays of byte values, by folds of ranked merges.
 
-    The id that a pair merges to is its rank. A state is the ids so far and the rank of each with its right neighbour, null if they don't merge.
+    The id that a pair merges to is its rank. A state is an array of parts, each one number: the rank of the part with its right
+    neighbour, where the part began, and its id. The least of them is the leftmost pair of the lowest rank.
     """
+    none = F.lit(IDS_AT_MOST).cast("bigint")  # the rank of parts that don't merge
 
     def fold(table: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
             pair = left * IDS_AT_MOST + right
-            return F.get(table, (pair % BUCKETS).cast("int"))[pair]
+            return F.coalesce(F.get(table, (pair % BUCKETS).cast("int"))[pair], none)
 
-        def step(state: Column, _: Column) -> Column:
-            return let(F.array_min(state["ranks"]), lambda best: F.when(best.isNull(), state).otherwise(merged(state, best)))
+        def step(parts: Column, _: Column) -> Column:
+            return let(F.array_min(parts), lambda best: F.when(best >= IDS_AT_MOST << RANK_AT, parts).otherwise(merged(parts, best)))
 
-        def merged(state: Column, best: Column) -> Column:
-            return let(F.array_position(state["ranks"], best).cast("int"), lambda at: joined(state["ids"], state["ranks"], best, at))
+        def merged(parts: Column, best: Column) -> Column:
+            return let(F.array_position(parts, best).cast("int"), lambda at: joined(parts, best, at))
 
-        def joined(ids: Column, ranks: Column, new: Column, at: Column) -> Column:
-            """The pair at ``at``, from 1, becomes one id; the ranks on both sides are looked up anew."""
-            count = F.size(ids)
-            beside = F.array(rank(F.get(ids, at - 2), new), rank(new, F.get(ids, at + 1)))
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, count)).alias("ids"),
-                F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), beside, F.slice(ranks, at + 2, count)))
-                .otherwise(F.concat(F.slice(beside, 2, 1), F.slice(ranks, at + 2, count)))
-                .alias("ranks"),
-            )
+        def joined(parts: Column, best: Column, at: Column) -> Column:
+            """The pair at ``at``, from 1, becomes one part; the ranks on both sides are looked up anew."""
+            new, before, after = F.shiftright(best, RANK_AT), F.get(parts, at - 2), F.get(parts, at + 1)
+            mine = F.shiftleft(F.when(after.isNull(), none).otherwise(rank(new, _id(after))), RANK_AT) + best.bitwiseAND((LONG - 1) << PLACE_AT) + new
+            left = before.bitwiseAND((1 << RANK_AT) - 1) + F.shiftleft(rank(_id(before), new), RANK_AT)
+            rest = F.slice(parts, at + 2, F.lit(LONG))
+            return F.when(at > 1, F.concat(F.slice(parts, F.lit(1), at - 2), F.array(left, mine), rest)).otherwise(F.concat(F.array(mine), rest))
 
         def start(ids: Column) -> Column:
-            return F.struct(ids.alias("ids"), F.transform(ids, lambda left, i: rank(left, F.get(ids, i + 1))).alias("ranks"))
+            return F.transform(ids, lambda left, i: F.shiftleft(rank(left, F.get(ids, i + 1)), RANK_AT) + F.shiftleft(i.cast("bigint"), PLACE_AT) + left)
 
         def one(piece: Column) -> Column:
             first = let(F.transform(piece, lambda b: F.get(of_bytes, b.cast("int"))), start)
-            return F.aggregate(piece, first, step, lambda state: state["ids"])
+            return F.transform(F.aggregate(F.slice(piece, F.lit(2), F.lit(LONG)), first, step), _id)
 
         return F.transform(pieces, one)
 
     return let(table, fold)
 
 
+def _id(part: Column) -> Column:
+    return part.bitwiseAND((1 << PLACE_AT) - 1)
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece of any length: the same merges, from a heap of ranks."""
     ends = list(range(1, len(piece) + 1))  # by where a part starts; 0 where none does any more
@@ -150,18 +160,64 @@ class Numbering(dict):
 
 
 class Codes(dict):
-    """Codes of known pieces; a new piece gets the next code below 0."""
+    """Codes of pieces: those of known ones, and for each new one the next below 0."""
 
     def __init__(self, known: dict[str, int]) -> None:
-        super().__init__(known)
-        self.new: list[str] = []
+        super().__init__()
+        self.known, self.new = known, []
 
     def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        code = self[piece] = -len(self.new)
+        code = self.known.get(piece)
+        if code is None:
+            self.new.append(piece)
+            code = -len(self.new)
+        self[piece] = code
         return code
 
 
+class Cutter:
+    """Texts as numbers of their distinct chunks."""
+
+    def __init__(self, pattern: str) -> None:
+        self.find, self.after_another = regex.compile(pattern).findall, regex.compile(r"\s ").search
+        self.after_blank, self.plain = Numbering(), Numbering()
+        self.numbers: list[np.ndarray] = []
+
+    def add(self, text: str) -> None:
+        if not text or self.after_another(text):
+            found = [~self.plain[p] for p in self.find(text)]
+        else:
+            first, *rest = text.split(" ")
+            found = list(map(self.after_blank.__getitem__, rest))
+            if first:
+                found.insert(0, ~self.plain[first])
+        self.numbers.append(np.array(found, np.int32))
+
+    def done(self, kept: list[pa.RecordBatch], known: dict[str, int]) -> pa.RecordBatch:
+        """The row of these texts."""
+        sizes, numbers = [len(n) for n in self.numbers], np.concatenate(self.numbers)
+        self.numbers = []
+        numbers = np.where(numbers < 0, len(self.after_blank) + ~numbers, numbers).astype(np.int32)  # those after a blank come first
+        codes_of, codes, lengths = Codes(known), array("i"), array("i")
+        for blank, chunks in ((" ", self.after_blank), ("", self.plain)):
+            for chunk in chunks:
+                pieces = self.find(blank + chunk)
+                lengths.append(len(pieces))
+                codes.extend(map(codes_of.__getitem__, pieces))
+            chunks.clear()
+        words = [p.encode() for p in codes_of.new]
+        short = [w if len(w) <= LONG else b"" for w in words]
+        packed = [_packed(kept), *[np.array(x, np.int32).tobytes() for x in (sizes, numbers, lengths, codes)]]
+        return pa.RecordBatch.from_arrays(
+            [
+                *[pa.array([x], pa.binary()) for x in packed],
+                pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), _byte_lists(short)),
+                pa.array([[w for w in words if len(w) > LONG]], pa.list_(pa.binary())),
+            ],
+            ["kept", "sizes", "numbers", "lengths", "codes", "pieces", "long"],
+        )
+
+
 class Codec:
     """A vocabulary with its pattern."""
 
@@ -176,41 +232,17 @@ class Codec:
         the pieces themselves are the chunks. Codes of pieces from 0 are places in the known
         pieces, codes below are ``-1 -`` places in the new ones.
         """
-        find = regex.compile(self.pattern).findall
-        after_another = regex.compile(r"\s ").search
+        group: list[pa.RecordBatch] = []
+        cutter = Cutter(self.pattern)
         for batch in slices(batches, size=BATCH_BYTES):
-            after_blank, plain = Numbering(), Numbering()
-            numbers, sizes = [], []
             for text in batch.column("text").to_pylist():
-                if not text or after_another(text):
-                    found = [~plain[p] for p in find(text or "")]
-                else:
-                    first, *rest = text.split(" ")
-                    found = list(map(after_blank.__getitem__, rest))
-                    if first:
-                        found.insert(0, ~plain[first])
-                sizes.append(len(found))
-                numbers.append(np.array(found, np.int32))
-            numbers = np.concatenate(numbers)
-            numbers = np.where(numbers < 0, len(after_blank) + ~numbers, numbers).astype(np.int32)  # those after a blank come first
-            codes_of, codes, lengths = Codes(known), array("i"), array("i")
-            for blank, chunks in ((" ", after_blank), ("", plain)):
-                for chunk in chunks:
-                    pieces = find(blank + chunk)
-                    lengths.append(len(pieces))
-                    codes.extend(map(codes_of.__getitem__, pieces))
-            words = [p.encode() for p in codes_of.new]
-            del codes_of, after_blank, plain
-            short = [w if len(w) <= LONG else b"" for w in words]
-            packed = [_packed(batch.select(keep)), *[np.array(x, np.int32).tobytes() for x in (sizes, numbers, lengths, codes)]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[pa.array([x], pa.binary()) for x in packed],
-                    pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), _byte_lists(short)),
-                    pa.array([[w for w in words if len(w) > LONG]], pa.list_(pa.binary())),
-                ],
-                ["kept", "sizes", "numbers", "lengths", "codes", "pieces", "long"],
-            )
+                cutter.add(text or "")
+            group.append(batch.select(keep))
+            if len(group) == BATCHES_AT_ONCE:
+                yield cutter.done(group, known)
+                group, cutter = [], Cutter(self.pattern)
+        if group:
+            yield cutter.done(group, known)
 
     def put(self, batches: Iterator[pa.RecordBatch], known: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         """The kept columns and the ids of each text."""
@@ -266,15 +298,17 @@ def _byte_lists(words: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)), values)
 
 
-def _packed(rows: pa.RecordBatch) -> bytes:
+def _packed(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(rows)
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
 def _unpacked(data: bytes) -> pa.RecordBatch:
-    return next(iter(pa.ipc.open_stream(data)))
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return next(iter(table.to_batches()), pa.RecordBatch.from_pylist([], table.schema))
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -319,12 +353,14 @@ def encoded(docs: DataFrame, codec: Codec, keep: list[str] | None = None, common
     values = F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("smallint"))
     folded = common.select("piece", encode(F.array(values), table, of_bytes)[0].alias("ids")).toArrow().combine_chunks()  # the common pieces
     lists = pa.concat_arrays([pa.array([], pa.list_(pa.int64())), *folded.column("ids").chunks])
-    pieces = {p: i for i, p in enumerate(folded.column("piece").to_pylist())}
-    known, runs = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(_flat(lists))  # at most COMMON pieces of at most LONG bytes
-    del folded, lists, pieces
+    # at most COMMON pieces of at most LONG bytes, as a few buffers on the driver
+    known = spark.sparkContext.broadcast(_packed([pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([], pa.string()), *folded.column("piece").chunks])], ["piece"])]))
+    runs = spark.sparkContext.broadcast(tuple(x.astype(np.int16) if i == 0 else x for i, x in enumerate(_flat(lists))))
+    del folded, lists
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return codec.cut(batches, known.value, keep)
+        pieces = {p: i for i, p in enumerate(_unpacked(known.value).column("piece").to_pylist())}
+        return codec.cut(batches, pieces, keep)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec.decoder()
