@@ -599,12 +599,12 @@ def keyword_topk(spark, sf_dir):
 
 
 # A catalog made from the data: every word of the benchmark, by its first two letters, is a keyword of an entry, and the last words of items tell when to use it
-_WORDS = "list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
+_WORDS_SQL = "list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
 _CATALOG_SQL = f"""
-    b AS (SELECT {_WORDS} AS words FROM benchmark),
+    b AS (SELECT {_WORDS_SQL} AS words FROM benchmark),
     c AS (SELECT DISTINCT left(w, 2) AS entry, w AS keyword, false AS shared FROM (SELECT unnest(words) AS w FROM b)
           UNION SELECT DISTINCT left(words[1], 2), words[-1], true FROM b WHERE len(words) > 0),
-    d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct({_WORDS}) AS words FROM documents),
+    d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct({_WORDS_SQL}) AS words FROM documents),
     t AS (SELECT doc_id, unnest(words) AS keyword FROM d),
     h AS (SELECT d.doc_id, k.keyword, t.keyword IS NOT NULL AS whole
           FROM d JOIN (SELECT DISTINCT keyword FROM c) k ON contains(d.low, k.keyword) LEFT JOIN t ON t.doc_id = d.doc_id AND t.keyword = k.keyword),
