@@ -113,12 +113,11 @@ class _Reader:
     def look(self, nodes: list[ast.AST | None], known: dict) -> None:
         """Note the calls in expressions; names that they bind themselves are unknown in them."""
         for node in nodes:
-            if node is not None:
-                inner = known | dict.fromkeys(_bound([node]) | {a.arg for n in ast.walk(node) if isinstance(n, ast.Lambda) for a in ast.walk(n.args) if isinstance(a, ast.arg)})
-                self.calls += [
-                    _call_fact(n, inner) for n in ast.walk(node)
-                    if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and (n.func.attr.startswith("read_") or n.func.attr in WRITES)
-                ]
+            every = [] if node is None else list(ast.walk(node))
+            found = [n for n in every if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and (n.func.attr.startswith("read_") or n.func.attr in WRITES)]
+            if found:
+                inner = known | dict.fromkeys(_bound([node]) | {a.arg for n in every if isinstance(n, ast.Lambda) for a in ast.walk(n.args) if isinstance(a, ast.arg)})
+                self.calls += [_call_fact(n, inner) for n in found]
 
     def statement(self, node: ast.stmt, known: dict) -> dict:
         match node:
