@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,9 +204,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, WORD_SHARD, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 16_000, 3
 #: Orders of the shingles, by which texts that differ by a block meet, whose single words differ too much for the fingerprints.
 ORDERS = 16
-#: Sets sampled for the order of shingles and shingles put last by it; set values held at once; pairs for each row that are made without a further
-#: round; allowance for rounding, so that bounds leave out no pair.
-COMMON_SAMPLE, MOST_COMMON, SET_VALUES, FEW_PAIRS, SLACK = 4_000, 65_536, 1 << 20, 4, 1e-6
+#: Buckets in which shingles are counted over the whole corpus, for their order; set values held at once; pairs for each row that are made without a
+#: further round; allowance for rounding, so that bounds leave out no pair.
+COUNTED, SET_VALUES, FEW_PAIRS, SLACK = 1 << 21, 1 << 20, 4, 1e-6
 
 
 def _close(classes: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ def _close(classes: DataFrame) -> DataFrame:
 
 
 def _meeting(sets: DataFrame) -> DataFrame:
-    """(node): sets whose least shingle in one of ORDERS orders is that of another set too.
+    """(node): sets whose least shingle in one of ORDERS orders is that of another node's set too.
 
     Whatever makes two sets differ, a block or scattered words, those that agree to 0.8 miss each other in all 16 orders with a chance of 0.2**16,
     one pair in 10**11.
@@ -231,41 +232,62 @@ def _meeting(sets: DataFrame) -> DataFrame:
                 starts, hashes = np.cumsum(sizes) - sizes, values.view(np.uint64)
                 least = [np.minimum.reduceat(mix(hashes + mix(np.full(1, turn + 1, np.uint64))), starts) for turn in range(ORDERS)]
                 flat = pa.array(np.stack(least, axis=1).ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * ORDERS, pa.int32()), flat)], ["node", "least"])
+                yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * ORDERS, pa.int32()), flat)], ["node", "least"])
 
-    written = stage(sets.mapInArrow(work, "node bigint, least array<bigint>"), "least")
+    schema = T.StructType([sets.schema["node"], T.StructField("least", T.ArrayType(T.LongType()))])
+    written = stage(sets.mapInArrow(work, schema), "least")
     keyed = written.select("node", F.posexplode("least").alias("turn", "h"))
     shared = keyed.groupBy("turn", "h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     return keyed.join(shared, ["turn", "h"], "left_semi").select("node")
 
 
-def _prefixes(members: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """(shingle, node, size, place): the first shingles of each set, those of ``common`` last and in its order.
+def _buckets(values: np.ndarray) -> np.ndarray:
+    return (mix(values.view(np.uint64)) % np.uint64(COUNTED)).astype(np.int64)
 
-    Two sets that agree to ``similarity`` share one of the first ``n - ceil(similarity * n) + 1`` of each, whatever the order is.
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many values of all sets fall into each bucket: of one shingle, at least its number of sets.
+
+    A table of fixed size over the whole corpus, summed by Spark. A shingle that many sets have lifts its bucket above those of rare ones.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for batch in batches:
+            for _, values, _ in _sets(batch):
+                total += np.bincount(_buckets(values), minlength=COUNTED)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
+
+    summed = sets.mapInArrow(work, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTED rows
+    total = np.zeros(COUNTED, np.uint32)
+    total[summed.column("bucket").to_numpy()] = np.minimum(summed.column("n").to_numpy(), (1 << 32) - 1)
+    return total
+
+
+def _prefixes(sets: DataFrame, similarity: float, frequencies: Broadcast) -> DataFrame:
+    """(shingle, node, size, place): the first shingles of each set, those of rarer buckets before others.
+
+    Two sets that agree to ``similarity`` share one of the first ``n - ceil(similarity * n) + 1`` of each, whatever the order is, as long as
+    all sets have the same. With the rarest first, a passage that many texts share is among the first of a set only if it makes up most of it.
     """
-    names = np.sort(common)
-    weights = np.argsort(common, kind="stable") + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, values, sizes in _sets(batch):
                 starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-                weight = np.zeros(len(values), np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, values), len(names) - 1)
-                    weight = np.where(names[at] == values, weights[at], 0)
-                order = np.lexsort((values, weight, owner))
+                order = np.lexsort((values, frequencies.value[_buckets(values)], owner))
                 place = np.arange(len(values)) - starts[owner]
                 first = sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1
                 kept = place < first[owner]
-                rows = [values[order][kept], node[owner[kept]], sizes[owner[kept]].astype(np.int32), place[kept].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["shingle", "node", "size", "place"])
+                rows = [values[order][kept], sizes[owner[kept]].astype(np.int32), place[kept].astype(np.int32)]
+                shingle, size, at = (pa.array(x) for x in rows)
+                yield pa.RecordBatch.from_arrays([shingle, node.take(pa.array(owner[kept])), size, at], ["shingle", "node", "size", "place"])
 
-    return members.select("node", "set").mapInArrow(work, "shingle bigint, node bigint, size int, place int")
+    return sets.mapInArrow(work, "shingle bigint, node bigint, size int, place int")
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Nodes, the values of their sets one after the other, and the sizes, about SET_VALUES at once; no empty set."""
     sizes = pc.list_value_length(batch.column("set")).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes), 0
@@ -274,18 +296,10 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         stop = max(start + 1, int(np.searchsorted(ends, before + SET_VALUES, side="right")))
         part, here = batch.slice(start, stop - start), sizes[start:stop]
         if here.any():
-            yield part.column("node").to_numpy()[here > 0], part.column("set").flatten().to_numpy(), here[here > 0]
+            yield part.column("node").filter(pa.array(here > 0)), part.column("set").flatten().to_numpy(), here[here > 0]
         start = stop
 
 
-def _common(members: DataFrame) -> np.ndarray:
-    """Shingles that several sets of a bounded sample have, the rarest first; they set the order and change no result."""
-    share = min(1.0, COMMON_SAMPLE / max(1, members.count()))
-    part = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < int((1 << 40) * share)
-    counts = members.where(part).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return np.array([row.h for row in reversed(counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect())], np.int64)
-
-
 def _similar(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b): enough of the pairs of ``members`` (node, set) that agree to ``similarity`` to connect all such pairs.
 
@@ -294,9 +308,11 @@ def _similar(members: DataFrame, similarity: float) -> DataFrame:
     meet and are not yet connected are compared. So large groups collapse before pairs are made, and no pair is left out.
     """
     sets = members.select("node", "set")
-    rows = _prefixes(members, similarity, _common(members))
-    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    meeting = stage(rows.join(often, "shingle").drop("n"), "meeting")
+    frequencies = members.sparkSession.sparkContext.broadcast(_frequencies(sets))  # of fixed size
+    rows = _prefixes(sets, similarity, frequencies)
+    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    meeting = stage(rows.join(often, "shingle"), "meeting")
+    frequencies.unpersist()
     empty = sets.where(F.size("set") == 0).select(F.col("node").alias("a"))  # alike
     total, found, roots = meeting.count(), [empty.crossJoin(empty.agg(F.min("a").alias("b")))], None
     for turn in range(ROUNDS + 1):
@@ -341,16 +357,19 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, words: i
     """
     row, digest = fresh(docs, "row_key"), fresh(docs, "text_digest")
     text = F.coalesce("text", F.lit(""))
+    digest_of = F.unhex(F.md5(text.cast("binary")))  # different texts never share one, as 64 bits would among billions
     keyed = docs.withColumn(row, F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).cast("binary")))
-    narrow = keyed.select("doc_id", F.col(row).alias("row"), F.md5(text.cast("binary")).alias("digest"), F.xxhash64(text).alias("node"), text.alias("text"))
-    marked = fingerprints(narrow, 1, WORD_SEEDS, True, ("doc_id", "row", "digest", "node"))
+    narrow = keyed.select("doc_id", F.col(row).alias("row"), digest_of.alias("digest"), text.alias("text"))
+    marked = fingerprints(narrow, 1, WORD_SEEDS, True, ("doc_id", "row", "digest"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     names = [f"f{i}" for i in range(len(WORD_SEEDS))]
-    classes = stage(marked.groupBy("digest").agg(F.min(rank).alias("rank"), *[F.first(n).alias(n) for n in ("node", *names)]), "classes")
+    texts = marked.groupBy("digest").agg(F.min(rank).alias("rank"), *[F.first(n).alias(n) for n in names])
+    classes = stage(texts.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so a number stays
     shingles = F.array_distinct(column_hashes(text, words)).alias("set")
-    nodes = _close(classes).unionByName(_meeting(docs.select(F.xxhash64(text).alias("node"), shingles))).distinct()
-    grouped = classes.join(nodes, "node", "left_semi").select("digest", "node", "rank")
-    texts = docs.select(text.alias("text"), F.md5(text.cast("binary")).alias(digest))
+    close = classes.join(_close(classes), "node", "left_semi").select("digest")
+    met = _meeting(docs.select(digest_of.alias("node"), shingles)).select(F.col("node").alias("digest"))
+    grouped = classes.join(close.unionByName(met).distinct(), "digest", "left_semi").select("digest", "node", "rank")
+    texts = docs.select(text.alias("text"), digest_of.alias(digest))
     wanted = texts.join(grouped.select(F.col("digest").alias(digest)), digest, "left_semi").dropDuplicates([digest])
     sets = wanted.select(F.col(digest).alias("digest"), shingles)
     members = stage(grouped.join(sets, "digest"), "members")

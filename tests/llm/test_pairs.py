@@ -146,6 +146,24 @@ def test_similar_finds_what_all_pairs_find(spark):
     assert [found.get(i, i) for i in range(len(texts))] == plain_groups(texts)
 
 
+def template_pages(n: int) -> list[str]:
+    """Texts of 340 words that share a passage of 60 and nothing else."""
+    rng = np.random.default_rng(n)
+    passage = " ".join(f"p{i}" for i in range(60))
+    return [" ".join([*(f"w{x}" for x in rng.integers(0, 1 << 40, 280)), passage]) for _ in range(n)]
+
+
+def test_a_shared_passage_makes_no_pairs(spark):
+    for n in (300, 1200):
+        docs = spark.createDataFrame(list(enumerate(template_pages(n))), "node long, text string")
+        sets = docs.select("node", F.array_distinct(sketches.shingle_hashes(F.col("text"), 5)).alias("set"))
+        frequencies = spark.sparkContext.broadcast(simhash._frequencies(sets))
+        rows = simhash._prefixes(sets, 0.8, frequencies)
+        pairs = rows.groupBy("shingle").agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
+        assert pairs <= n / 10
+        assert simhash._similar(sets, 0.8).count() == 0
+
+
 def edited(words: list[str], kind: str, other: list[str], share: float) -> list[str]:
     n = int(len(words) * share)
     at = len(words) // 3
