@@ -42,10 +42,11 @@ DIGITS = 16
 
 @dataclass(frozen=True)
 class Sampler:
-    """What decides: the ratio of each bucket, and the least sum of ratio and noise that is taken."""
+    """What decides: the ratio of each bucket, and the least sum of ratio and noise that is taken; and (doc_id, log_ratio, value) of all rows."""
 
     ratios: np.ndarray
     least: float
+    rated: DataFrame
 
 
 def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,15 +173,13 @@ def sampler(docs: DataFrame, labels: DataFrame, k: int | None = None) -> Sampler
         k = rated.where(F.col("log_ratio") > edge).count()
     total = rated.count()
     least = float("-inf") if k >= total else float("inf") if k <= 0 else kth_largest(rated.select("value"), k)
-    return Sampler(ratios, least)
+    return Sampler(ratios, least, rated)
 
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """(doc_id, log_ratio, noisy_ratio) of the documents taken."""
     model = sampler(docs, labels, k)
-    rated = scored(docs.select("doc_id", "text"), model.ratios)
-    taken = rated.select("doc_id", "log_ratio", (F.col("log_ratio") + noise()).alias("noisy_ratio"))
-    return taken.where(F.col("noisy_ratio") >= model.least)
+    return model.rated.where(F.col("value") >= model.least).withColumnRenamed("value", "noisy_ratio")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
