@@ -49,6 +49,14 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_passages_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated units: how many went, and the length and digest of the rest."""
+    rest = passages.cleaned(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return rest.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), F.char_length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 @query(
     """
     WITH v AS (

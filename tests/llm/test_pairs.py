@@ -239,14 +239,81 @@ def test_sketches_merge(spark):
         assert sorted(h % (1 << 64) for h in both["m"]) == (below or [min(whole)])
 
 
-def check_passages(result, docs) -> None:
+def plain_sentences(text: str) -> list[tuple[int, int, list[str], int]]:
+    """(start, end, words, weight), character by character."""
+    found, start, at = [], 0, 0
+    while at <= len(text):
+        stop = at
+        if at < len(text) and text[at] == "\n":
+            while stop < len(text) and text[stop] == "\n":
+                stop += 1
+        elif at and (text[at - 1] in "。！？" or text[at - 1] in ".!?" and text[at : at + 1].isspace()):
+            while stop < len(text) and text[stop].isspace() and text[stop] != "\n":
+                stop += 1
+        elif at < len(text):
+            at += 1
+            continue
+        words = text[start:at].lower().split()
+        wide = [sum(any(low <= c <= high for low, high in (("\u3040", "\u30ff"), ("\u3400", "\u9fff"), ("\uf900", "\ufaff"))) for c in w) for w in words]
+        if words:
+            found.append((start, at, words, len(words) + sum(n // 2 for n in wide)))
+        start, at = stop, max(stop, at + 1)
+    return found
+
+
+def plain_units(text: str, least: int = 6) -> list[tuple[int, int, str]]:
+    sentences = plain_sentences(text)
+    # None for a long sentence or none at all
+    digests = [None, *(xxhash.xxh3_64_intdigest(" ".join(s[2])) if s[3] < least else None for s in sentences), None]
+    found, run = [], []
+    for i, sentence in enumerate(sentences):
+        before, own, after = digests[i : i + 3]
+        run.append(sentence)
+        least_of_three = None not in (before, own, after) and own < before and own < after
+        if own is None or after is None or least_of_three and sum(s[3] for s in run) >= least:
+            found.append(run)
+            run = []
+    return [(r[0][0], r[-1][1], " ".join(w for s in r for w in s[2])) for r in found if sum(s[3] for s in r) >= least]
+
+
+def plain_repeats(docs) -> set[tuple]:
     seen, want = {}, set()
     for d, text in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0)):
-        for start, end, digest in passages.units_of(text or ""):
-            first = seen.setdefault(digest, (d, start))
+        for start, end, words in plain_units(text or ""):
+            first = seen.setdefault(words, (d, start))
             if first != (d, start):
                 want.add((d, start, end, *first))
-    assert {tuple(r) for r in result} == want
+    return want
+
+
+def check_passages(result, docs) -> None:
+    assert {tuple(r) for r in result} == plain_repeats(docs)
+
+
+def test_passages_of_short_and_unspaced_sentences(spark):
+    short = " ".join(f"Word{i} goes here." for i in range(18))
+    wide = "这是一个很长的句子没有空格。另一句。短句。"
+    texts = ["", short, "Hi. " + short, short.replace(". ", ".\n"), wide, "。" + wide, "One. Two.", "One. Two.", "a. \n b。 \n\n", "x.\n" * 50, "x.\n" * 50]
+    docs = list(enumerate(texts))
+    found = passages.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_passages(found, docs)
+    gone = {d: sum(r.end - r.start for r in found if r.doc_id == d) for d in range(len(texts))}
+    assert gone[2] > 0.7 * len(short) and gone[3] > 0.9 * len(short) and gone[5] > 0 and gone[10] > 0 and gone[7] == 0
+
+
+def test_passages_cleaned_query(spark, documents):
+    texts = {d: t or "" for d, t, _ in documents}
+    assert len(texts) == len(documents)
+    spans = {}
+    for d, start, end, *_ in plain_repeats(texts.items()):
+        spans.setdefault(d, []).append((start, end))
+    want = set()
+    for d, text in texts.items():
+        rest = text
+        for start, end in sorted(spans.get(d, []), reverse=True):
+            rest = rest[:start] + rest[end:]
+        want.add((d, len(spans.get(d, [])), len(rest), hashlib.sha256(rest.encode()).hexdigest()))
+    assert {tuple(r) for r in queries.op6_passages_cleaned(spark, SF_DIR).collect()} == want
 
 
 def test_passages(spark, documents):
