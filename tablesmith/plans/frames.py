@@ -156,22 +156,16 @@ def join_inner(spark, sf_dir):
     return R.merge(_orders(spark, sf_dir), _customers(spark, sf_dir), on="customer_id")
 
 
-_ORDERS_96 = "(SELECT * FROM orders WHERE year(o_orderdate) = 1996)"
-_NOT_BUILDING = "(SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING')"
-
-
 def _partial_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Orders of one year and customers of some segments, so both sides miss partners."""
-    day = F.col("o_orderdate")
-    orders = table(spark, sf_dir, "orders").where((day >= "1996-01-01") & (day < "1997-01-01"))
-    orders = orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
-    return orders, _customers(spark, sf_dir).where("segment <> 'BUILDING'")
+    """All orders and all customers with doubled keys, so both sides miss partners."""
+    customers = _customers(spark, sf_dir).withColumn("customer_id", F.col("customer_id") * 2)
+    return _orders(spark, sf_dir).drop("amount"), customers
 
 
 @query(
-    f"""
+    """
     SELECT o_custkey AS customer_id, o_orderkey AS order_id, c_name AS name, c_mktsegment AS segment
-    FROM {_ORDERS_96} LEFT JOIN {_NOT_BUILDING} ON o_custkey = c_custkey
+    FROM orders LEFT JOIN customer ON o_custkey = 2 * c_custkey
     """
 )
 def join_left(spark, sf_dir):
@@ -180,10 +174,10 @@ def join_left(spark, sf_dir):
 
 
 @query(
-    f"""
-    SELECT coalesce(o_custkey, c_custkey) AS customer_id, o_orderkey AS order_id, c_name AS name,
+    """
+    SELECT coalesce(o_custkey, 2 * c_custkey) AS customer_id, o_orderkey AS order_id, c_name AS name,
            c_mktsegment AS segment
-    FROM {_ORDERS_96} FULL JOIN {_NOT_BUILDING} ON o_custkey = c_custkey
+    FROM orders FULL JOIN customer ON o_custkey = 2 * c_custkey
     """
 )
 def join_outer(spark, sf_dir):

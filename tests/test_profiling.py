@@ -1,11 +1,9 @@
-import functools
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import SEVERITIES
-from tablesmith.operators import profiling, rules, splits
+from tablesmith.operators import profiling, rules
 from tablesmith.operators.rules import Rule
 
 
@@ -32,16 +30,33 @@ def test_digest_keeps_nulls_and_empty_texts_apart(spark):
     assert profiling.duplicate_rows(df, by_digest=True).first()["duplicate_rows"] == 2
 
 
-@pytest.mark.parametrize("rows_per_block", [50, 10**9])
-def test_quantiles_equal_numpy(spark, monkeypatch, rows_per_block):
-    monkeypatch.setattr(profiling, "find_splits", functools.partial(splits.find_splits, rows_per_block=rows_per_block))
+@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(profiling, "ACCURACY", accuracy)
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 50, 900).astype(float), rng.normal(size=900)
     a[rng.random(900) < 0.4] = 13
-    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)] + [(None, None)], "a double, b double")
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)] + [(None, float("nan"), None)], "a double, b double, none double")
+    shares = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    got = {r["column"]: [r[f"q{i}"] for i in range(len(shares))] for r in profiling.quantiles(df, ["a", "b", "none"], shares).collect()}
+    assert np.allclose(got.pop("a"), np.quantile(a, shares)) and np.allclose(got.pop("b"), np.quantile(b, shares)) and not got
+
+
+def test_quantiles_of_many_rows_sort_few(spark):
     shares = [0, 0.1, 0.25, 0.5, 0.9, 1]
-    got = {r["column"]: [r[f"q{i}"] for i in range(len(shares))] for r in profiling.quantiles(df, ["a", "b"], shares).collect()}
-    assert np.allclose(got["a"], np.quantile(a, shares)) and np.allclose(got["b"], np.quantile(b, shares))
+    value = F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e8)
+    df = spark.range(300_000).select(value.alias("v"))
+    rows = np.sort(np.array([r.v for r in df.collect()]))
+    row = profiling._bounds(df, ["v"], shares)
+    inside = sum(((rows >= low) & (rows <= high) & (rows != 5.0)).sum() for low, high in profiling._regions(row, 0))
+    assert inside < 0.01 * len(rows)
+    got = profiling._quantiles(df, ["v"], shares, row).first()
+    assert np.allclose([got[f"q{i}"] for i in range(len(shares))], np.quantile(rows, shares))
+
+
+def test_describe_of_nothing(spark):
+    row = profiling.describe(spark.createDataFrame([(None,)], "a double"), ["a"]).first()
+    assert row["count"] == 0 and row["mean"] is None and row["q0"] is None
 
 
 def test_sample_is_repeatable_and_marked(spark):
