@@ -98,6 +98,26 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def carried(items: Column, start: Column, step: Callable[[Column, Column], Column], result: Callable[[Column, Column], Column], shape: str, block: int = 256) -> Column:
+    """An array of ``result(state, item)``, where ``state`` is what ``step`` made of ``start`` and the items before.
+
+    An array that grows by an item at a time is copied each time, so results are gathered in blocks and blocks in an array of them.
+    """
+
+    def empty(kind: str) -> Column:
+        return F.array().cast(kind)
+
+    def add(state: Column, item: Column) -> Column:
+        return F.struct(step(state["at"], item).alias("at"), F.concat(state["out"], F.array(result(state["at"], item).cast(shape))).alias("out"))
+
+    def add_block(state: Column, first: Column) -> Column:
+        inner = F.aggregate(F.slice(items, first, block), F.struct(state["at"].alias("at"), empty(f"array<{shape}>").alias("out")), add)
+        return let(inner, lambda one: F.struct(one["at"].alias("at"), F.concat(state["out"], F.array(one["out"])).alias("out")))
+
+    firsts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.aggregate(firsts, F.struct(start.alias("at"), empty(f"array<array<{shape}>>").alias("out")), add_block)["out"])
+
+
 def repeated(df: DataFrame, times: str, block: int = 10_000) -> DataFrame:
     """Each row as often as column ``times`` says, without that column; no array is longer than a block or the number of blocks."""
     part, left = fresh(df, "part"), fresh(df, "left")

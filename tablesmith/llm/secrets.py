@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import fresh, let
+from tablesmith.llm.common import carried, fresh, let
 
 # The rules, in the order of their kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,40 +42,52 @@ TRUST_RANDOM, TRUST_ORDINARY = 0.5, 0.99
 #: A secret is at least exp(THRESHOLD) times likelier as a random string.
 THRESHOLD = 16.0
 SCALE = 1000
+SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
     """Structs (start, kind, end, value) of the matches; ``keep`` is an array of booleans along them."""
-    shape = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
 
     def located(found: Column) -> Column:
         pieces = F.split(text, pattern, -1)
-        nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(shape).alias("spans"))
 
-        def add(state: Column, pair: Column) -> Column:
-            start = state["at"] + F.char_length(pair["0"])
-            end = start + F.char_length(pair["1"])
-            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["1"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        def after(at: Column, pair: Column) -> Column:
+            return at + F.char_length(pair["0"]) + F.char_length(pair["1"])
+
+        def span(at: Column, pair: Column) -> Column:
+            start = at + F.char_length(pair["0"])
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), after(at, pair).alias("end"), pair["1"].alias("value"))
 
         # the last piece follows the last match
         pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("0"), found.alias("1"))
-        spans = F.aggregate(pairs, nothing, add)["spans"]
+        spans = let(pairs, lambda p: carried(p, F.lit(0).cast("bigint"), after, span, SPAN))
         kept = spans if keep is None else F.transform(F.filter(F.arrays_zip(spans.alias("s"), keep.alias("k")), lambda z: z["k"]), lambda z: z["s"])
-        return F.when(F.size(found) == 0, F.array().cast(shape)).otherwise(kept)
+        return F.when(F.size(found) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(kept)
 
     return let(matches, located)
 
 
-def rule_spans(text: Column) -> Column:
-    """All matches of the rules, by start and then kind."""
+def _last_before(spans: Column, place: Column) -> Column:
+    """How many of the spans, which are in order, start before ``place``; by halving."""
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    near = F.filter(steps, lambda s: s <= F.size(spans))
+    return F.aggregate(near, F.lit(0), lambda at, s: F.when(F.get(spans, at + s - 1)["start"] < place, at + s).otherwise(at))
+
+
+def _by_rule(text: Column) -> list[Column]:
+    """The matches of each rule; those of one rule don't overlap."""
     values = F.regexp_extract_all(text, F.lit(ASSIGN), 2)
     assign = _spans(text, ASSIGN, 0, F.transform(values, lambda v: F.char_length(v) >= LEAST["assign"]))
     # a run too short for its kind can't hide a longer match inside, so these rules may ask for the length
     access = _spans(text, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1)
     digits = _spans(text, f"[0-9a-f]{{{LEAST['hex']},}}", 2)
-    return F.array_sort(F.concat(assign, access, digits))
+    return [assign, access, digits]
+
+
+def rule_spans(text: Column) -> Column:
+    """All matches of the rules, by start and then kind."""
+    return F.array_sort(F.concat(*_by_rule(text)))
 
 
 def _codes(value: Column) -> Column:
@@ -138,14 +150,19 @@ def spans(text: Column, model: list[float], threshold: float = THRESHOLD, length
     """Matches of the rules and further random strings, by start and then kind."""
     candidates = _spans(text, f"{IDENTIFIER}{{{length},}}", 3)
 
-    def joined(base: Column) -> Column:
-        def new(span: Column) -> Column:
-            return ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    def apart(rule: Column, span: Column) -> Column:
+        """No match of a rule overlaps the span: the last one that starts before the span's end is over by its start."""
+        last = F.get(rule, _last_before(rule, span["end"]) - 1)
+        return F.coalesce(last["end"] <= span["start"], F.lit(True))
 
-        more = F.filter(candidates, lambda c: new(c) & (likelihood_ratio(c["value"], model) >= threshold))
-        return F.array_sort(F.concat(base, more))
+    def joined(rules: Column) -> Column:
+        parts = [rules[f"r{i}"] for i in range(3)]
+        more = F.filter(
+            candidates, lambda c: apart(parts[0], c) & apart(parts[1], c) & apart(parts[2], c) & (likelihood_ratio(c["value"], model) >= threshold)
+        )
+        return F.array_sort(F.concat(*parts, more))
 
-    return let(rule_spans(text), joined)
+    return let(F.struct(*[c.alias(f"r{i}") for i, c in enumerate(_by_rule(text))]), joined)
 
 
 def _listed(found: Column) -> Column:
@@ -177,17 +194,34 @@ def redacted(docs: DataFrame, model: list[float] | None = None, mask: str = "[SE
     model = fit(samples(docs)) if model is None else model
 
     def masked(found: Column) -> Column:
-        def step(state: Column, span: Column) -> Column:
-            fresh = span["start"] >= state["at"]
-            before = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        """Blocks of spans, each with the text from the end of those before, so that places are sought in a block's text only."""
+        text, width = F.col("text"), 256
+
+        def cut(state: Column, span: Column) -> Column:
+            at = state["at"] - state["base"]
+            before = F.substring(state["rest"], (at + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
             return F.struct(
+                state["base"].alias("base"),
+                state["rest"].alias("rest"),
                 F.greatest(state["at"], span["end"]).alias("at"),
-                F.when(fresh, F.concat(state["out"], F.array(before, F.lit(mask)))).otherwise(state["out"]).alias("out"),
+                F.when(span["start"] >= state["at"], F.concat(state["out"], F.array(before, F.lit(mask)))).otherwise(state["out"]).alias("out"),
+            )
+
+        def block(state: Column, first: Column) -> Column:
+            mine = F.slice(found, first, width)
+            # no match of a block reaches further than the farthest end
+            reach = F.array_max(F.transform(mine, lambda s: s["end"]))
+            rest = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(reach - state["at"], F.lit(0)).cast("int"))
+            zero = F.struct(state["at"].alias("base"), rest.alias("rest"), state["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+            return let(
+                F.aggregate(mine, zero, cut),
+                lambda one: F.struct(one["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(one["out"], ""))).alias("out")),
             )
 
         start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-        rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.char_length("text")))
-        return F.when(F.size(found) == 0, F.col("text")).otherwise(F.aggregate(found, start, step, rest))
+        rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text)))
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(width))
+        return F.when(F.size(found) == 0, text).otherwise(F.aggregate(firsts, start, block, rest))
 
     clean = F.when(F.col("text").isNull(), F.col("text")).otherwise(let(spans(F.col("text"), model), masked))
     name = fresh(docs, "clean")
