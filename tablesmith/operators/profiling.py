@@ -160,19 +160,19 @@ def _quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], r
         for j, (low, high) in enumerate(ranges):
             region = region.when(value < low, 2 * j).when(value <= high, 2 * j + 1)
         region = F.when(value.isNotNull(), region.otherwise(2 * len(ranges)))
-        entries.append(F.struct(F.lit(name).alias("column"), region.alias("region"), F.when(region % 2 == 1, value).alias("value")))
+        entries.append(F.struct(F.lit(i).alias("position"), region.alias("region"), F.when(region % 2 == 1, value).alias("value")))
     long = df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*").where("region IS NOT NULL")
-    counts = long.groupBy("column", "region", "value").agg(F.count("*").alias("n"))
-    in_order = Window.partitionBy("column").orderBy("region")
-    sizes = counts.groupBy("column", "region").agg(F.sum("n").alias("n")).select(
-        F.col("column").alias("_column"),
+    counts = long.groupBy("position", "region", "value").agg(F.count("*").alias("n"))
+    in_order = Window.partitionBy("position").orderBy("region")
+    sizes = counts.groupBy("position", "region").agg(F.sum("n").alias("n")).select(
+        F.col("position").alias("_position"),
         F.col("region").alias("_region"),
         (F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
         F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
     # At most two regions per column and share, and one more: the broadcast is bounded by the arguments.
-    same = (F.col("column") == F.col("_column")) & (F.col("region") == F.col("_region"))
-    inside = Window.partitionBy("column", "region").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    same = (F.col("position") == F.col("_position")) & (F.col("region") == F.col("_region"))
+    inside = Window.partitionBy("position", "region").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     kept = counts.where("value IS NOT NULL").join(F.broadcast(sizes), same)
     placed = kept.withColumn("upto", F.col("before") + F.sum("n").over(inside))
     places = [(F.col("total") - 1) * share for share in shares]
@@ -180,12 +180,13 @@ def _quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], r
     for i, index in enumerate(side(place) for place in places for side in (F.floor, F.ceil)):
         here = (index < F.col("upto")) & (index >= F.col("upto") - F.col("n"))
         picks.append(F.max(F.when(here, F.col("value"))).alias(f"v{i}"))
-    found = placed.groupBy("column").agg(F.max("total").alias("total"), *picks)
+    found = placed.groupBy("position").agg(F.max("total").alias("total"), *picks)
+    names = F.array(*[F.lit(c) for c in columns])
     results = []
     for i, place in enumerate(places):
         low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
         results.append((low + (high - low) * (place - F.floor(place))).alias(f"q{i}"))
-    return found.select("column", *results)
+    return found.select(F.get(names, F.col("position")).alias("column"), *results)
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
