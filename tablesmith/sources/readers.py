@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ CHARSETS = {
     "utf-16-le": "UTF-16LE", "utf-16le": "UTF-16LE", "utf-32": "UTF-32", "utf32": "UTF-32",
 }
 
+#: How much of a file is read at a time to tell its format.
+DETECT_BYTES = 1 << 20
+
 
 def charset(name: str) -> str:
     """Spark's name of a character set; an unknown one is an error, not a guess."""
@@ -131,8 +135,8 @@ def read_json(
 def detect_format(path: str, spark: SparkSession | None = None) -> str:
     """``parquet``, ``json``, ``jsonl``, ``csv`` or ``delta``, from the first line with text, else the extension.
 
-    Works on every file system that Spark reads. Of a folder it lists one directory per level and opens the first file;
-    the line is read whole, however long.
+    Works on every file system that Spark reads. Of a folder it lists one directory per level and opens the first file,
+    which is read ``DETECT_BYTES`` at a time, as far as it takes to find the first text and, of JSON, the end of its first value or line.
     """
     spark = spark or SparkSession.active()
     system, place = hadoop(spark, path)
@@ -147,14 +151,20 @@ def detect_format(path: str, spark: SparkSession | None = None) -> str:
             raise FileNotFoundError(f"no data files in {path}")
         place = spark._jvm.org.apache.hadoop.fs.Path(place, names[0])
     name = place.getName()
-    first = spark.read.text(glob_free(place.toString())).where("trim(value) <> ''").first()
-    text = first["value"].lstrip() if first else ""
-    if text.startswith("PAR1"):
-        return "parquet"
-    if text.startswith("["):
-        return "json"
-    if text.startswith("{"):
-        return "jsonl" if _is_json(text) else "json"
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(place)
+    stream = system.open(place)
+    try:
+        source = codec.createInputStream(stream) if codec else stream
+        parts = iter(lambda: bytes(source.readNBytes(DETECT_BYTES)), b"")
+        first = next((t for t in (part.removeprefix(b"\xef\xbb\xbf").lstrip() for part in parts) if t), b"")
+        if first.startswith(b"PAR1"):
+            return "parquet"
+        if first.startswith(b"["):
+            return "json"
+        if first.startswith(b"{"):
+            return "jsonl" if _closes_in_line(chain([first], parts)) else "json"
+    finally:
+        stream.close()
     extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     return extension if extension in ("parquet", "json", "jsonl") else "csv"
 
@@ -166,17 +176,26 @@ def hadoop(spark: SparkSession, path: str):
     return system, system.makeQualified(place)
 
 
-def glob_free(path: str) -> str:
-    """A path whose special characters stand for themselves."""
-    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
-
-
-def _is_json(line: str) -> bool:
-    try:
-        json.loads(line)
-    except ValueError:
-        return False
-    return True
+def _closes_in_line(parts: Iterable[bytes]) -> bool:
+    """Whether the JSON value that the parts begin with ends before its line does."""
+    before, depth, in_text, escaped = 0, 0, False, -1
+    for part in parts:
+        for found in re.finditer(rb'[\\"{}\[\]\r\n]', part):
+            mark, at = found[0], before + found.start()
+            if mark in b"\r\n":
+                return False
+            if at == escaped:
+                continue
+            if mark == b"\\":
+                escaped = at + 1
+            elif mark == b'"':
+                in_text = not in_text
+            elif not in_text:
+                depth += 1 if mark in b"{[" else -1
+                if depth == 0:
+                    return True
+        before += len(part)
+    return False
 
 
 def load(spark: SparkSession, path: str, file_type: str = "auto", **options) -> DataFrame:

@@ -66,6 +66,19 @@ def test_detect_format(spark, tmp_path):
         readers.detect_format(str(tmp_path / "none"))
 
 
+def test_detect_format_reads_no_more_than_it_takes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "DETECT_BYTES", 64)
+    long = '{"a": "' + r'\\\"{' * 50 + '", "b": [{}, {}]}'
+    texts = {"line": long, "lines": long + "\n" + long, "whole": long[:-1] + "\n}", "cut": long[:-1], "blank": " \n" * 100 + '{"a": 1}', "empty": "", "bom": '\ufeff{"a": 1}\n'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    (tmp_path / "packed.gz").write_bytes(gzip.compress(long.encode()))
+    kinds = {n: readers.detect_format(str(tmp_path / n)) for n in [*texts, "packed.gz"]}
+    assert kinds == {
+        "line": "jsonl", "lines": "jsonl", "whole": "json", "cut": "json", "blank": "jsonl", "empty": "csv", "bom": "jsonl", "packed.gz": "jsonl",
+    }
+
+
 def test_generic_load(spark, tmp_path):
     spark.range(3).write.orc(str(tmp_path / "o"))
     assert readers.load(spark, str(tmp_path / "o"), "orc").count() == 3
