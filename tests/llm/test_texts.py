@@ -205,6 +205,62 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert importance.resampled(docs, labels, k=10).count() == 10 and importance.resampled(docs, labels, k=0).count() == 0
 
 
+def plain_ratios(target: Counter, raw: Counter) -> dict[tuple, float]:
+    """The ratio of each word and pair, from counts by the words themselves."""
+    ratios = {}
+    for size in (1, 2):
+        grams = sorted((target[g] / raw[g], raw[g]) for g in raw if len(g) == size)
+        half, below, factor = sum(n for _, n in grams) / 2, 0, 0.0
+        for share, n in grams:
+            below, factor = below + n, share
+            if below >= half:
+                break
+        for g in (g for g in raw if len(g) == size):
+            expected = raw[g] * factor
+            ratio = math.log((target[g] + importance.PRIOR) / (expected + importance.PRIOR))
+            noise = abs(target[g] - expected) <= importance.SIGMAS * math.sqrt(expected + importance.PRIOR)
+            ratios[g] = 0.0 if noise or abs(ratio) <= importance.MARGIN else math.copysign(abs(ratio) - importance.MARGIN, ratio)
+    return ratios
+
+
+def test_quality_brute_force(spark):
+    """Counts by words instead of buckets, each bound tried, all sums sorted."""
+    made = random.Random(11)
+    texts: list = [None, "", " \t", "X1 x1 X2"]
+    for i in range(400):
+        bad = i % 3 == 0
+        texts.append(" ".join(f"x{made.randrange(8, 16) if made.random() < (0.5 if bad else 0.1) else made.randrange(8)}" for _ in range(made.randrange(20, 60))))
+    texts += texts[4:8]
+    ids = [*range(len(texts) - 4), 4, 5, 6, 7]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int((i - 4) % 3 != 0), 0) for i in range(4, 300)], "doc_id long, quality int, toxic int")
+    grams = []
+    for text in texts:
+        words = WORD.findall((text or "").lower())
+        grams.append([(w,) for w in words] + list(zip(words, words[1:])))
+    raw = Counter(g for found in grams for g in found)
+    assert len(set(importance.buckets(pa.array(texts))[0])) == len(raw)  # no two share a bucket here
+    chosen = {r.doc_id for r in importance._chosen(labels, True, 0).collect()}
+    assert 50 < len(chosen) < 150
+    ratios = plain_ratios(Counter(g for i, found in zip(ids, grams) if i in chosen for g in found), raw)
+    scores = [sum(ratios[g] for g in found) for found in grams]
+    noise = {(r.doc_id, r.text): r.noise for r in docs.withColumn("noise", importance.noise()).collect()}
+
+    held = {r.doc_id: r.good for r in importance._chosen(labels, True, 1).unionByName(importance._chosen(labels, False, 1)).collect()}
+    rated = sorted((score, held[i]) for i, score in zip(ids, scores) if i in held)
+    good, rest = [s for s, g in rated if g], [s for s, g in rated if not g]
+    edges = [rated[0][0] - 2, *((a[0] + b[0]) / 2 for a, b in zip(rated, rated[1:])), rated[-1][0] + 2]
+    edge = min(edges, key=lambda e: round(importance.LOSS * sum(s <= e for s in good) / len(good) + sum(s > e for s in rest) / len(rest), 9))
+    k = sum(s > edge for s in scores)
+    values = [s + noise[i, t] for s, i, t in zip(scores, ids, texts)]
+    least = sorted(values, reverse=True)[k - 1]
+    want = sorted((i, s, v) for i, s, v in zip(ids, scores, values) if v >= least)
+    got = sorted(map(tuple, importance.resampled(docs, labels).select("doc_id", "log_ratio", "noisy_ratio").collect()))
+    assert 100 < k < 350 and [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose(got, want, rtol=0, atol=2e-4)  # ratios are whole millionths, a text has up to 120
+    assert [r[0] for r in sorted(importance.filtered(docs, labels).select("doc_id").collect())] == [w[0] for w in want]
+
+
 def test_quality_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, None), (None, 1, 0), (2, None, 0), (9, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
     kept = importance.filtered(odd.withColumnRenamed("key", "log_ratio"), labels)
