@@ -7,6 +7,7 @@ a script into facts inside a task; resolving paths, rules and counts are columns
 from __future__ import annotations
 
 import ast
+import functools
 import json
 from collections import Counter
 from collections.abc import Iterator
@@ -44,6 +45,22 @@ _FACTS = (
 _SNIPPET = "parses boolean, call boolean, module string, name string, functions array<string>, methods array<string>"
 
 
+_LEAVES = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+
+
+def _nodes(roots: list[ast.AST]) -> list[ast.AST]:
+    """All nodes below and at the given ones, level by level, those that only mark a use or an operator aside."""
+    found = list(roots)
+    for node in found:
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if type(value) is list:
+                found += [v for v in value if isinstance(v, ast.AST) and not isinstance(v, _LEAVES)]
+            elif isinstance(value, ast.AST) and not isinstance(value, _LEAVES):
+                found.append(value)
+    return found
+
+
 def _path_parts(node: ast.expr | None, known: dict[str, str | None]) -> list[dict]:
     """A path expression as literal texts and names, with what a name holds here if that is certain; anything else is an unknown part."""
     if isinstance(node, ast.Constant) and isinstance(node.value, str):
@@ -63,12 +80,12 @@ def _text_of(node: ast.expr | None, known: dict[str, str | None]) -> str | None:
     return "".join(texts) if texts and all(t is not None for t in texts) else None
 
 
-def _call_fact(node: ast.Call, known: dict[str, str | None]) -> dict:
+def _call_fact(node: ast.Call, known: dict[str, str | None], code: bool) -> dict:
     named = {k.arg: k.value for k in node.keywords}
     path = node.args[0] if node.args else next((named[a] for a in PATH_ARGUMENTS if a in named), None)
     receiver = node.func.value.id if isinstance(node.func.value, ast.Name) else None
     return {
-        "line": node.lineno, "receiver": receiver, "name": node.func.attr, "code": ast.unparse(node),
+        "line": node.lineno, "receiver": receiver, "name": node.func.attr, "code": ast.unparse(node) if code else None,
         "path": None if path is None else _path_parts(path, known),
     }
 
@@ -79,22 +96,36 @@ def _bound(nodes: list[ast.AST]) -> set[str]:
     front = list(nodes)
     while front:
         node = front.pop()
-        match node:
-            case ast.Name(id=name, ctx=ast.Store() | ast.Del()):
-                names.add(name)
-            case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name) | ast.ClassDef(name=name):
-                names.add(name)
-                continue
-            case ast.Lambda():
-                continue
-            case ast.alias(name=name, asname=other):
-                names.add(other or name.split(".")[0])
-            case ast.ExceptHandler(name=str(name)) | ast.MatchAs(name=str(name)) | ast.MatchStar(name=str(name)) | ast.MatchMapping(rest=str(name)):
-                names.add(name)
-        front += ast.iter_child_nodes(node)
+        kind = type(node)
+        if kind is ast.Name:
+            if type(node.ctx) is not ast.Load:
+                names.add(node.id)
+            continue
+        if kind in _PLAIN:
+            continue
+        if kind in _DEFINITIONS:
+            names.add(node.name)
+            continue
+        if kind is ast.alias:
+            names.add(node.asname or node.name.split(".")[0])
+        elif kind in _NAMING and node.name is not None:
+            names.add(node.name)
+        elif kind is ast.MatchMapping and node.rest is not None:
+            names.add(node.rest)
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if type(value) is list:
+                front += [v for v in value if isinstance(v, ast.AST)]
+            elif isinstance(value, ast.AST):
+                front.append(value)
     return names
 
 
+_DEFINITIONS = {ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef}
+_NAMING = {ast.ExceptHandler, ast.MatchAs, ast.MatchStar}
+_PLAIN = {ast.Constant, ast.Lambda, ast.Load, ast.Store, ast.Del}
+
+
 class _Reader:
     """Walks a script in the order in which it runs and notes calls with what the names in their paths hold at that place.
 
@@ -102,8 +133,9 @@ class _Reader:
     run again, so what it binds is unknown where it begins. A function sees its own bindings, and of names outside those that are bound once.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, code: bool = True) -> None:
         self.calls: list[dict] = []
+        self.code = code
 
     def block(self, body: list[ast.stmt], known: dict) -> dict:
         for statement in body:
@@ -113,11 +145,11 @@ class _Reader:
     def look(self, nodes: list[ast.AST | None], known: dict) -> None:
         """Note the calls in expressions; names that they bind themselves are unknown in them."""
         for node in nodes:
-            every = [] if node is None else list(ast.walk(node))
-            found = [n for n in every if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and (n.func.attr.startswith("read_") or n.func.attr in WRITES)]
+            every = [] if node is None else _nodes([node])
+            found = [n for n in every if type(n) is ast.Call and type(n.func) is ast.Attribute and (n.func.attr.startswith("read_") or n.func.attr in WRITES)]
             if found:
                 inner = known | dict.fromkeys(_bound([node]) | {a.arg for n in every if isinstance(n, ast.Lambda) for a in ast.walk(n.args) if isinstance(a, ast.arg)})
-                self.calls += [_call_fact(n, inner) for n in found]
+                self.calls += [_call_fact(n, inner, self.code) for n in found]
 
     def statement(self, node: ast.stmt, known: dict) -> dict:
         match node:
@@ -166,8 +198,8 @@ class _Reader:
                 self.look([node], known)
                 return known | dict.fromkeys(_bound([node]))
 
-    def read(self, module: ast.Module) -> list[dict]:
-        bound = Counter(n.id for n in ast.walk(module) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store))
+    def read(self, module: ast.Module, nodes: list[ast.AST]) -> list[dict]:
+        bound = Counter(n.id for n in nodes if type(n) is ast.Name and type(n.ctx) is ast.Store)
         single = {t.id: s.value for s in module.body if isinstance(s, ast.Assign) for t in s.targets if isinstance(t, ast.Name) and bound[t.id] == 1}
         # a function may run later: names bound more than once are unknown in it, names bound once hold their text
         self.once = dict.fromkeys(bound) | {name: _text_of(value, {}) for name, value in single.items()}
@@ -181,18 +213,17 @@ def _agreed(*ways: dict) -> dict:
     return {n: ways[0].get(n) if all(w.get(n) == ways[0].get(n) for w in ways) else None for n in names}
 
 
-def _script_facts(text: str) -> str:
+def _script_facts(text: str, code: bool = True) -> str:
     facts = {"error": None, "calls": [], "texts": []}
     try:
         module = ast.parse(text)
-        nodes = list(ast.walk(module))
-        facts["calls"] = _Reader().read(module)
+        nodes = _nodes([module])
+        facts["calls"] = _Reader(code).read(module, nodes)
     except (SyntaxError, ValueError, RecursionError) as problem:
         return json.dumps(facts | {"error": f"{type(problem).__name__}: {problem}", "calls": []})
     for node in nodes:
-        match node:
-            case ast.Constant(value=str(value)) if "/mnt/" in value:
-                facts["texts"].append({"line": node.lineno, "value": value})
+        if type(node) is ast.Constant and isinstance(node.value, str) and "/mnt/" in node.value:
+            facts["texts"].append({"line": node.lineno, "value": node.value})
     return json.dumps(facts)
 
 
@@ -229,9 +260,9 @@ def without_magics(text: str | Column) -> Column:
     return F.regexp_replace(text, r"(?m)^[ \t]*[%!].*$", "# $0")
 
 
-def script_facts(scripts: DataFrame) -> DataFrame:
-    """One row per script: calls of interest and mount texts, or the parse error."""
-    facts = _parsed(without_magics("text"), _script_facts, _FACTS)
+def script_facts(scripts: DataFrame, code: bool = True) -> DataFrame:
+    """One row per script: calls of interest and mount texts, or the parse error. Without ``code`` the text of calls, costly to write, is null."""
+    facts = _parsed(without_magics("text"), functools.partial(_script_facts, code=code), _FACTS)
     return scripts.select("path", facts.alias("_f")).select("path", "_f.*")
 
 
@@ -250,10 +281,8 @@ def _variable(parts: Column) -> Column:
 def access_findings(facts: DataFrame) -> DataFrame:
     """Reads through ``pd`` and the supported writes: line, operation, code, path, variable, mount."""
     call = facts.select("path", F.explode("calls").alias("c"))
-    reads = (F.col("c.receiver") == "pd") & F.col("c.name").startswith("read_")
-    writes = F.col("c.name").isin(WRITES) & F.col("c.path").isNotNull()
     used = _resolved(F.col("c.path"))
-    return call.where(F.coalesce(reads, F.lit(False)) | writes).select(
+    return call.where(_is_read(F.col("c")) | _is_write(F.col("c"))).select(
         F.col("path").alias("file_path"),
         F.col("c.line").alias("line_number"),
         F.concat(F.lit("pandas_"), "c.name").alias("operation_type"),
@@ -278,14 +307,24 @@ def scan_errors(facts: DataFrame) -> DataFrame:
 
 
 def access_counts(facts: DataFrame) -> DataFrame:
-    """Reads, writes and findings on mounts per script, scripts without any included."""
-    found = access_findings(facts).groupBy("file_path").agg(
-        F.count_if(F.col("operation_type").startswith("pandas_read_")).alias("reads"),
-        F.count_if(F.col("operation_type").startswith("pandas_to_")).alias("writes"),
-        F.count_if("is_mount_point").alias("mount_points"),
+    """Reads, writes and findings on mounts per script, scripts without any included. Counted in the script's own row."""
+    found = F.filter("calls", lambda c: _is_read(c) | _is_write(c))
+
+    def times(condition) -> Column:
+        return F.coalesce(F.size(F.filter(found, lambda c: F.coalesce(condition(c), F.lit(False)))), F.lit(0)).cast("bigint")
+
+    return facts.select(
+        F.col("path").alias("file_path"), F.col("error").isNull().alias("parsed"), times(lambda c: c["name"].startswith("read_")).alias("reads"),
+        times(lambda c: c["name"].startswith("to_")).alias("writes"), times(lambda c: is_mount(_resolved(c["path"]))).alias("mount_points"),
     )
-    every = facts.select(F.col("path").alias("file_path"), F.col("error").isNull().alias("parsed"))
-    return every.join(found, "file_path", "left").fillna(0, subset=["reads", "writes", "mount_points"])
+
+
+def _is_read(call: Column) -> Column:
+    return F.coalesce((call["receiver"] == "pd") & call["name"].startswith("read_"), F.lit(False))
+
+
+def _is_write(call: Column) -> Column:
+    return call["name"].isin(WRITES) & call["path"].isNotNull()
 
 
 def snippet_safety(snippets: DataFrame, text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from tablesmith.operators import templates as A
 from tablesmith.operators.ranking import Entry
 from tablesmith.operators.rules import Rule
 from tablesmith.plans.registry import query, table
-from tablesmith.session import spread
+from tablesmith.session import deal, spread
 
 # Templates, one per order
 
@@ -94,7 +94,7 @@ def _templates(spark, sf_dir) -> DataFrame:
         F.struct(total.alias("status")).alias("outputs"), resources.alias("resources"),
     )
     text = F.to_json(document)
-    rows = spread(table(spark, sf_dir, "orders")).select(
+    rows = deal(table(spark, sf_dir, "orders")).select(
         "o_orderkey", F.concat(F.lit("orders/"), key, F.lit(".json")).alias("path"), text.alias("text")
     )
     cut = F.when(key % 50 == 0, F.substring("text", 1, 40)).otherwise(F.col("text"))
@@ -218,7 +218,7 @@ def template_nesting(spark, sf_dir):
     opened = F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(F.lit('{"name":"r'), i.cast("string"), F.lit('","type":"T","resources":[')))
     begin = F.lit('{"$schema":"https://schema.example.org/deploymentTemplate.json#","resources":[')
     text = F.concat(begin, F.when(depth > 0, F.array_join(opened, "")).otherwise(""), F.repeat(F.lit("]}"), depth), F.lit("]}"))
-    texts = spread(table(spark, sf_dir, "orders")).select(F.concat(F.lit("deep/"), "o_orderkey").alias("path"), text.alias("text"))
+    texts = deal(table(spark, sf_dir, "orders")).select(F.concat(F.lit("deep/"), "o_orderkey").alias("path"), text.alias("text"))
     return A.extract_resources(A.parse_templates(texts)).select("template", "name", "parent_resource", "child_resources")
 
 
@@ -377,7 +377,7 @@ def _scripts(spark, sf_dir) -> DataFrame:
         F.when(size % 5 == 0, "c = SQLContext(s)"),
         F.when(size % 10 == 0, "def broken(:"),
     )
-    return spread(table(spark, sf_dir, "part")).select(F.format_string("jobs/%d.py", "p_partkey").alias("path"), text.alias("text"))
+    return deal(table(spark, sf_dir, "part")).select(F.format_string("jobs/%d.py", "p_partkey").alias("path"), text.alias("text"))
 
 
 _SCRIPT = "'jobs/' || CAST(p_partkey AS VARCHAR) || '.py'"
@@ -423,8 +423,8 @@ def code_rebound_paths(spark, sf_dir):
         F.lit("a.to_csv(p)"), F.lit("if late:"), other, F.lit("b = pd.read_json(p)"), F.lit("for q in names():"), F.lit("    c = pd.read_csv(q)"),
         F.lit("def f(p):"), F.lit("    return pd.read_csv(root + '/x.csv')"), F.lit("p += '.bak'"), F.lit("pd.read_csv(p)"),
     )
-    scripts = table(spark, sf_dir, "part").select(F.format_string("jobs/%d.py", "p_partkey").alias("path"), text.alias("text"))
-    return K.access_findings(K.script_facts(scripts)).select("file_path", "line_number", "path_used")
+    scripts = deal(table(spark, sf_dir, "part")).select(F.format_string("jobs/%d.py", "p_partkey").alias("path"), text.alias("text"))
+    return K.access_findings(K.script_facts(scripts, code=False)).select("file_path", "line_number", "path_used")
 
 
 @query(
@@ -433,7 +433,7 @@ def code_rebound_paths(spark, sf_dir):
     """
 )
 def code_mounts(spark, sf_dir):
-    return K.mount_references(K.script_facts(_scripts(spark, sf_dir)))
+    return K.mount_references(K.script_facts(_scripts(spark, sf_dir), code=False))
 
 
 @query(
@@ -445,7 +445,7 @@ def code_mounts(spark, sf_dir):
     """
 )
 def code_counts(spark, sf_dir):
-    return K.access_counts(K.script_facts(_scripts(spark, sf_dir)))
+    return K.access_counts(K.script_facts(_scripts(spark, sf_dir), code=False))
 
 
 @query(
@@ -486,7 +486,7 @@ def old_interfaces(spark, sf_dir):
 def snippet_safety(spark, sf_dir):
     forms = ["pd.read_csv('%d.csv')", "pd.read_csv(open('%d'))", "os.system('%d')", "pd.to_csv('%d')", "x = %d", "%d + 1"]
     text = F.element_at(F.array(*[F.format_string(f, "p_partkey") for f in forms]), F.col("p_size") % 6 + 1)
-    snippets = spread(table(spark, sf_dir, "part")).select("p_partkey", text.alias("text"))
+    snippets = deal(table(spark, sf_dir, "part")).select("p_partkey", text.alias("text"))
     return K.snippet_safety(snippets).drop("text")
 
 

@@ -62,13 +62,26 @@ def clear_scratch(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table out to more tasks if its files make fewer tasks than there are cores.
 
-    For heavy work per row on a plain scan: a file with one row group is one task.
-    A large table has enough tasks and is left alone.
+    For heavy work per row on a plain scan of wide rows; for narrow ones see :func:`deal`.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+#: Rows of heavy work that one task takes at most.
+TASK_ROWS = 25_000
+
+
+def deal(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Deal the rows of a table evenly to tasks of at most about ``rows``, at least one for each core.
+
+    For heavy work per row on a plain scan of narrow rows: a row group is read by one task, however many splits its file
+    makes. The rows are counted when this is called, for Parquet by the footers.
+    """
+    tasks = -(-df.count() // rows)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.operators import codescan as K
 from tablesmith.operators import rules
+from tablesmith.session import deal
 
 SCRIPTS = {
     "a.py": "p = '/mnt/d/a.csv'\ndf = pd.read_csv(p)\ndf.to_parquet('/mnt/out/a')\nm = df['t'].dt.to_period('M')\n",
@@ -140,3 +141,18 @@ later = 'l'
     assert got[26] == "h" and got[28] is None
     assert got[at["pd.read_csv(a)"]] is None and got[at["pd.read_csv(q)"]] == "own" and got[at["pd.read_csv(single)"]] == "s"
     assert got[at["pd.read_csv(later)"]] is None
+
+
+def test_rows_of_one_row_group_are_dealt_evenly(spark, tmp_path):
+    """A file of one row group and many splits has one task with all rows unless they are dealt."""
+    spark.range(20000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    sizes = sorted(r["count"] for r in deal(rows, 2000).groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert len(sizes) >= 10 and sizes[-1] <= 2500
+
+
+def test_counts_belong_to_their_own_row(spark):
+    """Counts need no join: a script without a path keeps its own."""
+    rows = [(None, "a = pd.read_csv('/mnt/a')"), ("x.py", "a.to_csv('b')"), ("x.py", "def (")]
+    counts = K.access_counts(K.script_facts(spark.createDataFrame(rows, "path string, text string"), code=False)).collect()
+    assert sorted(map(str, (tuple(r) for r in counts))) == sorted(map(str, [(None, True, 1, 0, 1), ("x.py", True, 0, 1, 0), ("x.py", False, 0, 0, 0)]))
