@@ -9,6 +9,7 @@ no exchange is needed before the graph work.
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,69 +33,107 @@ SKU_TYPES = ("appServicePlans", "databases", "elasticPools", "registries")
 def parse_templates(texts: DataFrame) -> DataFrame:
     """Template, parsed document and, where it is no template, the reason."""
     parsed = texts.select(
-        F.col("path").alias("template"), F.try_parse_json("text").alias("doc"),
-        F.get_json_object("text", "$").isNotNull().alias("readable"),
+        F.col("path").alias("template"), F.try_parse_json("text").alias("doc"), "text"
     )
+    readable = F.get_json_object("text", "$").isNotNull()  # looked at only where there is no document
     schema = _text("doc", "$['$schema']")
     reason = (
-        F.when(F.col("doc").isNull() & F.col("readable"), "Repeated key")
+        F.when(F.col("doc").isNull() & readable, "Repeated key")
         .when(F.col("doc").isNull(), "Invalid JSON")
         .when(schema.isNull(), "Missing $schema")
         .when(~schema.contains(SCHEMA_MARK), F.concat(F.lit("Unknown schema: "), schema))
     )
-    return parsed.withColumn("error", reason).drop("readable")
+    return parsed.withColumn("error", reason).drop("text")
 
 
 def template_errors(parsed: DataFrame) -> DataFrame:
     return parsed.where("error IS NOT NULL").select("template", "error")
 
 
-def extract_resources(parsed: DataFrame, include_children: bool = True) -> DataFrame:
-    """One row per resource with base and type-specific attributes; children name their parent.
+def extract_resources(parsed: DataFrame, include_children: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per resource with base and type-specific attributes, or those in ``columns``; children name their parent.
 
     The documents are parsed once, when this is called: resources are written to the shared folder, those at the last level unfolded
     with what they hold, from which the next levels are taken until none is left. So nesting may be of any depth.
+    The resources of some levels are cast to one nested type at once; what the wanted attributes don't need is not taken out.
     """
-    top = _items("doc", "$.resources", F.lit(None).cast("string"))
+    attributes = _attributes(columns)
+    names = [c for c in attributes if columns is None or c in columns]
+    top = F.try_variant_get("doc", "$.resources", f"array<{_resource_type(columns, LEVELS if include_children else 1)}>")
     # A filter on the reason would parse every document again; an empty list drops it as well.
-    rows = parsed.select("template", F.when(F.col("error").isNull(), top).otherwise(_nothing()).alias("_l0"))
+    rows = parsed.select("template", F.when(F.col("error").isNull(), _with_parent(top, F.lit(None).cast("string"))).alias("_l0"))
     if not include_children:
-        return rows.select("template", F.explode("_l0").alias("_i")).select("template", "_i.parent", F.col("_i.item").alias("res")).select("template", *_attributes())
+        one = _each(rows, F.transform("_l0", lambda r: _entry(r, columns)), "res")
+        return one.select("template", *[attributes[n].alias(n) for n in names])
     found = []
     while True:
-        level = stage(_unfolded(rows), "resources")
+        one = _unfolded(rows, columns).select("template", *[attributes[n].alias(n) for n in names], F.col("res._below").alias("_below"))
+        level = stage(one, "resources")
         found.append(level.drop("_below"))
         deeper = level.where(F.size("_below") > 0)
         if deeper.isEmpty():
             break
-        rows = deeper.select("template", F.col("_below").alias("_l0"))
+        kind = _resource_type(columns, LEVELS)
+        typed = F.transform("_below", lambda b: F.struct(b["parent"].alias("parent"), F.try_variant_get(b["item"], "$", kind).alias("item")))
+        rows = deeper.select("template", typed.alias("_l0"))
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _unfolded(rows: DataFrame) -> DataFrame:
-    """The resources of some levels from ``_l0`` on; ``_below`` holds the children of those of the last one."""
-    for level in range(1, LEVELS):
-        rows = rows.withColumn(f"_l{level}", F.flatten(F.transform(F.col(f"_l{level - 1}"), _children)))
-    last = LEVELS - 1
-    every = F.concat(*[F.transform(F.col(f"_l{i}"), lambda r: F.struct(F.lit(i == last).alias("last"), r["parent"].alias("parent"), r["item"].alias("item"))) for i in range(LEVELS)])
-    one = rows.select("template", F.explode(every).alias("_i")).select(
-        "template", "_i.parent", F.col("_i.item").alias("res"), F.when(F.col("_i.last"), _children(F.col("_i"))).otherwise(_nothing()).alias("_below")
-    )
-    return one.select("template", *_attributes(), "_below")
+def _resource_type(columns: Sequence[str] | None, levels: int) -> str:
+    """What is taken out of a resource, children of some levels included; those of the last one stay as they are."""
+    below = "array<variant>" if levels == 1 else f"array<{_resource_type(columns, levels - 1)}>"
+    kept = [f"{n}:{kind}" for n, kind in _kinds(columns).items() if _wanted(columns, n)]
+    return f"struct<{','.join(f'{n}:string' for n in _TEXTS)},{','.join([*kept, f'resources:{below}'])}>"
+
+
+def _kinds(columns: Sequence[str] | None) -> dict[str, str]:
+    """Types of the parts of a resource. Keys alone are read as a map to what is cheap to cast: an entry that is no boolean keeps its key."""
+    return {
+        "sku": "struct<name:string,tier:string,capacity:string>", "dependsOn": "array<string>",
+        "tags": "variant" if columns is None or "tags" in columns else "map<string,boolean>",
+        "properties": "variant" if columns is None or "property_keys" in columns else _PROPERTIES,
+    }
+
 
+def _wanted(columns: Sequence[str] | None, part: str) -> bool:
+    beginnings = {"sku": "sku_", "tags": "tag", "dependsOn": "depends_on"}
+    if columns is None:
+        return True
+    if part in beginnings:
+        return any(c.startswith(beginnings[part]) for c in columns)
+    return bool(set(columns) - _PLAIN)
 
-def _children(resource: Column) -> Column:
-    return _items(resource["item"], "$.resources", F.try_variant_get(resource["item"], "$.name", "string"))
 
+def _with_parent(items: Column, parent: Column) -> Column:
+    return F.transform(items, lambda item: F.struct(parent.alias("parent"), item.alias("item")))
 
-def _items(column: str | Column, path: str, parent: Column) -> Column:
-    """An array in a document as structs of parent name and item."""
-    found = F.try_variant_get(column, path, "array<variant>")
-    return F.coalesce(
-        F.transform(found, lambda item: F.struct(parent.alias("parent"), item.alias("item"))), _nothing()
+
+def _entry(found: Column, columns: Sequence[str] | None, last: bool = True) -> Column:
+    """A resource without its children, which are counted; those of a resource of the last level unfolded are kept below it."""
+    item = found["item"]
+    below = F.coalesce(_with_parent(item["resources"], item["name"]), _nothing()) if last else _nothing()
+    parts = [(item[n] if _wanted(columns, n) else F.lit(None).cast(kind)).alias(n) for n, kind in _kinds(columns).items()]
+    return F.struct(
+        found["parent"].alias("parent"), *[item[n].alias(n) for n in _TEXTS], *parts,
+        F.coalesce(F.size(item["resources"]), F.lit(0)).alias("children"), below.alias("_below"),
     )
 
 
+def _unfolded(rows: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """The resources of some levels from ``_l0`` on as ``res``."""
+    for level in range(1, LEVELS):
+        deeper = F.transform(f"_l{level - 1}", lambda r: _with_parent(r["item"]["resources"], r["item"]["name"]))
+        rows = rows.withColumn(f"_l{level}", F.flatten(F.filter(deeper, lambda items: items.isNotNull())))
+    entries = [F.transform(f"_l{i}", lambda r: _entry(r, columns, i == LEVELS - 1)) for i in range(LEVELS)]
+    return _each(rows, F.concat(*entries), "res")
+
+
+def _each(rows: DataFrame, items: Column, name: str) -> DataFrame:
+    """A row for each item, which is never null. A plain ``explode`` adds a filter by the size of the list, which
+    is pushed below any exchange and parses every document once more, in the few tasks that read the table."""
+    return rows.select("template", F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def _nothing() -> Column:
     return F.array().cast("array<struct<parent:string,item:variant>>")
 
@@ -103,80 +142,93 @@ def _text(column: str | Column, path: str) -> Column:
     return F.try_variant_get(column, path, "string")
 
 
-def _size(path: str) -> Column:
-    """Length of an array in the resource, zero if there is none."""
-    return F.coalesce(F.size(F.try_variant_get("res", path, "array<variant>")), F.lit(0))
-
-
-def _keys(path: str) -> Column:
-    """Names in an object of the resource, sorted; empty if there is none."""
-    names = F.map_keys(F.try_variant_get("res", path, "map<string,variant>"))
-    return F.coalesce(F.array_sort(names), F.array().cast("array<string>"))
+#: Attributes that need none of the properties.
+_PLAIN = {
+    "template", "name", "type", "provider", "resource_kind", "api_version", "location", "kind", "sku_name", "sku_tier", "sku_capacity", "tag_count",
+    "tags", "depends_on", "depends_on_count", "child_resources", "parent_resource",
+}
+_TEXTS = ("name", "type", "apiVersion", "location", "kind")
+_PROPERTIES = (
+    "struct<accessTier:string,supportsHttpsTrafficOnly:string,minimumTlsVersion:string,allowBlobPublicAccess:string,"
+    "hardwareProfile:struct<vmSize:string>,osProfile:struct<computerName:string,adminUsername:string>,"
+    "storageProfile:struct<osDisk:struct<managedDisk:struct<storageAccountType:string>>>,addressSpace:struct<addressPrefixes:array<string>>,"
+    "subnets:array<boolean>,dhcpOptions:struct<dnsServers:array<string>>,securityRules:array<struct<direction:string>>,"
+    "enableSoftDelete:string,enablePurgeProtection:string,accessPolicies:array<boolean>>"
+)
 
 
-def _joined(path: str) -> Column:
-    return F.coalesce(F.array_join(F.try_variant_get("res", path, "array<string>"), ","), F.lit(""))
+def _size(items: Column) -> Column:
+    """Length of an array in the resource, zero if there is none."""
+    return F.coalesce(F.size(items), F.lit(0))
 
 
-def _json(path: str, empty: str) -> Column:
-    return F.coalesce(F.to_json(F.try_variant_get("res", path, "variant")), F.lit(empty))
+def _keys(entries: Column) -> Column:
+    """Names in an object of the resource, sorted; empty if there is none."""
+    return F.coalesce(F.array_sort(F.map_keys(entries)), F.array().cast("array<string>"))
 
 
-def _rules_towards(direction: str) -> Column:
-    rules = F.try_variant_get("res", "$.properties.securityRules", "array<variant>")
-    return F.coalesce(F.size(F.filter(rules, lambda r: F.try_variant_get(r, "$.direction", "string") == direction)), F.lit(0))
+def _joined(items: Column) -> Column:
+    return F.coalesce(F.array_join(items, ","), F.lit(""))
 
 
-def _attributes() -> list[Column]:
-    kind = F.coalesce(_text("res", "$.type"), F.lit(""))
+def _attributes(columns: Sequence[str] | None) -> dict[str, Column]:
+    """The attributes of ``res``, cast for ``columns``."""
+    res = F.col("res")
+    kind = F.coalesce(res["type"], F.lit(""))
     parts = F.split(kind, "/")
+    tags, properties = res["tags"], res["properties"]
+    keys = F.array().cast("array<string>")
+    if columns is None or "tags" in columns:
+        tags = F.try_variant_get(tags, "$", "map<string,boolean>")
+    if columns is None or "property_keys" in columns:
+        keys = _keys(F.try_variant_get(properties, "$", "map<string,boolean>"))
+        properties = F.try_variant_get(properties, "$", _PROPERTIES)
     base = {
-        "name": F.coalesce(_text("res", "$.name"), F.lit("")),
+        "name": F.coalesce(res["name"], F.lit("")),
         "type": kind,
         "provider": F.get(parts, F.lit(0)),
         "resource_kind": F.element_at(parts, -1),
-        "api_version": _text("res", "$.apiVersion"),
-        "location": _text("res", "$.location"),
-        "kind": _text("res", "$.kind"),
-        "sku_name": _text("res", "$.sku.name"),
-        "sku_tier": _text("res", "$.sku.tier"),
-        "sku_capacity": _text("res", "$.sku.capacity"),
-        "tag_count": F.size(_keys("$.tags")),
-        "tags": _json("$.tags", "{}"),
-        "depends_on": F.coalesce(F.try_variant_get("res", "$.dependsOn", "array<string>"), F.array().cast("array<string>")),
-        "depends_on_count": _size("$.dependsOn"),
-        "property_keys": F.array_join(_keys("$.properties"), ","),
-        "child_resources": _size("$.resources"),
-        "parent_resource": F.col("parent"),
+        "api_version": res["apiVersion"],
+        "location": res["location"],
+        "kind": res["kind"],
+        "sku_name": res["sku"]["name"],
+        "sku_tier": res["sku"]["tier"],
+        "sku_capacity": res["sku"]["capacity"],
+        "tag_count": F.coalesce(F.size(F.map_keys(tags)), F.lit(0)),
+        "tags": F.coalesce(F.to_json(res["tags"]), F.lit("{}")),
+        "depends_on": F.coalesce(res["dependsOn"], F.array().cast("array<string>")),
+        "depends_on_count": _size(res["dependsOn"]),
+        "property_keys": F.array_join(keys, ","),
+        "child_resources": res["children"],
+        "parent_resource": res["parent"],
     }
+
+    def towards(direction: str) -> Column:
+        return _size(F.filter(properties["securityRules"], lambda r: r["direction"] == direction))
+
     # The names of the attributes. The first family whose name occurs in the type supplies the special ones.
     families = {
-        "storageAccounts": {
-            "accessTier": _text("res", "$.properties.accessTier"),
-            "supportsHttpsTrafficOnly": _text("res", "$.properties.supportsHttpsTrafficOnly"),
-            "minimumTlsVersion": _text("res", "$.properties.minimumTlsVersion"),
-            "allowBlobPublicAccess": _text("res", "$.properties.allowBlobPublicAccess"),
-        },
+        "storageAccounts": {n: properties[n] for n in ("accessTier", "supportsHttpsTrafficOnly", "minimumTlsVersion", "allowBlobPublicAccess")},
         "virtualMachines": {
-            "vmSize": _text("res", "$.properties.hardwareProfile.vmSize"),
-            "computerName": _text("res", "$.properties.osProfile.computerName"),
-            "adminUsername": _text("res", "$.properties.osProfile.adminUsername"),
-            "osDiskStorageType": _text("res", "$.properties.storageProfile.osDisk.managedDisk.storageAccountType"),
+            "vmSize": properties["hardwareProfile"]["vmSize"],
+            "computerName": properties["osProfile"]["computerName"],
+            "adminUsername": properties["osProfile"]["adminUsername"],
+            "osDiskStorageType": properties["storageProfile"]["osDisk"]["managedDisk"]["storageAccountType"],
         },
         "virtualNetworks": {
-            "addressPrefixes": _joined("$.properties.addressSpace.addressPrefixes"),
-            "subnetCount": _size("$.properties.subnets"),
-            "dnsServers": _joined("$.properties.dhcpOptions.dnsServers"),
+            "addressPrefixes": _joined(properties["addressSpace"]["addressPrefixes"]),
+            "subnetCount": _size(properties["subnets"]),
+            "dnsServers": _joined(properties["dhcpOptions"]["dnsServers"]),
         },
         "networkSecurityGroups": {
-            "ruleCount": _size("$.properties.securityRules"),
-            "inboundRules": _rules_towards("Inbound"),
-            "outboundRules": _rules_towards("Outbound"),
+            "ruleCount": _size(properties["securityRules"]),
+            "inboundRules": towards("Inbound"),
+            "outboundRules": towards("Outbound"),
         },
         "vaults": {
-            "enableSoftDelete": _text("res", "$.properties.enableSoftDelete"),
-            "enablePurgeProtection": _text("res", "$.properties.enablePurgeProtection"),
-            "accessPolicieCount": _size("$.properties.accessPolicies"),
+            "enableSoftDelete": properties["enableSoftDelete"],
+            "enablePurgeProtection": properties["enablePurgeProtection"],
+            "accessPolicieCount": _size(properties["accessPolicies"]),
         },
     }
     special = {}
@@ -185,7 +237,7 @@ def _attributes() -> list[Column]:
         matches = kind.contains(family) & ~earlier
         special.update({name: F.when(matches, value) for name, value in attributes.items()})
         earlier = earlier | kind.contains(family)
-    return [column.alias(name) for name, column in {**base, **special}.items()]
+    return {**base, **special}
 
 
 def parameters(parsed: DataFrame) -> DataFrame:
@@ -211,7 +263,14 @@ def outputs(parsed: DataFrame) -> DataFrame:
 
 def _entries(parsed: DataFrame, path: str) -> DataFrame:
     entries = F.try_variant_get("doc", path, "map<string,variant>")
-    return parsed.select("template", F.explode(F.when(F.col("error").isNull(), entries)).alias("name", "value"))
+    return _each(parsed, F.map_entries(F.when(F.col("error").isNull(), entries)), "_e").select("template", F.col("_e.key").alias("name"), "_e.value")
+
+
+#: What findings and their summaries are made of.
+RISK_COLUMNS = (
+    "name", "type", "api_version", "location", "sku_name", "tag_count", "depends_on", "depends_on_count", "allowBlobPublicAccess",
+    "osDiskStorageType", "enableSoftDelete",
+)
 
 
 def dependencies(resources: DataFrame) -> DataFrame:
@@ -287,11 +346,11 @@ def type_counts(resources: DataFrame) -> DataFrame:
 def template_summary(parsed: DataFrame, resources: DataFrame, edges: DataFrame, flags: DataFrame) -> DataFrame:
     """One row per template: how much it holds and how many findings of each severity."""
     def entries(path: str) -> Column:
-        return F.coalesce(F.size(F.try_variant_get("doc", path, "map<string,variant>")), F.lit(0)).cast("bigint")
+        return F.coalesce(F.size(F.try_variant_get("doc", path, "map<string,boolean>")), F.lit(0)).cast("bigint")
 
     counts = F.struct(*[entries(f"$.{part}").alias(part) for part in ("parameters", "variables", "outputs")])
     good = F.when(F.col("error").isNull(), F.array(counts))
-    base = parsed.select("template", F.explode(good).alias("_c")).select("template", "_c.*")
+    base = _each(parsed, good, "_c").select("template", "_c.*")
     held = resources.groupBy("template").agg(
         F.count("*").alias("resources"), F.count_distinct("type").alias("types"), F.sum("depends_on_count").alias("dependencies")
     )

@@ -196,13 +196,13 @@ def template_errors(spark, sf_dir):
     return A.template_errors(A.parse_templates(_templates(spark, sf_dir)))
 
 
-def _resources(spark, sf_dir) -> DataFrame:
-    return A.extract_resources(A.parse_templates(_templates(spark, sf_dir)))
+def _resources(spark, sf_dir, *columns: str) -> DataFrame:
+    return A.extract_resources(A.parse_templates(_templates(spark, sf_dir)), columns=columns)
 
 
 @query(f"SELECT * FROM {_RESOURCES}")
 def template_resources(spark, sf_dir):
-    return _resources(spark, sf_dir).select(*_RESOURCE_COLUMNS)
+    return _resources(spark, sf_dir, *_RESOURCE_COLUMNS[1:]).select(*_RESOURCE_COLUMNS)
 
 
 @query(
@@ -219,7 +219,7 @@ def template_nesting(spark, sf_dir):
     begin = F.lit('{"$schema":"https://schema.example.org/deploymentTemplate.json#","resources":[')
     text = F.concat(begin, F.when(depth > 0, F.array_join(opened, "")).otherwise(""), F.repeat(F.lit("]}"), depth), F.lit("]}"))
     texts = deal(table(spark, sf_dir, "orders")).select(F.concat(F.lit("deep/"), "o_orderkey").alias("path"), text.alias("text"))
-    return A.extract_resources(A.parse_templates(texts)).select("template", "name", "parent_resource", "child_resources")
+    return A.extract_resources(A.parse_templates(texts), columns=["name", "parent_resource", "child_resources"])
 
 
 _NETWORK_SQL = """
@@ -267,23 +267,23 @@ def template_families(spark, sf_dir):
 @query(f"SELECT name, type FROM {_RESOURCES} WHERE parent_resource IS NULL")
 def template_top_level(spark, sf_dir):
     parsed = A.parse_templates(_templates(spark, sf_dir))
-    return A.extract_resources(parsed, include_children=False).select("name", "type")
+    return A.extract_resources(parsed, include_children=False, columns=["name", "type"]).select("name", "type")
 
 
 @query(f"SELECT * FROM {_EDGES}")
 def template_dependencies(spark, sf_dir):
-    return A.dependencies(_resources(spark, sf_dir))
+    return A.dependencies(_resources(spark, sf_dir, "name", "depends_on"))
 
 
 @query(f"SELECT * FROM {_FLAGS}")
 def template_flags(spark, sf_dir):
-    resources = _resources(spark, sf_dir)
+    resources = _resources(spark, sf_dir, *A.RISK_COLUMNS)
     return A.risk_flags(resources, A.dependencies(resources))
 
 
 @query(f"SELECT type, count(*) AS resources FROM {_RESOURCES} GROUP BY type")
 def template_types(spark, sf_dir):
-    return A.type_counts(_resources(spark, sf_dir))
+    return A.type_counts(_resources(spark, sf_dir, "type"))
 
 
 @query(
@@ -321,7 +321,7 @@ def template_values(spark, sf_dir):
 )
 def template_summary(spark, sf_dir):
     parsed = A.parse_templates(_templates(spark, sf_dir))
-    resources = _resources(spark, sf_dir)
+    resources = _resources(spark, sf_dir, *A.RISK_COLUMNS)
     edges = A.dependencies(resources)
     return A.template_summary(parsed, resources, edges, A.risk_flags(resources, edges))
 

@@ -135,3 +135,20 @@ def test_written_inventory(spark, texts, tmp_path):
     assert (row["resources"], row["types"], row["dependencies"], row["parameters"]) == (6, 6, 3, 1)
     assert (row["critical"], row["high"], row["medium"], row["low"]) == (1, 3, 5, 3)
     assert spark.read.json(f"{tmp_path}/errors").count() == 2
+
+
+def test_wanted_attributes_are_those_of_the_whole(t1):
+    """Only what is wanted is taken out of a document, with the same values."""
+    whole = A.extract_resources(t1)
+    for columns in (["type"], ["name", "tag_count", "osDiskStorageType"], ["tags", "property_keys", "enableSoftDelete"], list(A.RISK_COLUMNS), ["sku_name", "depends_on", "child_resources", "parent_resource"]):
+        some = A.extract_resources(t1, columns=columns)
+        assert set(some.columns) == {"template", *columns}
+        assert sorted(map(str, some.select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
+
+
+def test_no_document_is_parsed_to_filter_it(spark, texts):
+    """A filter by the size of a list would parse documents below the exchange once more."""
+    rows = A.extract_resources(A.parse_templates(texts.repartition(3)), include_children=False, columns=["name"])
+    for found in (rows, A.variables(A.parse_templates(texts.repartition(3)))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1
