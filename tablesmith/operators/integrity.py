@@ -35,9 +35,14 @@ def file_checksums(spark: SparkSession, folder: str, pattern: str = "*", recursi
     return _dealt(list_by_tasks(spark, folder, pattern, recursive)).mapInPandas(digests, CHECKSUM)
 
 
-def _dealt(files: DataFrame) -> DataFrame:
-    """A listing spread over tasks by name, so that no task has all files."""
-    return files.repartition(F.col("path"))
+def _dealt(files: DataFrame, *keys: str) -> DataFrame:
+    """A listing spread over tasks by name, so that no task has all files.
+
+    The number of tasks is given, as a listing is so small that adaptive execution would put it into one task, however many bytes its files have.
+    """
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return files.repartition(tasks, *(keys or ["path"]))
 
 
 RANGE_BYTES = 64 << 20
@@ -57,7 +62,7 @@ def tree_checksums(spark: SparkSession, folder: str, pattern: str = "*", recursi
 
     last = F.greatest(F.floor((F.col("size") - 1) / range_bytes), F.lit(0)).cast("int")
     ranges = list_by_tasks(spark, folder, pattern, recursive).select("path", "size", "uri", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i.cast("bigint") * range_bytes)).alias("start"))
-    hashed = ranges.repartition("path", "start").mapInPandas(digests, "path string, size bigint, start bigint, digest binary")
+    hashed = _dealt(ranges, "path", "start").mapInPandas(digests, "path string, size bigint, start bigint, digest binary")
     inner = F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("digest").alias("digest")))), lambda r: r["digest"])
     return hashed.groupBy("path", "size").agg(F.count("*").alias("ranges"), F.sha2(F.unhex(F.array_join(inner, "")), 256).alias("tree_sha256"))
 

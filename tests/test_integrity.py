@@ -86,3 +86,11 @@ def test_tree_digests_are_those_of_ranges(spark, tmp_path):
         parts = [content[i : i + 100] for i in range(0, max(1, len(content)), 100)]
         tree = hashlib.sha256(b"".join(hashlib.sha256(p).digest() for p in parts)).hexdigest()
         assert got[name] == (len(content), len(parts), tree)
+
+
+def test_files_are_dealt_to_several_tasks(spark, tmp_path):
+    """A listing is small, what it lists is not: its files must not meet in one task."""
+    files(tmp_path / "in", **{f"f{i}_bin": "x" * i for i in range(40)})
+    for found in (I.file_checksums(spark, str(tmp_path / "in")), I.tree_checksums(spark, str(tmp_path / "in"), range_bytes=5).select("path")):
+        assert found.count() == 40
+    assert I.file_checksums(spark, str(tmp_path / "in")).select(F.spark_partition_id().alias("p")).distinct().count() > 1
