@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tablesmith.operators import splits, windows
 
@@ -97,3 +98,15 @@ def test_both_ways_to_find_a_block_agree(frame, monkeypatch):
     monkeypatch.setattr(splits, "FEW_POINTS", 0)
     both = compared.withColumn("b", found.block())
     assert both.where("a <> b").count() == 0 and both.select("a").distinct().count() > len(found.points)
+
+
+def test_blocks_among_many_points_are_compiled(frame):
+    found = splits.find_splits(frame, ["g"], ["v", "id"], rows_per_block=10)
+    assert len(found.points) > splits.FEW_POINTS
+    both = found.with_block(frame, "a").withColumn("b", found.block())
+    assert both.where("NOT a <=> b").count() == 0 and both.select("a").distinct().count() > len(found.points)
+    inside = frame.withColumn("inside", found.in_split_group()).groupBy("inside").agg(F.collect_set(F.coalesce("g", F.lit("none"))).alias("g"))
+    assert {g for row in inside.where("inside").collect() for g in row.g} == {p[0] or "none" for p in found.points}
+    totals = windows.running_total(frame, "v", ["v", "id"], ["g"], splits=found)
+    for plan in (p._jdf.queryExecution().executedPlan().toString() for p in (found.with_block(frame, "a"), totals)):
+        assert "lambdafunction" not in plan
