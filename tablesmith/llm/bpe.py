@@ -4,7 +4,8 @@ Tasks cut texts into pieces by the vocabulary's pattern and gather a few megabyt
 into one row with their distinct pieces. Spark's higher-order functions then fold the ranked
 merges over the bytes of each distinct piece: the state holds the parts and the ranks of
 neighbours, a step joins the leftmost pair of the lowest rank and looks two new pairs up in a
-literal map of ranks, an array of small maps. Tasks put the ids of the pieces
+map of ranks, an array of small maps in the one row of a broadcast table: as a literal, each task would build its
+hundred thousand maps anew. Tasks put the ids of the pieces
 together again. Texts aren't shuffled. Pieces that are frequent in a bounded sample are folded once
 beforehand and sent to all tasks, a bounded number of them; which these are changes no result. Decoding concatenates the bytes of the ids.
 
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,8 @@ PLACE_AT, RANK_AT = 17, 24
 BATCH_BYTES, BATCHES_AT_ONCE, CHUNKS_AT_ONCE = 8 << 20, 1, 1 << 17
 #: Pieces folded beforehand, at most, and the documents that they are counted in, about.
 COMMON, SAMPLE_DOCS = 1 << 18, 20_000
+#: Rows that these are dealt to.
+COMMON_ROWS = 64
 IDS = np.dtype("<u4")
 
 
@@ -70,22 +73,30 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(buckets) + "]"), "array<map<string,int>>").cast("array<map<bigint,bigint>>")
 
 
-def byte_ids(ranks: dict[bytes, int]) -> Column:
-    """The id of each byte, as a literal array."""
-    return F.split(F.lit(",".join(str(ranks[bytes([b])]) for b in range(256))), ",").cast("array<bigint>")
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """(table, parts): the map of ranks and the parts of bytes in one row, written and read again, so that the optimizer can't put them back into plans as literals."""
+    return stage(spark.range(1, numPartitions=1).select(rank_map(ranks).alias("table"), byte_parts(ranks).alias("parts")), "ranks")
+
+
+def byte_parts(ranks: dict[bytes, int]) -> Column:
+    """The part that each byte is at first, without its place: an array of those before each byte, then of those before none."""
+    none = IDS_AT_MOST << RANK_AT
+    single = [ranks[bytes([b])] for b in range(256)]
+    parts = [(ranks.get(bytes([b, c]), IDS_AT_MOST) << RANK_AT) + single[b] for b in range(256) for c in range(256)]
+    return F.split(F.lit(",".join(map(str, [*parts, *[none + i for i in single]]))), ",").cast("array<bigint>")
 
 
 def encode(pieces: Column, table: Column, of_bytes: Column) -> Column:
     """The ids of each piece, given as arrays of byte values, by folds of ranked merges.
 
     The id that a pair merges to is its rank. A state is an array of parts, each one number: the rank of the part with its right
-    neighbour, where the part began, and its id. The least of them is the leftmost pair of the lowest rank.
+    neighbour, where the part began, and its id. The least of them is the leftmost pair of the lowest rank. Parts of bytes are looked up by pairs
+    of bytes, and the two ranks that a merge changes together, so that a pair is worked out once.
     """
     none = F.lit(IDS_AT_MOST).cast("bigint")  # the rank of parts that don't merge
 
-    def fold(table: Column) -> Column:
-        def rank(left: Column, right: Column) -> Column:
-            pair = left * IDS_AT_MOST + right
+    def fold(table: Column, of_bytes: Column) -> Column:
+        def rank(pair: Column) -> Column:
             return F.coalesce(F.get(table, (pair % BUCKETS).cast("int"))[pair], none)
 
         def step(parts: Column, _: Column) -> Column:
@@ -95,23 +106,30 @@ def encode(pieces: Column, table: Column, of_bytes: Column) -> Column:
             return let(F.array_position(parts, best).cast("int"), lambda at: joined(parts, best, at))
 
         def joined(parts: Column, best: Column, at: Column) -> Column:
-            """The pair at ``at``, from 1, becomes one part; the ranks on both sides are looked up anew."""
-            new, before, after = F.shiftright(best, RANK_AT), F.get(parts, at - 2), F.get(parts, at + 1)
-            mine = F.shiftleft(F.when(after.isNull(), none).otherwise(rank(new, _id(after))), RANK_AT) + best.bitwiseAND((LONG - 1) << PLACE_AT) + new
-            left = before.bitwiseAND((1 << RANK_AT) - 1) + F.shiftleft(rank(_id(before), new), RANK_AT)
+            """The pair at ``at``, from 1, becomes one part; the ranks on both sides are looked up anew, those of missing neighbours from null."""
+            new = F.shiftright(best, RANK_AT)
+            pairs = F.array(_id(F.get(parts, at - 2)) * IDS_AT_MOST + new, new * IDS_AT_MOST + _id(F.get(parts, at + 1)))
+            return let(F.transform(pairs, rank), lambda ranks: put(parts, best, at, ranks))
+
+        def put(parts: Column, best: Column, at: Column, ranks: Column) -> Column:
+            mine = F.shiftleft(F.get(ranks, F.lit(1)), RANK_AT) + best.bitwiseAND((LONG - 1) << PLACE_AT) + F.shiftright(best, RANK_AT)
+            left = F.get(parts, at - 2).bitwiseAND((1 << RANK_AT) - 1) + F.shiftleft(F.get(ranks, F.lit(0)), RANK_AT)
             rest = F.slice(parts, at + 2, F.lit(LONG))
             return F.when(at > 1, F.concat(F.slice(parts, F.lit(1), at - 2), F.array(left, mine), rest)).otherwise(F.concat(F.array(mine), rest))
 
-        def start(ids: Column) -> Column:
-            return F.transform(ids, lambda left, i: F.shiftleft(rank(left, F.get(ids, i + 1)), RANK_AT) + F.shiftleft(i.cast("bigint"), PLACE_AT) + left)
+        def first(piece: Column) -> Column:
+            def part(b: Column, i: Column) -> Column:
+                before = b.cast("int") * 256 + F.get(piece, i + 1)
+                return F.get(of_bytes, F.coalesce(before, b + (1 << 16))) + F.shiftleft(i.cast("bigint"), PLACE_AT)
+
+            return F.transform(piece, part)
 
         def one(piece: Column) -> Column:
-            first = let(F.transform(piece, lambda b: F.get(of_bytes, b.cast("int"))), start)
-            return F.transform(F.aggregate(F.slice(piece, F.lit(2), F.lit(LONG)), first, step), _id)
+            return F.transform(F.aggregate(F.slice(piece, F.lit(2), F.lit(LONG)), first(piece), step), _id)
 
         return F.transform(pieces, one)
 
-    return let(table, fold)
+    return let(table, lambda table: let(of_bytes, lambda of_bytes: fold(table, of_bytes)))
 
 
 def _id(part: Column) -> Column:
@@ -348,10 +366,14 @@ def encoded(docs: DataFrame, codec: Codec, keep: list[str] | None = None, common
     keep = docs.columns if keep is None else keep
     spark, names = docs.sparkSession, [fresh(docs, n) for n in (("ids", "bytes") if decoding else ("ids",))]
     common = common_pieces(docs, codec) if common is None else common
-    table, of_bytes = rank_map(codec.ranks), byte_ids(codec.ranks)
+    table = F.broadcast(rank_table(spark, codec.ranks))
     digits, places = F.hex("piece"), F.sequence(F.lit(1), F.octet_length("piece"))
     values = F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("smallint"))
-    folded = common.select("piece", encode(F.array(values), table, of_bytes)[0].alias("ids")).toArrow().combine_chunks()  # the common pieces
+    # the common pieces, thousands in a row, as each row is joined with the whole table
+    rows = common.select("piece", values.alias("values")).groupBy(F.pmod(F.xxhash64("piece"), F.lit(COMMON_ROWS)).alias("row")).agg(F.collect_list(F.struct("piece", "values")).alias("p"))
+    rows = rows.select(F.col("p.piece").alias("piece"), F.col("p.values").alias("values")).crossJoin(table)
+    rows = rows.select("piece", encode(F.col("values"), F.col("table"), F.col("parts")).alias("ids"))
+    folded = rows.select(F.explode(F.arrays_zip("piece", "ids")).alias("p")).select("p.*").toArrow().combine_chunks()
     lists = pa.concat_arrays([pa.array([], pa.list_(pa.int64())), *folded.column("ids").chunks])
     # at most COMMON pieces of at most LONG bytes, as a few buffers on the driver
     known = spark.sparkContext.broadcast(_packed([pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([], pa.string()), *folded.column("piece").chunks])], ["piece"])]))
@@ -373,7 +395,7 @@ def encoded(docs: DataFrame, codec: Codec, keep: list[str] | None = None, common
     needed = [*keep, *([] if "text" in keep else ["text"])]
     shape = "kept binary, sizes binary, numbers binary, lengths binary, codes binary, pieces array<array<smallint>>, long array<binary>"
     pieces = docs.select(*needed).mapInArrow(cut, shape)
-    folds = pieces.withColumn("ids", encode(F.col("pieces"), table, of_bytes)).drop("pieces")
+    folds = pieces.crossJoin(table).withColumn("ids", encode(F.col("pieces"), F.col("table"), F.col("parts"))).drop("pieces", "table", "parts")
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.BinaryType()) for n in names]])
     return folds.mapInArrow(put, schema)
 

@@ -438,3 +438,10 @@ def test_pipeline_of_odd_rows(spark, odd, empty):
         for _, step in corpus_pipeline.STAGES:
             table = step(spark, table, SF_DIR).cache()
             table.count()
+
+
+def test_ranks_are_joined_and_no_literal_in_the_plan(spark, codec):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    tokens = bpe.encoded(docs, codec, common=spark.createDataFrame([(" two",)], "piece string"))
+    plan = tokens._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan
