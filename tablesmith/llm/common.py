@@ -15,10 +15,12 @@ from tablesmith.session import stage
 #: Words are runs of other characters than these six, as in all operators here.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES, HASHED_BYTES = 4 << 20, 2 << 20
+SLICE_BYTES, HASHED_BYTES = 4 << 20, 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_BLANK = np.isin(np.arange(256), list(BLANKS))
+#: What a byte of a word counts in its polynomial.
+WEIGHT = np.where(IS_BLANK, 0, LOWER.astype(np.uint64) + np.uint64(1))
 
 
 def partitions(df: DataFrame) -> int:
@@ -60,7 +62,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~blank & (np.concatenate(([True], blank[:-1])) | edge[:-1]))
     ends = np.flatnonzero(~blank & (np.concatenate((blank[1:], [True])) | edge[1:])) + 1
     hashes, at = np.zeros(len(starts), np.uint64), 0
-    while at < len(starts):  # a few megabytes at once
+    while at < len(starts):  # half a megabyte at once, which takes some 30 bytes for each
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED_BYTES, side="right")))
         hashes[at:stop] = _hashes(data, starts[at:stop], ends[at:stop])
         at = stop
@@ -69,14 +71,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomials of the bytes of each word, mixed with its length."""
-    data, ends, starts = LOWER[data[starts[0] : ends[-1]]], ends - starts[0], starts - starts[0]
+    data, ends, starts = data[starts[0] : ends[-1]], ends - starts[0], starts - starts[0]
     lengths = ends - starts
-    begins = np.zeros(len(data), np.int64)
-    begins[starts] = starts
-    place = np.arange(len(data)) - np.maximum.accumulate(begins)
     longest = int(lengths.max())
-    values = (data.astype(np.uint64) + np.uint64(1)) * _powers(longest.bit_length())[np.minimum(place, longest)]
-    values[IS_BLANK[data]] = 0
+    place = np.zeros(len(data), np.int32)
+    place[starts] = starts
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(data), dtype=np.int32), place, out=place)
+    np.minimum(place, longest, out=place)
+    values = _powers(longest.bit_length())[place]
+    values *= WEIGHT[data]
     return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

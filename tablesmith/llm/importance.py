@@ -52,14 +52,19 @@ class Sampler:
 def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words and word pairs of all texts, text by text, and the number in each text."""
     hashes, words = word_hashes(texts)
-    of = np.repeat(np.arange(len(words)), words)
-    pair = of[1:] == of[:-1]
-    pairs = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])[pair]
-    half = np.uint64(BUCKETS // 2)
-    both = np.concatenate((hashes % half, half + pairs % half))
-    owner = np.concatenate((of, of[1:][pair]))
-    order = np.argsort(owner, kind="stable")
-    return both[order].astype(np.int64), np.bincount(owner, minlength=len(words))
+    half, ends = np.uint64(BUCKETS // 2), np.cumsum(words)
+    sizes = np.maximum(2 * words - 1, 0)
+    found = np.empty(sizes.sum(), np.int32)
+    # the words of a text, then its pairs: each goes where it belongs, so that nothing is sorted
+    at = np.arange(len(hashes)) + np.repeat(np.cumsum(sizes) - sizes - (ends - words), words)
+    found[at] = hashes % half
+    at += np.repeat(words, words)
+    pair = np.ones(len(hashes), bool)
+    pair[ends[words > 0] - 1] = False
+    pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    pairs += hashes[1:]
+    found[at[pair]] = half + mix(pairs[pair[:-1]]) % half
+    return found, sizes
 
 
 def counts(docs: DataFrame) -> np.ndarray:
@@ -108,7 +113,8 @@ def scored(docs: DataFrame, ratios: np.ndarray, name: str = "log_ratio") -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found, sizes = buckets(batch.column("text"))
-            sums = np.concatenate(([0], np.cumsum(ratios[found])))
+            sums = np.zeros(len(found) + 1, np.int64)
+            np.cumsum(ratios[found], out=sums[1:])
             ends = np.cumsum(sizes)
             score = (sums[ends] - sums[ends - sizes]) / UNIT
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])

@@ -206,7 +206,7 @@ SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, WORD_SHARD, ROUNDS = 0.8, 5, (42,
 ORDERS = 16
 #: Buckets in which shingles are counted over the whole corpus, for their order; set values held at once; pairs for each row that are made without a
 #: further round; allowance for rounding, so that bounds leave out no pair.
-COUNTED, SET_VALUES, FEW_PAIRS, SLACK = 1 << 21, 1 << 20, 4, 1e-6
+COUNTED, SET_VALUES, FEW_PAIRS, SLACK = 1 << 21, 1 << 18, 4, 1e-6
 
 
 def _close(classes: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTED, np.int64)
         for batch in batches:
             for _, values, _ in _sets(batch):
-                total += np.bincount(_buckets(values), minlength=COUNTED)
+                np.add.at(total, _buckets(values), 1)  # in place, without another table of COUNTED
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -84,6 +85,25 @@ def test_word_hashes_are_by_word():
     assert sliced[0].tolist() == hashes[2:].tolist() and sliced[1].tolist() == [4, 2, 2]
 
 
+def test_buckets_take_little_memory():
+    """Of a slice of texts some ten times its bytes; and each text's buckets are those it has alone, words before pairs."""
+    made = random.Random(5)
+    texts = ["", None, " ", "one", "One TWO"] + [" ".join(f"w{made.randrange(5000)}" for _ in range(1000)) for _ in range(700)] + [None]
+    size = sum(len(t or "") for t in texts)
+    array = pa.array(texts)
+    tracemalloc.start()
+    found, sizes = importance.buckets(array)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 3_500_000 and peak < 16 * size  # more before
+    ends = np.cumsum(sizes)
+    for at in [*range(8), len(texts) - 2, len(texts) - 1]:
+        alone, n = importance.buckets(array.slice(at, 1))
+        assert n.tolist() == [sizes[at]] and alone.tolist() == found[ends[at] - sizes[at] : ends[at]].tolist()
+    words, pairs = found[: ends[4]][-3:-1], found[: ends[4]][-1]
+    assert found[0] == words[0] and max(words) < importance.BUCKETS // 2 <= pairs
+
+
 def turns_of(conversations: dict) -> list[tuple]:
     return [(c, i, ("user", "assistant")[i % 2], t, "k") for c, texts in conversations.items() for i, t in enumerate(texts)]
 
