@@ -19,12 +19,15 @@ from collections.abc import Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesmith.session import stage
 
 SMALL_GRAPH = 1000
 #: Nodes with so many ways through them, or no more ways than edges, are taken out.
 FEW_WAYS = 16
+#: More than one in so many of the nodes that can go is to go, else a second look is taken.
+WON = 3
 
 
 def cyclic_edges(
@@ -159,7 +162,7 @@ def components(edges: DataFrame, by: list[str], finish: int = SMALL_GRAPH) -> Da
         labels = _kernel(current, by).select(*by, F.col("s").alias("node"), F.col("root").alias("label")).distinct()
     labels = stage(labels, "components")
     closed = stage(_all(loops).distinct(), "closed")
-    out = _all([ways.select(*by, "node") for ways in taken]).distinct() if taken else closed.limit(0)
+    out = _all([ways.select(*by, "node") for ways in taken]) if taken else closed.limit(0)
     alone = closed.join(out, [*by, "node"], "left_anti").join(labels, [*by, "node"], "left_anti")
     labels = stage(labels.unionByName(alone.withColumn("label", F.col("node"))), "components")
     for ways in reversed(taken):
@@ -168,49 +171,69 @@ def components(edges: DataFrame, by: list[str], finish: int = SMALL_GRAPH) -> Da
 
 
 def _smaller(edges: DataFrame, by: list[str], turn: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """The edges after a round, the edges of the nodes taken out, and the nodes that got an edge to themselves; none if no node can go."""
-    ends = edges.select(*by, F.col("s").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
-        edges.select(*by, F.col("t").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
-    )
-    degrees = ends.groupBy(*by, "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    """The edges after a round, the edges of the nodes taken out, and the nodes that got an edge to themselves; none if no node can go.
+
+    One grouping tells of each node its ways and its luckiest neighbour, whatever that has; a node with few ways goes if it is luckier.
+    Where nodes with many ways win too often, a second look lets only those with few compete.
+    """
+    outward = edges.select(*by, F.col("s").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), _luck(edges, by, "t", turn).alias("rival"))
+    inward = edges.select(*by, F.col("t").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), _luck(edges, by, "s", turn).alias("rival"))
+    degrees = outward.unionByName(inward).groupBy(*by, "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("rival").alias("rival"))
     through = F.col("i") * F.col("o")
-    few = (through > 0) & ((through <= FEW_WAYS) | (through <= F.col("i") + F.col("o")))
-    nodes = stage(degrees.select(*by, "node", (through == 0).alias("dead"), F.when(few, F.xxhash64(*by, "node", F.lit(turn))).alias("luck")), "nodes")
-    if nodes.where("dead OR luck IS NOT NULL").isEmpty():
+    few = (through <= FEW_WAYS) | (through <= F.col("i") + F.col("o"))
+    mine = _luck(degrees, by, "node", turn)
+    nodes = stage(degrees.where(few).select(*by, "node", (through == 0).alias("dead"), ((through == 0) | (mine < F.col("rival"))).alias("goes")), "nodes")
+    able, going = nodes.agg(F.count("*"), F.count_if("goes")).first()
+    if not able:
         return None
-    starts = nodes.withColumnsRenamed({"node": "s", "dead": "s_dead", "luck": "s_luck"})
-    targets = nodes.withColumnsRenamed({"node": "t", "dead": "t_dead", "luck": "t_luck"})
-    alive = stage(edges.join(starts, [*by, "s"]).join(targets, [*by, "t"]).where("NOT s_dead AND NOT t_dead").select(*by, "s", "t", "s_luck", "t_luck"), "alive")
-    # the luckiest of each neighbourhood goes
-    both = alive.where("s_luck IS NOT NULL AND t_luck IS NOT NULL")
-    rivals = both.select(*by, F.col("s").alias("node"), _rank("t_luck", "t").alias("rival")).unionByName(both.select(*by, F.col("t").alias("node"), _rank("s_luck", "s").alias("rival")))
-    best = rivals.groupBy(*by, "node").agg(F.min("rival").alias("rival"))
-    beaten = best.join(nodes.where("luck IS NOT NULL"), [*by, "node"]).where(_rank("luck", "node") > F.col("rival")).select(*by, "node", F.lit(True).alias("beaten"))
-    chosen = nodes.where("luck IS NOT NULL").join(beaten, [*by, "node"], "left").where("beaten IS NULL").select(*by, "node")
-    chosen = stage(chosen.withColumn("goes", F.lit(True)), "chosen")
-    marked = alive.join(chosen.withColumnsRenamed({"node": "s", "goes": "s_goes"}), [*by, "s"], "left").join(
-        chosen.withColumnsRenamed({"node": "t", "goes": "t_goes"}), [*by, "t"], "left"
+    if going * WON <= able:
+        nodes = _among_few(edges, nodes, by, turn)
+    gone = nodes.where("goes").select(*by, "node", "dead")
+    marked = edges.join(gone.withColumnsRenamed({"node": "s", "dead": "s_dead"}), [*by, "s"], "left").join(
+        gone.withColumnsRenamed({"node": "t", "dead": "t_dead"}), [*by, "t"], "left"
     )
-    marked = stage(marked.select(*by, "s", "t", "s_goes", "t_goes"), "marked")
+    alive = marked.where("NOT coalesce(s_dead, false) AND NOT coalesce(t_dead, false)")
+    marked = stage(alive.select(*by, "s", "t", F.col("s_dead").isNotNull().alias("s_goes"), F.col("t_dead").isNotNull().alias("t_goes")), "marked")
     into = marked.where("t_goes").select(*by, F.col("t").alias("node"), F.col("s").alias("other"), F.lit(True).alias("enters"))
     out = marked.where("s_goes").select(*by, F.col("s").alias("node"), F.col("t").alias("other"), F.lit(False).alias("enters"))
     ways = into.withColumnRenamed("other", "s").join(out.withColumnRenamed("other", "t"), [*by, "node"]).select(*by, "s", "t")
-    rest = marked.where("s_goes IS NULL AND t_goes IS NULL").select(*by, "s", "t")
+    rest = marked.where("NOT s_goes AND NOT t_goes").select(*by, "s", "t")
     after = stage(rest.unionByName(ways).distinct(), "edges")
     return after.where("s <> t"), into.unionByName(out), after.where("s = t").select(*by, F.col("s").alias("node"))
 
 
-def _rank(luck: str, node: str) -> Column:
-    return F.struct(F.col(luck).alias("luck"), F.col(node).alias("node"))
+def _luck(edges: DataFrame, by: list[str], node: str, turn: int) -> Column:
+    """A number for a node in a round, the least is the luckiest.
+
+    Numbered nodes go by another bit of their number in each round, so that every other one of a path in the order of numbers goes, and then by a
+    digest as all others do: of a path in any order a third goes. Which value of the bit is luckier changes with the round.
+    """
+    digest = F.shiftrightunsigned(F.xxhash64(*by, node, F.lit(turn)), 2)
+    if not isinstance(edges.schema["s" if node != "node" else node].dataType, T.IntegralType):
+        return digest
+    bit = F.shiftright(F.col(node).cast("bigint"), (turn - 1) % 63).bitwiseAND(1).bitwiseXOR(F.lit(turn % 2).cast("bigint"))
+    return digest + F.shiftleft(bit, 62)
+
+
+def _among_few(edges: DataFrame, nodes: DataFrame, by: list[str], turn: int) -> DataFrame:
+    """The nodes with who goes decided among those with few ways only: the luckiest of each neighbourhood of them."""
+    few = nodes.where("NOT dead").select(*by, "node")
+    both = edges.join(few.withColumnRenamed("node", "s"), [*by, "s"], "left_semi").join(few.withColumnRenamed("node", "t"), [*by, "t"], "left_semi")
+    rivals = both.select(*by, F.col("s").alias("node"), _luck(both, by, "t", turn).alias("rival")).unionByName(both.select(*by, F.col("t").alias("node"), _luck(both, by, "s", turn).alias("rival")))
+    best = rivals.groupBy(*by, "node").agg(F.min("rival").alias("rival"))
+    beaten = best.where(_luck(best, by, "node", turn) >= F.col("rival")).select(*by, "node", F.lit(True).alias("beaten"))
+    decided = nodes.join(beaten, [*by, "node"], "left").select(*by, "node", "dead", F.col("beaten").isNull().alias("goes"))
+    return stage(decided, "nodes")
 
 
 def _labelled(ways: DataFrame, labels: DataFrame, closed: DataFrame, by: list[str]) -> DataFrame:
     """Labels of the nodes of a round, given those of all that stayed longer."""
     sides = ways.join(labels.withColumnRenamed("node", "other"), [*by, "other"]).groupBy(*by, "node", "label").agg(F.count_if("enters").alias("i"), F.count_if(~F.col("enters")).alias("o"))
-    found = sides.where("i > 0 AND o > 0").select(*by, "node", F.col("label").alias("found"))
-    own = ways.select(*by, "node").distinct().join(closed.withColumn("loop", F.lit(True)), [*by, "node"], "left")
-    label = F.coalesce("found", F.when(F.col("loop"), F.col("node")))
-    return own.join(found, [*by, "node"], "left").select(*by, "node", label.alias("label")).where("label IS NOT NULL")
+    found = sides.where("i > 0 AND o > 0").select(*by, "node", F.col("label").alias("found"), F.lit(None).cast(labels.schema["label"].dataType).alias("own"))
+    own = closed.join(ways.select(*by, "node"), [*by, "node"], "left_semi").select(*by, "node", F.lit(None).cast(labels.schema["label"].dataType).alias("found"), F.col("node").alias("own"))
+    # a node has one label at most that it leads from and back to
+    both = found.unionByName(own).groupBy(*by, "node").agg(F.coalesce(F.max("found"), F.max("own")).alias("label"))
+    return both.select(*by, "node", "label")
 
 
 def _kernel(edges: DataFrame, by: list[str]) -> DataFrame:

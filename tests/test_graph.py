@@ -114,3 +114,16 @@ def test_components_in_few_rounds(spark):
         for node, label in mine.items():
             least[label] = min(node, least.get(label, node))
         assert {n: least[label] for n, label in mine.items()} == theirs, name
+
+
+def test_a_path_in_order_halves_in_each_round(spark):
+    """Every other node of a path in the order of its numbers goes in a round, where about a third went before."""
+    size = 4000
+    way = spark.range(size).selectExpr("id AS s", "id + 1 AS t")
+    back = spark.range(50, size + 1, 50).selectExpr("id AS s", "id - 7 AS t")
+    labels = graph.components(way.union(back), [], 100).collect()
+    assert len(graph.rounds) <= 7
+    groups = {}
+    for node, label in labels:
+        groups.setdefault(label, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == [list(range(p - 7, p + 1)) for p in range(50, size + 1, 50)]
