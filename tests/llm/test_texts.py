@@ -465,3 +465,26 @@ def test_ranks_are_joined_and_no_literal_in_the_plan(spark, codec):
     tokens = bpe.encoded(docs, codec, common=spark.createDataFrame([(" two",)], "piece string"))
     plan = tokens._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan
+
+
+def test_merges_are_folded_for_many_pieces_at_once(spark, codec):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    plan = bpe.encoded(docs, codec)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan  # which would be interpreted, for one piece at a time
+    made = random.Random(5)
+    for letters in ("abcdin éß日", "etaoinshrdlu ", "ab"):
+        pieces = ["".join(made.choice(letters) for _ in range(made.randint(0, bpe.LONG))).encode()[: bpe.LONG] for _ in range(500)]
+        ids = bpe.Merges(bpe.packed_ranks(codec.ranks)).fold(np.array(list(map(len, pieces))), np.frombuffer(b"".join(pieces), np.uint8))
+        assert [x.tolist() for x in np.split(ids.flat, np.cumsum(ids.lengths)[:-1])] == [bpe.merge(p, codec.ranks) for p in pieces]
+
+
+def test_chunks_are_cut_as_the_whole_text_would_be(spark, library, codec):
+    made = random.Random(3)
+    docs = [(i, "".join(made.choice(["a", "it's", "é", "日本", " ", " ", "\n", "\t", "  ", "\u00a0", "\x1c", "7", "?!", "don't"]) for _ in range(made.randint(0, 40)))) for i in range(400)]
+    docs += [(400, "x" * 200 + " " + "=" * 300), (401, " "), (402, "a "), (403, "a \n"), (404, "a b\n c")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    check_tokens(bpe.digests(table, codec).collect(), docs, library)
+    known = bpe.encoded(table, codec, common=bpe.common_pieces(table, codec, most=20)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in known} == {i: library.encode_ordinary(t) for i, t in docs}
+    decoded = bpe.decoded(bpe.encoded(table, codec, ["doc_id"]), codec).collect()
+    assert {r.doc_id: r.bytes.decode() for r in decoded} == dict(docs)
