@@ -245,21 +245,24 @@ def _buckets(values: np.ndarray) -> np.ndarray:
     return (mix(values.view(np.uint64)) % np.uint64(COUNTED)).astype(np.int64)
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many values of a task fall into each bucket, some buckets at once, as the whole table would take several times its size."""
+    total = np.zeros(COUNTED, np.uint32)  # a task has fewer values than that holds
+    for batch in batches:
+        for _, values, _ in _sets(batch):
+            np.add.at(total, _buckets(values), 1)  # in place, without another table of COUNTED
+    for at in range(0, COUNTED, PIECE):
+        part = total[at : at + PIECE]
+        seen = np.flatnonzero(part)
+        yield pa.RecordBatch.from_arrays([pa.array((seen + at).astype(np.int32)), pa.array(part[seen].astype(np.int64))], ["bucket", "n"])
+
+
 def _frequencies(sets: DataFrame) -> np.ndarray:
     """How many values of all sets fall into each bucket: of one shingle, at least its number of sets.
 
     A table of fixed size over the whole corpus, summed by Spark. A shingle that many sets have lifts its bucket above those of rare ones.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTED, np.int64)
-        for batch in batches:
-            for _, values, _ in _sets(batch):
-                np.add.at(total, _buckets(values), 1)  # in place, without another table of COUNTED
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
-
-    summed = sets.mapInArrow(work, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTED rows
+    summed = sets.mapInArrow(_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTED rows
     total = np.zeros(COUNTED, np.uint32)
     total[summed.column("bucket").to_numpy()] = np.minimum(summed.column("n").to_numpy(), (1 << 32) - 1)
     return total

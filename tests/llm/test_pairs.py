@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from samples import SF_DIR, rows
@@ -348,3 +350,19 @@ def test_topk_brute_force(spark, monkeypatch, block):
     got = topk.largest_products(docs, F.col("vec_id") % 50 == 0)
     assert {tuple(r) for r in got.collect()} == want
     assert topk.largest_products(docs.where("false"), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_counts_of_shingles_take_little_memory(monkeypatch):
+    made = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 1 << 20)
+    monkeypatch.setattr(simhash, "SET_VALUES", 1 << 16)
+    sets = pa.ListArray.from_arrays(pa.array(np.arange(0, len(made) + 1, 256), pa.int32()), pa.array(made))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(sets))), sets], ["node", "set"])
+    grouped = pa.total_allocated_bytes()
+    tracemalloc.start()
+    found, most = 0, 0
+    for part in simhash._counts(iter([batch])):
+        found += sum(part.column("n").to_pylist()) if part.num_rows else 0
+        most = max(most, pa.total_allocated_bytes() - grouped)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(made) and peak < 20 << 20 and most < 4 << 20  # the table itself takes 8 MB
