@@ -1,6 +1,6 @@
 """Byte-level BPE with the ranks of a public vocabulary: texts to ids and back.
 
-Tasks cut texts into pieces by the vocabulary's pattern and gather a few megabytes of texts
+Tasks cut texts into pieces by the vocabulary's pattern and gather two megabytes of texts
 into one row with their distinct pieces. Each row is joined with the one row of a broadcast table that
 holds what pairs of ids merge to. Tasks then fold the ranked merges over the bytes of each distinct piece, those of about the same
 length side by side: a step joins in each piece the leftmost pair of the lowest rank and looks the two new pairs up,
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -41,8 +42,8 @@ LONG = 128
 WIDTHS, FOLDED_BYTES = np.array([2, 4, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, LONG]), 1 << 18
 #: Where the rank begins in the number that stands for a pair, after the place; the rank of pairs that don't merge.
 RANK_AT, NONE = 7, 1 << 40
-#: Texts are cut a few megabytes at a time, and chunks put together so many at once.
-BATCH_BYTES, CHUNKS_AT_ONCE = 8 << 20, 1 << 17
+#: Texts are cut two megabytes at a time, which takes some 20 bytes for each, and chunks put together so many at once.
+BATCH_BYTES, CHUNKS_AT_ONCE = 2 << 20, 1 << 17
 #: A blank of any kind; no less than in patterns.
 BLANK = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
 #: Common pieces, at most, and the documents that they are counted in, about.
@@ -50,6 +51,8 @@ COMMON, SAMPLE_DOCS = 1 << 18, 20_000
 #: Rows that these are dealt to.
 COMMON_ROWS = 64
 IDS = np.dtype("<u4")
+#: What a row has of its texts: chunks of each text, their numbers, pieces of each chunk, their codes, lengths and bytes of new pieces.
+PARTS = ["sizes", "numbers", "lengths", "codes", "new", "bytes"]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -64,19 +67,19 @@ def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def packed_ranks(ranks: dict[bytes, int]) -> bytes:
-    """The ids of single bytes, then what pairs of ids merge to: the pairs, each as one number, and the ranks."""
+    """The ids of single bytes, then what pairs of ids merge to: the pairs, each as one number, and the ranks; compressed, as each row carries them."""
     pairs = [
         (ranks[piece[:cut]] << 32 | ranks[piece[cut:]], rank) for piece, rank in ranks.items() for cut in range(1, len(piece)) if piece[:cut] in ranks and piece[cut:] in ranks
     ]
     single = [ranks[bytes([b])] for b in range(256)]
-    return np.concatenate((np.array(single, np.int64), np.array(pairs, np.int64).reshape(-1, 2).T.ravel())).tobytes()
+    return zlib.compress(np.concatenate((np.array(single, np.int64), np.array(sorted(pairs), np.int64).reshape(-1, 2).T.ravel())).tobytes())
 
 
 class Merges:
     """What pairs of neighbouring ids merge to, in a table with open addresses, a quarter of them taken at most."""
 
     def __init__(self, packed: bytes) -> None:
-        numbers = np.frombuffer(packed, np.int64)
+        numbers = np.frombuffer(zlib.decompress(packed), np.int64)
         self.single, (pairs, ranks) = numbers[:256], numbers[256:].reshape(2, -1)
         bits = max(1, (4 * len(pairs)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
@@ -196,7 +199,7 @@ class Codec:
         self.ranks, self.pattern = ranks, pattern
 
     def cut(self, batches: Iterator[pa.RecordBatch], known: pa.Array, keep: list[str]) -> Iterator[pa.RecordBatch]:
-        """One row per few megabytes of texts: kept columns, numbers of chunks, pieces of each chunk, bytes of the new pieces.
+        """One row per two megabytes of texts: kept columns, numbers of chunks, pieces of each chunk, bytes of the new pieces.
 
         A single blank before a chunk belongs to it, so no piece reaches over from one chunk to the next, and each
         distinct chunk is cut into pieces once. Where a blank of any kind stands before one that doesn't hold, and
@@ -223,8 +226,9 @@ class Codec:
             codes[seen], codes[~seen] = places.drop_null().to_numpy(), ~np.arange(len(new))
             ends, data = _strings(new)
             parts = [*[np.array(x, np.int32) for x in (sizes, numbers, lengths, codes[pieces.indices.to_numpy()], np.diff(ends))], data]
-            packed = [_packed([batch.select(keep)]), *[x.tobytes() for x in parts]]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["kept", "sizes", "numbers", "lengths", "codes", "new", "bytes"])
+            runs = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in parts]
+            packed = [_packed([x]) for x in (batch.select(keep), pa.RecordBatch.from_arrays(runs, PARTS))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["kept", "parts"])
 
     def put(self, batches: Iterator[pa.RecordBatch], known: Ragged) -> Iterator[tuple[pa.RecordBatch, Ragged]]:
         """The kept columns and the ids of each text."""
@@ -233,8 +237,8 @@ class Codec:
             for row in range(batch.num_rows):
                 one = {n: batch.column(n)[row].as_buffer() for n in batch.schema.names}
                 merges = merges or Merges(one["ranks"])  # the same in all rows
-                sizes, numbers, lengths, codes, new = (np.frombuffer(one[n], np.int32) for n in ("sizes", "numbers", "lengths", "codes", "new"))
-                new = self._ids(merges, new, np.frombuffer(one["bytes"], np.uint8))
+                sizes, numbers, lengths, codes, new, data = (x.values.to_numpy() for x in _unpacked(one["parts"]).columns)
+                new = self._ids(merges, new, data)
                 # new pieces come first, so that ~code and count + code are places in one table
                 pieces = Ragged(np.concatenate((new.lengths, known.lengths)), np.concatenate((new.flat, known.flat)))
                 places = np.where(codes < 0, ~codes, len(new.lengths) + codes)
@@ -396,8 +400,7 @@ def encoded(docs: DataFrame, codec: Codec, keep: list[str] | None = None, common
             yield pa.RecordBatch.from_arrays(columns, [*kept.schema.names, *names])
 
     needed = [*keep, *([] if "text" in keep else ["text"])]
-    shape = "kept binary, sizes binary, numbers binary, lengths binary, codes binary, new binary, bytes binary"
-    pieces = docs.select(*needed).mapInArrow(cut, shape)
+    pieces = docs.select(*needed).mapInArrow(cut, "kept binary, parts binary")
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.BinaryType()) for n in names]])
     return pieces.crossJoin(table).mapInArrow(put, schema)
 

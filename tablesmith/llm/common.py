@@ -47,6 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # else a worker holds it while it waits for its next task
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
