@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablesmith.session import stage
@@ -50,6 +51,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         pa.default_memory_pool().release_unused()  # else a worker holds it while it waits for its next task
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs meanwhile hands Python so many rows at once at most, as both sides hold a batch whole; lazy plans that run later aren't concerned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, A-Z as a-z, and the number of words of each text."""
     texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])

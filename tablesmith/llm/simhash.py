@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesmith.llm.common import components, fresh, mix, slices
+from tablesmith.llm.common import batches_of, components, fresh, mix, slices
 from tablesmith.llm.sketches import shingle_hashes as column_hashes
 from tablesmith.session import stage
 
@@ -204,6 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, WORD_SHARD, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 16_000, 3
 #: Orders of the shingles, by which texts that differ by a block meet, whose single words differ too much for the fingerprints.
 ORDERS = 16
+#: Texts or sets of shingles that Python gets at once.
+ROWS_AT_ONCE = 1000
 #: Buckets in which shingles are counted over the whole corpus, for their order; set values held at once; pairs for each row that are made without a
 #: further round; allowance for rounding, so that bounds leave out no pair.
 COUNTED, SET_VALUES, FEW_PAIRS, SLACK = 1 << 21, 1 << 18, 4, 1e-6
@@ -358,6 +360,11 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, words: i
 
     Fingerprints, through vantage points, and least shingles find candidates; their sets of shingles decide. Of rows that agree wholly one stays.
     """
+    with batches_of(docs.sparkSession, ROWS_AT_ONCE):
+        return _distinct(docs, similarity, words)
+
+
+def _distinct(docs: DataFrame, similarity: float, words: int) -> DataFrame:
     row, digest = fresh(docs, "row_key"), fresh(docs, "text_digest")
     text = F.coalesce("text", F.lit(""))
     digest_of = F.unhex(F.md5(text.cast("binary")))  # different texts never share one, as 64 bits would among billions

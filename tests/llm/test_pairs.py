@@ -366,3 +366,13 @@ def test_counts_of_shingles_take_little_memory(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == len(made) and peak < 20 << 20 and most < 4 << 20  # the table itself takes 8 MB
+
+
+def test_near_dedup_hands_over_few_sets_at_once(spark, monkeypatch):
+    name, seen, similar = "spark.sql.execution.arrow.maxRecordsPerBatch", [], simhash._similar
+    before = spark.conf.get(name)
+    monkeypatch.setattr(simhash, "_similar", lambda *args: seen.append(spark.conf.get(name)) or similar(*args))
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "something else")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.distinct_documents(docs).collect()) == [1, 3]
+    assert seen == [str(simhash.ROWS_AT_ONCE)] and spark.conf.get(name) == before and simhash.ROWS_AT_ONCE < int(before)
