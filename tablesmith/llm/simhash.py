@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesmith.llm.common import batches_of, components, fresh, mix, slices
-from tablesmith.llm.sketches import shingle_hashes as column_hashes
+from tablesmith.llm.common import HASHED_BYTES, batches_of, components, fresh, mix, slices, word_hashes
 from tablesmith.session import stage
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-PIECE = 1 << 16
+PIECE, HASHES_AT_ONCE = 1 << 16, 1 << 15
 SHARD = 2000
 SAMPLED_PER_SHARD = 24
 MAX_SAMPLE = 1_000_000
@@ -84,6 +83,35 @@ def fingerprints(
     return docs.select(*keep, "text").mapInArrow(work, T.StructType(fields))
 
 
+def word_fingerprints(docs: DataFrame, seeds: Sequence[int], keep: Sequence[str]) -> DataFrame:
+    """The kept columns and f0, f1, ..., a fingerprint per seed of the distinct words of a text.
+
+    A word is hashed once and its hash mixed anew for each seed, for all texts of a slice at once.
+    """
+    names, keep = [f"f{i}" for i in range(len(seeds))], list(keep)
+    fields = [*[docs.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in names]]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=HASHED_BYTES):
+            hashes, count = word_hashes(batch.column("text"))
+            hashes, sizes = _distinct_of(hashes, np.repeat(np.arange(len(count)), count), len(count))
+            found = [pa.array(_majorities(mix(hashes ^ mix(np.full(1, s, np.uint64))), sizes).view(np.int64)) for s in seeds]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *found], [*keep, *names])
+
+    return docs.select(*keep, "text").mapInArrow(work, T.StructType(fields))
+
+
+def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of hashes the 64 bits that over half of them have."""
+    ones, owner = np.zeros((len(sizes), 64), np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        here = owner[at : at + HASHES_AT_ONCE]
+        bits = np.unpackbits(hashes[at : at + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
+        ones[here[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.uint16)  # a run has fewer than that holds
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 class Tree:
     """Vantage points in arrays; a child below zero is a shard, as ``-1 - shard``."""
 
@@ -201,14 +229,103 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 
 #: For documents as similar as ``SIMILARITY`` by shingles of five words: fingerprints of single words, which small edits
 #: change little, several of them and at a wider radius, so that hardly a pair is missed before it is compared.
-SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, WORD_SHARD, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 16_000, 3
+SIMILARITY, SHINGLE, WORD_SEEDS, WORD_RADIUS, ROUNDS = 0.8, 5, (42, 43, 44, 45, 46, 47), 4, 3
 #: Orders of the shingles, by which texts that differ by a block meet, whose single words differ too much for the fingerprints.
 ORDERS = 16
 #: Texts or sets of shingles that Python gets at once.
 ROWS_AT_ONCE = 1000
-#: Buckets in which shingles are counted over the whole corpus, for their order; set values held at once; pairs for each row that are made without a
-#: further round; allowance for rounding, so that bounds leave out no pair.
-COUNTED, SET_VALUES, FEW_PAIRS, SLACK = 1 << 21, 1 << 18, 4, 1e-6
+#: Buckets in which shingles are counted over the whole corpus, for their order; set values held at once; pairs for each row of a shingle that are
+#: made without a further round; buckets of nodes; allowance for rounding, so that bounds leave out no pair.
+COUNTED, SET_VALUES, FEW_PAIRS, NODE_BUCKETS, SLACK = 1 << 21, 1 << 18, 4, 1 << 18, 1e-6
+
+
+def _blocks(radius: int) -> list[tuple[int, int]]:
+    """First bit and width of ``radius + 2`` parts of a fingerprint: two that differ in up to ``radius`` bits agree in two parts at least."""
+    edges = [64 * i // (radius + 2) for i in range(radius + 3)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _part(points: np.ndarray, block: tuple[int, int]) -> np.ndarray:
+    return (points >> np.uint64(block[0])) & np.uint64((1 << block[1]) - 1)
+
+
+def company(points: DataFrame, radius: int) -> DataFrame:
+    """(seed, f), perhaps repeated: the values ``f`` for which another value of the ``seed`` lies within ``radius``.
+
+    Exact, and each value is sent ``radius + 1`` times however many there are: to one place for each of its parts but the last. Two of the values that
+    agree in a part are compared if they agree in a later part too, and as long as one of them has no company yet, so close values in large numbers
+    aren't compared pair by pair.
+    """
+    blocks = _blocks(radius)
+    sent = [F.shiftrightunsigned("f", start).bitwiseAND((1 << width) - 1) for start, width in blocks[:-1]]
+    places = F.posexplode(F.array(*sent)).alias("turn", "part")
+    dealt = points.select("seed", "f").distinct().select("seed", "f", places).repartition("seed", "turn", "part").sortWithinPartitions("seed", "turn", "part")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seed, turn, part, f in _whole_keys(batches, ("seed", "turn", "part", "f")):
+            found = _accompanied(np.cumsum(_changes(seed, turn, part)), turn, f.view(np.uint64), blocks, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(seed[found]), pa.array(f[found])], ["seed", "f"])
+
+    return dealt.mapInArrow(work, "seed int, f bigint")
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it in any column; the first row does not count."""
+    changes = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        changes[1:] |= c[1:] != c[:-1]
+    return changes
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, some PIECE rows at once, cut where one of all but the last column changes."""
+    held, rows = [], 0
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in names]
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= PIECE:
+            columns = joined()
+            last = int(np.flatnonzero(_changes(*columns[:-1]))[-1:].sum())  # 0 if there is one key
+            if last:
+                yield [c[:last] for c in columns]
+            held = [pa.RecordBatch.from_arrays([pa.array(c[last:]) for c in columns], list(names))]
+            rows = 0 if last else -rows  # of one key as many again are gathered before it is looked at again
+    if held:
+        yield joined()
+
+
+def _accompanied(group: np.ndarray, turn: np.ndarray, points: np.ndarray, blocks: list[tuple[int, int]], radius: int) -> np.ndarray:
+    """Which points have another one of their group and of a part after ``turn`` within ``radius``."""
+    found = np.zeros(len(points), bool)
+    for i, block in enumerate(blocks):
+        here = np.flatnonzero(turn < i)
+        part = _part(points[here], block)
+        here = here[np.lexsort((points[here], part, group[here]))]
+        part, f = _part(points[here], block), points[here]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(here)), bool), _changes(group[here], part)[1:])))
+        sizes = np.diff(np.append(starts, len(here)))
+        first, size, near = np.repeat(starts, sizes), np.repeat(sizes, sizes), found[here]
+        for step in range(1, FEW_PAIRS + 1):  # neighbours in order, so that most of a crowd has company
+            same = np.flatnonzero(first[step:] == first[:-step])
+            same = same[np.bitwise_count(f[same] ^ f[same + step]) <= radius]
+            near[same], near[same + step] = True, True
+        lonely = np.flatnonzero(~near & (size > FEW_PAIRS + 1))
+        ends, at = np.cumsum(size[lonely]), 0
+        while at < len(lonely):  # each with its whole part, about SET_VALUES pairs at once, or one
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SET_VALUES, side="right")))
+            one, many = lonely[at:stop], size[lonely[at:stop]]
+            mine = np.repeat(one, many)
+            other = np.repeat(first[one], many) + np.arange(len(mine)) - np.repeat(np.cumsum(many) - many, many)
+            hit = (np.bitwise_count(f[mine] ^ f[other]) <= radius) & (mine != other)
+            near[mine[hit]], near[other[hit]] = True, True
+            at = stop
+        found[here] = near
+    return found
 
 
 def _close(classes: DataFrame) -> DataFrame:
@@ -216,28 +333,71 @@ def _close(classes: DataFrame) -> DataFrame:
     prints = F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"f{i}").alias("f")) for i in range(len(WORD_SEEDS))])
     stacked = classes.select("node", F.explode(prints).alias("one")).select("node", "one.*")
     several = stacked.groupBy("seed", "f").agg(F.count("*").alias("n")).where("n > 1").select("seed", "f")
-    near = links(stacked, WORD_RADIUS, WORD_SHARD)
-    ends = near.select("seed", F.explode(F.array("a", "b")).alias("f"))
+    ends = company(stacked, WORD_RADIUS)
     return stacked.join(several.unionByName(ends).distinct(), ["seed", "f"], "left_semi").select("node")
 
 
-def _meeting(sets: DataFrame) -> DataFrame:
-    """(node): sets whose least shingle in one of ORDERS orders is that of another node's set too.
+def word_shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the shingles of each text in lower case, text by text, and their number; a text of fewer words is one shingle."""
+    hashes, count = word_hashes(texts)
+    sizes = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    begin = np.arange(len(owner)) + np.repeat(np.cumsum(count) - count - (np.cumsum(sizes) - sizes), sizes)
+    values, factor = np.zeros(len(owner), np.uint64), 1
+    for k in range(words):
+        factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
+        inside = count[owner] > k
+        values[inside] += hashes[begin[inside] + k] * np.uint64(factor)
+    values = mix(values + np.minimum(count, words)[owner].astype(np.uint64))
+    return _distinct_of(values, owner, len(sizes))
+
+
+def _distinct_of(values: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each owner, owner by owner, and their number."""
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = _changes(owner, values)
+    new[:1] = True
+    return values[new], np.bincount(owner[new], minlength=owners)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values.view(np.int64)))
 
-    Whatever makes two sets differ, a block or scattered words, those that agree to 0.8 miss each other in all 16 orders with a chance of 0.2**16,
-    one pair in 10**11.
-    """
+
+def _shingled(texts: DataFrame, words: int) -> DataFrame:
+    """The other columns and ``set``, the distinct shingle hashes of ``text``, which is in lower case; none for a text without words."""
+    keep = [c for c in texts.columns if c != "text"]
+    schema = T.StructType([*[texts.schema[c] for c in keep], T.StructField("set", T.ArrayType(T.LongType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, values, sizes in _sets(batch):
-                starts, hashes = np.cumsum(sizes) - sizes, values.view(np.uint64)
-                least = [np.minimum.reduceat(mix(hashes + mix(np.full(1, turn + 1, np.uint64))), starts) for turn in range(ORDERS)]
-                flat = pa.array(np.stack(least, axis=1).ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * ORDERS, pa.int32()), flat)], ["node", "least"])
+        for batch in slices(batches, size=HASHED_BYTES):
+            found = _lists(*word_shingles(batch.column("text"), words))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], found], [*keep, "set"])
+
+    return texts.mapInArrow(work, schema)
+
+
+def _meeting(texts: DataFrame, words: int) -> DataFrame:
+    """(node): texts in lower case whose least shingle in one of ORDERS orders is that of another node's text too.
 
-    schema = T.StructType([sets.schema["node"], T.StructField("least", T.ArrayType(T.LongType()))])
-    written = stage(sets.mapInArrow(work, schema), "least")
+    Whatever makes two sets of shingles differ, a block or scattered words, those that agree to 0.8 miss each other in all 16 orders with a chance of
+    0.2**16, one pair in 10**11.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=HASHED_BYTES):
+            hashes, sizes = word_shingles(batch.column("text"), words)
+            if not len(hashes):
+                continue
+            node, sizes = batch.column("node").filter(pa.array(sizes > 0)), sizes[sizes > 0]
+            starts = np.cumsum(sizes) - sizes
+            least = [np.minimum.reduceat(mix(hashes + mix(np.full(1, turn + 1, np.uint64))), starts) for turn in range(ORDERS)]
+            flat = np.stack(least, axis=1).ravel()
+            yield pa.RecordBatch.from_arrays([node, _lists(flat, np.full(len(node), ORDERS))], ["node", "least"])
+
+    schema = T.StructType([texts.schema["node"], T.StructField("least", T.ArrayType(T.LongType()))])
+    written = stage(texts.select("node", "text").mapInArrow(work, schema), "least")
     keyed = written.select("node", F.posexplode("least").alias("turn", "h"))
     shared = keyed.groupBy("turn", "h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     return keyed.join(shared, ["turn", "h"], "left_semi").select("node")
@@ -308,9 +468,9 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndar
 def _similar(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b): enough of the pairs of ``members`` (node, set) that agree to ``similarity`` to connect all such pairs.
 
-    Every such pair meets at a shingle that both have among their first. In each round the members that meet at a shingle
-    are compared with one of them, another one in each round, as long as that saves comparisons; then all pairs that still
-    meet and are not yet connected are compared. So large groups collapse before pairs are made, and no pair is left out.
+    Every such pair meets at a shingle that both have among their first. Where few meet at a shingle, all pairs there are compared. Where many meet,
+    they are compared with one of them, another one in each round, and what still meets there without being connected goes to the
+    next round; after the last one, or when there are few, all pairs are compared. So large groups collapse before pairs are made, and no pair is left out.
     """
     sets = members.select("node", "set")
     frequencies = members.sparkSession.sparkContext.broadcast(_frequencies(sets))  # of fixed size
@@ -319,7 +479,7 @@ def _similar(members: DataFrame, similarity: float) -> DataFrame:
     meeting = stage(rows.join(often, "shingle"), "meeting")
     frequencies.unpersist()
     empty = sets.where(F.size("set") == 0).select(F.col("node").alias("a"))  # alike
-    total, found, roots = meeting.count(), [empty.crossJoin(empty.agg(F.min("a").alias("b")))], None
+    found, roots = [empty.crossJoin(empty.agg(F.min("a").alias("b")))], None
     for turn in range(ROUNDS + 1):
         here = meeting.withColumn("root", F.col("node"))
         if roots is not None:
@@ -327,32 +487,40 @@ def _similar(members: DataFrame, similarity: float) -> DataFrame:
         by_root = here.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "place")).alias("first"))
         square = F.col("n").cast("double") * F.col("n")
         by_shingle = by_root.groupBy("shingle").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(square).alias("within"), F.min("first").alias("first"))
-        unsettled = stage(by_shingle.where("roots > 1").select("shingle", "first", ((square - F.col("within")) / 2).alias("pairs")), "unsettled")
-        pairs = unsettled.agg(F.sum("pairs")).first()[0]
-        if not pairs:
-            break
-        here = here.join(unsettled, "shingle").drop("pairs")
-        last = turn == ROUNDS or pairs <= FEW_PAIRS * total
-        if last:
-            other = here.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "place", "root")])
-            met = here.join(other, "shingle").where("node < other_node and root <> other_root")
-        else:
-            met = here.select("*", *[F.col(f"first.{c}").alias(f"other_{c}") for c in ("node", "size", "place")]).where("node <> other_node")
+        few = F.lit(turn == ROUNDS) | ((square - F.col("within")) / 2 <= FEW_PAIRS * F.col("n"))
+        unsettled = stage(by_shingle.where("roots > 1").select("shingle", "first", few.alias("few")), "unsettled")
+        rest = unsettled.where("not few")
+        whole = here.join(unsettled.where("few").select("shingle"), "shingle")
+        other = whole.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "place", "root")])
+        pairs = whole.join(other, "shingle").where("node < other_node and root <> other_root")
+        stars = here.join(rest, "shingle").select("*", *[F.col(f"first.{c}").alias(f"other_{c}") for c in ("node", "size", "place")]).where("node <> other_node")
+        columns = ["node", "size", "place", "other_node", "other_size", "other_place"]
+        met = pairs.select(*columns).unionByName(stars.select(*columns))
         # a pair that agrees meets at its first common shingle too, with all others of both sets behind it
         shared = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
         enough = shared >= similarity * (F.col("size") + F.col("other_size") - shared) - SLACK
-        alike = _verified(met.where(enough).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), sets, similarity)
-        found.append(stage(alike, "alike"))
-        if last:
+        ends = F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")
+        found.append(stage(_verified(met.where(enough).select(*ends).distinct(), sets, similarity), "alike"))
+        if rest.isEmpty():
             break
         roots = components(reduce(DataFrame.unionByName, found))
+        meeting = stage(meeting.join(rest.select("shingle"), "shingle"), "meeting")  # at the others all pairs are done
     return reduce(DataFrame.unionByName, found)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    mine, theirs = (sets.select(F.col("node").alias(end), F.col("set").alias(name)) for end, name in (("a", "mine"), ("b", "theirs")))
+    pairs = stage(pairs, "pairs")
+
+    def side(end: str, name: str) -> DataFrame:
+        # when few nodes have pairs, most sets needn't be sent: a bounded table of buckets tells which
+        bucket = F.pmod(F.xxhash64("node"), F.lit(NODE_BUCKETS)).alias("bucket")
+        wanted = pairs.select(F.col(end).alias("node")).select(bucket).distinct()
+        chosen = sets.select("*", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
+        return chosen.select(F.col("node").alias(end), F.col("set").alias(name))
+
     shared = F.size(F.array_intersect("mine", "theirs"))
-    return pairs.join(mine, "a").join(theirs, "b").where(shared >= similarity * (F.size("mine") + F.size("theirs") - shared)).select("a", "b")
+    both = pairs.join(side("a", "mine"), "a").join(side("b", "theirs"), "b")
+    return both.where(shared >= similarity * (F.size("mine") + F.size("theirs") - shared)).select("a", "b")
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
@@ -370,18 +538,17 @@ def _distinct(docs: DataFrame, similarity: float, words: int) -> DataFrame:
     digest_of = F.unhex(F.md5(text.cast("binary")))  # different texts never share one, as 64 bits would among billions
     keyed = docs.withColumn(row, F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).cast("binary")))
     narrow = keyed.select("doc_id", F.col(row).alias("row"), digest_of.alias("digest"), text.alias("text"))
-    marked = fingerprints(narrow, 1, WORD_SEEDS, True, ("doc_id", "row", "digest"))
+    marked = word_fingerprints(narrow, WORD_SEEDS, ("doc_id", "row", "digest"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     names = [f"f{i}" for i in range(len(WORD_SEEDS))]
     texts = marked.groupBy("digest").agg(F.min(rank).alias("rank"), *[F.first(n).alias(n) for n in names])
     classes = stage(texts.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so a number stays
-    shingles = F.array_distinct(column_hashes(text, words)).alias("set")
     close = classes.join(_close(classes), "node", "left_semi").select("digest")
-    met = _meeting(docs.select(digest_of.alias("node"), shingles)).select(F.col("node").alias("digest"))
+    met = _meeting(docs.select(digest_of.alias("node"), F.lower(text).alias("text")), words).select(F.col("node").alias("digest"))
     grouped = classes.join(close.unionByName(met).distinct(), "digest", "left_semi").select("digest", "node", "rank")
     texts = docs.select(text.alias("text"), digest_of.alias(digest))
     wanted = texts.join(grouped.select(F.col("digest").alias(digest)), digest, "left_semi").dropDuplicates([digest])
-    sets = wanted.select(F.col(digest).alias("digest"), shingles)
+    sets = _shingled(wanted.select(F.col(digest).alias("digest"), F.lower("text").alias("text")), words)
     members = stage(grouped.join(sets, "digest"), "members")
     groups = components(_similar(members, similarity))
     ranked = members.join(groups.withColumnRenamed("root", "group"), "node").select("node", "group", "rank")

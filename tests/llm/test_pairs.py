@@ -148,6 +148,66 @@ def test_similar_finds_what_all_pairs_find(spark):
     assert [found.get(i, i) for i in range(len(texts))] == plain_groups(texts)
 
 
+def test_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 200)]
+    texts = []
+    for i in range(120):
+        words = base.copy()
+        words[int(rng.integers(200))] = f"changed{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    members = docs.select("node", F.array_distinct(sketches.shingle_hashes(F.col("text"), 5)).alias("set"))
+    verified, compared = simhash._verified, []
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    found = {r.node: r.root for r in common.components(simhash._similar(members, 0.8)).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == plain_groups(texts)
+    assert sum(compared) <= 15 * len(texts)  # all pairs would be 60 for each text
+
+
+def test_company_is_what_all_pairs_say_and_sends_each_value_as_often_however_many(spark):
+    rng = np.random.default_rng(9)
+    points = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    for _ in range(6):
+        copies = rng.choice(points, 150)
+        for _ in range(5):
+            copies ^= np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)
+        points = np.concatenate((points, copies))
+    crowd = points[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    points = np.unique(np.concatenate((points, crowd)))
+    want = points[(np.bitwise_count(points[:, None] ^ points[None]) <= 4).sum(1) > 1].view(np.int64).tolist()
+    rows = [(seed, f) for f in points.view(np.int64).tolist() for seed in (0, 3)] + [(5, want[0])]
+    found = simhash.company(spark.createDataFrame(rows, "seed int, f bigint").repartition(7), 4).distinct().collect()
+    assert sorted((r.seed, r.f) for r in found) == sorted((seed, f) for f in want for seed in (0, 3))
+    assert simhash.company(spark.createDataFrame([], "seed int, f bigint"), 4).collect() == []
+    assert [len(simhash._blocks(radius)) for radius in (2, 4)] == [4, 6]
+
+
+def test_keys_are_whole_where_batches_are_cut(monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 10)
+    keys = np.sort(np.random.default_rng(3).integers(0, 9, 200))
+    keys[60:140] = keys[60]
+    keys = np.sort(keys)
+    table = pa.table({"k": keys, "f": np.arange(200)})
+    parts = list(simhash._whole_keys(iter(table.to_batches(max_chunksize=7)), ("k", "f")))
+    assert np.concatenate([f for _, f in parts]).tolist() == list(range(200)) and len(parts) > 2
+    seen = [set(k.tolist()) for k, _ in parts]
+    assert all(not (a & b) for i, a in enumerate(seen) for b in seen[i + 1 :])
+
+
+def test_word_fingerprints_and_shingles_of_many_texts_at_once(monkeypatch):
+    monkeypatch.setattr(simhash, "HASHES_AT_ONCE", 7)
+    texts = ["a b c d e f g h", None, "", "b a", " x\ty ", "a b c d e a b c d e a b c d e", " ".join(f"w{i}" for i in range(40))]
+    values, sizes = simhash.word_shingles(pa.array(texts), 5)
+    assert sizes.tolist() == [4, 0, 0, 1, 1, 5, 36] and len(set(values.tolist())) == len(values) - 1  # "a b c d e" is in two texts
+    hashes, count = common.word_hashes(pa.array(texts))
+    hashes, sizes = simhash._distinct_of(hashes, np.repeat(np.arange(len(count)), count), len(count))
+    assert sizes.tolist() == [8, 0, 0, 2, 2, 5, 40]
+    ends = np.cumsum(sizes)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[e - n : e]) > n) for e, n in zip(ends, sizes)]
+    assert simhash._majorities(hashes, sizes).tolist() == want
+
+
 def template_pages(n: int) -> list[str]:
     """Texts of 340 words that share a passage of 60 and nothing else."""
     rng = np.random.default_rng(n)
