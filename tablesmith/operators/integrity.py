@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -90,9 +91,10 @@ def copy_files(spark: SparkSession, source: str, target: str, pattern: str = "*"
     """
 
     def copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(r.path, r.size, _stream(r.uri, f"{target}/{r.path}")) for r in frame.itertuples()]
-            yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
+        with Arrivals() as arrivals:
+            for frame in frames:
+                rows = [(r.path, r.size, _stream(r.uri, f"{target}/{r.path}", arrivals)) for r in frame.itertuples()]
+                yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
 
     target = hadoop(spark, target)[1].toString()
     files = list_by_tasks(spark, source, pattern)
@@ -101,7 +103,7 @@ def copy_files(spark: SparkSession, source: str, target: str, pattern: str = "*"
     return _dealt(files).mapInPandas(copies, CHECKSUM)
 
 
-def _stream(uri: str, target: str | None) -> str:
+def _stream(uri: str, target: str | None, arrivals: Arrivals | None = None) -> str:
     """Hash a file in chunks, writing them to the target if there is one."""
     digest = hashlib.sha256()
     system, path = system_of(uri)
@@ -116,7 +118,7 @@ def _stream(uri: str, target: str | None) -> str:
             for _ in chunks():
                 pass
         else:
-            _put(chunks(), target)
+            arrivals.put(chunks(), target)
     return digest.hexdigest()
 
 
@@ -125,23 +127,54 @@ def write_files(files: DataFrame, target: str) -> None:
     root = hadoop(files.sparkSession, target)[1].toString()
 
     def puts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                _put([r.content or b""], f"{root}/{r.path}")
-            yield frame[["path"]]
+        with Arrivals() as arrivals:
+            for frame in frames:
+                for r in frame.itertuples():
+                    arrivals.put([r.content or b""], f"{root}/{r.path}")
+                yield frame[["path"]]
 
     files.select("path", "content").mapInPandas(puts, "path string").write.format("noop").mode("overwrite").save()
 
 
-def _put(chunks: Iterable[bytes], target: str) -> None:
-    there, final = system_of(target)
-    folder = final.rsplit("/", 1)[0]
-    there.create_dir(folder, recursive=True)
-    partial = f"{folder}/.{uuid.uuid4().hex}.partial"
-    with there.open_output_stream(partial) as out:
-        for chunk in chunks:
-            out.write(chunk)
-    there.move(partial, final)
+#: Files that a task writes beside their final place before it takes a folder of its own below that.
+FEW_FILES = 8
+
+
+class Arrivals:
+    """Files of one task, each under its name when it is whole.
+
+    A file is written under another name and moved. As a folder takes new names from one task at a time, a task that writes many files to a
+    folder writes them in one of its own below it, so that tasks wait for each other only to move. These folders are removed at the end.
+    """
+
+    def __init__(self) -> None:
+        self.written: dict[str, int] = {}
+        self.own: dict[str, tuple] = {}
+
+    def __enter__(self) -> Arrivals:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for there, place in self.own.values():
+            there.delete_dir(place)
+
+    def put(self, chunks: Iterable[bytes], target: str) -> None:
+        there, final = system_of(target)
+        folder = final.rsplit("/", 1)[0]
+        address = target.rsplit("/", 1)[0]
+        count = self.written.get(address, 0)
+        if not count:
+            there.create_dir(folder, recursive=True)
+        self.written[address] = count + 1
+        if count == FEW_FILES:
+            place = f"{folder}/.{uuid.uuid4().hex}.partial"
+            there.create_dir(place)
+            self.own[address] = there, place
+        partial = f"{self.own[address][1]}/{count}" if address in self.own else f"{folder}/.{uuid.uuid4().hex}.partial"
+        with there.open_output_stream(partial) as out:
+            for chunk in chunks:
+                out.write(chunk)
+        there.move(partial, final)
 
 
 def compare_checksums(
@@ -185,29 +218,37 @@ def sync_folder(spark: SparkSession, source: str, target: str, manifest: str, pa
     """Copy the files that are new or have changed since the last run; returns (path, size, sha256, change) of all.
 
     The manifest is a folder of versions, each a whole list of path, size and digest. ``change`` is new, changed, same or gone; files that are
-    gone stay in the target and leave the list. A version is written after its copies and only if something
+    gone stay in the target and leave the list. A file is read once, and once more to be copied if only its digest tells that it has changed;
+    what is told of a copied file is what was copied. A version is written after its copies and only if something
     changed, so a run that is cut short is done again, and a run that is done again changes nothing.
     """
+
+    def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Arrivals() as arrivals:
+            for frame in frames:
+                yield pd.DataFrame([_settle(r, target, arrivals) for r in frame.itertuples()], columns=["path", "size", "sha256", "change"])
+
     number, known = _last_version(spark, manifest)
-    now = stage(file_checksums(spark, source, pattern), "now")
+    target = hadoop(spark, target)[1].toString()
     before = known.select("path", F.col("size").alias("old_size"), F.col("sha256").alias("old_sha256"))
-    change = (
-        F.when(F.col("old_sha256").isNull(), "new").when(F.col("sha256").isNull(), "gone")
-        .when((F.col("sha256") != F.col("old_sha256")) | (F.col("size") != F.col("old_size")), "changed").otherwise("same")
-    )
-    compared = stage(now.join(before, "path", "full").withColumn("change", change), "changes")
-    wanted = compared.where("change IN ('new', 'changed')").select("path")
-    # a file that changes between the two reads is told by what was copied
-    copied = stage(copy_files(spark, source, target, pattern, wanted), "copied").select("path", F.col("size").alias("copied_size"), F.col("sha256").alias("copied_sha256"))
-    told = compared.join(copied, "path", "left").select(
-        "path", F.coalesce("copied_size", "size", "old_size").alias("size"), F.coalesce("copied_sha256", "sha256", "old_sha256").alias("sha256"), "change"
-    )
-    told = stage(told, "told")
+    both = list_by_tasks(spark, source, pattern).select("path", "size", "uri").join(before, "path", "full")
+    told = stage(_dealt(both).mapInPandas(settled, f"{CHECKSUM}, change string"), "told")
     if not told.where("change <> 'same'").isEmpty():
         told.where("change <> 'gone'").drop("change").write.parquet(f"{manifest}/version={number + 1}")
     return told
 
 
+def _settle(file: Any, target: str, arrivals: Arrivals) -> tuple[str, int, str, str]:
+    """Path, size, digest and change of a file of the source or of the last version, copied if it is new or has changed."""
+    new, gone = not isinstance(file.old_sha256, str), not isinstance(file.uri, str)  # what is missing may be None or NaN
+    if gone:
+        return file.path, int(file.old_size), file.old_sha256, "gone"
+    size = int(file.size)
+    if not new and size == int(file.old_size) and _stream(file.uri, None) == file.old_sha256:
+        return file.path, size, file.old_sha256, "same"
+    return file.path, size, _stream(file.uri, f"{target}/{file.path}", arrivals), "new" if new else "changed"
+
+
 def _last_version(spark: SparkSession, manifest: str) -> tuple[int, DataFrame]:
     """Number and rows of the last whole version of a manifest; 0 and none at first."""
     system, root = hadoop(spark, manifest)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import stat
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs
@@ -26,6 +29,27 @@ def system_of(uri: str):
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
+#: Entries of a folder that a task hands over at once.
+ROWS_AT_ONCE = 10_000
+
+
+def _entries(uri: str) -> Iterator[tuple[str, int, int, bool]]:
+    """Name, size, change time in milliseconds and whether it is a folder, of all that a folder holds."""
+    there, place = system_of(uri)
+    if isinstance(there, fs.LocalFileSystem):  # one by one, as pyarrow gathers all of a folder
+        with os.scandir(place) as entries:
+            for entry in entries:
+                try:
+                    found = entry.stat()
+                except FileNotFoundError:  # gone, or a link to nothing
+                    continue
+                folder = stat.S_ISDIR(found.st_mode)
+                yield entry.name, 0 if folder else found.st_size, found.st_mtime_ns // 1_000_000, folder
+    else:
+        for entry in there.get_file_info(fs.FileSelector(place)):
+            yield entry.base_name, entry.size or 0, 0 if entry.mtime_ns is None else entry.mtime_ns // 1_000_000, entry.type == fs.FileType.Directory
+
+
 def list_by_tasks(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """All files below a folder as :func:`list_files` gives them, listed by tasks, a level of folders at a time.
 
@@ -39,14 +63,10 @@ def list_by_tasks(spark: SparkSession, folder: str, pattern: str = "*", recursiv
 
     def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = []
-            for uri in frame["uri"]:
-                there, place = system_of(uri)
-                for entry in there.get_file_info(fs.FileSelector(place)):
-                    name = f"{uri}/{entry.base_name}"
-                    moment = 0 if entry.mtime_ns is None else entry.mtime_ns // 1_000_000
-                    found.append((name[len(address) + 1 :], entry.size or 0, moment, name, entry.type == fs.FileType.Directory))
-            yield pd.DataFrame(found, columns=["path", "size", "millis", "uri", "folder"])
+            found = ((uri, *entry) for uri in frame["uri"] for entry in _entries(uri))
+            while part := list(islice(found, ROWS_AT_ONCE)):  # a folder may hold millions
+                rows = [(f"{uri}/{name}"[len(address) + 1 :], size, moment, f"{uri}/{name}", folder) for uri, name, size, moment, folder in part]
+                yield pd.DataFrame(rows, columns=["path", "size", "millis", "uri", "folder"])
 
     levels, frontier = [], spark.createDataFrame([(address,)], "uri string")
     for _ in range(1000):

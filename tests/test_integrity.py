@@ -1,4 +1,5 @@
 import hashlib
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -94,3 +95,58 @@ def test_files_are_dealt_to_several_tasks(spark, tmp_path):
     for found in (I.file_checksums(spark, str(tmp_path / "in")), I.tree_checksums(spark, str(tmp_path / "in"), range_bytes=5).select("path")):
         assert found.count() == 40
     assert I.file_checksums(spark, str(tmp_path / "in")).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_many_files_of_a_task_arrive_whole_and_leave_nothing_beside_them(tmp_path):
+    with I.Arrivals() as arrivals:
+        for i in range(3 * I.FEW_FILES):
+            arrivals.put([b"x" * i, b"y"], f"{tmp_path}/a/{i}.bin")
+            arrivals.put([b"z"], f"{tmp_path}/b{i}/one.bin")
+        arrivals.put([b"again"], f"{tmp_path}/a/0.bin")
+        mine = [p for p in (tmp_path / "a").iterdir() if p.is_dir()]
+        assert len(mine) == 1 and not list(mine[0].iterdir())  # a folder of its own, where no other task adds names
+    names = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if not p.is_dir())
+    assert names == sorted([f"a/{i}.bin" for i in range(3 * I.FEW_FILES)] + [f"b{i}/one.bin" for i in range(3 * I.FEW_FILES)])
+    assert not list(tmp_path.rglob("*.partial")) and (tmp_path / "a" / "0.bin").read_bytes() == b"again"
+
+
+def test_sync_reads_new_files_once_and_tells_all_changes(spark, tmp_path):
+    source, target, manifest = tmp_path / "in", tmp_path / "out", str(tmp_path / "manifest")
+    files(source, a_bin="abc", sub__b_bin="def", c_bin="ghi", d_bin="jkl")
+    (source / "empty.bin").write_text("")
+
+    def run():
+        return {r.path: (r.size, r.sha256, r.change) for r in I.sync_folder(spark, str(source), str(target), manifest).collect()}
+
+    def told(text, change):
+        return len(text), hashlib.sha256(text.encode()).hexdigest(), change
+
+    assert run() == {"a.bin": told("abc", "new"), "sub/b.bin": told("def", "new"), "c.bin": told("ghi", "new"), "d.bin": told("jkl", "new"), "empty.bin": told("", "new")}
+    files(source, a_bin="abd", sub__b_bin="longer", late_bin="z")
+    (source / "d.bin").unlink()
+    want = {"a.bin": told("abd", "changed"), "sub/b.bin": told("longer", "changed"), "c.bin": told("ghi", "same"), "late.bin": told("z", "new"), "d.bin": told("jkl", "gone"), "empty.bin": told("", "same")}
+    assert run() == want
+    assert (target / "a.bin").read_text() == "abd" and (target / "sub" / "b.bin").read_text() == "longer" and (target / "d.bin").read_text() == "jkl"
+    del want["d.bin"]
+    assert run() == {path: (size, digest, "same") for path, (size, digest, _) in want.items()}
+    assert not (tmp_path / "manifest" / "version=3").exists()
+
+
+def test_a_file_is_read_as_often_as_it_must(tmp_path, monkeypatch):
+    (tmp_path / "f").write_text("abc")
+    stream, reads = I._stream, []
+    monkeypatch.setattr(I, "_stream", lambda uri, *rest: reads.append(uri) or stream(uri, *rest))
+    digest = hashlib.sha256(b"abc").hexdigest()
+
+    def settled(uri, size, old_size, old_sha256):
+        reads.clear()
+        with I.Arrivals() as arrivals:
+            found = I._settle(SimpleNamespace(path="f", uri=uri, size=size, old_size=old_size, old_sha256=old_sha256), str(tmp_path / "out"), arrivals)
+        return (*found, len(reads))
+
+    uri, nan = str(tmp_path / "f"), float("nan")
+    assert settled(uri, 3.0, nan, None) == ("f", 3, digest, "new", 1)
+    assert settled(uri, 3, 4, "0") == ("f", 3, digest, "changed", 1)
+    assert settled(uri, 3, 3, "0") == ("f", 3, digest, "changed", 2)
+    assert settled(uri, 3, 3, digest) == ("f", 3, digest, "same", 1)
+    assert settled(None, nan, 3.0, digest) == ("f", 3, digest, "gone", 0)

@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from tablesmith.sources import folders, paths, readers, writers
@@ -171,3 +172,15 @@ def test_hidden_files_and_odd_folders_are_listed(spark, tmp_path):
         (root / name).write_text(name)
     odd = f"{tmp_path}/xmain/../xmain//main"
     assert {r.path for r in folders.list_files(spark, odd).collect()} == {"z.bin", "_hidden", ".dot", "_delta_log/0.json"}
+
+
+def test_listing_hands_over_a_large_folder_in_parts(tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i}").write_text("x" * i)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "lost").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "linked").symlink_to(tmp_path / "sub")
+    got = {name: (size, folder) for name, size, _, folder in folders._entries(str(tmp_path))}
+    assert got == {f"f{i}": (i, False) for i in range(30)} | {"sub": (0, True), "linked": (0, True)}
+    plain = {e.base_name: (e.mtime_ns or 0) // 1_000_000 for e in fs.LocalFileSystem().get_file_info(fs.FileSelector(str(tmp_path)))}
+    assert {name: millis for name, _, millis, _ in folders._entries(str(tmp_path))} == plain
