@@ -1,6 +1,8 @@
 """Window operators with groups cut into blocks, against pandas."""
 
 import functools
+import os
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablesmith.operators import splits, windows
+from tablesmith.plans import workflow
+from tablesmith.session import discard, scratch_dir, stage
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +114,31 @@ def test_blocks_among_many_points_are_compiled(frame):
     totals = windows.running_total(frame, "v", ["v", "id"], ["g"], splits=found)
     for plan in (p._jdf.queryExecution().executedPlan().toString() for p in (found.with_block(frame, "a"), totals)):
         assert "lambdafunction" not in plan
+
+
+def test_workflow_deletes_what_no_later_step_reads(spark, tmp_path):
+    tables = {
+        "customer": ([(i, f"name {i}", "BUILDING") for i in range(5)], "c_custkey long, c_name string, c_mktsegment string"),
+        "orders": ([(i, i % 6, f"1995-01-{1 + i % 28:02d}", 10.0 * i) for i in range(40)], "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double"),
+        "lineitem": ([(i % 40, i % 7, 1.0 + i, 5.0 * i) for i in range(90)], "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double"),
+        "part": ([(i, "PROMO", 3.0) for i in range(6)], "p_partkey long, p_type string, p_retailprice double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(os.listdir(folder)) if folder.exists() else set()
+    got = workflow.order_workflow(spark, str(tmp_path)).first()
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and min(left).startswith("workflow-")
+    outputs = folder / min(left)
+    assert spark.read.parquet(f"{outputs}/windows").count() == spark.read.csv(f"{outputs}/complete_orders_csv", header=True).count() == got.total_orders == 87
+    assert {p.name for p in (outputs / "summaries").iterdir() if p.is_dir()} >= {"customers", "categories", "temporal"}
+
+
+def test_a_discarded_table_is_gone(spark):
+    one, two = stage(spark.range(5), "one"), stage(spark.range(6), "two")
+    path = one.inputFiles()[0].removeprefix("file://")
+    discard(one)
+    assert not os.path.exists(os.path.dirname(path)) and two.count() == 6
+    with pytest.raises(KeyError):
+        discard(one)
